@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from docgraph.llm.language import op2_language
 from docgraph.llm.quality import op1_quality
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_language": op2_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
