@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from docgraph.llm.language import op2_language
 from docgraph.llm.quality import op1_quality
+from docgraph.llm.sharding import op3_sharding
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_sharding": op3_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
