@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docgraph.llm.decontaminate import op4_decontaminate
 from docgraph.llm.language import op2_language
 from docgraph.llm.quality import op1_quality
 from docgraph.llm.sharding import op3_sharding
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
+    "op4_decontaminate": op4_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
