@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from docgraph.llm.decontaminate import op4_decontaminate
+from docgraph.llm.fingerprint import op6_fingerprint
 from docgraph.llm.language import op2_language
 from docgraph.llm.quality import op1_quality
 from docgraph.llm.sharding import op3_sharding
+from docgraph.llm.urlfilter import OP5_SQL, op5_urlfilter
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
+    "op5_urlfilter": op5_urlfilter,
+    "op6_fingerprint": op6_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_urlfilter": OP5_SQL}
