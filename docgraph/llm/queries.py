@@ -5,6 +5,7 @@ from __future__ import annotations
 from docgraph.llm.decontaminate import op4_decontaminate
 from docgraph.llm.fingerprint import op6_fingerprint
 from docgraph.llm.language import op2_language
+from docgraph.llm.mixing import op10_mixing
 from docgraph.llm.quality import op1_quality
 from docgraph.llm.sharding import op3_sharding
 from docgraph.llm.urlfilter import OP5_SQL, op5_urlfilter
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_urlfilter": op5_urlfilter,
     "op6_fingerprint": op6_fingerprint,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_urlfilter": OP5_SQL}
