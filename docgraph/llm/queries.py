@@ -8,6 +8,7 @@ from docgraph.llm.language import op2_language
 from docgraph.llm.mixing import op10_mixing
 from docgraph.llm.quality import op1_quality
 from docgraph.llm.sharding import op3_sharding
+from docgraph.llm.substring_dedup import op8_dedup
 from docgraph.llm.urlfilter import OP5_SQL, op5_urlfilter
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_urlfilter": op5_urlfilter,
     "op6_fingerprint": op6_fingerprint,
+    "op8_dedup": op8_dedup,
     "op10_mixing": op10_mixing,
 }
 
