@@ -5,6 +5,7 @@ from __future__ import annotations
 from docgraph.llm.decontaminate import op4_decontaminate
 from docgraph.llm.fingerprint import op6_fingerprint
 from docgraph.llm.language import op2_language
+from docgraph.llm.language_model import op9_lm
 from docgraph.llm.mixing import op10_mixing
 from docgraph.llm.quality import op1_quality
 from docgraph.llm.sharding import op3_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_urlfilter": op5_urlfilter,
     "op6_fingerprint": op6_fingerprint,
     "op8_dedup": op8_dedup,
+    "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
 }
 
