@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docgraph.llm.decontaminate import op4_decontaminate
 from docgraph.llm.fingerprint import op6_fingerprint
+from docgraph.llm.jaccard_join import op7_jaccard
 from docgraph.llm.language import op2_language
 from docgraph.llm.language_model import op9_lm
 from docgraph.llm.mixing import op10_mixing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_urlfilter": op5_urlfilter,
     "op6_fingerprint": op6_fingerprint,
+    "op7_jaccard": op7_jaccard,
     "op8_dedup": op8_dedup,
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
