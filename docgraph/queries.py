@@ -5,10 +5,537 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docgraph.functions import text as tx
+from docgraph.operators import context as ctx
+from docgraph.operators import corpus as cp
+from docgraph.operators import evaluation as ev
+from docgraph.operators import graph as g
+from docgraph.operators import parsing as ps
+from docgraph.operators import search as srch
+from docgraph.plans import retrieval
+from docgraph.plans.fixtures import Tables, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a function of the derived tables under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_TOK = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_COS = "round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: z[1]::double * z[2]::double)), 6)"
+_RANKED = f"ranked as (select * from (select q.query_id, v.uid, v.label, {_COS} as score, row_number() over (partition by q.query_id, v.label order by {_COS} desc, v.uid) as lr from t_query q cross join t_vector v) where lr <= 5)"
+_MERGED = "merged as (select query_id, uid, label, score, row_number() over (partition by query_id order by score desc, uid) as rank from ranked)"
+_METRIC = """hits as (select m.query_id, min(rank) as best from merged m join t_query q using (query_id) where starts_with(m.uid, q.reference) group by 1)"""
+
+
+def _merged(t: Tables) -> DataFrame:
+    found = srch.vector_search(t.query, t.vector, 5).drop("rank")
+    return srch.top_k(found, ["query_id"], 1 << 30, [F.desc("score"), F.col("uid")])
+
+
+# -- search ------------------------------------------------------------------
+
+
+@query(with_tables("select query_id, uid, label, score, lr as rank from ranked", _RANKED))
+def d3_vector_topk_per_label(t):
+    return srch.vector_search(t.query, t.vector, 5)
+
+
+@query(with_tables("select * from merged where rank <= 30", f"{_RANKED}, {_MERGED}"))
+def d3_vector_topk_merged(t):
+    return _merged(t).where("rank <= 30")
+
+
+@query(with_tables(f"select * from (select q.query_id, v.uid, v.label, {_COS} as score, row_number() over (partition by q.query_id order by {_COS} desc, v.uid) as rank from t_query q cross join t_vector v where v.label = 'L3') where rank <= 5"))
+def d4_vector_one_label(t):
+    return srch.vector_search(t.query, t.vector.where("label = 'L3'"), 5, per_label=False)
+
+
+_BM = f"""toks as (select doc_id as id, unnest({_TOK.format('text')}) as term from documents),
+tf as (select id, term, count(*) as tf from toks group by 1, 2),
+dl as (select doc_id as id, len({_TOK.format('text')}) as dl from documents),
+st as (select count(*) as n, avg(dl) as avg_dl from dl),
+df as (select term, count(*) as df from tf group by 1),
+q as (select item_id as query_id, unnest(list_distinct({_TOK.format('text')})) as term from benchmark where item_id % 10 = 0),
+bm as (select query_id, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) as score
+  from q join tf using (term) join df using (term) join dl on dl.id = tf.id cross join st group by 1, 2),
+kw as (select * from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from bm) where rank <= 30)"""
+
+
+def _benchmark_queries(t):
+    return t.read("benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+@query(f"with {_BM} select term, df.df, (select sum(tf) from tf where tf.term = df.term) as cf from df where df >= 20")
+def d5_term_statistics(t):
+    return srch.term_statistics(srch.postings(t.read("documents"), "doc_id", "text")).where("df >= 20").select("term", "df", "cf")
+
+
+@query(f"with {_BM} select query_id, id, score, rank from kw")
+def d6_bm25_topk(t):
+    return srch.keyword_search(_benchmark_queries(t), t.read("documents"), "doc_id", "text", "query_text", 30).select("query_id", "id", "score", "rank")
+
+
+@query(
+    f"""with {_BM}, v as (
+  select * from (select b.item_id as query_id, e.vec_id as id, row_number() over (partition by b.item_id order by round(list_sum(list_transform(list_zip(s.embedding, e.embedding), lambda z: z[1]::double * z[2]::double)), 6) desc, e.vec_id) as rank
+  from benchmark b join embeddings s on s.vec_id = b.item_id cross join embeddings e where b.item_id % 10 = 0) where rank <= 30),
+u as (select query_id, id, rank from v union all select query_id, id, rank from kw)
+select * from (select query_id, id, round(sum(1.0::double / (60 + rank)), 9) as score, row_number() over (partition by query_id order by round(sum(1.0::double / (60 + rank)), 9) desc, id) as rank from u group by 1, 2) where rank <= 30"""
+)
+def d8_hybrid_rrf(t):
+    kw = srch.keyword_search(_benchmark_queries(t), t.read("documents"), "doc_id", "text", "query_text", 30).select("query_id", "id", "rank")
+    e = t.read("embeddings").select(F.col("vec_id").alias("uid"), F.lit("all").alias("label"), "embedding")
+    q = _benchmark_queries(t).join(e.select(F.col("uid").alias("query_id"), "embedding"), "query_id")
+    vec = srch.vector_search(q, e, 30, per_label=False).select("query_id", F.col("uid").alias("id"), "rank")
+    return srch.reciprocal_rank_fusion([vec, kw], ["query_id", "id"], 30)
+
+
+_SUB = "sub as (select query_id // 100 as query_id, query_id as sub_query_idx, uid, label, score, row_number() over (partition by query_id // 100, query_id order by score desc, label, uid) as r from ranked)"
+
+
+def _sub_results(t):
+    return srch.vector_search(t.query, t.vector, 5).select(F.expr("query_id div 100").alias("query_id"), F.col("query_id").alias("sub_query_idx"), "uid", "label", "score")
+
+
+def _fusion(strategy, sql):
+    def run(t):
+        return srch.fuse(_sub_results(t), strategy, 30)
+
+    run.__name__ = f"d10_fuse_{strategy}"
+    query(with_tables(f"select * from (select query_id, uid, label, {sql} as score, row_number() over (partition by query_id order by {sql} desc, label, uid) as rank from sub group by 1, 2, 3) where rank <= 30", f"{_RANKED}, {_SUB}"))(run)
+
+
+_fusion("rrf", "round(sum(1.0::double / (60 + r)), 9)")
+_fusion("borda", "round(avg(score), 9)")
+_fusion("max", "round(max(score), 9)")
+
+
+@query(with_tables("select query_id, sub_query_idx, uid, label, score from sub", f"{_RANKED}, {_SUB}"))
+def d9_multi_search(t):
+    return _sub_results(t)
+
+
+_ENTRY = "entries as (select uid, 'article' as kind, number, title as name, doc_identity from t_article union all select uid, 'clause', number, content, doc_identity from t_clause)"
+
+
+@query(
+    with_tables(
+        """select query_id, kind, uid, rank from (select query_id, kind, uid, row_number() over (partition by query_id, kind order by (number = needle) desc, contains(lower(coalesce(name, '')), needle) desc, contains(lower(doc_identity), needle) desc, doc_identity, uid) as rank
+  from entries join (select query_id, lower(needle) as needle from (values (1, '12'), (2, 'urgent'), (3, 'china')) v(query_id, needle)) on number = needle or contains(lower(coalesce(name, '')), needle) or contains(lower(doc_identity), needle)) where rank <= 20""",
+        _ENTRY,
+    )
+)
+def d11_catalogue_search(t):
+    q = t.spark.createDataFrame([(1, "12"), (2, "urgent"), (3, "china")], "query_id int, needle string")
+    a = t.article.select("uid", F.lit("article").alias("kind"), "number", F.col("title").alias("name"), "doc_identity")
+    c = t.clause.select("uid", F.lit("clause").alias("kind"), "number", F.col("content").alias("name"), "doc_identity")
+    return srch.catalogue_search(q, a.unionByName(c))
+
+
+@query(with_tables("select doc_identity, parent_article, coalesce(try_cast(number as int), 0) as clause_num, content from t_clause where parent_article = '7'"))
+def d13_article_children(t):
+    return t.clause.where("parent_article = '7'").select("doc_identity", "parent_article", F.coalesce(F.col("number").try_cast("int"), F.lit(0)).alias("clause_num"), "content")
+
+
+@query(with_tables("select label, case when label = 'Article' then trim(concat_ws(' ', nullif(title, ''), nullif(content, ''))) else content end as text, uid from t_node where label <> 'Document'"))
+def d1_searchable_text(t):
+    return srch.searchable_text(t.node.where("label <> 'Document'")).select("label", "text", "uid")
+
+
+# -- retrieval evaluation ------------------------------------------------------
+
+_ROWS = "rows as (select q.query_id, " + ", ".join(f"round(coalesce((best <= {k})::int, 0)::double, 6) as recall_{k}" for k in ev.RECALL_AT) + ", " + ", ".join(f"round(coalesce((best <= {k})::int, 0) / {k}, 6) as precision_{k}" for k in ev.PRECISION_AT) + ", round(coalesce(1.0::double / best, 0), 6) as mrr from t_query q left join hits using (query_id))"
+
+
+def _references(t):
+    return t.query.select("query_id", "reference")
+
+
+@query(with_tables("select * from rows", f"{_RANKED}, {_MERGED}, {_METRIC}, {_ROWS}"))
+def g3_row_metrics(t):
+    return ev.retrieval_metrics(_merged(t), _references(t))
+
+
+@query(with_tables("select " + ", ".join(f"round(avg({m}), 6) as {m}" for m in ev.METRICS) + ", count(*) as num_evaluated from rows", f"{_RANKED}, {_MERGED}, {_METRIC}, {_ROWS}"))
+def g5_run_summary(t):
+    return ev.run_summary(ev.retrieval_metrics(_merged(t), _references(t)))
+
+
+_GRID = "grid as (select c.config, m.query_id, m.uid, row_number() over (partition by c.config, m.query_id order by case c.config when 'reversed' then -m.score else m.score end desc, m.uid) as rank from merged m cross join (values ('full'), ('reversed'), ('one_label')) c(config) where c.config <> 'one_label' or m.label = 'L1'), ghits as (select config, query_id, min(rank) as best from grid join t_query q using (query_id) where starts_with(grid.uid, q.reference) group by 1, 2), grows as (select c.config, q.query_id, best from (values ('full'), ('reversed'), ('one_label')) c(config) cross join t_query q left join ghits g on g.config = c.config and g.query_id = q.query_id), gsum as (select config, " + ", ".join(f"round(avg(round(coalesce((best <= {k})::int, 0)::double, 6)), 6) as recall_{k}" for k in ev.RECALL_AT) + ", " + ", ".join(f"round(avg(round(coalesce((best <= {k})::int, 0) / {k}, 6)), 6) as precision_{k}" for k in ev.PRECISION_AT) + ", round(avg(round(coalesce(1.0::double / best, 0), 6)), 6) as mrr, count(*) as num_evaluated from grows group by 1)"
+
+
+def _grid_summary(t):
+    m = _merged(t)
+    configs = F.explode(F.array(F.lit("full"), F.lit("reversed"), F.lit("one_label")))
+    grid = m.withColumn("config", configs).where((F.col("config") != "one_label") | (F.col("label") == "L1"))
+    order = F.when(F.col("config") == "reversed", -F.col("score")).otherwise(F.col("score"))
+    ranked = srch.top_k(grid.withColumn("s", order).drop("rank"), ["config", "query_id"], 1 << 30, [F.desc("s"), F.col("uid")])
+    return ev.run_summary(ev.retrieval_metrics(ranked, _references(t)))
+
+
+@query(with_tables("select * from gsum", f"{_RANKED}, {_MERGED}, {_GRID}"))
+def g6_ablation_grid(t):
+    return _grid_summary(t)
+
+
+@query(with_tables("select s.config, " + ", ".join(f"round(s.{m} - b.{m}, 6) as {m}" for m in ev.METRICS) + " from gsum s cross join (select * from gsum where config = 'full') b", f"{_RANKED}, {_MERGED}, {_GRID}"))
+def g7_delta_to_baseline(t):
+    return ev.delta_to_baseline(_grid_summary(t), "full")
+
+
+# -- graph ---------------------------------------------------------------------
+
+
+@query(with_tables("select uid, letter, content, doc_identity from t_point"))
+def c3_node_upsert(t):
+    return t.point.select("uid", "letter", "content", "doc_identity")
+
+
+@query(with_tables("select doc_identity || '::article::' || parent_article || '::clause::' || parent_clause || '::point::' || letter as uid from t_point"))
+def c1_build_uids(t):
+    return t.point.select(g.build_uid("point", F.col("doc_identity"), F.col("letter"), article=F.col("parent_article"), clause=F.col("parent_clause")).alias("uid"))
+
+
+@query(with_tables("select src, dst, type from t_edge"))
+def c6_edge_upsert(t):
+    return g.upsert_edges(t.edge.unionByName(t.edge.limit(10)), t.node)
+
+
+@query(with_tables("select src_uid, dst_uid, max(amend_type) as amend_type from t_amends group by 1, 2"))
+def c7_amendment_edges(t):
+    return g.amendment_edges(t.amends, t.node)
+
+
+@query(with_tables("select 'Point' as label, uid, count(*) as n from t_point_raw group by 2 having count(*) > 1"))
+def c8_key_violations(t):
+    return g.key_violations(t.point_raw.withColumn("label", F.lit("Point")))
+
+
+@query(with_tables("select s.label as src_label, e.type, d.label as dst_label, count(*) as n from t_edge e join t_node s on s.uid = e.src join t_node d on d.uid = e.dst group by 1, 2, 3"))
+def c10_schema_triples(t):
+    return g.schema_triples(t.node, t.edge)
+
+
+_CLOSE = "close as (select src as anc, dst, 1 as depth from t_edge union all select c.anc, e.dst, c.depth + 1 from close c join t_edge e on e.src = c.dst where c.depth < 6)"
+
+
+@query(with_tables("select anc, dst, depth from close", _CLOSE))
+def c11_closure(t):
+    return g.closure(t.edge, 4)
+
+
+@query(with_tables("select anc as doc_identity, " + ", ".join(f"count(*) filter (label = '{x}') as n_{x.lower()}s" for x in ("Chapter", "Article", "Clause", "Point")) + " from close join t_document on doc_identity = anc join t_node n on n.uid = dst group by 1", _CLOSE))
+def c12_descendant_counts(t):
+    return g.descendant_counts(g.closure(t.edge, 4), t.node, t.document)
+
+
+@query(with_tables("select anc as doc_identity, count(*) as n_hits from close join t_document on doc_identity = anc join t_node n on n.uid = dst where lower(n.content) like '%urgent%' group by 1", _CLOSE))
+def c12_documents_with_phrase(t):
+    return g.documents_with_phrase(g.closure(t.edge, 4), t.node, t.document, "urgent")
+
+
+@query(with_tables("select uid, label, title, content from t_node where label = 'Article' and number::int % 10 = 0"))
+def c13_node_lookup(t):
+    return g.fetch_nodes(t.node, t.article.where("cast(number as int) % 10 = 0").select("uid", F.lit("Article").alias("label")))
+
+
+@query(with_tables("select anc as uid, dst as descendant, depth from close where anc in (select uid from t_article)", _CLOSE))
+def c14_descendants(t):
+    return g.descendants(g.closure(t.edge, 4), t.article)
+
+
+# -- context -------------------------------------------------------------------
+
+_TARGET = "target as (select uid from t_point where hash(1) is not null and parent_clause::int % 50 = 0)"
+
+
+def _targets(t):
+    return t.point.where("cast(parent_clause as int) % 50 = 0").select("uid")
+
+
+@query(
+    with_tables(
+        """select p.uid, '[Văn bản: ' || p.doc_identity || ' — Hiệu lực: ' || coalesce(d.effect_date, 'N/A') || ']' || chr(10) || 'Chương ' || ch.number || ': ' || ch.title || chr(10) || 'Điều ' || a.number || ': ' || a.title
+  || chr(10) || 'Khoản ' || c.number || '.' || chr(10) || c.content || chr(10) || 'Điểm ' || p.letter || '.' || chr(10) || 'Nội dung: ' || p.content as context
+  from t_point p join t_document d using (doc_identity) join t_clause c on c.number = p.parent_clause join t_article a on a.number = p.parent_article join t_chapter ch on ch.doc_identity = a.doc_identity and ch.number = a.parent_chapter where p.parent_clause::int % 50 = 0"""
+    )
+)
+def e1_hierarchy_text(t):
+    return ctx.hierarchy_text(_targets(t), t.node, g.closure(t.edge, 4), t.document)
+
+
+@query(with_tables("select uid, 'Điểm ' || letter || ', Khoản ' || parent_clause || ', Điều ' || parent_article || ', ' || doc_identity as display from t_point"))
+def e3_format_uid(t):
+    return t.point.select("uid", tx.format_uid(F.col("uid")).alias("display"))
+
+
+@query(
+    with_tables(
+        """select distinct r.uid, a.src_uid, a.dst_uid, a.amend_type, n.content as amend_text, d.effect_date
+  from (select dst as uid, anc as dst_uid from close union all select anc, dst from close union all select uid, uid from t_node) r
+  join (select uid from t_clause where number::int % 20 = 0) w on w.uid = r.uid join t_amends a on a.dst_uid = r.dst_uid join t_node n on n.uid = a.src_uid join t_document d on d.doc_identity = n.doc_identity""",
+        _CLOSE,
+    )
+)
+def e4_amendments(t):
+    return ctx.amendments_of(t.clause.where("cast(number as int) % 20 = 0"), t.amends, g.closure(t.edge, 4), t.node, t.document)
+
+
+@query(with_tables("select uid, coalesce(array_to_string(list_sort(f), ','), '') as flags from t_clause left join (select dst_uid, list(distinct amend_type) as f from t_amends where amend_type in ('bãi bỏ', 'thay thế') group by 1) on dst_uid = uid"))
+def e6_status_flags(t):
+    return ctx.status_flags(t.clause, t.amends).select("uid", F.array_join("flags", ",").alias("flags"))
+
+
+@query(with_tables("select uid, d.effect_date from t_clause join t_document d using (doc_identity)"))
+def e7_effect_dates(t):
+    return ctx.effect_dates(t.clause, t.document)
+
+
+@query(with_tables("select p.uid, string_agg('  Điểm ' || o.letter || '. ' || o.content, chr(10) order by o.letter) as siblings from t_point p join t_point o on o.parent_clause = p.parent_clause and o.uid <> p.uid group by 1"))
+def e8_sibling_points(t):
+    return ctx.sibling_points(t.point, t.point)
+
+
+@query(with_tables("select c.uid, string_agg('  Điểm ' || p.letter || '. ' || p.content, chr(10) order by p.uid) as children from t_clause c join t_point p on p.parent_clause = c.number group by 1"))
+def e9_children(t):
+    return ctx.children_text(t.clause, g.closure(t.edge, 2), t.node)
+
+
+@query(with_tables("select uid, case when uid like '%::point::%' then 'Point' when uid like '%::clause::%' then 'Clause' else 'Article' end as label from t_node where label in ('Point', 'Clause', 'Article')"))
+def e11_label_from_uid(t):
+    return t.node.where(F.col("label").isin("Point", "Clause", "Article")).select("uid", tx.label_from_uid(F.col("uid")).alias("label"))
+
+
+@query(with_tables("select c.uid, 'Điều ' || a.number || '. ' || a.title || chr(10) || c.number || '. ' || c.content || coalesce(chr(10) || string_agg(p.letter || ') ' || p.content, chr(10) order by p.letter), '') as law_text from t_clause c join t_article a on a.number = c.parent_article left join t_point p on p.parent_clause = c.number group by c.uid, a.number, a.title, c.number, c.content"))
+def e13_law_text(t):
+    return ctx.law_text(t.clause, t.node, g.closure(t.edge, 4))
+
+
+@query(
+    with_tables(
+        """select c.uid, round(1.0 + case when coalesce(list_contains(f, 'bãi bỏ'), false) then -5.0 when coalesce(list_contains(f, 'thay thế'), false) then -3.0 else 0.0 end + greatest(0.0, 2.0 - 0.3 * greatest(0, date '2002-01-01' - d.effect_date::date) / 365.0), 6)::double as adjusted
+  from t_clause c join t_document d using (doc_identity) left join (select dst_uid, list(distinct amend_type) as f from t_amends where amend_type in ('bãi bỏ', 'thay thế') group by 1) on dst_uid = c.uid"""
+    )
+)
+def f3_adjust_by_status(t):
+    rows = ctx.status_flags(t.clause, t.amends).join(ctx.effect_dates(t.clause, t.document), "uid").withColumn("score", F.lit(1.0))
+    return srch.adjust_by_status(rows, "2002-01-01").select("uid", "adjusted")
+
+
+@query()
+def f4_retrieval_pipeline(t):
+    post = t.node.where(F.col("label").isin("Article", "Clause", "Point"))
+    q = t.spark.createDataFrame([(1, 0, "urgent f"), (1, 1, "high o"), (2, 0, "customer#000000012"), (3, 0, "not specified p")], "query_id int, sub_query_idx int, query_text string")
+    flat = q.select((F.col("query_id") * 10 + F.col("sub_query_idx")).alias("query_id"), "query_text")
+    found = srch.keyword_search(flat, srch.searchable_text(post), "uid", "text", "query_text", 30, "label")
+    results = found.select(F.expr("query_id div 10").alias("query_id"), F.expr("query_id % 10").alias("sub_query_idx"), F.col("id").alias("uid"), "label", "score")
+    graph = {"node": t.node, "closure": g.closure(t.edge, 4), "document": t.document, "amends": t.amends, "point": t.point}
+    return retrieval.rank_and_render(results, q.where("sub_query_idx = 0"), graph, retrieval.Settings(expand=True))
+
+
+# -- conversations -------------------------------------------------------------
+
+
+@query("select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as r from conversations) where r <= 4")
+def f6_recent_turns(t):
+    return cp.recent_turns(t.read("conversations"), "conv_id", 2)
+
+
+@query("select conv_id, turn, case when role <> 'user' and length(text) > 200 then substr(text, 1, 200) || '...' else text end as text from conversations")
+def f7_history_text(t):
+    return t.read("conversations").select("conv_id", "turn", cp.history_text(F.col("role"), F.col("text")).alias("text"))
+
+
+@query("select conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn, role, text) || '<|eot_id|>' as text from conversations group by 1")
+def j5_render_chat(t):
+    return cp.render_chat(t.read("conversations"), "conv_id")
+
+
+@query("select conv_id from (select conv_id, arg_min(role, turn) as r, arg_min(text, turn) as x from conversations group by 1) where r = 'system' and contains(x, 'the')")
+def j9_system_conversations(t):
+    return cp.conversations_opening_with(t.read("conversations"), "conv_id", "the")
+
+
+# -- answers and judges --------------------------------------------------------
+
+_BLEU = f"""tok as (select conv_id, turn, {_TOK.format('reference_text')} as r, {_TOK.format('candidate_text')} as c from t_pair),
+gc as (select conv_id, turn, n, array_to_string(c[i:i+n-1], ' ') as g, count(*) as k from tok, (select unnest([1,2,3,4]) as n), (select unnest(range(1, 30000)) as i) where i + n - 1 <= len(c) group by all),
+gr as (select conv_id, turn, n, array_to_string(r[i:i+n-1], ' ') as g, count(*) as kr from tok, (select unnest([1,2,3,4]) as n), (select unnest(range(1, 30000)) as i) where i + n - 1 <= len(r) group by all),
+hit as (select conv_id, turn, n, sum(least(k, coalesce(kr, 0))) as hit, sum(k) as total from gc left join gr using (conv_id, turn, n, g) group by all),
+sc as (select conv_id, turn, sum(ln((case when hit > 0 then hit else 0.1 end)::double / total)) as s, count(*) as orders from hit group by all)"""
+
+
+@query(with_tables("select conv_id, turn, round(case when len(c) = 0 or len(r) = 0 then 0.0 else exp((s + (4 - orders) * ln(0.1::double)) / 4 + case when len(c) > len(r) then 0.0 else 1.0 - len(r)::double / len(c) end) end, 6) as bleu from tok left join sc using (conv_id, turn)", _BLEU))
+def h1_bleu(t):
+    return ev.bleu(t.pair, ["conv_id", "turn"])
+
+
+@query()
+def h2_h3_rouge_meteor(t):
+    return ev.rouge_meteor(t.pair, ["conv_id", "turn"])
+
+
+@query("select doc_id, array_to_string(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')[1:50], ' ') as text from documents")
+def h5_truncate_tokens(t):
+    return t.read("documents").select("doc_id", ev.truncate_tokens(F.col("text"), 50).alias("text"))
+
+
+_JUDGE = r"judged as (select id, model, case when raw_eval like 'Score%' then regexp_extract(raw_eval, '(\d{1,2})', 1)::double else (id % 5) / 2.0 + 4.5 end as score from t_judge)"
+
+
+@query(with_tables("select id, model, score from judged", _JUDGE))
+def h7_parse_judge(t):
+    return ev.parse_judge(t.judge).select("id", "model", "score")
+
+
+@query(with_tables("select model, round(avg(score), 4) as avg_score, round(avg((score >= 7)::int), 4) as pass_rate, count(*) as n from judged group by 1", _JUDGE))
+def h11_judge_by_model(t):
+    return ev.judge_summary(ev.parse_judge(t.judge), ["model"])
+
+
+@query(with_tables("select round(avg(score), 4) as avg_score, round(avg((score >= 7)::int), 4) as pass_rate, count(*) as n from judged", _JUDGE))
+def h9_judge_overall(t):
+    return ev.judge_summary(ev.parse_judge(t.judge), [])
+
+
+# -- votes ---------------------------------------------------------------------
+
+
+@query(with_tables("select id, sum(vote::int) >= count(*) // 2 as verdict, count(*) as n_votes, sum(vote::int)::bigint as n_yes, min(vote::int) = max(vote::int) as all_agreed from t_votes group by 1"))
+def i2_majority(t):
+    return ev.majority(t.votes, ["id"])
+
+
+_ALL = "every as (select id, model, vote, is_correct from t_votes union all select id, 'MAJORITY', sum(vote::int) >= count(*) // 2, any_value(is_correct) from t_votes group by 1)"
+
+
+@query(with_tables("select * from every", _ALL))
+def i4_vote_table(t):
+    return ev.vote_table(t.votes)
+
+
+@query(with_tables("select model, tp, fp, fn, tn, n_questions, round((tp + tn) / (tp + fp + fn + tn), 4) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) as recall from (select model, count(*) filter (vote and is_correct) as tp, count(*) filter (vote and not is_correct) as fp, count(*) filter (not vote and is_correct) as fn, count(*) filter (not vote and not is_correct) as tn, count(distinct id) as n_questions from every group by 1)", _ALL))
+def i6_confusion_by_model(t):
+    return ev.confusion(ev.vote_table(t.votes), ["model"])
+
+
+@query(with_tables("select id, model, case when vote and is_correct then 'TP' when vote then 'FP' when is_correct then 'FN' else 'TN' end as outcome from t_votes"))
+def i7_outcomes(t):
+    return t.votes.select("id", "model", ev.outcome(F.col("vote"), F.col("is_correct")).alias("outcome"))
+
+
+# -- datasets ------------------------------------------------------------------
+
+
+@query("select doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, '*') and not contains(lower(x), 'tiền đề'))[-1], substr(text, 1, 300)) as answer from documents")
+def j4_final_answer(t):
+    return t.read("documents").select("doc_id", cp.final_answer(F.col("text")).alias("answer"))
+
+
+@query("select doc_id, substr(replace(text, ' ', '_'), 1, 60) as key, floor(length(text) / 4)::bigint as n_tokens from documents")
+def j13_document_keys(t):
+    return t.read("documents").select("doc_id", cp.document_key(F.col("text")).alias("key"), cp.estimate_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query("select event_id, n_requests, n_requests > 2 as over_limit from (select event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 59999999 preceding and current row) as n_requests from events)")
+def j15_trailing_load(t):
+    rows = t.read("events").withColumn("tok", F.lit(1))
+    return cp.trailing_load(rows, "user_id", "ts", "tok", 2, 1_000_000).select("event_id", "n_requests", "over_limit")
+
+
+@query()
+def j10_split(t):
+    return cp.split_by_hash(t.read("documents").select("doc_id"), "doc_id").groupBy("split").agg(F.count("*").alias("n"))
+
+
+# -- corpus statistics ---------------------------------------------------------
+
+
+@query(with_tables("select label, count(*) as n from t_node group by 1"))
+def k1_level_counts(t):
+    return cp.level_counts(t.node)
+
+
+@query(with_tables(" union all ".join(f"select label, '{c}' as \"column\", count(*) filter ({c} is null) as n_null from t_node group by 1" for c in ("number", "title", "content"))))
+def k2_null_counts(t):
+    return cp.null_counts(t.node, ["number", "title", "content"])
+
+
+@query(with_tables("select type, children, count(*) as parents from (select type, src, count(*) as children from t_edge group by 1, 2) group by 1, 2"))
+def k3_children_per_parent(t):
+    return cp.children_per_parent(t.edge)
+
+
+_TOKS = f"toks as (select doc_id as id, unnest({_TOK.format('text')}) as term from documents), long as (select * from toks where length(term) > 1)"
+
+
+@query(f"with {_TOKS} select sum(c)::bigint as n_tokens, count(*) as n_distinct, round(count(*) / sum(c), 6) as ratio from (select term, count(*) as c from long group by 1)")
+def k6_vocabulary_ratio(t):
+    return cp.vocabulary_ratio(cp.clean_tokens(t.read("documents"), "doc_id", "text"))
+
+
+@query("with x as (select lang, length(text) as n from documents), s as (select min(n) as lo, max(n) as hi from x) select lang, least(floor((n - lo) * 50 / greatest(hi - lo, 1)), 49)::bigint as bin, count(*) as n from x, s group by 1, 2")
+def k7_length_histogram(t):
+    return cp.histogram(t.read("documents").select("lang", F.length("text").alias("len")), "len", 50, ["lang"])
+
+
+@query(f"with {_TOKS} select term, count(*) as n from long group by 1 order by n desc, term limit 10")
+def k8_top_terms(t):
+    return cp.top_terms(cp.clean_tokens(t.read("documents"), "doc_id", "text"))
+
+
+_LIST = _TOK.format("text").replace("x <> ''", "length(x) > 1")
+
+
+@query(f"with t as (select {_LIST} as t from documents), b as (select t[i] as a, t[i+1] as b from (select t, unnest(range(1, len(t))) as i from t)) select a || ' ' || b as gram, count(*) as n from b where a <> b group by 1 order by n desc, gram limit 10")
+def k9_top_bigrams(t):
+    return cp.top_ngrams(t.read("documents"), "text", 2)
+
+
+# -- parsing -------------------------------------------------------------------
+
+
+@query("select doc, line, text from (select doc_id as doc, i - 1 as line, trim(l[i]) as text from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))) where text <> ''")
+def b4_lines(t):
+    return ps.lines(t.read("documents"), "doc_id", "text")
+
+
+@query()
+def b1_html_to_text(t):
+    return t.read("pages").select("page_id", ps.html_to_text(F.col("html")).alias("text"))
+
+
+def rendered_documents(t) -> DataFrame:
+    """The document tree as text with headings, for parsing back."""
+    c = t.clause.select(F.col("uid").alias("c"), "parent_article", F.col("number").alias("cn"), F.concat("number", F.lit(". "), "content").alias("line"), "doc_identity")
+    a = t.article.select(F.col("number").alias("parent_article"), F.concat(F.lit("Điều "), "number", F.lit(". "), "title").alias("line"), "doc_identity")
+    p = t.point.select("parent_article", F.col("parent_clause").alias("cn"), "letter", F.concat("letter", F.lit(") "), "content").alias("line"), "doc_identity")
+    none = F.lit("")
+    rows = a.select("doc_identity", "parent_article", none.alias("cn"), none.alias("letter"), "line").unionByName(c.select("doc_identity", "parent_article", "cn", none.alias("letter"), "line")).unionByName(p.select("doc_identity", "parent_article", "cn", "letter", "line"))
+    text = rows.groupBy("doc_identity").agg(ctx.ordered_text(F.struct("parent_article", "cn", "letter"), F.col("line")).alias("text"))
+    return text
+
+
+@query(with_tables("select doc_identity as doc, 'Article' as kind, number, null as content, null as in_article, null as in_clause from t_article union all select doc_identity, 'Clause', number, content, parent_article, null from t_clause union all select doc_identity, 'Point', letter, content, parent_article, parent_clause from t_point"))
+def b6_parse_back(t):
+    nodes = ps.parsed_nodes(ps.lines(rendered_documents(t), "doc_identity", "text"))
+    up = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c))
+    return nodes.select("doc", "kind", "number", up("content", "Clause", "Point").alias("content"), up("in_article", "Clause", "Point").alias("in_article"), up("in_clause", "Point").alias("in_clause"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Vector search, per-query metrics and the ablation summary."""
+    return QUERIES["g6_ablation_grid"](spark, sf_dir)
