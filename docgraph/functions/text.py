@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Segment names of a uid.
 SEGMENT_NAMES = {"article": "Điều", "clause": "Khoản", "point": "Điểm", "section": "Mục", "chapter": "Chương", "part": "Phần"}
@@ -24,7 +25,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFC", x) if x is not None else None)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.functions import text as tx
+from docgraph.functions.storage import stored
 from docgraph.operators import context as ctx
 from docgraph.operators import corpus as cp
 from docgraph.operators import evaluation as ev
@@ -342,7 +343,8 @@ def f4_retrieval_pipeline(t):
     flat = q.select((F.col("query_id") * 10 + F.col("sub_query_idx")).alias("query_id"), "query_text")
     found = srch.keyword_search(flat, srch.searchable_text(post), "uid", "text", "query_text", 30, "label")
     results = found.select(F.expr("query_id div 10").alias("query_id"), F.expr("query_id % 10").alias("sub_query_idx"), F.col("id").alias("uid"), "label", "score")
-    graph = {"node": t.node, "closure": g.closure(t.edge, 4), "document": t.document, "amends": t.amends, "point": t.point}
+    node, edge, amends = stored(t.node, "node"), stored(t.edge, "edge"), stored(t.amends, "amends")  # graph tables, as a load would leave them
+    graph = {"node": node, "closure": stored(g.closure(edge, 4), "closure"), "document": stored(t.document, "document"), "amends": amends, "point": stored(t.point, "point")}
     return retrieval.rank_and_render(results, q.where("sub_query_idx = 0"), graph, retrieval.Settings(expand=True))
 
 
@@ -519,17 +521,17 @@ def b1_html_to_text(t):
 
 
 def rendered_documents(t) -> DataFrame:
-    """The document tree as text with headings, for parsing back."""
+    """The document tree as text with headings, for parsing back; letter f is no point letter and is left out."""
     c = t.clause.select(F.col("uid").alias("c"), "parent_article", F.col("number").alias("cn"), F.concat("number", F.lit(". "), "content").alias("line"), "doc_identity")
     a = t.article.select(F.col("number").alias("parent_article"), F.concat(F.lit("Điều "), "number", F.lit(". "), "title").alias("line"), "doc_identity")
-    p = t.point.select("parent_article", F.col("parent_clause").alias("cn"), "letter", F.concat("letter", F.lit(") "), "content").alias("line"), "doc_identity")
+    p = t.point.where("letter <> 'f'").select("parent_article", F.col("parent_clause").alias("cn"), "letter", F.concat("letter", F.lit(") "), "content").alias("line"), "doc_identity")
     none = F.lit("")
     rows = a.select("doc_identity", "parent_article", none.alias("cn"), none.alias("letter"), "line").unionByName(c.select("doc_identity", "parent_article", "cn", none.alias("letter"), "line")).unionByName(p.select("doc_identity", "parent_article", "cn", "letter", "line"))
     text = rows.groupBy("doc_identity").agg(ctx.ordered_text(F.struct("parent_article", "cn", "letter"), F.col("line")).alias("text"))
     return text
 
 
-@query(with_tables("select doc_identity as doc, 'Article' as kind, number, null as content, null as in_article, null as in_clause from t_article union all select doc_identity, 'Clause', number, content, parent_article, null from t_clause union all select doc_identity, 'Point', letter, content, parent_article, parent_clause from t_point"))
+@query(with_tables("select doc_identity as doc, 'Article' as kind, number, null as content, null as in_article, null as in_clause from t_article union all select doc_identity, 'Clause', number, content, parent_article, null from t_clause union all select doc_identity, 'Point', letter, content, parent_article, parent_clause from t_point where letter <> 'f'"))
 def b6_parse_back(t):
     nodes = ps.parsed_nodes(ps.lines(rendered_documents(t), "doc_identity", "text"))
     up = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c))
