@@ -215,6 +215,14 @@ def test_jaccard(spark, docs, empty, rows, limit, monkeypatch):
     assert jj.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_without_and_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words)
+    rows = [(None, near), (None, near + " end"), (7, "quite another text of seven words"), (7, "start " + near), (None, None)]
+    got = {r.n_links for r in jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).where("class_id = 7").collect()}
+    assert got == {0, 2}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(150):
