@@ -5,9 +5,9 @@ document stream through it; the automaton tracks the longest match that ends at
 word. A match of ``window`` words (or a whole item of fewer) marks its words as hit.
 Spans of hit words can be removed, and documents over a coverage limit dropped.
 
-The automaton is built from blocks of items of bounded size (``block_chars``); more
-blocks mean more passes over the rows in the same stage, so nothing broadcast grows
-past the bound.
+The automaton is built from blocks of items of bounded size (``block_chars``). Blocks
+reach the driver one at a time, and the rows are written between passes, so a worker
+holds one automaton however large the benchmark is.
 
 Edge cases: null and empty texts have no words and no hits; items without words match
 nothing; repeated items with one id count once; an empty benchmark hits nothing; an
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgraph.llm.common import materialise
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to lower case, and every byte that is in no word to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if WORD.fullmatch(bytes([b])) else 32 for b in range(256))
@@ -171,29 +174,30 @@ _BUILT: dict[str, SuffixAutomaton] = {}
 def _automaton(name: str, items: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
     """One automaton per worker process and block."""
     if name not in _BUILT:
-        if len(_BUILT) > 1:
-            _BUILT.clear()
+        _BUILT.clear()
         _BUILT[name] = SuffixAutomaton([(i, t.translate(FOLD).split()) for i, t in items], window)
     return _BUILT[name]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about ``block_chars`` characters each, dealt by a hash of the text."""
+def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about ``block_chars`` characters each, dealt by a hash of the text; one block at least."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-chars // block_chars)
-    return [[(r.i, r.t.encode()) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").collect()] for k in range(n)]
+    n = max(1, -(-chars // block_chars))
+    for k in range(n):
+        yield [(r.i, r.t.encode()) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").collect()]
 
 
-def mark_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_chars: int = 20_000_000) -> DataFrame:
+def mark_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_chars: int = 2_000_000) -> DataFrame:
     """The documents with n_words, hits (word runs [start, end)), item_ids and longest_match."""
     spark = documents.sparkSession
     out = documents.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<struct<start:long,end:long>>"), "item_ids": F.array().cast("array<string>"), "longest_match": F.lit(0).cast("long")})
-    blocks = benchmark_blocks(benchmark, block_chars) or [[]]
     names = out.columns
     text_at, base = names.index(text_col), len(names) - 4
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for block in blocks:
+    for k, block in enumerate(benchmark_blocks(benchmark, block_chars)):
+        if k:
+            out = materialise(out, "marked")
         sent = spark.sparkContext.broadcast(block)  # at most about block_chars
         name = hashlib.sha256(repr((window, block)).encode()).hexdigest()
 
