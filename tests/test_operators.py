@@ -32,6 +32,41 @@ def test_parse_levels_quotes_and_content(spark):
     assert ps.preambles(ps.lines(df, "id", "text")).first().preamble == "Lời nói đầu"
 
 
+def test_containment_edges_and_bundles(spark):
+    text = "đầu\nPhần thứ nhất x\nChương I. x\nMục 1. x\nĐiều 1. x\n1. x\na) x\nChương II. x\nĐiều 2. x"
+    docs = spark.createDataFrame([("d", text), ("e", "Điều 1. x"), ("f", "")], "doc string, text string")
+    rows = ps.lines(docs, "doc", "text")
+    nodes = ps.parsed_nodes(rows)
+    edges = ps.containment_edges(nodes)
+    got = {(r.doc, r.type, r.from_label, r.from_id, r.to_id) for r in edges.collect()}
+    assert got == {
+        ("d", "HAS_PART", "Document", "d", "nhất"),
+        ("d", "HAS_CHAPTER", "Part", "nhất", "nhất.I"),
+        ("d", "HAS_SECTION", "Chapter", "nhất.I", "nhất.I.1"),
+        ("d", "HAS_ARTICLE", "Section", "nhất.I.1", "1"),
+        ("d", "HAS_CLAUSE", "Article", "1", "1"),
+        ("d", "HAS_POINT", "Clause", "1.1", "a"),
+        ("d", "HAS_CHAPTER", "Part", "nhất", "nhất.II"),
+        ("d", "HAS_ARTICLE", "Chapter", "nhất.II", "2"),
+        ("e", "HAS_ARTICLE", "Document", "e", "1"),
+    }
+    bundles = {r.doc: r for r in ps.document_bundles(docs.select("doc"), nodes, edges, ps.preambles(rows)).collect()}
+    assert len(bundles["d"].nodes) == 8 and len(bundles["d"].relationships) == 8 and bundles["d"].preamble == "đầu"
+    assert bundles["f"].nodes is None and bundles["f"].preamble == ""
+
+
+def test_replies(spark):
+    intent = lambda x: one(spark, ps.parse_intent(F.lit(x)))
+    assert intent('```json\n{"intent": "Reject"}\n```') == "reject"
+    assert intent("so 'intent': 'cypher_query' it is") == "cypher_query"
+    assert intent('{"intent": "dance"}') == intent("none") == intent(None) == "retrieve"
+    queries = lambda x: one(spark, ps.parse_sub_queries(F.lit(x)))
+    assert queries('```\n[{"query": "a"}, {"q": 1}, {"query": 2}, "b"]\n```') == ["a", "2"]
+    assert queries('Here: [{"query": "a"}] done') == ["a"]
+    assert queries("nothing") == queries('{"query": "a"}') == queries(None) == []
+    assert one(spark, ps.rerank_query(F.array(F.lit("a"), F.lit("b"), F.lit("c")))) == "a b"
+
+
 def test_window_parser_equals_state_machine(spark):
     import random
 
