@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import strip, strip_think, tokens
+from docgraph.functions.text import has_punctuation, nfc, strip, strip_think, tokens
 
 
 def level_counts(nodes: DataFrame) -> DataFrame:
@@ -45,6 +45,17 @@ def top_terms(toks: DataFrame, k: int = 10) -> DataFrame:
     return toks.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 
+def stacked_text(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """(uid, label, text): the text columns of all levels under each other, blanks out, NFC and lower case."""
+    rows = nodes.select("uid", "label", F.explode(F.array(*columns)).alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return rows.select("uid", "label", F.lower(nfc(F.col("text"))).alias("text"))
+
+
+def plain_words(text: Column) -> Column:
+    """Words between blanks that hold no punctuation but the underscore."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: (w != "") & ~has_punctuation(w))
+
+
 def top_ngrams(texts: DataFrame, text_col: str, n: int, k: int = 10) -> DataFrame:
     """Most frequent n-grams inside a text whose words all differ."""
     t = F.filter(tokens(F.col(text_col)), lambda x: F.length(x) > 1)

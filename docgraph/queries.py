@@ -69,19 +69,19 @@ tf as (select id, term, count(*) as tf from toks group by 1, 2),
 dl as (select doc_id as id, len({_TOK.format('text')}) as dl from documents),
 st as (select count(*) as n, avg(dl) as avg_dl from dl),
 df as (select term, count(*) as df from tf group by 1),
-q as (select item_id as query_id, unnest(list_distinct({_TOK.format('text')})) as term from benchmark where item_id % 10 = 0),
+q as (select item_id as query_id, unnest(list_distinct({_TOK.format('text')})) as term from benchmark),
 bm as (select query_id, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) as score
   from q join tf using (term) join df using (term) join dl on dl.id = tf.id cross join st group by 1, 2),
 kw as (select * from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from bm) where rank <= 30)"""
 
 
 def _benchmark_queries(t):
-    return t.read("benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return t.read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-@query(f"with {_BM} select term, df.df, (select sum(tf) from tf where tf.term = df.term) as cf from df where df >= 20")
+@query(f"with {_BM} select term, df.df, (select sum(tf) from tf where tf.term = df.term) as cf from df")
 def d5_term_statistics(t):
-    return srch.term_statistics(srch.postings(t.read("documents"), "doc_id", "text")).where("df >= 20").select("term", "df", "cf")
+    return srch.term_statistics(srch.postings(t.read("documents"), "doc_id", "text")).select("term", "df", "cf")
 
 
 @query(f"with {_BM} select query_id, id, score, rank from kw")
@@ -92,7 +92,7 @@ def d6_bm25_topk(t):
 @query(
     f"""with {_BM}, v as (
   select * from (select b.item_id as query_id, e.vec_id as id, row_number() over (partition by b.item_id order by round(list_sum(list_transform(list_zip(s.embedding, e.embedding), lambda z: z[1]::double * z[2]::double)), 6) desc, e.vec_id) as rank
-  from benchmark b join embeddings s on s.vec_id = b.item_id cross join embeddings e where b.item_id % 10 = 0) where rank <= 30),
+  from benchmark b join embeddings s on s.vec_id = b.item_id cross join embeddings e) where rank <= 30),
 u as (select query_id, id, rank from v union all select query_id, id, rank from kw)
 select * from (select query_id, id, round(sum(1.0::double / (60 + rank)), 9) as score, row_number() over (partition by query_id order by round(sum(1.0::double / (60 + rank)), 9) desc, id) as rank from u group by 1, 2) where rank <= 30"""
 )
@@ -146,9 +146,9 @@ def d11_catalogue_search(t):
     return srch.catalogue_search(q, a.unionByName(c))
 
 
-@query(with_tables("select doc_identity, parent_article, coalesce(try_cast(number as int), 0) as clause_num, content from t_clause where parent_article = '7'"))
+@query(with_tables("select doc_identity, parent_article, coalesce(try_cast(number as int), 0) as clause_num, content from t_clause"))
 def d13_article_children(t):
-    return t.clause.where("parent_article = '7'").select("doc_identity", "parent_article", F.coalesce(F.col("number").try_cast("int"), F.lit(0)).alias("clause_num"), "content")
+    return t.clause.select("doc_identity", "parent_article", F.coalesce(F.col("number").try_cast("int"), F.lit(0)).alias("clause_num"), "content")
 
 
 @query(with_tables("select label, case when label = 'Article' then trim(concat_ws(' ', nullif(title, ''), nullif(content, ''))) else content end as text, uid from t_node where label <> 'Document'"))
@@ -212,7 +212,7 @@ def c1_build_uids(t):
 
 @query(with_tables("select src, dst, type from t_edge"))
 def c6_edge_upsert(t):
-    return g.upsert_edges(t.edge.unionByName(t.edge.limit(10)), t.node)
+    return g.upsert_edges(t.edge.unionByName(t.edge), t.node)
 
 
 @query(with_tables("select src_uid, dst_uid, max(amend_type) as amend_type from t_amends group by 1, 2"))
@@ -248,9 +248,9 @@ def c12_documents_with_phrase(t):
     return g.documents_with_phrase(g.closure(t.edge, 4), t.node, t.document, "urgent")
 
 
-@query(with_tables("select uid, label, title, content from t_node where label = 'Article' and number::int % 10 = 0"))
+@query(with_tables("select uid, label, title, content from t_node where label = 'Article'"))
 def c13_node_lookup(t):
-    return g.fetch_nodes(t.node, t.article.where("cast(number as int) % 10 = 0").select("uid", F.lit("Article").alias("label")))
+    return g.fetch_nodes(t.node, t.article.select("uid", F.lit("Article").alias("label")))
 
 
 @query(with_tables("select anc as uid, dst as descendant, depth from close where anc in (select uid from t_article)", _CLOSE))
@@ -260,18 +260,15 @@ def c14_descendants(t):
 
 # -- context -------------------------------------------------------------------
 
-_TARGET = "target as (select uid from t_point where hash(1) is not null and parent_clause::int % 50 = 0)"
-
-
 def _targets(t):
-    return t.point.where("cast(parent_clause as int) % 50 = 0").select("uid")
+    return t.point.select("uid")
 
 
 @query(
     with_tables(
         """select p.uid, '[Văn bản: ' || p.doc_identity || ' — Hiệu lực: ' || coalesce(d.effect_date, 'N/A') || ']' || chr(10) || 'Chương ' || ch.number || ': ' || ch.title || chr(10) || 'Điều ' || a.number || ': ' || a.title
   || chr(10) || 'Khoản ' || c.number || '.' || chr(10) || c.content || chr(10) || 'Điểm ' || p.letter || '.' || chr(10) || 'Nội dung: ' || p.content as context
-  from t_point p join t_document d using (doc_identity) join t_clause c on c.number = p.parent_clause join t_article a on a.number = p.parent_article join t_chapter ch on ch.doc_identity = a.doc_identity and ch.number = a.parent_chapter where p.parent_clause::int % 50 = 0"""
+  from t_point p join t_document d using (doc_identity) join t_clause c on c.number = p.parent_clause join t_article a on a.number = p.parent_article join t_chapter ch on ch.doc_identity = a.doc_identity and ch.number = a.parent_chapter"""
     )
 )
 def e1_hierarchy_text(t):
@@ -287,12 +284,12 @@ def e3_format_uid(t):
     with_tables(
         """select distinct r.uid, a.src_uid, a.dst_uid, a.amend_type, n.content as amend_text, d.effect_date
   from (select dst as uid, anc as dst_uid from close union all select anc, dst from close union all select uid, uid from t_node) r
-  join (select uid from t_clause where number::int % 20 = 0) w on w.uid = r.uid join t_amends a on a.dst_uid = r.dst_uid join t_node n on n.uid = a.src_uid join t_document d on d.doc_identity = n.doc_identity""",
+  join t_clause w on w.uid = r.uid join t_amends a on a.dst_uid = r.dst_uid join t_node n on n.uid = a.src_uid join t_document d on d.doc_identity = n.doc_identity""",
         _CLOSE,
     )
 )
 def e4_amendments(t):
-    return ctx.amendments_of(t.clause.where("cast(number as int) % 20 = 0"), t.amends, g.closure(t.edge, 4), t.node, t.document)
+    return ctx.amendments_of(t.clause, t.amends, g.closure(t.edge, 4), t.node, t.document)
 
 
 @query(with_tables("select uid, coalesce(array_to_string(list_sort(f), ','), '') as flags from t_clause left join (select dst_uid, list(distinct amend_type) as f from t_amends where amend_type in ('bãi bỏ', 'thay thế') group by 1) on dst_uid = uid"))
@@ -538,6 +535,299 @@ def b6_parse_back(t):
     return nodes.select("doc", "kind", "number", up("content", "Clause", "Point").alias("content"), up("in_article", "Clause", "Point").alias("in_article"), up("in_clause", "Point").alias("in_clause"))
 
 
+# -- index, stubs and dimensions -------------------------------------------------
+
+
+@query(with_tables("select uid, 'article' as kind, coalesce(try_cast(number as int), 0) as number, title as name from t_article union all select uid, 'clause', coalesce(try_cast(number as int), 0), content from t_clause union all select uid, 'point', coalesce(try_cast(letter as int), 0), content from t_point"))
+def d12_index_entries(t):
+    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)).alias("number")
+    rows = lambda df, kind, n, name: df.select("uid", F.lit(kind).alias("kind"), number(n), F.col(name).alias("name"))
+    return rows(t.article, "article", "number", "title").unionByName(rows(t.clause, "clause", "number", "content")).unionByName(rows(t.point, "point", "letter", "content"))
+
+
+@query("select user_id, arg_max(event_type, event_id) filter (event_type is not null) as event_type, arg_max(value, event_id) filter (value is not null and value >= 1) as value from (select * from events) group by 1")
+def c4_dimension_upsert(t):
+    """The last given value of each property per user; small values count as not given."""
+    rows = t.read("events").select("user_id", "event_id", "event_type", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
+    return g.upsert_dimension(rows, "user_id", "event_id")
+
+
+@query("with f as (select doc_id, source as doc_name, nullif(lang, 'en') as doc_guid from documents), s as (select doc_id, quality::varchar as doc_name, toxic::varchar as doc_guid from labels union all select item_id + 10000000, 'item', text from benchmark) select doc_id, coalesce(f.doc_name, s.doc_name) as doc_name, coalesce(f.doc_guid, s.doc_guid) as doc_guid from f full join s using (doc_id)")
+def c5_fill_stubs(t):
+    full = t.read("documents").select("doc_id", F.col("source").alias("doc_name"), F.nullif("lang", F.lit("en")).alias("doc_guid"))
+    stubs = t.read("labels").select("doc_id", F.col("quality").cast("string").alias("doc_name"), F.col("toxic").cast("string").alias("doc_guid"))
+    items = t.read("benchmark").select((F.col("item_id") + 10_000_000).alias("doc_id"), F.lit("item").alias("doc_name"), F.col("text").alias("doc_guid"))
+    return g.fill_stubs(full, stubs.unionByName(items), "doc_id", ["doc_name", "doc_guid"])
+
+
+@query(with_tables("select uid, src from (select uid, doc_identity || '::article::' || parent_article || '::clause::' || parent_clause as src from t_point)"))
+def c2_resolve_ids(t):
+    dotted = F.concat_ws(".", "parent_article", "parent_clause")
+    return t.point.select("uid", g.resolve_structural_id(F.col("doc_identity"), F.lit("Clause"), dotted).alias("src"))
+
+
+@query(with_tables(" union all ".join(f"select label, '{c}' as property, count(*) as n from t_node where {c} is not null group by 1" for c in ("number", "title", "content"))))
+def c10_label_properties(t):
+    return g.label_properties(t.node, ["number", "title", "content"])
+
+
+@query(with_tables("select (select count(*) from documents) as total, (select count(*) from documents where text is not null and text <> '') as succeeded, (select count(*) from documents where text is null or text = '') as failed, (select count(*) from t_node) as nodes, (select count(*) from t_edge) as edges"))
+def c9_import_counters(t):
+    loaded = t.read("documents").select(F.when(F.coalesce("text", F.lit("")) == "", F.lit("empty")).alias("error"))
+    return g.import_counters(loaded, t.node, t.edge)
+
+
+# -- more context and reranking ----------------------------------------------------
+
+
+@query(with_tables("select uid, trim(concat_ws(chr(10), nullif(title, ''), nullif(content, ''))) as text from t_node"))
+def e2_flat_text(t):
+    return t.node.select("uid", ctx.flat_text(t.node).alias("text"))
+
+
+@query(
+    with_tables(
+        """select uid, string_agg('      - Amended by: ' || src_uid || coalesce(' (Effective: ' || effect_date || ')', '') || ' (applied to ' || dst_uid || ')' || chr(10) || '        Content: ' || coalesce(content, ''), chr(10) order by src_uid, dst_uid) as amendments
+  from (select distinct r.uid, a.src_uid, a.dst_uid, n.content, d.effect_date
+    from (select dst as uid, anc as dst_uid from close union all select anc, dst from close union all select uid, uid from t_node) r
+    join t_clause w on w.uid = r.uid join (select distinct src_uid, dst_uid, amend_type from t_amends) a on a.dst_uid = r.dst_uid join t_node n on n.uid = a.src_uid join t_document d on d.doc_identity = n.doc_identity) group by 1""",
+        _CLOSE,
+    )
+)
+def e5_amendment_lines(t):
+    found = ctx.amendments_of(t.clause, t.amends, g.closure(t.edge, 4), t.node, t.document)
+    return ctx.amendment_lines(found.drop("amend_type").distinct())
+
+
+@query(
+    with_tables(
+        """select doc_identity, string_agg(line, chr(10) order by an, a, cn, c, p) as law_text from (
+  select doc_identity, number::int as an, number as a, -1 as cn, '' as c, '' as p, 'Điều ' || number || '. ' || title as line from t_article where number in (select parent_article from t_clause)
+  union all select doc_identity, parent_article::int, parent_article, number::int, number, '', number || '. ' || content from t_clause
+  union all select doc_identity, parent_article::int, parent_article, parent_clause::int, parent_clause, letter, letter || ') ' || content from t_point) group by 1"""
+    )
+)
+def e14_merged_law_text(t):
+    return ctx.merged_law_text(t.clause, t.node, g.closure(t.edge, 4))
+
+
+@query(with_tables("select query_id, uid, round(score::decimal(18, 6), 4)::double as score, 'Điều ' || split_part(uid, '::', 3) || ', ' || split_part(uid, '::', 1) as display, substr(d.text, 1, 300) as snippet from merged m join documents d on d.doc_id = split_part(uid, '::', 3)::bigint", f"{_RANKED}, {_MERGED}"))
+def e16_source_items(t):
+    texts = t.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
+    return ctx.source_items(_merged(t).withColumn("id", F.split("uid", "::")[2].cast("long")).join(texts, "id"))
+
+
+@query(
+    f"""with {_BM}, c as (select kw.query_id, kw.id as uid, list_distinct({_TOK.format('b.text')}) as qt, list_distinct({_TOK.format('d.text')}) as dt from kw join benchmark b on b.item_id = kw.query_id join documents d on d.doc_id = kw.id where trim(d.text) <> ''),
+s as (select query_id, uid, round(len(list_intersect(qt, dt))::double / greatest(len(qt), 1), 6) as score from c)
+select * from (select *, row_number() over (partition by query_id order by score desc, uid) as rank from s) where rank <= 10"""
+)
+def f1_rerank(t):
+    q = _benchmark_queries(t)
+    found = srch.keyword_search(q, t.read("documents"), "doc_id", "text", "query_text", 30).select("query_id", F.col("id").alias("uid"))
+    texts = t.read("documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("context"))
+    return srch.rerank(found.join(texts, "uid").join(q, "query_id"), 10).select("query_id", "uid", "score", "rank")
+
+
+@query("select conv_id, case when count(*) > 1 then array_to_string(list(text order by turn, text)[1:count(*)-1], ' ') else any_value(text) end as query from conversations group by 1")
+def f5_rerank_query(t):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return t.read("conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", ps.rerank_query(F.col("t")).alias("query"))
+
+
+@query("select conv_id, string_agg(text, '|' order by turn, text) as queries from conversations group by 1")
+def f9_sub_queries(t):
+    """Replies made of the conversations' turns, parsed back to sub-queries."""
+    rows = t.read("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.transform("t", lambda x: F.struct(x["text"].alias("query")))), F.lit("\n```"))
+    return rows.select("conv_id", F.array_join(ps.parse_sub_queries(reply), "|").alias("queries"))
+
+
+# -- parts of runs -------------------------------------------------------------------
+
+
+@query(r"select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[,;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1:5], '|') as items from documents")
+def g1_parse_lists(t):
+    return t.read("documents").select("doc_id", F.array_join(tx.parse_list(F.col("text"), 5), "|").alias("items"))
+
+
+@query(with_tables("select config, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in ev.METRICS) + ", sum(n)::bigint as num_evaluated from (select part, 'run' as config, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in ev.METRICS) + ", count(*) as n from (select *, query_id // 50 % 2 as part from rows) group by 1) group by 1", f"{_RANKED}, {_MERGED}, {_METRIC}, {_ROWS}"))
+def g9_combine_parts(t):
+    part = F.expr("query_id div 50 % 2")
+    rows = ev.retrieval_metrics(_merged(t), _references(t)).withColumn("part", part)
+    parts = [ev.run_summary(rows.where(F.col("part") == p)).withColumn("config", F.lit("run")) for p in (0, 1)]
+    return ev.combine_parts(parts[0].unionByName(parts[1]))
+
+
+@query("select avg(quality) as quality, avg(toxic) as toxic, 'labels' as config from labels")
+def g10_mean_of_numeric(t):
+    return ev.mean_of_numeric(t.read("labels").withColumnRenamed("doc_id", "id"), "labels")
+
+
+_PARTS = "parts as (select 1 as part, item_id as pos, text from benchmark union all select 2, doc_id, text from documents)"
+
+
+@query(f"with {_PARTS} select part, pos, row_number() over (order by part, pos) as id from parts")
+def g11_renumber(t):
+    parts = t.read("benchmark").select(F.lit(1).alias("part"), F.col("item_id").alias("pos")).unionByName(t.read("documents").select(F.lit(2).alias("part"), F.col("doc_id").alias("pos")))
+    return ev.renumber(parts)
+
+
+@query(f"with {_PARTS} select part, pos, try_cast(pos as int) + case part when 2 then 100 else 0 end as id from parts")
+def g12_offset_ids(t):
+    parts = t.read("benchmark").select(F.lit(1).alias("part"), F.col("item_id").alias("pos")).unionByName(t.read("documents").select(F.lit(2).alias("part"), F.col("doc_id").alias("pos")))
+    return ev.offset_ids(parts.withColumn("id", F.col("pos").cast("string")), {2: 100})
+
+
+@query(with_tables("select query_id, recall_5 from rows where recall_5 = 1", f"{_RANKED}, {_MERGED}, {_METRIC}, {_ROWS}"))
+def g13_recall_gate(t):
+    return ev.recall_gate(ev.retrieval_metrics(_merged(t), _references(t)), 6).select("query_id", "recall_5")
+
+
+@query("select doc_id, text as question, len(string_split(source, ',')) as n_references from documents where trim(coalesce(text, '')) <> '' and source <> ''")
+def g4_usable_questions(t):
+    rows = t.read("documents").select("doc_id", F.col("text").alias("question"), tx.parse_list(F.col("source")).alias("references"))
+    return ev.usable_questions(rows).select("doc_id", "question", F.size("references").alias("n_references"))
+
+
+# -- more answer metrics -----------------------------------------------------------
+
+_DOT = "list_sum(list_transform(list_zip(x, y), lambda z: z[1]::double * z[2]::double))"
+
+
+@query(
+    f"""with v as (select vec_id // 4 as id, list(embedding order by vec_id) filter (vec_id % 4 < 2) as c, list(embedding order by vec_id) filter (vec_id % 4 >= 2) as r from embeddings group by 1),
+m as (select id, list_avg(list_transform(c, lambda x: list_max(list_transform(r, lambda y: {_DOT})))) as p, list_avg(list_transform(r, lambda x: list_max(list_transform(c, lambda y: {_DOT})))) as q from v where c is not null and r is not null)
+select id, round(case when p + q > 0 then 2 * p * q / (p + q) else 0.0 end, 6) as f1 from m"""
+)
+def h4_embedding_f1(t):
+    """Four vectors in a row make a pair: two candidate tokens and two reference tokens."""
+    e = t.read("embeddings").withColumn("id", F.expr("vec_id div 4")).withColumn("k", F.expr("vec_id % 4"))
+    side = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("vec_id", "embedding")))), lambda x: x["embedding"])
+    pairs = e.groupBy("id").agg(side(F.col("k") < 2).alias("cand"), side(F.col("k") >= 2).alias("ref"))
+    return ev.embedding_f1(pairs.where((F.size("cand") > 0) & (F.size("ref") > 0)), ["id"])
+
+
+@query(with_tables(r"select id, trim(regexp_replace(regexp_replace(raw_eval, '^```(?:json)?\s*', ''), '\s*```$', '')) as body from t_judge"))
+def h6_strip_fences(t):
+    return t.judge.select("id", tx.strip_fences(F.col("raw_eval")).alias("body"))
+
+
+@query("select lang, coalesce(avg(try_cast(text as double)), 0.0) as text, round(avg(try_cast(n_chars as double)), 4) as n_chars from documents group by 1")
+def h10_coerced_means(t):
+    rows = t.read("documents").select("lang", "text", F.col("n_chars").cast("string").alias("n_chars"))
+    return ev.coerced_means(rows, ["lang"], ["text", "n_chars"])
+
+
+@query("select doc_id, lang, quality from documents join labels using (doc_id)")
+def h12_join_results(t):
+    return t.read("documents").select("doc_id", "lang").join(t.read("labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("select o_orderkey as k, o_orderkey::varchar as id from orders")
+def h13_clean_id(t):
+    return t.read("orders").select(F.col("o_orderkey").alias("k"), tx.clean_id(F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(".0 "))).alias("id"))
+
+
+@query("select doc_id, coalesce(case when quality = 1 then 'good' end, source) as source, lang from documents left join labels using (doc_id)")
+def h14_overlay(t):
+    payload = t.read("labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("").alias("source"))
+    return ev.overlay(t.read("documents").select("doc_id", "source", "lang"), payload, "doc_id", ["source"])
+
+
+@query("select doc_id, lang, quality from documents left join labels using (doc_id)")
+def h15_ground_truth(t):
+    rows = t.read("documents").select("doc_id", "lang", F.lit(-1).alias("quality"))
+    return ev.merge_ground_truth(rows, t.read("labels"), "doc_id", "quality")
+
+
+@query("select doc_id, 'Document ' || doc_id || ' (' || coalesce(lang, '') || '): ' || coalesce(text, '') as prompt from documents")
+def h16_fill_template(t):
+    return t.read("documents").select("doc_id", tx.fill_template("Document {doc_id} ({lang}): {text}", ["doc_id", "lang", "text"]).alias("prompt"))
+
+
+@query("select doc_id, lang from documents order by doc_id limit 100 offset 50")
+def h17_row_window(t):
+    return ev.row_window(t.read("documents").select("doc_id", "lang"), ["doc_id"], 50, 100)
+
+
+@query("select doc_id, case when trim(coalesce(text, '')) = '' or starts_with(trim(text), 'ERROR:') then 0.0::double else n_chars::double end as score from documents")
+def h18_error_guard(t):
+    return t.read("documents").select("doc_id", ev.guard(F.col("text"), F.col("n_chars").cast("double")).alias("score"))
+
+
+@query(r"select conv_id, turn, text, case when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(có|yes|co)($|[^\p{L}\p{N}_])') then true when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(không|khong|no)($|[^\p{L}\p{N}_])') then false end as vote from conversations")
+def i1_parse_vote(t):
+    return t.read("conversations").select("conv_id", "turn", "text", ev.parse_vote(F.col("text")).alias("vote"))
+
+
+@query(with_tables("select m.query_id, m.uid, starts_with(m.uid, q.reference) as is_correct from merged m join t_query q using (query_id)", f"{_RANKED}, {_MERGED}"))
+def i3_truth_labels(t):
+    refs = _references(t).groupBy("query_id").agg(F.collect_set("reference").alias("references"))
+    return _merged(t).join(refs, "query_id").select("query_id", "uid", F.exists("references", lambda r: F.col("uid").startswith(r)).alias("is_correct"))
+
+
+@query(with_tables("select tp, fp, fn, tn, n_questions, round((tp + tn) / (tp + fp + fn + tn), 4) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) as recall from (select count(*) filter (vote and is_correct) as tp, count(*) filter (vote and not is_correct) as fp, count(*) filter (not vote and is_correct) as fn, count(*) filter (not vote and not is_correct) as tn, count(distinct id) as n_questions from t_votes)"))
+def i5_confusion(t):
+    return ev.confusion(t.votes, [])
+
+
+# -- more datasets and corpus statistics -----------------------------------------------
+
+
+@query(with_tables("select conv_id as context, reference_text as question, candidate_text as answer from t_pair"))
+def j6_explode_qa(t):
+    """Question and answer pairs packed into JSON text per conversation and taken apart again."""
+    packed = t.pair.groupBy(F.col("conv_id").alias("article_content")).agg(F.to_json(F.collect_list(F.struct(F.col("reference_text").alias("question"), F.col("candidate_text").alias("answer")))).alias("generated_qa_pairs"))
+    return cp.explode_qa(packed)
+
+
+@query(with_tables("select uid, label, nfc_normalize(lower(x)) as text from (select uid, label, unnest([title, content]) as x from t_node) where trim(coalesce(x, '')) <> ''"))
+def k4_stacked_text(t):
+    return cp.stacked_text(t.node, ["title", "content"])
+
+
+@query(f"with toks as (select doc_id as id, unnest({_TOK.format('text')}) as term from documents) select id, count(*) as n_terms, count(distinct term) as n_distinct from toks where length(term) > 1 and term not in ('the', 'of', 'and', 'der', 'die', 'und', 'les', 'des', 'que', 'los') group by 1")
+def k5_clean_tokens(t):
+    stop = t.spark.createDataFrame([(w,) for w in ("the", "of", "and", "der", "die", "und", "les", "des", "que", "los")], "term string")
+    return cp.clean_tokens(t.read("documents"), "doc_id", "text", stop).groupBy("id").agg(F.count("*").alias("n_terms"), F.count_distinct("term").alias("n_distinct"))
+
+
+def _ngrams(name, n):
+    def run(t):
+        return cp.top_ngrams(t.read("documents"), "text", n)
+
+    run.__name__ = name
+    query(f"with t as (select {_LIST} as t from documents), b as (select t[i:i+{n - 1}] as g from (select t, unnest(range(1, len(t) - {n - 2})) as i from t where len(t) >= {n})) select array_to_string(g, ' ') as gram, count(*) as n from b where len(list_distinct(g)) = {n} group by 1 order by n desc, gram limit 10")(run)
+
+
+_ngrams("k9_top_trigrams", 3)
+_ngrams("k9_top_fourgrams", 4)
+
+_TAGGED = f"tagged as (select term as word, case when regexp_matches(term, '^[0-9]+$') then 'M' when length(term) > 6 then 'N' else 'A' end as tag from (select unnest({_TOK.format('text')}) as term from documents)), dict as (select distinct lower(source) as word, 'Np' as tag from documents where source is not null)"
+
+
+def _tagged(t):
+    words = t.read("documents").select(F.explode(tx.tokens(F.col("text"))).alias("word"))
+    return words.withColumn("tag", F.when(F.col("word").rlike("^[0-9]+$"), "M").when(F.length("word") > 6, "N").otherwise("A"))
+
+
+@query(f"with {_TAGGED} select case when g.tag = 'A' then coalesce(d.tag, g.tag) else g.tag end as tag, count(*) as n from tagged g left join dict d using (word) group by 1")
+def k10_tag_counts(t):
+    override = t.read("documents").where("source is not null").select(F.lower("source").alias("word")).distinct().withColumn("tag", F.lit("Np"))
+    return cp.tag_counts(_tagged(t), override)
+
+
+@query(f"with {_TAGGED} select * from (select tag, word, count(*) as n, row_number() over (partition by tag order by count(*) desc, word) as rank from tagged group by 1, 2) where rank <= 10")
+def k11_top_words_per_tag(t):
+    return cp.top_words_per_tag(_tagged(t))
+
+
+@query(r"select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '' and not regexp_matches(replace(w, '_', ''), '\p{P}')))::int as n_plain from documents")
+def k12_plain_words(t):
+    return t.read("documents").select("doc_id", F.size(cp.plain_words(F.col("text"))).alias("n_plain"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector search, per-query metrics and the ablation summary."""
     return QUERIES["g6_ablation_grid"](spark, sf_dir)
