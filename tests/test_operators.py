@@ -204,3 +204,13 @@ def test_streaming_upsert_and_totals(spark, tmp_path):
 def test_context_layout(spark):
     rows = spark.createDataFrame([(1, 1, "u", "ctx", ["bãi bỏ"], None, "kids", None)], "query_id int, rank int, uid string, context string, flags array<string>, siblings string, children string, amendments string")
     assert ctx.assemble_context(rows).first().text == "[ĐÃ BỊ BÃI BỎ bởi văn bản mới hơn]\nctx\n\n[Nội dung chi tiết]:\nkids"
+
+
+def test_stacked_text_plain_words_and_row_window(spark):
+    nodes = spark.createDataFrame([("a", "Article", "Cá", None), ("b", "Clause", " ", "X")], "uid string, label string, title string, content string")
+    assert {tuple(r) for r in cp.stacked_text(nodes, ["title", "content"]).collect()} == {("a", "Article", "cá"), ("b", "Clause", "x")}
+    text = spark.createDataFrame([("a_b c, d  e",), (None,)], "text string")
+    assert [r[0] for r in text.select(cp.plain_words(F.col("text"))).collect()] == [["a_b", "d", "e"], []]
+    rows = spark.range(10)
+    assert [r.id for r in ev.row_window(rows, ["id"], 7).collect()] == [7, 8, 9]
+    assert [r.id for r in ev.row_window(rows, ["id"], 2, 2).collect()] == [2, 3]
