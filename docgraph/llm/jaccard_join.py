@@ -3,10 +3,11 @@
 A text is its set of five-word shingles; texts of one set form a node. Each node embeds
 its set as min-hash coordinates. A first path is one coordinate and its value; nodes that
 share a path share a bucket. Buckets over ``bucket_limit`` are split again: the path
-samples further coordinates and is extended by the node's value of each. Small buckets
-are compared by brute force on sketches; buckets that stay large after the last split are
-compared in chunks whose leaders meet again until one chunk is left. Independent first
-paths repeat the run until the expected recall at the threshold passes ``recall``.
+samples further coordinates and is extended by the node's value of each, until it is small
+or its nodes are alike on average, which no split would part. Small buckets are compared by
+brute force on sketches; an alike bucket is one candidate component as it is, and so is
+what is large after the last split. Independent first paths repeat the run until the
+expected recall at the threshold passes ``recall``, splits counted.
 
 What the buckets connect are candidate components. Inside each, full shingle sets are
 compared exactly, in blocks, which gives the number of links of every node and the
@@ -22,6 +23,7 @@ out of the minimum); an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ SHINGLE = 5
 COORDINATES = 64
 SKETCH_SLACK = 4.0  # standard deviations below the threshold at which sketches still count as alike
 CHILDREN = 1.25  # expected coordinates that extend a path: one shared by a pair at the threshold 0.8
-MAX_DEPTH = 2
+MAX_DEPTH = 16
+LATE_FACTOR = 8  # buckets split twice are compared by brute force up to so many times the limit
+LIKENESS_SAMPLE = 64  # nodes of a large bucket that show whether a split pays
 BLOCK = 256
 
 _FOLD = np.frombuffer(FOLD, np.uint8)
@@ -94,13 +98,14 @@ def sketches(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def repetitions(threshold: float, recall: float) -> int:
-    """First paths needed so that a pair at the threshold meets with probability ``recall``, even if every bucket is split.
+    """First paths needed so that a pair at the threshold meets with probability ``recall``, even if every bucket is split to the end.
 
-    A split loses the pair if it draws no coordinate that both share; where none is drawn, one is taken.
+    A split draws about ``CHILDREN`` coordinates, one at least; the pair is lost if it is lost under each one that both share.
     """
-    lost = math.exp(-CHILDREN * threshold) - math.exp(-CHILDREN) * threshold
-    kept = threshold * (1 - lost) ** MAX_DEPTH
-    return min(COORDINATES, max(4, math.ceil(math.log(1 - recall) / math.log(1 - kept))))
+    lost = 0.0
+    for _ in range(MAX_DEPTH):
+        lost = math.exp(-CHILDREN * threshold * (1 - lost)) - math.exp(-CHILDREN) * threshold * (1 - lost)
+    return min(COORDINATES, max(4, math.ceil(math.log(1 - recall) / math.log(1 - threshold * (1 - lost)))))
 
 
 def sketch_documents(documents: DataFrame, id_col: str, text_col: str, paths: int, width: int) -> DataFrame:
@@ -136,9 +141,13 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def _least_agreement(threshold: float) -> float:
+    return COORDINATES * threshold - SKETCH_SLACK * math.sqrt(COORDINATES * threshold * (1 - threshold))
+
+
 def bucket_stars(rows: DataFrame, threshold: float) -> DataFrame:
     """Brute force on sketches inside each bucket: (k, root) edges that span the bucket's alike nodes, roots included."""
-    least = COORDINATES * threshold - SKETCH_SLACK * math.sqrt(COORDINATES * threshold * (1 - threshold))
+    least = _least_agreement(threshold)
 
     def solve(keys, sketch_rows):
         keys = np.array(keys)
@@ -202,44 +211,44 @@ def extend_paths(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("path", "k", "sketch").mapInArrow(run, "path long, k long, sketch binary")
 
 
+def alike_buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    """(path,) of the buckets whose nodes agree as often as alike ones on average; a sample tells, and decides about cost alone."""
+    least = _least_agreement(threshold)
+
+    def judge(frame):
+        table = np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(len(frame), COORDINATES)
+        same = sum((table[:, i, None] == table[None, :, i]).sum() for i in range(COORDINATES)) - COORDINATES * len(table)
+        return frame[["path"]].head(int(len(table) > 1 and same >= least * len(table) * (len(table) - 1)))
+
+    sample = rows.where(F.pmod(F.xxhash64("k"), "n") < LIKENESS_SAMPLE)
+    return sample.select("path", "sketch").groupBy("path").applyInPandas(judge, "path long")
+
+
 def candidate_edges(nodes: DataFrame, threshold: float, bucket_limit: int) -> DataFrame:
-    """(k, root) edges whose components hold every pair that some bucket finds alike."""
+    """(k, root) edges whose components hold every pair that some bucket finds alike, and all of a bucket that stays large."""
     placed = nodes.select("k", F.explode("paths").alias("path"))
     shared = placed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
     rows = materialise(placed.join(shared, "path").join(nodes.select("k", "sketch"), "k").select("path", "n", "k", "sketch"), "buckets")
-    edges = []
-    for depth in range(1, MAX_DEPTH + 1):
-        edges.append(bucket_stars(rows.where(F.col("n") <= bucket_limit), threshold).where("k <> root").select("k", "root"))
-        large = rows.where(F.col("n") > bucket_limit)
+    small, together = [], []
+    for depth in range(1, MAX_DEPTH + 2):
+        limit = bucket_limit if depth <= 2 else LATE_FACTOR * bucket_limit
+        small.append(rows.where(F.col("n") <= limit).select("path", "k", "sketch"))
+        large = rows.where(F.col("n") > limit)
         if not large.limit(1).count():
-            return _union(edges)
-        longer = extend_paths(large, depth)
+            break
+        # no pair of a bucket that stays together is left to chance: its full sets are compared
+        whole = materialise(alike_buckets(large, threshold), "alike") if depth <= MAX_DEPTH else large.select("path").distinct()
+        together.append(large.join(whole, "path").select("path", "k"))
+        if depth > MAX_DEPTH:
+            break
+        longer = materialise(extend_paths(large.join(whole, "path", "left_anti"), depth), "longer")
         counts = longer.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         rows = materialise(longer.join(counts, "path").select("path", "n", "k", "sketch"), "buckets")
-    edges.append(bucket_stars(rows.where(F.col("n") <= bucket_limit), threshold).where("k <> root").select("k", "root"))
-    rows = rows.where(F.col("n") > bucket_limit)
-    # What is still together is alike. Chunks are compared inside, and their roots meet again.
-    while rows.limit(1).count():
-        chunks = F.greatest(F.ceil(F.col("n") / bucket_limit), F.lit(1))
-        # dealt by the node alone: buckets of the same nodes then find the same roots, and their edges are one
-        chunk = F.xxhash64("path", F.pmod(F.xxhash64("k"), chunks))
-        dealt = rows.select(F.when(chunks > 1, chunk).otherwise(F.col("path")).alias("path"), F.col("path").alias("bucket"), "k", "sketch", "n")
-        stars = materialise(bucket_stars(dealt, threshold), "stars")
-        edges.append(stars.where("k <> root").select("k", "root"))
-        roots = stars.where("k = root").select(F.col("path"), "k")
-        kept = dealt.where("n > %d" % bucket_limit).join(roots, ["path", "k"]).select(F.col("bucket").alias("path"), "k", "sketch", F.col("n").alias("was"))
-        sizes = kept.groupBy("path").agg(F.count("*").alias("n"), F.max("was").alias("was")).where("n > 1")
-        rows = materialise(kept.drop("was").join(sizes, "path"), "buckets")
-        # a bucket whose roots no longer get fewer holds nodes that differ; it is done after this comparison
-        rows = rows.where((F.col("n") <= bucket_limit) | (F.col("n") < 0.9 * F.col("was"))).select("path", "n", "k", "sketch")
-    return _union(edges)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    edges = [bucket_stars(reduce(DataFrame.unionByName, small), threshold).select("k", "root")]
+    if together:
+        kept = reduce(DataFrame.unionByName, together)
+        edges.append(kept.join(kept.groupBy("path").agg(F.min("k").alias("root")), "path").select("k", "root"))
+    return reduce(DataFrame.unionByName, edges).where("k <> root").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -215,6 +215,27 @@ def test_jaccard(spark, docs, empty, rows, limit, monkeypatch):
     assert jj.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_compares_what_stays_large_under_a_hot_template(spark, monkeypatch):
+    monkeypatch.setattr(jj, "MAX_DEPTH", 0)
+    rnd = random.Random(5)
+    make = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    template, texts = make(68), []
+    for i in range(1200):
+        own = make(32)
+        texts.append(template + own)
+        if i < 300:  # a near copy each, at 0.8 to 0.9
+            at = rnd.randrange(5, 27)
+            texts.append(template + own[:at] + make(1) + own[at + 1 :] + make(rnd.randrange(6)))
+    rows = list(enumerate(map(" ".join, texts)))
+    pairs = [(i, i + 1) for i in range(0, 600, 2)]
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(a, b) for a, b in pairs if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    got = {r.doc_id: r.class_id for r in jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), bucket_limit=16).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert len(pairs) > 250 and found >= 0.99 * len(pairs), (found, len(pairs))
+    assert sum(i != c for i, c in got.items()) == found
+
+
 def test_jaccard_without_and_with_repeated_ids(spark):
     words = [f"w{i}" for i in range(60)]
     near = " ".join(words)
