@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot i of the schedule sits at the fractional part of i times the golden ratio; the
-cumulative target shares map that point to a source. Slots are ranked per source. Each
+cumulative slot shares map that point to a source. Slots are ranked per source. Each
 source's documents, shuffled by a hash of the id, form a stream of words that is cut
-into blocks of equal size; the r-th slot of a source takes its block r modulo the number
-of its blocks, so a source over its size is read again from the start, three times at
-most. Ranks and stream positions come from counts per hash bucket, so no task holds a
+into equal blocks of its own, ``LEAST_BLOCKS`` at least (in a source of fewer words some
+are empty); a source gets as many slots as its target holds of its blocks. The r-th slot
+takes block r modulo the number of blocks, so a source over its size is read again from
+the start, three times at most. Ranks and stream positions come from counts per hash bucket, so no task holds a
 whole source.
 
 The driver holds one row per source (name, size), nothing else.
@@ -28,6 +29,7 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 MAX_REPEATS = 3
 BLOCKS = 20_000  # of the whole mix, until blocks reach MAX_BLOCK words
 MAX_BLOCK = 1_000_000
+LEAST_BLOCKS = 500  # of each source
 CHUNK = 4096
 
 
@@ -87,7 +89,9 @@ def mix(documents: DataFrame, weights: list[float] | None = None, id_col: str =
     null_at = next((i for i, (s, _, _) in enumerate(plan) if s is None), 0)
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n") + 1) if values else F.lit(0)
     rows = rows.withColumn("n", F.when(F.col("source").isNull(), F.lit(null_at)).otherwise(F.try_element_at(numbered, F.col("source"))))
-    n_blocks = [-(-n // block) for _, n, _ in plan]
+    n_blocks = [max(LEAST_BLOCKS, -(-n // block)) for _, n, _ in plan]
+    n_slots = [round(t * b / n) if n else 0 for (_, n, t), b in zip(plan, n_blocks, strict=True)]
+    total_slots = sum(n_slots)
     # stream position of each document inside its source
     buckets = max(1, math.ceil(n_rows / 2000))
     rows = rows.withColumn("bucket", F.floor(F.col("h") / F.lit(2.0**48) * buckets))
@@ -95,13 +99,16 @@ def mix(documents: DataFrame, weights: list[float] | None = None, id_col: str =
     offsets = rows.groupBy("n", "bucket").agg(F.sum("size").alias("k")).select("n", "bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("n", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stream = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["n", "bucket"]).withColumn("start", F.col("offset") + F.col("upto") - F.col("size"))
-    # slots of the schedule, ranked, fall on blocks; a block is taken max_repeats times at most
-    slots = schedule(spark, [t / goal for _, _, t in plan], math.ceil(goal / block)) if goal else None
+    # slots of the schedule, ranked, fall on blocks; it runs on a while, until each source has had all of its slots
+    slots = schedule(spark, [k / total_slots for k in n_slots], total_slots + total_slots // 10) if goal else None
     if slots is None:
         return rows.select(F.col("id").alias(id_col), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    uses = slots.where(F.col("rank") < MAX_REPEATS * at(n_blocks)).groupBy("n", F.pmod(F.col("rank"), at(n_blocks)).alias("block")).agg(F.count("*").alias("times"))
-    parts = stream.where(F.col("size") > 0).select("n", "id", "h", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    uses = slots.where(F.col("rank") < at(n_slots)).groupBy("n", F.pmod(F.col("rank"), at(n_blocks)).alias("block")).agg(F.count("*").alias("times"))
+    # block b of a source holds its words from b * length // blocks on
+    held = stream.where(F.col("size") > 0).withColumn("length", at([n for _, n, _ in plan]).cast("long")).withColumn("blocks", at(n_blocks).cast("long"))
+    block_of = "((%s + 1) * blocks - 1) div length"
+    parts = held.select("n", "id", "h", "size", "start", "length", "blocks", F.explode(F.expr(f"sequence({block_of % 'start'}, {block_of % '(start + size - 1)'})")).alias("block"))
+    overlap = F.expr("least(start + size, (block + 1) * length div blocks) - greatest(start, block * length div blocks)")
     taken = parts.join(uses, ["n", "block"]).groupBy("n", "start").agg(F.sum(overlap * F.col("times")).alias("taken"))
     # (source, start) names a document that has words
     joined = stream.withColumn("key", F.when(F.col("size") > 0, F.col("start"))).join(taken.withColumnRenamed("start", "key"), ["n", "key"], "left")

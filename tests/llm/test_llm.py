@@ -356,6 +356,17 @@ def test_mixing(docs, empty, rows):
     assert mx.mix(empty).count() == 0
 
 
+def test_mixing_serves_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(mx, "BLOCKS", 20)
+    sizes = {"a": 40, "b": 3, "c": 7, "d": 4000, "e": 5}  # documents of ten words
+    rows = [(i, "w " * 10, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    taken, goal = Counter(), {}
+    for r, (_, _, s) in zip(sorted(mx.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), rows, strict=True):
+        taken[s] += r.taken
+        goal[s] = r.target
+    assert all(abs(taken[s] - t) <= max(2, 0.02 * t) for s, t in goal.items()), (taken, goal)
+
+
 def test_pipeline_keeps_columns(spark, docs, rows, tmp_path):
     import corpus_pipeline as cp
 
