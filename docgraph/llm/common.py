@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels work on at once, so that temporaries stay small.
@@ -16,22 +16,93 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session gets one of its own; on a cluster that is an error, as
+    executors would not see a folder of the driver.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="docgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Paths of the intermediate tables that are still kept."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that no query reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _WRITTEN.remove(path)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``counted``, which has one row per key and says in ``n`` how many rows the key has.
+
+    A key of more than an eighth of a task's fair share of rows is dealt over salts, taken from a
+    hash of ``spread``; there are at most eight times as many such keys as shuffle partitions,
+    so their list is broadcast. ``counted`` should be a stored table: it is read three times.
+    """
+    parts = shuffle_partitions(rows.sparkSession)
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    share = max(1000, total // (8 * parts))
+    salt = fresh("salt", [*rows.columns, *counted.columns])
+    hot = counted.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("long").alias(salt + "s"))
+    # a row without key meets nothing and keeps the plan the same where no key is hot
+    hot = hot.unionByName(rows.sparkSession.range(1).select(*(F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys), F.lit(1).cast("long").alias(salt + "s")))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*spread), F.col(salt + "s")), F.lit(0).cast("long"))).drop(salt + "s")
+    copies = counted.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col(n) / share).cast("long") - 1, F.lit(0).cast("long")))))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
+def offsets_of(counts: DataFrame, key: str, place: str, value: str, out: str) -> DataFrame:
+    """(key, place, out): sum of ``value`` over the smaller places of each key.
+
+    ``counts`` has one row per (key, place), places are whole numbers from 0. Sums run over
+    stretches of 1,024 places and then over the stretches, so no task holds all of a key.
+    """
+    cut = counts.select(key, place, F.col(value).cast("long").alias("v"), F.floor(F.col(place) / 1024).alias("stretch"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inner = cut.withColumn("inner", F.coalesce(F.sum("v").over(before(key, "stretch").orderBy(place)), F.lit(0)))
+    sums = cut.groupBy(key, "stretch").agg(F.sum("v").alias("v"))
+    outer = sums.select(key, "stretch", F.coalesce(F.sum("v").over(before(key).orderBy("stretch")), F.lit(0)).alias("outer"))
+    return inner.join(outer, [key, "stretch"]).select(key, place, (F.col("inner") + F.col("outer")).alias(out))
+
+
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

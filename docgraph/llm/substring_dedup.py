@@ -8,6 +8,8 @@ identical segments repeat whole; the other segments of an anchor hash come toget
 suffix-array shards, where induced sorting and permuted common prefixes decide each window
 exactly. An anchor hash with very many different segments is cut into narrower segments
 keyed by their common core, and at last into single windows, so no shard is unbounded.
+Where bytes stand for each other by hash (equal segments, equal narrow parts, single
+windows) two 64-bit hashes must agree: the anchor's or group's, and one of all bytes.
 
 Edge cases: null text reads as empty; texts shorter than the minimum length keep all bytes;
 repeated rows are copies of each other; an empty table gives an empty result; one text
@@ -24,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialise, ranges, shared_dir, shuffle_partitions, slices, text_buffer
+from docgraph.llm.common import join_hot, materialise, new_path, ranges, shuffle_partitions, slices, text_buffer
 from docgraph.llm.suffix_array import permuted_lcp, suffix_array
 
 MIN_BYTES = 200
 GRAM = 32
 PIECE = 2 << 20  # longer texts are read in pieces that overlap by one window
 PLACE_BITS = np.uint64(26)
-SHARD_BYTES = 192 << 10
+SHARD_BYTES = 512 << 10
 GROUP_LIMIT = 1024  # segments of one anchor hash in one shard
 NARROW = 16  # windows of a narrower segment
 
@@ -133,7 +135,7 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 
 
 def anchor_counts(texts: DataFrame, length: int) -> DataFrame:
-    """Anchor hashes that occur at least twice, by counting (fp, n) of each Arrow batch first."""
+    """(fp, n) of the anchor hashes that occur at least twice, by counting (fp, n) of each Arrow batch first."""
 
     def run(batches):
         for batch in batches:
@@ -144,28 +146,27 @@ def anchor_counts(texts: DataFrame, length: int) -> DataFrame:
                 sorted_fp = fp[order]
                 new = np.flatnonzero(np.concatenate([[True], sorted_fp[1:] != sorted_fp[:-1]])) if len(fp) else np.empty(0, int)
                 n = np.add.reduceat(1 + many[own][order].astype(np.int64), new) if len(fp) else np.empty(0, int)
-                yield pa.RecordBatch.from_arrays([pa.array(sorted_fp[new].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(sorted_fp[new].view(np.int64)), pa.array(n.astype(np.int32))], names=["fp", "n"])
 
-    return texts.select("k", "text", "n").mapInArrow(run, "fp long, n byte").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("fp")
+    return texts.select("k", "text", "n").mapInArrow(run, "fp long, n int").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
 
 
-def repeated_windows(segments: list[tuple[bytes, bool]], length: int) -> list[np.ndarray]:
+def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each segment of one shard, which of its windows start a string that starts in another place of the shard too.
 
     Segments are joined with separators that no match can cross; one suffix array of the shard decides all.
     """
     parts, starts, n = [], [], 0
-    for raw, _ in segments:
+    for raw in segments:
         starts.append(n)
-        parts += [np.frombuffer(raw, np.uint8).astype(np.int64) + 1, np.zeros(1, np.int64)]
+        parts += [np.frombuffer(raw, np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
         n += len(raw) + 1
     data = np.concatenate(parts)
-    sa = suffix_array(data)
-    low = np.where(data > 255, 255, data).astype(np.uint8)  # 0xFF never occurs in UTF-8
-    lcp, phi = permuted_lcp(low, sa, length)
+    # a separator reads as 0xFF, which never occurs in UTF-8
+    lcp, phi = permuted_lcp(np.where(data == 0, 255, data - 1).astype(np.uint8), suffix_array(data))
     twice = lcp >= length
     twice[phi[twice]] = True
-    return [twice[s : s + max(0, len(raw) - length + 1)] for s, (raw, _) in zip(starts, segments, strict=True)]
+    return [twice[s : s + max(0, len(raw) - length + 1)] for s, raw in zip(starts, segments, strict=True)]
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -182,7 +183,7 @@ def resolve_shards(segments: DataFrame, length: int) -> DataFrame:
 
     def solve(groups):
         flat = [x for g in groups for x in g]
-        masks = repeated_windows([(raw, False) for *_, raw in flat], length)
+        masks = repeated_windows([raw for *_, raw in flat], length)
         return [(fp, seg, base + a, base + b) for (fp, seg, base, _), mask in zip(flat, masks, strict=True) for a, b in _runs(mask)]
 
     def run(batches):
@@ -241,20 +242,24 @@ def narrow(segments: DataFrame, length: int, width: int) -> DataFrame:
 def distinct_texts(documents: DataFrame, text_col: str) -> DataFrame:
     """One row per different text (k, text, n), bucketed by k in the shared folder: later joins on k move no text.
 
-    k is 64 bits of the md5 of the text.
+    k is 64 bits of the md5 of the text. The catalog keeps no entry: the table is dropped once
+    its files are known, which leaves the files.
     """
     spark = documents.sparkSession
-    name = f"docgraph_texts_{uuid.uuid4().hex}"
+    path = new_path(spark, "texts")
+    name = "docgraph_texts_" + path.rsplit("-", 1)[-1]
     text = F.coalesce(F.col(text_col), F.lit(""))
     (
         documents.select(text_key(text).alias("k"), text.alias("text"))
         .groupBy("k")
         .agg(F.first("text").alias("text"), F.count("*").alias("n"))
         .write.bucketBy(max(8, shuffle_partitions(spark)), "k")
-        .option("path", f"{shared_dir(spark)}/{name}")
+        .option("path", path)
         .saveAsTable(name)
     )
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def text_key(text):
@@ -263,16 +268,14 @@ def text_key(text):
 
 def repeated_spans(texts: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     """(k, spans) with every byte range [a, b) covered by a repeated string; ranges may touch or overlap."""
-    anchors = anchor_rows(texts, length)
-    # hash-repeated anchors only; skewed keys are split at run time, the counts side has one row per key
-    common = anchors.join(anchor_counts(texts, length), "fp")
-    common = materialise(common, "anchors")
+    # hash-repeated anchors only
+    counted = materialise(anchor_counts(texts, length), "anchor-counts")
+    common = materialise(join_hot(anchor_rows(texts, length), counted, ["fp"], "n", ["k", "lo"]).drop("n"), "anchors")
     twin = F.sum(F.when(F.col("many"), 2).otherwise(1))
-    segs = common.groupBy("fp", "seg").agg(twin.alias("m"), F.min(F.struct("k", "lo", "more", "off")).alias("rep"))
-    segs = materialise(segs, "segments")
-    groups = segs.groupBy("fp").agg(F.count("*").alias("kinds"))
+    segs = materialise(common.groupBy("fp", "seg").agg(twin.alias("m"), F.min(F.struct("k", "lo", "more", "off")).alias("rep")), "segments")
     # anchors with more than one kind of segment, where some segment is single, need the suffix arrays
-    open_ = segs.join(groups.where("kinds > 1"), "fp")
+    groups = materialise(segs.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    open_ = join_hot(segs, groups, ["fp"], "kinds", ["seg"])
     fetch = open_.select("fp", "seg", "kinds", "rep.*").groupBy("k").agg(F.collect_list(F.struct("fp", "seg", "kinds", "lo", "more", "off")).alias("want"))
 
     def cut(batches):
@@ -293,21 +296,23 @@ def repeated_spans(texts: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     if hot.limit(1).count():
         thin = materialise(narrow(hot, length, NARROW), "narrow-segments")
         # equal parts repeat whole; the rest of a group is small, or cut once more into single windows
-        kinds = thin.groupBy("grp", F.xxhash64("raw").alias("h")).agg(F.count("*").alias("same"))
-        sized = kinds.groupBy("grp").agg(F.count("*").alias("kinds"))
-        tagged = thin.withColumn("h", F.xxhash64("raw")).join(kinds, ["grp", "h"]).join(sized, "grp")
+        hashed = thin.withColumn("h", F.xxhash64("raw"))
+        kinds = hashed.groupBy("grp", "h").agg(F.count("*").alias("same"))
+        kinds = materialise(join_hot(materialise(kinds, "parts"), materialise(kinds.groupBy("grp").agg(F.count("*").alias("kinds")), "part-kinds"), ["grp"], "kinds", ["h"]), "sized-parts")
+        tagged = join_hot(hashed, kinds, ["grp", "h"], "same", ["fp", "seg", "base"])
         whole = tagged.where("same > 1").select("fp", "seg", F.col("base").alias("a"), (F.col("base") + F.length("raw") - length + 1).alias("b"))
         single = tagged.where("same = 1 and kinds > 1 and kinds <= %d" % GROUP_LIMIT)
         shared = tagged.where("same > 1 and kinds > 1 and kinds <= %d" % GROUP_LIMIT).dropDuplicates(["grp", "h"])
         found = found.unionByName(whole).unionByName(resolve_shards(single.unionByName(shared).select("grp", "fp", "seg", "base", "raw"), length))
         last = narrow(tagged.where("kinds > %d" % GROUP_LIMIT).select("grp", "fp", "seg", "base", "off", "raw"), length, 1)
-        last = last.select("grp", "fp", "seg", "base")
-        twice = last.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-        found = found.unionByName(last.join(twice, "grp").select("fp", "seg", F.col("base").alias("a"), (F.col("base") + 1).alias("b")))
+        last = materialise(last.select("grp", F.xxhash64("raw").alias("h"), "fp", "seg", "base"), "windows")
+        twice = materialise(last.groupBy("grp", "h").agg(F.count("*").alias("n")).where("n > 1"), "repeated-windows")
+        again = join_hot(last, twice, ["grp", "h"], "n", ["seg", "base"])
+        found = found.unionByName(again.select("fp", "seg", F.col("base").alias("a"), (F.col("base") + 1).alias("b")))
     # identical segments repeat whole; single ones by what their shard found
     placed = common.select("fp", "seg", "k", "lo", "more", "many")
-    twins = segs.where("m > 1").select("fp", "seg")
-    whole = placed.join(twins, ["fp", "seg"]).select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("more") + length).alias("b"))
+    twins = segs.where("m > 1").select("fp", "seg", "m")
+    whole = join_hot(placed, twins, ["fp", "seg"], "m", ["k", "lo"]).select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("more") + length).alias("b"))
     singles = segs.where("m = 1").select("fp", "seg", F.col("rep.k").alias("k"), F.col("rep.lo").alias("lo"))
     part = singles.join(found, ["fp", "seg"]).select("k", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + length - 1).alias("b"))
     return whole.unionByName(part).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -1,17 +1,20 @@
 """Suffix array by induced sorting, and permuted common prefixes, for one shard of bytes.
 
 Suffixes are classified (S or L), leftmost-S substrings are sorted by an induced pass and
-named, the string of names is sorted by recursion where names repeat, and a last induced
-pass gives all suffixes. The byte level runs bucket by bucket in numpy; the levels above
-have large alphabets and run in plain loops.
+named, the shorter string of names is sorted where names repeat, and a last induced pass
+gives all suffixes. The induced passes run bucket by bucket in numpy. The string of names
+has as many letters as places, so buckets would hold one or two names each: it is sorted
+by ranks of doubled spans instead, a few array sorts in all.
+
+Common prefixes are computed in text order. Where the byte before a suffix equals the byte
+before its predecessor, the prefix is that of the place before less one; only the other
+places are compared byte by byte, eight at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-
 
 def classify(s: np.ndarray) -> np.ndarray:
     """True where the suffix is S-type (smaller than its successor); ``s`` ends with a unique smallest 0."""
@@ -28,7 +31,7 @@ def classify(s: np.ndarray) -> np.ndarray:
 
 def _scatter(sa: np.ndarray, at: np.ndarray, positions: np.ndarray, chars: np.ndarray, step: int) -> None:
     """Append positions to the buckets of their characters, in order, from the front (step 1) or the back (-1)."""
-    order = np.argsort(chars, kind="stable")
+    order = np.argsort(chars, kind="stable")  # by counting: the characters have 16 bits
     chars, positions = chars[order], positions[order]
     new = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
     size = np.diff(np.append(new, len(chars)))
@@ -83,66 +86,39 @@ def induce(s: np.ndarray, kind: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
     return sa
 
 
-def _plain(s: list[int], sigma: int) -> list[int]:
-    """The same construction in plain loops, for large alphabets; ``s`` ends with a unique smallest 0."""
-    n = len(s)
-    kind = bytearray(n)
-    kind[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        a, b = s[i], s[i + 1]
-        kind[i] = 1 if a < b or (a == b and kind[i + 1]) else 0
-    size = [0] * sigma
-    for c in s:
-        size[c] += 1
-    starts, ends, total = [0] * sigma, [0] * sigma, 0
-    for c in range(sigma):
-        starts[c] = total
-        total += size[c]
-        ends[c] = total - 1
-
-    def sort(lms: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = ends[:]
-        for p in reversed(lms):
-            c = s[p]
-            sa[tail[c]] = p
-            tail[c] -= 1
-        head = starts[:]
-        for i in range(n):
-            p = sa[i] - 1
-            if p >= 0 and not kind[p]:
-                c = s[p]
-                sa[head[c]] = p
-                head[c] += 1
-        tail = ends[:]
-        for i in range(n - 1, -1, -1):
-            p = sa[i] - 1
-            if p >= 0 and kind[p]:
-                c = s[p]
-                sa[tail[c]] = p
-                tail[c] -= 1
-        return sa
-
-    lms = [i for i in range(1, n) if kind[i] and not kind[i - 1]]
-    if len(lms) <= 1:
-        return sort(lms)
-    following = {p: q for p, q in zip(lms, lms[1:] + [n - 1], strict=True)}
-    ordered = [p for p in sort(lms) if p > 0 and kind[p] and not kind[p - 1]]
-    name, k, last = {}, 0, None
-    for p in ordered:
-        piece = s[p : following[p] + 1]
-        if last is not None and piece != last:
-            k += 1
-        name[p] = k
-        last = piece
-    if k + 1 < len(lms):
-        ordered = [lms[i] for i in _plain([name[p] for p in lms], k + 1)]
-    return sort(ordered)
+def order_names(names: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of a string of names, by ranks of spans that double."""
+    n = len(names)
+    rank = names.astype(np.int64)
+    order = np.argsort(rank, kind="stable")
+    open_ = order  # the places, in order, whose rank others share
+    span = 1
+    while True:
+        same = rank[open_[1:]] == rank[open_[:-1]]
+        tied = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(open_) else same
+        if not tied.any():
+            return np.argsort(rank)
+        open_ = open_[tied]
+        # ranks count the places before a group; tied places are told apart by the rank `span` places on
+        if span == 1:
+            first = np.searchsorted(rank[order], rank, side="left")
+            rank = first.astype(np.int64)
+        after = open_ + span
+        key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.lexsort((key, rank[open_]))
+        open_, key = open_[by], key[by]
+        group = rank[open_]
+        lead = np.concatenate([[True], group[1:] != group[:-1]])
+        new = lead | np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.arange(len(open_))
+        start = np.maximum.accumulate(np.where(lead, at, 0))
+        rank[open_] = group + np.maximum.accumulate(np.where(new, at, 0)) - start
+        span *= 2
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffix array of ``data`` (small non-negative integers) with a sentinel appended; the sentinel comes first."""
-    s = np.append(data.astype(np.int64) + 1, 0)
+    """Suffix array of ``data`` (non-negative integers below 65,535) with a sentinel appended; the sentinel comes first."""
+    s = np.append(data.astype(np.uint16) + np.uint16(1), np.uint16(0))
     sigma = int(s.max()) + 1
     kind = classify(s)
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
@@ -151,47 +127,60 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         is_lms = np.zeros(len(s), bool)
         is_lms[lms] = True
         ordered = sa[is_lms[sa]]
-        # name the substrings: equal neighbours in the order share a name
-        power = np.cumprod(np.full(len(s), _P, np.uint64))
-        inverse = np.cumprod(np.full(len(s), np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64))
-        run = np.concatenate([[np.uint64(0)], np.cumsum((s.astype(np.uint64) + np.uint64(7)) * power)])
-        following = np.append(lms[1:], len(s) - 1) + 1
-        content = (run[following] - run[lms]) * inverse[lms]
         index = np.empty(len(s), np.int64)
         index[lms] = np.arange(len(lms))
         at = index[ordered]
-        length = following - lms
-        differs = (content[at][1:] != content[at][:-1]) | (length[at][1:] != length[at][:-1])
+        # neighbours in the order share a name if their substrings, next leftmost-S character included, are equal
+        length = np.append(np.diff(lms), len(s) - 1 - lms[-1])[at] + 1
+        differs = length[1:] != length[:-1]
+        left = np.flatnonzero(~differs)
+        for j in range(int(length.max())):
+            left = left[length[left] > j]
+            if not len(left):
+                break
+            off = s[ordered[left] + j] != s[ordered[left + 1] + j]
+            differs[left[off]] = True
+            left = left[~off]
         names = np.empty(len(lms), np.int64)
         names[at] = np.concatenate([[0], np.cumsum(differs)])
-        top = int(names.max()) + 1
-        if top < len(lms):
-            ordered = lms[np.array(_plain(names.tolist(), top))]
-        lms = ordered
+        lms = lms[order_names(names)] if names.max() + 1 < len(lms) else ordered
     return induce(s, kind, lms, sigma)
 
 
-def permuted_lcp(data: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text position: common prefix (up to ``cap``) with its predecessor in suffix order, and that predecessor (-1: none)."""
+def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text position: common prefix with its predecessor in suffix order, and that predecessor (-1: none).
+
+    Prefixes stop at a separator (a byte 255).
+    """
     n = len(data)
     phi = np.full(n + 1, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     phi = phi[:n]
     phi[phi == n] = -1
-    padded = np.zeros(n + cap + 16, np.uint8)
-    padded[:n] = data
-    words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (n + cap + 8, 8), (1, 1))
     lcp = np.zeros(n, np.int64)
-    active = np.flatnonzero(phi >= 0)
-    done = 0
-    while len(active) and done < cap:
-        a = np.ascontiguousarray(words[active + done]).view(np.uint64)[:, 0]
-        b = np.ascontiguousarray(words[phi[active] + done]).view(np.uint64)[:, 0]
-        off = a ^ b
+    if not n:
+        return lcp, phi
+    # places from where no common prefix is passed on: other bytes before them, or a border
+    prior = np.concatenate([[255], data[:-1]])
+    chained = (phi > 0) & (prior != 255)
+    chained &= prior == prior[np.maximum(phi, 0)]
+    own = np.flatnonzero(~chained & (phi >= 0))
+    padded = np.full(n + 16, 255, np.uint8)
+    padded[:n] = data
+    words = np.lib.stride_tricks.as_strided(padded, (n + 8, 8), (1, 1))
+    ones, high = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+    a, b, done = own, phi[own], 0
+    while len(own):
+        x = np.ascontiguousarray(words[a]).view(np.uint64)[:, 0]
+        y = np.ascontiguousarray(words[b]).view(np.uint64)[:, 0]
+        gap = ~x
+        # the lowest byte that differs or is a separator; what the borrow marks above it does not matter
+        off = (x ^ y) | ((gap - ones) & x & high)
         same = off == 0
-        low = off & (~off + np.uint64(1))
-        lcp[active[~same]] = done + (np.log2(low[~same].astype(np.float64)).astype(np.int64) >> 3)
-        active = active[same]
+        low = off[~same]
+        low &= ~low + np.uint64(1)
+        lcp[own[~same]] = done + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+        own, a, b = own[same], a[same] + 8, b[same] + 8
         done += 8
-    lcp[active] = done
-    return np.minimum(lcp, np.minimum(cap, n - np.maximum(np.arange(n), phi))), phi
+    heads = np.maximum.accumulate(np.where(chained, -1, np.arange(n)))
+    return np.where(chained, lcp[heads] - (np.arange(n) - heads), lcp), phi
