@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.llm import decontaminate as dc
-from docgraph.llm import fingerprint as fp
 from docgraph.llm import jaccard_join as jj
 from docgraph.llm import language as lg
 from docgraph.llm import language_model as lm
@@ -172,20 +171,6 @@ def test_url_filter(spark):
     assert uf.filter_captures(c.limit(0), e).count() == 0 and {r.verdict for r in uf.filter_captures(c, e.limit(0)).collect()} == {"none"}
 
 
-def test_fingerprints(spark, docs, empty, rows):
-    got = {r.doc_id: r for r in fp.with_successor(docs, min_buckets=3).collect()}
-    for i, t, *_ in rows:
-        assert got[i].next_text == (rows[(i + 1) % len(rows)][1] or "") and got[i].text == (t or "")
-    prints = {}
-    for r in fp.merkle_fingerprints(docs).select("doc_id", "fingerprint").collect():
-        prints.setdefault(rows[r.doc_id][1] or "", set()).add(r.fingerprint)
-    assert all(len(v) == 1 for v in prints.values()) and len({min(v) for v in prints.values()}) == len(prints)
-    two = spark.createDataFrame([(1, "a b\n\nc d\ne f", "a b\n\nc x\ne f")], "id int, p string, q string")
-    row = two.select(fp.first_difference(fp.section_hashes(F.col("p")), fp.section_hashes(F.col("q"))).alias("s"), fp.first_difference(fp.section_hashes(F.col("p")), fp.section_hashes(F.col("p"))).alias("same")).first()
-    assert (row.s, row.same) == (1, None)
-    assert fp.with_successor(empty).count() == 0 and fp.with_successor(docs.limit(1)).count() == 1
-
-
 def shingles(t):
     w = (t or "").encode().translate(dc.FOLD).split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
