@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialise, ranges, shuffle_partitions, slices, text_buffer
+from docgraph.llm.common import fresh, join_hot, materialise, ranges, shuffle_partitions, slices, text_buffer
 from docgraph.llm.decontaminate import FOLD
 from docgraph.llm.substring_dedup import RollingHash, text_key
 
@@ -41,7 +41,8 @@ CHILDREN = 1.25  # expected coordinates that extend a path: one shared by a pair
 MAX_DEPTH = 16
 LATE_FACTOR = 8  # buckets split twice are compared by brute force up to so many times the limit
 LIKENESS_SAMPLE = 64  # nodes of a large bucket that show whether a split pays
-BLOCK = 256
+BLOCK = 1024  # nodes of a component compared at once with as many others
+BLOCK_SHINGLES = 1 << 20  # and shingles of them
 
 _FOLD = np.frombuffer(FOLD, np.uint8)
 _rng = np.random.default_rng(20240501)
@@ -105,7 +106,10 @@ def repetitions(threshold: float, recall: float) -> int:
     lost = 0.0
     for _ in range(MAX_DEPTH):
         lost = math.exp(-CHILDREN * threshold * (1 - lost)) - math.exp(-CHILDREN) * threshold * (1 - lost)
-    return min(COORDINATES, max(4, math.ceil(math.log(1 - recall) / math.log(1 - threshold * (1 - lost)))))
+    paths = max(4, math.ceil(math.log(1 - recall) / math.log(1 - threshold * (1 - lost))))
+    if paths > COORDINATES:
+        raise ValueError(f"a recall of {recall} at a similarity of {threshold} needs {paths} paths; sketches have {COORDINATES} coordinates")
+    return paths
 
 
 def sketch_documents(documents: DataFrame, id_col: str, text_col: str, paths: int, width: int) -> DataFrame:
@@ -212,23 +216,23 @@ def extend_paths(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def alike_buckets(rows: DataFrame, threshold: float) -> DataFrame:
-    """(path,) of the buckets whose nodes agree as often as alike ones on average; a sample tells, and decides about cost alone."""
+    """(path, n) of the buckets whose nodes agree as often as alike ones on average; a sample tells, and decides about cost alone."""
     least = _least_agreement(threshold)
 
     def judge(frame):
         table = np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(len(frame), COORDINATES)
         same = sum((table[:, i, None] == table[None, :, i]).sum() for i in range(COORDINATES)) - COORDINATES * len(table)
-        return frame[["path"]].head(int(len(table) > 1 and same >= least * len(table) * (len(table) - 1)))
+        return frame[["path", "n"]].head(int(len(table) > 1 and same >= least * len(table) * (len(table) - 1)))
 
     sample = rows.where(F.pmod(F.xxhash64("k"), "n") < LIKENESS_SAMPLE)
-    return sample.select("path", "sketch").groupBy("path").applyInPandas(judge, "path long")
+    return sample.select("path", "n", "sketch").groupBy("path").applyInPandas(judge, "path long, n long")
 
 
 def candidate_edges(nodes: DataFrame, threshold: float, bucket_limit: int) -> DataFrame:
     """(k, root) edges whose components hold every pair that some bucket finds alike, and all of a bucket that stays large."""
     placed = nodes.select("k", F.explode("paths").alias("path"))
-    shared = placed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialise(placed.join(shared, "path").join(nodes.select("k", "sketch"), "k").select("path", "n", "k", "sketch"), "buckets")
+    shared = materialise(placed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    rows = materialise(join_hot(placed, shared, ["path"], "n", ["k"]).join(nodes.select("k", "sketch"), "k").select("path", "n", "k", "sketch"), "buckets")
     small, together = [], []
     for depth in range(1, MAX_DEPTH + 2):
         limit = bucket_limit if depth <= 2 else LATE_FACTOR * bucket_limit
@@ -237,17 +241,18 @@ def candidate_edges(nodes: DataFrame, threshold: float, bucket_limit: int) -> Da
         if not large.limit(1).count():
             break
         # no pair of a bucket that stays together is left to chance: its full sets are compared
-        whole = materialise(alike_buckets(large, threshold), "alike") if depth <= MAX_DEPTH else large.select("path").distinct()
-        together.append(large.join(whole, "path").select("path", "k"))
+        whole = materialise(alike_buckets(large, threshold) if depth <= MAX_DEPTH else large.groupBy("path").agg(F.count("*").alias("n")), "alike")
+        together.append(join_hot(large.drop("n"), whole, ["path"], "n", ["k"]).select("path", "k"))
         if depth > MAX_DEPTH:
             break
-        longer = materialise(extend_paths(large.join(whole, "path", "left_anti"), depth), "longer")
-        counts = longer.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        rows = materialise(longer.join(counts, "path").select("path", "n", "k", "sketch"), "buckets")
+        longer = materialise(extend_paths(join_hot(large.drop("n"), whole, ["path"], "n", ["k"], "left_anti"), depth), "longer")
+        counts = materialise(longer.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        rows = materialise(join_hot(longer, counts, ["path"], "n", ["k"]).select("path", "n", "k", "sketch"), "buckets")
     edges = [bucket_stars(reduce(DataFrame.unionByName, small), threshold).select("k", "root")]
     if together:
         kept = reduce(DataFrame.unionByName, together)
-        edges.append(kept.join(kept.groupBy("path").agg(F.min("k").alias("root")), "path").select("k", "root"))
+        roots = materialise(kept.groupBy("path").agg(F.min("k").alias("root"), F.count("*").alias("n")), "roots")
+        edges.append(join_hot(kept, roots, ["path"], "n", ["k"]).select("k", "root"))
     return reduce(DataFrame.unionByName, edges).where("k <> root").distinct()
 
 
@@ -268,7 +273,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def exact_links(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Exact comparison inside each component: (k, links, root).
 
-    ``members``: (comp, parts, k, texts, size, shingles). ``threshold`` = (p, q): linked if p * common >= q * (|a| + |b|).
+    ``members``: (comp, parts, k, texts, shingles). ``threshold`` = (p, q): linked if p * common >= q * (|a| + |b|).
     ``links`` counts the texts linked to a node in one block pair, ``root`` spans what the block pair links.
     """
     p, q = threshold
@@ -328,20 +333,25 @@ def exact_links(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return spread.repartition(4 * shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "k long, links long, root long")
 
 
-def jaccard_classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, bucket_limit: int = 128, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links) per row: class named by its smallest id, and how many different texts are linked to the row's text."""
+def _classified(documents: DataFrame, threshold: float, recall: float, bucket_limit: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, tk, class_id, n_links, class_size, kept) per row; ``kept`` (missing, id, tk) stands for the class."""
     docs = materialise(sketch_documents(documents, id_col, text_col, repetitions(threshold, recall), width), "sketched")
-    per_text = docs.where("size > 0").groupBy("k", "tk").agg(F.min("id").alias("id"))
-    weights = per_text.groupBy("k").agg(F.count("*").alias("texts"), F.min("tk").alias("tk"))
-    nodes = docs.where("size > 0").dropDuplicates(["k"]).select("k", "paths", "sketch")
-    components = connected(candidate_edges(nodes, threshold, bucket_limit)).withColumnRenamed("label", "comp")
-    # full shingle sets of the nodes in components: one text of each is read again
-    sizes = components.groupBy("comp").agg(F.count("*").alias("members"))
-    wanted = components.join(sizes, "comp").join(weights, "k").select("comp", F.ceil(F.col("members") / BLOCK).cast("long").alias("parts"), "k", "texts", "tk")
-    # one copy of each needed text: the id that stands for it (or none) and the text's own key pick the row
-    chosen = wanted.join(per_text.select("k", "tk", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name")), ["k", "tk"]).select("comp", "parts", "k", "texts", "tk", "name")
-    named_texts = documents.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
-    read = named_texts.where(F.col("text").isNotNull()).join(chosen, ["name", "tk"])
+    # a node is a shingle set; texts without words, which have none, are nodes by their own key
+    worded = F.col("size") > 0
+    docs = docs.withColumn("worded", worded).withColumn("k", F.when(worded, F.col("k")).otherwise(F.col("tk")))
+    named = F.struct(F.col("id").isNull().alias("missing"), "id", "tk")
+    per_text = docs.groupBy("worded", "k", "tk").agg(F.min("id").alias("id"), F.count("*").alias("n_rows"), F.min(named).alias("kept"), F.max("size").alias("size"))
+    nodes = materialise(per_text.groupBy("worded", "k").agg(F.count("*").alias("texts"), F.sum("n_rows").alias("n_rows"), F.min("id").alias("id"), F.min("kept").alias("kept"), F.max("size").alias("size")), "nodes")
+    sketched = docs.where("worded").groupBy("k").agg(F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    components = connected(candidate_edges(materialise(sketched, "sketches"), threshold, bucket_limit)).withColumnRenamed("label", "comp")
+    # full shingle sets of the nodes in components: one text of each is read again, found by the key of the row that stands for it
+    members = components.join(nodes.where("worded").select("k", "texts", "size", "kept"), "k")
+    sizes = materialise(members.groupBy("comp").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("parts")), "components")
+    wanted = join_hot(members, sizes, ["comp"], "members", ["k"])
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    chosen = wanted.select("comp", "parts", "k", "texts", F.col("kept.tk").alias("tk"), F.col("kept.id").alias("id")).withColumn("name", name).drop("id")
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).select(name.alias("name"), text_key(F.col("text")).alias("tk"), "text")
+    read = texts.join(chosen, ["name", "tk"])
 
     def sets(batches):
         for batch in batches:
@@ -351,27 +361,36 @@ def jaccard_classes(documents: DataFrame, threshold: float = 0.8, recall: float
                 ends = np.cumsum(count)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(4)), pa.array([values[e - n : e].tobytes() for e, n in zip(ends, count, strict=True)], pa.binary())], names=["comp", "parts", "k", "texts", "shingles"])
 
-    members = read.select("comp", "parts", "k", "texts", "text").mapInArrow(sets, "comp long, parts long, k long, texts long, shingles binary").dropDuplicates(["k"])
+    compared = read.select("comp", "parts", "k", "texts", "text").mapInArrow(sets, "comp long, parts long, k long, texts long, shingles binary").dropDuplicates(["k"])
     # J >= t  <=>  (1 + t) * common >= t * (|a| + |b|), in whole numbers
     scale = 10_000
-    found = materialise(exact_links(members, (round((1 + threshold) * scale), round(threshold * scale))), "links")
+    found = materialise(exact_links(compared, (round((1 + threshold) * scale), round(threshold * scale))), "links")
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     labels = connected(found.where("k <> root").select("k", "root"))
-    by_node = docs.select("id", "tk", "k", "size").join(weights.select("k", "texts"), "k", "left").join(links, "k", "left").join(labels, "k", "left")
-    # texts without words are nodes of their own
-    named = by_node.withColumn("class", F.when(F.col("size") > 0, F.struct(F.lit(1).alias("kind"), F.coalesce("label", "k").alias("v"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("tk").alias("v"))))
-    first = named.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(first, "class").select(F.col("id").alias(id_col), "class_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("texts") - 1, F.lit(0))).cast("long").alias("n_links"), "class_size")
+    # the rest is settled per node; rows only look up theirs in the end
+    per_node = nodes.join(links.withColumn("worded", F.lit(True)), ["worded", "k"], "left").join(labels.withColumn("worded", F.lit(True)), ["worded", "k"], "left").withColumn("class", F.coalesce("label", "k"))
+    per_node = materialise(per_node.select("worded", "k", "class", "n_rows", "id", "kept", (F.coalesce("links", F.lit(0)) + F.when(F.col("worded"), F.col("texts") - 1).otherwise(F.lit(0))).cast("long").alias("n_links")), "node-links")
+    classes = materialise(per_node.groupBy("worded", "class").agg(F.count("*").alias("n"), F.min("id").alias("class_id"), F.sum("n_rows").alias("class_size"), F.min("kept").alias("kept")), "classes")
+    settled = materialise(join_hot(per_node.drop("id", "kept"), classes, ["worded", "class"], "n", ["k"]).select("worded", "k", "n_rows", "n_links", "class_id", "class_size", "kept"), "settled")
+    return join_hot(docs.select("id", "tk", "worded", "k"), settled, ["worded", "k"], "n_rows", ["id", "tk"])
+
+
+def jaccard_classes(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, bucket_limit: int = 128, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links) per row: class named by its smallest id, and how many different texts are linked to the row's text."""
+    found = _classified(documents, threshold, recall, bucket_limit, width, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_links", "class_size")
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One document of each class stays, the one with the smallest id; columns stay as they were.
+def keep_one(documents: DataFrame, threshold: float = 0.8, recall: float = 0.999, bucket_limit: int = 128, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class stays, the one with the smallest id (a null id comes last, then the text's key decides); columns stay as they were.
 
-    Rows with null id all stay: nothing tells them apart. Of rows that share an id, one stays.
+    Of rows of one id and one text, one stays, whatever their other columns.
     """
-    classes = jaccard_classes(documents, **options)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
+    found = _classified(documents, threshold, recall, bucket_limit, width, id_col, text_col)
+    tk, kept_id, kept_tk = (fresh(c, documents.columns) for c in ("tk", "kept_id", "kept_tk"))
+    kept = found.select(F.col("kept.id").alias(kept_id), F.col("kept.tk").alias(kept_tk)).distinct()
+    keyed = documents.withColumn(tk, text_key(F.coalesce(F.col(text_col), F.lit(""))))
+    return keyed.join(kept, keyed[id_col].eqNullSafe(F.col(kept_id)) & (F.col(tk) == F.col(kept_tk)), "left_semi").dropDuplicates([id_col, tk]).select(*documents.columns)
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

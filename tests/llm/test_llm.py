@@ -221,12 +221,35 @@ def test_jaccard_compares_what_stays_large_under_a_hot_template(spark, monkeypat
     assert sum(i != c for i, c in got.items()) == found
 
 
+def test_jaccard_recall_at_the_threshold_behind_a_shared_passage(spark):
+    rnd = random.Random(11)
+    make = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage, rows = make(50), []
+    for i in range(700):  # each pair differs in one place: Jaccard 0.80 to 0.85, cross pairs share the passage
+        own = make(40)
+        at, cut = rnd.randrange(6, 30), rnd.choice([4, 5])
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:at] + make(cut) + own[at + cut :]))]
+    sets = [shingles(t) for _, t in rows]
+    likeness = [len(sets[a] & sets[a + 1]) / len(sets[a] | sets[a + 1]) for a in range(0, 1400, 2)]
+    pairs = [2 * i for i, x in enumerate(likeness) if x >= 0.8]
+    assert len(pairs) > 250 and max(likeness) < 0.86
+    got = {r.doc_id: r for r in jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a].class_id == got[a + 1].class_id == a for a in pairs)
+    assert found >= 0.99 * len(pairs), (found, len(pairs))
+    with pytest.raises(ValueError):
+        jj.repetitions(0.2, 0.999)
+
+
 def test_jaccard_without_and_with_repeated_ids(spark):
     words = [f"w{i}" for i in range(60)]
     near = " ".join(words)
     rows = [(None, near), (None, near + " end"), (7, "quite another text of seven words"), (7, "start " + near), (None, None)]
-    got = {r.n_links for r in jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).where("class_id = 7").collect()}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.n_links for r in jj.jaccard_classes(table).where("class_id = 7").collect()}
     assert got == {0, 2}
+    # three classes, three rows: texts that share an id stay apart, copies without id go
+    kept = jj.keep_one(table.union(table).withColumn("tk", F.lit(1)).withColumn("kept_id", F.lit(1))).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(7, "start " + near), (7, rows[2][1]), (None, None)], key=str)
 
 
 def test_suffix_array():
