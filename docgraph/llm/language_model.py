@@ -1,16 +1,21 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
 Counts of every six-byte string of the training texts (lower-cased, with start and end
-marks) are gathered by Spark; shorter contexts are their marginals. The trie keeps the
-contexts that occur at least as often as the ``max_contexts``-th most frequent of the
-longest order, so it is closed under suffixes. Escapes follow method C with symbol
-exclusion: a pretrained trie makes every escape chain a number per (context, symbol), so
-the trie becomes an automaton of costs that numpy walks for many text pieces at once.
-
-The baseline of each text is an add-0.1 unigram model over all training words. A bounded
-sample only decides which words are counted by broadcast table (the frequent ones) and
-which by shuffle (all others); counts are exact over all training rows either way. Words
-are known by a 64-bit hash.
+marks) are gathered by Spark; shorter contexts are their marginals. Together they are a
+trie of byte contexts up to order five, kept whole: it grows with the corpus. Escapes follow
+method C with symbol exclusion. With a pretrained trie the cost of a symbol depends on the
+five bytes before it alone, so Spark computes one cost per different six-byte string of the
+texts to score: strings are dealt by the last two bytes of their context, which all their
+contexts of order two and more share, and orders one and none are small tables for all.
+
+Texts sum the costs of their strings. The cost table is sorted and sent to the workers while
+it has at most ``table_rows`` rows; beyond that the strings of the texts, counted per slice
+of texts, are joined with it. Both give the same sums.
+
+The baseline of each text is an add-0.1 unigram model over all training words, counted
+exactly. The most frequent words (a bounded number) are looked up in a table that is sent to
+the workers; all others are joined, and none of them is frequent enough to be a hot key.
+Words are known by a 64-bit hash.
 
 Edge cases: null text reads as empty and has the end mark alone; with no training rows
 every symbol is uniform over 256; a row with null id is scored and not learned from;
@@ -19,21 +24,19 @@ repeated rows count and score alike.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgraph.llm.common import crc_mod, materialise, ranges, slices, text_buffer
+from docgraph.llm.common import crc_mod, fresh, materialise, ranges, shuffle_partitions, slices, text_buffer
 from docgraph.llm.substring_dedup import RollingHash
 
 ORDER = 5
-LANE = 384  # bytes of text that one lane of the automaton walk covers
 FREQUENT_WORDS = 150_000
-SAMPLE_ROWS = 4_000
+TABLE_ROWS = 8_000_000
+SCORE_BYTES = 4 << 20  # of text whose strings are looked up at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -83,215 +86,238 @@ def _tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[new], np.add.reduceat(n, new) if len(key) else n
 
 
-def frequent_words(documents: DataFrame, text_col: str) -> np.ndarray:
-    """Hashes of words frequent in a bounded sample; the choice affects cost alone."""
-    rows = documents.select(text_col).limit(SAMPLE_ROWS)
-
-    def count(batches):
-        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for i, j in slices(offsets):
-                key, n = np.unique(word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True)
-                keys.append(key)
-                counts.append(n)
-        key, n = _tally(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["h", "n"])
+def _emit(kind: int, key: np.ndarray, n: np.ndarray):
+    for i in range(0, len(key), 200_000):
+        k = key[i : i + 200_000]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[i : i + 200_000])], names=["kind", "key", "n"])
 
-    found = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT_WORDS).select("h").toPandas()
-    return np.sort(found.h.to_numpy(dtype=np.int64))
 
+def corpus_counts(documents: DataFrame, text_col: str, train: str) -> DataFrame:
+    """(kind, key, n): kind 0 six-byte strings of all texts and their count in training texts, kind 1 words of training texts, kind 2 words of the others.
 
-def corpus_counts(training: DataFrame, frequent: np.ndarray, text_col: str) -> DataFrame:
-    """(kind, key, n): kind 0 six-byte strings, kind 1 frequent words; summed per task before the shuffle."""
-    sent = training.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT_WORDS numbers at most
+    Each task sums up what it can hold before the shuffle.
+    """
 
     def count(batches):
-        table = sent.value
-        words = np.zeros(len(table), np.int64)
-        keys, counts, held = [], [], 0
+        held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], []), 2: ([], [])}
+
+        def add(kind, key, weight, final=False):
+            keys, counts = held[kind]
+            if len(key):
+                order = np.argsort(key)
+                key, weight = key[order], weight[order]
+                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                keys.append(key[new])
+                counts.append(np.add.reduceat(weight, new))
+            if sum(map(len, keys)) > 2_500_000 or (final and keys):
+                key, n = _tally(keys, counts)
+                if final or len(key) > 1_500_000:
+                    held[kind] = ([], [])
+                    yield from _emit(kind, key, n)
+                else:
+                    held[kind] = ([key], [n])
+
+        nothing = np.empty(0, np.int64)
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
+            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                key, n = np.unique(gram_codes(part, at), return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                held += len(key)
-                if len(table):
-                    h, _ = word_hashes(part, at)
-                    where = np.minimum(np.searchsorted(table, h), len(table) - 1)
-                    words += np.bincount(where[table[where] == h], minlength=len(table))
-                if held > 3_000_000:
-                    key, n = _tally(keys, counts)
-                    keys, counts, held = [key], [n], len(key)
-                    if held > 2_000_000:
-                        yield from _emit(0, key, n)
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield from _emit(0, *_tally(keys, counts))
-        seen = np.flatnonzero(words)
-        yield from _emit(1, table[seen], words[seen])
-
-    def _emit(kind, key, n):
-        for i in range(0, len(key), 200_000):
-            k = key[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[i : i + 200_000])], names=["kind", "key", "n"])
-
-    return training.select(text_col).mapInArrow(count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class ByteModel:
-    """Automaton of the trie: column per byte, next state and log10 probability per (state, column)."""
-
-    column: np.ndarray
-    next: np.ndarray
-    cost: np.ndarray
-
-
-def build_model(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> ByteModel:
-    """``levels[k]``: (context, symbol, count) of order k; contexts closed under suffixes."""
-    symbols = np.unique(levels[0][1]) if len(levels[0][1]) else np.empty(0, np.int64)
-    a = len(symbols) + 1  # the last column stands for all bytes never seen
-    column = np.full(256, a - 1, np.int64)
-    column[symbols] = np.arange(a - 1)
-    contexts, first, total = [], [], 0
-    for k, (ctx, _, _) in enumerate(levels):
-        own = np.zeros(1, np.int64) if k == 0 else np.unique(ctx)
-        contexts.append(own)
-        first.append(total)
-        total += len(own)
-    following = np.zeros((total, a), np.int32)
-    cost = np.empty((total, a), np.float32)
-    before_base = before_count = None
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k, (ctx, sym, n) in enumerate(levels):
-            own = contexts[k]
-            count = np.zeros((len(own), a), np.float32)
-            if len(ctx):
-                count[np.searchsorted(own, ctx), column[sym]] = n
-            seen = count > 0
-            t, d = count.sum(1, dtype=np.float64)[:, None], seen.sum(1)[:, None].astype(np.float64)
-            if k == 0:
-                base = np.full((1, a), -np.log10(max(1, 256 - (a - 1))), np.float64)
-                suffix = np.zeros(1, np.int64)
-            else:
-                mask = (1 << (8 * (k - 1))) - 1
-                local = np.searchsorted(contexts[k - 1], own & mask)
-                suffix = first[k - 1] + local
-                up = before_count[local]
-                tx = t * 0 + (up * ~seen).sum(1, dtype=np.float64)[:, None]
-                dx = ((up > 0) & ~seen).sum(1)[:, None].astype(np.float64)
-                escape = np.where(dx > 0, np.log10(dx / (tx + dx)), 0.0)
-                base = np.where((up > 0) & ~seen, np.log10(up / (tx + dx)), escape + before_base[local])
-            room = np.where(d < 256, d, 0.0)
-            cost[first[k] : first[k] + len(own)] = np.where(seen, np.log10(count / (t + room)), np.where(t > 0, np.log10(room / (t + room)), 0.0) + base)
-            # next states: the longer context where the trie has it, else what the suffix does
-            to = following[suffix].copy() if k else np.zeros((1, a), np.int32)
-            if k + 1 < len(levels) and len(contexts[k + 1]):
-                longer = contexts[k + 1]
-                keyed = (own[:, None] << 8) | symbols[None, :]
-                at = np.minimum(np.searchsorted(longer, keyed), len(longer) - 1)
-                hit = longer[at] == keyed
-                to[:, : a - 1] = np.where(hit, first[k + 1] + at, to[:, : a - 1])
-            following[first[k] : first[k] + len(own)] = to
-            before_base, before_count = base.astype(np.float32), count
-    return ByteModel(column, following, cost)
-
-
-def fit_model(counts: DataFrame, max_contexts: int = 40_000) -> ByteModel:
-    """The trie from gathered counts. The driver holds the kept contexts alone: about ``max_contexts`` per order."""
-    grams = counts.where("kind = 0").select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).alias("sym"), "n")
-    top = grams.groupBy("ctx").agg(F.sum("n").alias("t")).orderBy(F.desc("t")).limit(max_contexts + 1).agg(F.count("*").alias("k"), F.min("t").alias("t")).first()
-    least = (top["t"] or 0) + 1 if top["k"] > max_contexts else 1
-    levels = []
+                yield from add(0, gram_codes(part, at), np.repeat(learn[i:j], np.diff(at) + 1))
+                h, row = word_hashes(part, at)
+                taught = learn[i:j][row] > 0
+                for kind, own in ((1, h[taught]), (2, h[~taught])):
+                    yield from add(kind, own, np.ones(len(own), np.int64))
+        for kind in (0, 1, 2):
+            yield from add(kind, nothing, nothing, final=True)
+
+    rows = documents.select(text_col, F.coalesce(F.col(train), F.lit(False)).alias("learn"))
+    return rows.mapInArrow(count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _marginal(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (context of ``order`` bytes, symbol), as sorted codes and their counts."""
+    code = ((ctx & ((1 << (8 * order)) - 1)) << 8) | sym
+    return _tally([code], [n])
+
+
+def _level(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of sorted codes, with their totals and numbers of symbols."""
+    ctx = code >> 8
+    new = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.empty(0, int)
+    total = np.add.reduceat(n, new) if len(ctx) else n
+    return ctx[new], total, np.diff(np.append(new, len(ctx)))
+
+
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``values`` in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
+
+
+def string_costs(code: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of the last byte of each six-byte string after the five before it.
+
+    ``code``, ``n``: all strings whose contexts end in the same two bytes, and their training
+    counts (0: to score alone). ``low``: sorted codes and counts of orders 0 and 1.
+    """
+    seen = n > 0
+    ctx, sym = code[seen] >> 8, code[seen] & 255
+    levels = [*low, *(_marginal(ctx, sym, n[seen], k) for k in range(2, ORDER + 1))]
+    contexts = [_level(*level) for level in levels]
+    ctx, sym = code >> 8, code & 255
+    out = np.zeros(len(code))
+    open_ = np.ones(len(code), bool)  # still escaping
+    longer_d = longer_sum = np.zeros(len(code))  # symbols that the longer context had: how many, and their count here
     for k in range(ORDER, -1, -1):
-        own = grams if k == ORDER else grams.groupBy(F.col("ctx").bitwiseAND((1 << (8 * k)) - 1).alias("ctx"), "sym").agg(F.sum("n").alias("n"))
-        kept = own.groupBy("ctx").agg(F.sum("n").alias("t"), F.collect_list(F.struct("sym", "n")).alias("s"))  # 256 symbols at most
+        own, total, symbols = contexts[k]
+        key = ctx & ((1 << (8 * k)) - 1)
+        at, exists = _find(own, key)
+        place, hit = _find(levels[k][0], (key << 8) | sym)
+        hit &= exists
+        have = np.where(exists, symbols[at], 0) if len(own) else np.zeros(len(key), np.int64)
+        t = (np.where(exists, total[at], 0) if len(own) else 0) - longer_sum
+        d = have - longer_d
+        count = np.where(hit, levels[k][1][place] if len(own) else 0, 0)
+        room = np.where(have < 256, d, 0)  # where all symbols have followed, nothing escapes
+        use = open_ & (d > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out += np.where(use & hit, np.log10(count / (t + room)), np.where(use, np.log10(room / (t + room)), 0.0))
+        open_ &= ~(use & hit)
         if k:
-            kept = kept.where(F.col("t") >= least)
-        rows = kept.select("ctx", F.explode("s").alias("s")).select("ctx", "s.sym", "s.n").toPandas()
-        levels.append(tuple(rows[c].to_numpy(dtype=np.int64) for c in ("ctx", "sym", "n")))
-    return build_model(levels[::-1])
+            # of the symbols this context has seen: how often they follow the next shorter one
+            shorter = _find(levels[k - 1][0], ((levels[k][0] >> 8 & ((1 << (8 * (k - 1))) - 1)) << 8) | (levels[k][0] & 255))[0]
+            follow = levels[k - 1][1][shorter] if len(levels[k - 1][0]) else np.zeros(len(shorter))
+            ends = np.cumsum(symbols)
+            sums = np.concatenate([[0], np.cumsum(follow)])
+            passed = sums[ends] - sums[ends - symbols] if len(own) else np.zeros(1)
+            longer_sum = np.where(exists, passed[at] if len(own) else 0, 0)
+            longer_d = have
+        else:
+            out += np.where(open_, -np.log10(np.maximum(1, 256 - have)), 0.0)
+    return out
+
+
+def cost_table(counts: DataFrame) -> DataFrame:
+    """(code, cost) of every six-byte string: one task works on all strings whose contexts end in the same two bytes."""
+    spark = counts.sparkSession
+    strings = counts.where("kind = 0").select(F.col("key").alias("code"), "n", F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("pair"))
+    # 65,536 rows at most
+    rows = strings.where("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).orderBy("code").toPandas()
+    one = rows.code.to_numpy(dtype=np.int64), rows.n.to_numpy(dtype=np.int64)
+    none = _tally([one[0] & 255], [one[1]])
+    sent = spark.sparkContext.broadcast([none, one])
 
-
-def text_costs(model: ByteModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each text with its end mark; pieces of all texts walk the automaton side by side."""
-    stream, start = marked_stream(data, offsets)
-    length = np.diff(offsets) + 1
-    lanes = -(-length // LANE)
-    row = np.repeat(np.arange(len(length)), lanes)
-    k = ranges(np.zeros(len(lanes), np.int64), lanes)
-    at = start[row] + k * LANE  # ORDER symbols before the piece
-    size = np.minimum(LANE, length[row] - k * LANE)
-    order = np.argsort(-size, kind="stable")
-    at, size, row = at[order], size[order], row[order]
-    symbols = model.column[stream]
-    a = model.next.shape[1]
-    follow, cost = model.next.ravel(), model.cost.ravel()
-    state = np.zeros(len(at), np.int64)
-    total = np.zeros(len(at))
-    active = np.searchsorted(-size, -np.arange(int(size[0])), side="left") if len(size) else []
-    for t in range(ORDER):
-        state = follow[state * a + symbols[at + t]].astype(np.int64)
-    for t, n in enumerate(active):
-        cell = state[:n] * a + symbols[at[:n] + (ORDER + t)]
-        total[:n] += cost[cell]
-        state[:n] = follow[cell]
-    return np.bincount(row, weights=total, minlength=len(length))
-
-
-def score_texts(documents: DataFrame, text_col: str = "text", train: str = "__train") -> DataFrame:
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def solve():
+            table = pa.Table.from_batches(held)
+            pair = table.column("pair").to_numpy()
+            code, n = table.column("code").to_numpy(), table.column("n").to_numpy()
+            new = np.append(np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), len(pair))
+            for a, b in zip(new[:-1], new[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(code[a:b]), pa.array(string_costs(code[a:b], n[a:b], sent.value))], names=["code", "cost"])
+
+        last = None
+        for batch in batches:  # sorted by pair: whole pairs are solved as soon as the next one begins
+            pair = batch.column(2).to_numpy()
+            if not len(pair):
+                continue
+            if held and pair[0] != last:
+                yield from solve()
+                held.clear()
+            last = pair[-1]
+            cut = int(np.searchsorted(pair, last))
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield from solve()
+                held.clear()
+            held.append(batch.slice(cut))
+        if held:
+            yield from solve()
+
+    return strings.repartition(2 * shuffle_partitions(spark), "pair").sortWithinPartitions("pair").mapInArrow(run, "code long, cost double")
+
+
+def score_texts(documents: DataFrame, text_col: str = "text", train: str = "__train", table_rows: int = TABLE_ROWS) -> DataFrame:
     """The columns of ``documents`` (without text) with n_tokens, n_known, train_tokens, base_score, score.
 
-    Rows with ``train`` true are learned from; all rows are scored.
+    Rows with ``train`` true are learned from; all rows are scored. A column that is called like a new one is replaced.
     """
     spark = documents.sparkSession
-    frequent = frequent_words(documents, text_col)
-    counts = materialise(corpus_counts(documents.where(train), frequent, text_col), "corpus-counts")
-    known = counts.where("kind = 1").select("key", "n").toPandas()  # FREQUENT_WORDS rows at most
-    word_count = np.zeros(len(frequent), np.int64)
-    word_count[np.searchsorted(frequent, known.key.to_numpy(dtype=np.int64))] = known.n.to_numpy()
-    sent = spark.sparkContext.broadcast((frequent, word_count, fit_model(counts)))
-    columns = [c for c in documents.columns if c != text_col]
-    schema = T.StructType([*(documents.schema[c] for c in columns), *(T.StructField(n, k) for n, k in (("n_tokens", T.LongType()), ("__known", T.LongType()), ("__base", T.DoubleType()), ("score", T.DoubleType()), ("__rare", T.ArrayType(T.LongType()))))])
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    counts = materialise(corpus_counts(documents, text_col, train), "corpus-counts")
+    words = materialise(counts.where("kind > 0").groupBy(F.col("key").alias("h")).agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("all")), "words")
+    top = words.orderBy(F.desc("all"), "h").limit(FREQUENT_WORDS).toPandas().sort_values("h")  # FREQUENT_WORDS rows at most
+    frequent, frequent_n = top.h.to_numpy(dtype=np.int64), top.c.to_numpy(dtype=np.int64)
+    costs = materialise(cost_table(counts), "string-costs")
+    small = costs.count() <= table_rows
+    table = costs.orderBy("code").toPandas() if small else None  # table_rows rows at most
+    sent = spark.sparkContext.broadcast((frequent, frequent_n, (table.code.to_numpy(dtype=np.int64), table.cost.to_numpy(dtype=np.float32)) if small else None))
+    columns = [c for c in documents.columns if c != text_col and c not in results]
+    unique = columns + list(results)
+    known, base, rare, strings, row_id = (fresh(c, unique) for c in ("known", "base", "rare", "strings", "row"))
+    string = T.StructType([T.StructField("code", T.LongType()), T.StructField("times", T.IntegerType())])
+    fields = [("n_tokens", T.LongType()), (known, T.LongType()), (base, T.DoubleType()), ("score", T.DoubleType()), (rare, T.ArrayType(T.LongType())), (strings, T.ArrayType(string))]
+    schema = T.StructType([*(documents.schema[c] for c in columns), *(T.StructField(n, k) for n, k in fields)])
 
     def run(batches):
-        table, count, model = sent.value
-        logs = np.log10(count + 0.1)
+        words_at, words_n, costs_of = sent.value
+        logs = np.log10(words_n + 0.1)
+        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
         for batch in batches:
             data, offsets = text_buffer(batch.column(len(columns)))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SCORE_BYTES):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                h, row = word_hashes(part, at)
                 n = j - i
-                where = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
-                hit = table[where] == h if len(table) else np.zeros(len(h), bool)
-                base = np.bincount(row[hit], weights=logs[where[hit]], minlength=n) if hit.any() else np.zeros(n)
-                have = np.bincount(row[hit], weights=count[where[hit]] > 0, minlength=n).astype(np.int64) if hit.any() else np.zeros(n, np.int64)
-                rare = np.bincount(row[~hit], minlength=n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)), pa.array(h[~hit]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, n) for k in range(len(columns))), pa.array(np.bincount(row, minlength=n) + 1), pa.array(have), pa.array(base), pa.array(text_costs(model, part, at)), lists], names=[f.name for f in schema.fields])
-
-    rows = materialise(documents.select(*columns, text_col).mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "scored")
-    # All other words: one shuffle by word gives its count and its part of each text's sum.
-    rare = rows.select("__row", F.col(train).cast("int").alias("t"), F.explode("__rare").alias("h"))
-    w = Window.partitionBy("h")
-    rare = rare.withColumn("c", F.sum("t").over(w)).withColumn("first", F.row_number().over(w.orderBy("__row")) == 1)
-    sums = materialise(rare.groupBy("__row").agg(F.sum(F.log10(F.col("c") + 0.1)).alias("b"), F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("v")), "rare-sums")
+                h, row = word_hashes(part, at)
+                where, hit = _find(words_at, h)
+                have = np.bincount(row[hit][words_n[where[hit]] > 0], minlength=n).astype(np.int64)
+                sums = np.bincount(row[hit], weights=logs[where[hit]] if hit.any() else None, minlength=n).astype(float)
+                code = gram_codes(part, at)
+                length = np.diff(at) + 1
+                first = np.cumsum(length) - length
+                if costs_of is not None:
+                    order = np.argsort(code)
+                    value = np.empty(len(code))
+                    value[order] = costs_of[1][_find(costs_of[0], code[order])[0]]
+                    score = np.add.reduceat(value, first)
+                    spelled = lists(np.zeros(n, int), pa.array([], pa.struct([("code", pa.int64()), ("times", pa.int32())])))
+                else:
+                    own = np.repeat(np.arange(n), length)
+                    order = np.lexsort((code, own))
+                    code, own = code[order], own[order]
+                    new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (own[1:] != own[:-1])]))
+                    times = np.diff(np.append(new, len(code))).astype(np.int32)
+                    score = np.zeros(n)
+                    spelled = lists(np.bincount(own[new], minlength=n), pa.StructArray.from_arrays([pa.array(code[new]), pa.array(times)], names=["code", "times"]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, n) for k in range(len(columns))), pa.array(np.bincount(row, minlength=n) + 1), pa.array(have), pa.array(sums), pa.array(score), lists(np.bincount(row[~hit], minlength=n), pa.array(h[~hit])), spelled], names=[f.name for f in schema.fields])
+
+    rows = materialise(documents.select(*columns, text_col).mapInArrow(run, schema).withColumn(row_id, F.monotonically_increasing_id()), "scored")
+    # all other words are rare: none makes up more than one in FREQUENT_WORDS of all words
+    loose = rows.select(row_id, F.explode(rare).alias("h")).join(words, "h")
+    sums = loose.groupBy(row_id).agg(F.sum(F.log10(F.col("c") + 0.1)).alias("b"), F.sum((F.col("c") > 0).cast("long")).alias("k"))
     totals = rows.agg(F.sum(F.when(F.col(train), F.col("n_tokens"))).alias("n"), F.sum(F.col(train).cast("long")).alias("docs")).first()
     n_train, ends = int(totals["n"] or 0), int(totals["docs"] or 0)
-    v = int((word_count > 0).sum()) + int(sums.agg(F.sum("v")).first()[0] or 0) + (ends > 0)
+    v = words.where("c > 0").count() + (ends > 0)
     log_all = float(np.log10(n_train + 0.1 * (v + 1)))
-    base = F.col("__base") + F.coalesce("b", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.1))) - F.col("n_tokens") * F.lit(log_all)
-    return rows.join(sums, "__row", "left").select(
+    sums = sums.select(F.col(row_id).alias(row_id + "b"), F.col("b").alias(base + "b"), F.col("k").alias(known + "b"))
+    found = rows.join(sums, F.col(row_id) == F.col(row_id + "b"), "left")
+    score = F.col("score")
+    if not small:
+        spelled = rows.select(F.col(row_id).alias(row_id + "s"), F.explode(strings).alias("s")).select(row_id + "s", "s.*").join(costs, "code")
+        found = found.join(spelled.groupBy(row_id + "s").agg(F.sum(F.col("cost") * F.col("times")).alias(base + "s")), F.col(row_id) == F.col(row_id + "s"), "left")
+        score = F.col(base + "s")
+    return found.select(
         *columns,
         "n_tokens",
-        (F.col("__known") + F.coalesce("k", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
+        (F.col(known) + F.coalesce(known + "b", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        "score",
+        (F.col(base) + F.coalesce(base + "b", F.lit(0.0)) + F.lit(float(np.log10(ends + 0.1))) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
+        score.alias("score"),
     )
 
 

@@ -289,48 +289,19 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     assert windows == [(0, i) for i in range(1801)]
 
 
-def test_language_model(docs, empty, rows):
-    table = docs.select("doc_id", "text", (F.col("doc_id") % 4 != 0).alias("__train"))
-    got = {r.doc_id: r for r in lm.score_texts(table).collect()}
-    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for i, t, *_ in rows}
-    train = [i for i in tokens if i % 4]
-    count = Counter(w for i in train for w in tokens[i])
-    n = sum(count.values()) + len(train)
-    total = math.log10(n + 0.1 * (len(count) + 2))
-    for i, w in tokens.items():
-        base = sum(math.log10(count[x] + 0.1) - total for x in w) + math.log10(len(train) + 0.1) - total
-        assert got[i].base_score == pytest.approx(base, rel=1e-6) and got[i].train_tokens == n
-        assert (got[i].n_tokens, got[i].n_known) == (len(w) + 1, sum(count[x] > 0 for x in w) + 1) and got[i].score < 0
-    assert lm.score_texts(empty.select("doc_id", "text", F.lit(True).alias("__train"))).count() == 0
-
-
-def test_model_is_a_distribution_and_matches_plain_ppm():
-    data = np.frombuffer(b"abracadabra banana bandana", np.uint8)
-    codes, n = np.unique(lm.gram_codes(data, np.array([0, 11, 26])), return_counts=True)
-    ctx, sym = codes >> 8, codes & 255
-    levels, tables = [], []
-    for k in range(lm.ORDER + 1):
-        c = Counter()
-        for a, b, m in zip(ctx & ((1 << (8 * k)) - 1), sym, n, strict=True):
-            c[int(a), int(b)] += int(m)
-        levels.append(tuple(np.array(x, np.int64) for x in zip(*[(a, b, m) for (a, b), m in sorted(c.items())], strict=True)))
-        table = defaultdict(dict)
-        for (a, b), m in c.items():
-            table[a][b] = m
-        tables.append(table)
-    model = lm.build_model(levels)
-    unseen = 256 - len(np.unique(sym))
-    mass = (10 ** model.cost.astype(float)) @ np.append(np.ones(model.cost.shape[1] - 1), unseen)
-    assert np.allclose(mass, 1, atol=1e-4)
-
-    def plain(history, symbol):
+def plain_ppm(texts):
+    """PPM of the training texts by dictionaries: probability of a symbol after five others."""
+    tables = [defaultdict(Counter) for _ in range(lm.ORDER + 1)]
+    for t in texts:
+        stream = [0] * lm.ORDER + [max(b, 1) for b in t] + [0]
+        for i in range(lm.ORDER, len(stream)):
+            for k in range(lm.ORDER + 1):
+                tables[k][bytes(stream[i - k : i])][stream[i]] += 1
+
+    def probability(history, symbol):
         excluded, p = set(), 1.0
         for k in range(lm.ORDER, -1, -1):
-            key = 0
-            for b in (history[-k:] if k else []):
-                key = key << 8 | b
-            seen = {s: m for s, m in tables[k].get(key, {}).items() if s not in excluded}
+            seen = {s: m for s, m in tables[k].get(bytes(history[len(history) - k :]), {}).items() if s not in excluded}
             if not seen:
                 continue
             total, d = sum(seen.values()), len(seen)
@@ -340,13 +311,54 @@ def test_model_is_a_distribution_and_matches_plain_ppm():
             excluded |= set(seen)
         return p / (256 - len(excluded))
 
-    text = b"abra ban xyz"
-    got = lm.text_costs(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-    history, want = [0] * lm.ORDER, 0.0
-    for b in [*text, 0]:
-        want += math.log10(plain(history, b))
-        history.append(b)
-    assert got == pytest.approx(want, rel=1e-4)
+    return probability
+
+
+@pytest.mark.parametrize("rows_sent", [lm.TABLE_ROWS, 0])
+def test_language_model(docs, empty, rows, rows_sent, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT_WORDS", 20)
+    table = docs.select("doc_id", "text", "size", "score", F.lit(1).alias("known"), (F.col("doc_id") % 4 != 0).alias("__train"))
+    out = lm.score_texts(table, table_rows=rows_sent)
+    assert out.columns == ["doc_id", "size", "known", "__train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    got = {r.doc_id: r for r in out.collect()}
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    texts = {i: (t or "").translate(lower) for i, t, *_ in rows}
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in texts.items()}
+    train = [i for i in tokens if i % 4]
+    count = Counter(w for i in train for w in tokens[i])
+    n = sum(count.values()) + len(train)
+    total = math.log10(n + 0.1 * (len(count) + 2))
+    for i, w in tokens.items():
+        base = sum(math.log10(count[x] + 0.1) - total for x in w) + math.log10(len(train) + 0.1) - total
+        assert got[i].base_score == pytest.approx(base, rel=1e-6) and got[i].train_tokens == n
+        assert (got[i].n_tokens, got[i].n_known) == (len(w) + 1, sum(count[x] > 0 for x in w) + 1)
+    probability = plain_ppm([texts[i].encode() for i in train])
+    for i in sorted(texts)[::3]:
+        stream = [0] * lm.ORDER + list(texts[i].encode()[:4000]) + [0] * (len(texts[i].encode()) <= 4000)
+        if len(texts[i].encode()) <= 4000:
+            want = sum(math.log10(probability(stream[k - lm.ORDER : k], stream[k])) for k in range(lm.ORDER, len(stream)))
+            assert got[i].score == pytest.approx(want, rel=1e-4), i
+    untaught = {r.doc_id: r for r in lm.score_texts(table.withColumn("__train", F.lit(False)), table_rows=rows_sent).collect()}
+    assert all(r.score == pytest.approx(-(len(texts[i].encode()) + 1) * math.log10(256), rel=1e-5) and r.n_known == 0 for i, r in untaught.items())
+    assert lm.score_texts(empty.select("doc_id", "text", F.lit(True).alias("__train"))).count() == 0
+
+
+def test_string_costs_are_a_distribution():
+    texts = [b"abracadabra", b"banana bandana"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    codes, n = np.unique(lm.gram_codes(data, np.array([0, 11, 25])), return_counts=True)
+    probability = plain_ppm(texts)
+    one = lm._tally([codes & 0xFFFF], [n])
+    none = lm._tally([one[0] & 255], [one[1]])
+    for history in (b"abrac", b"xxban", b"zzzzq", b"\0\0\0\0\0"):
+        context = int.from_bytes(history, "big")
+        all_codes = np.concatenate([codes, (context << 8) | np.arange(256)])
+        pair = context & 0xFFFF
+        key, times = lm._tally([all_codes], [np.concatenate([n, np.zeros(256, np.int64)])])
+        own = (key >> 8 & 0xFFFF) == pair
+        cost = dict(zip(key[own].tolist(), lm.string_costs(key[own], times[own], [none, one]).tolist(), strict=True))
+        got = [10 ** cost[(context << 8) | s] for s in range(256)]
+        assert sum(got) == pytest.approx(1) and got == pytest.approx([probability(history, s) for s in range(256)])
 
 
 def test_mixing(docs, empty, rows):
