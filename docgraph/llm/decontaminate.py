@@ -5,13 +5,15 @@ document stream through it; the automaton tracks the longest match that ends at
 word. A match of ``window`` words (or a whole item of fewer) marks its words as hit.
 Spans of hit words can be removed, and documents over a coverage limit dropped.
 
-The automaton is built from blocks of items of bounded size (``block_chars``). Blocks
-reach the driver one at a time, and the rows are written between passes, so a worker
-holds one automaton however large the benchmark is.
+The automaton is built from blocks of bounded size (``block_chars``): equal texts are one
+entry with all their ids, and a long item is cut into pieces that overlap by a window less
+one word. Blocks reach the driver one at a time, and the rows are written between passes,
+so a worker holds one automaton however large the benchmark is.
 
 Edge cases: null and empty texts have no words and no hits; items without words match
 nothing; repeated items with one id count once; an empty benchmark hits nothing; an
-item with null id still hits and counts under the empty id.
+item with null id still hits and counts under the empty id; a column called like a new one
+is replaced where hits are marked and kept where they are removed.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgraph.llm.common import materialise
+from docgraph.llm.common import fresh, materialise
 
+RESULTS = ("n_words", "hits", "item_ids", "longest_match")
+PIECE_WORDS = 20_000  # of a long item
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to lower case, and every byte that is in no word to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if WORD.fullmatch(bytes([b])) else 32 for b in range(256))
@@ -36,15 +40,15 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if WORD.fullmatch(bytes([b])) else 3
 class SuffixAutomaton:
     """Generalised suffix automaton over word numbers, with the items behind each full window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[tuple[str, ...], list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         coded = []
-        for item, words in items:
+        for ids, words in items:
             numbers = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            coded.append((item, numbers))
+            coded.append((ids, numbers))
             last = 0
             for x in numbers:
                 last = self._extend(last, x)
@@ -56,14 +60,14 @@ class SuffixAutomaton:
         # whole items shorter than a window, at the state of the item
         self.short: dict[int, tuple[int, set[str]]] = {}
         self.items: dict[int, set[str]] = {}
-        for item, numbers in coded:
+        for ids, numbers in coded:
             state = size = 0
             for x in numbers:
                 state, size = self.step(state, size, x)
                 if size >= window:
-                    self.items.setdefault(self.anchor[state], set()).add(item)
+                    self.items.setdefault(self.anchor[state], set()).update(ids)
             if 0 < len(numbers) < window:
-                self.short.setdefault(state, (len(numbers), set()))[1].add(item)
+                self.short.setdefault(state, (len(numbers), set()))[1].update(ids)
         self.min_words = min([window, *(n for n, _ in self.short.values())])
         # nearest state at or above that is a short item
         self.short_up = [-1] * len(self.link)
@@ -171,7 +175,7 @@ _NONE = _Minus()
 _BUILT: dict[str, SuffixAutomaton] = {}
 
 
-def _automaton(name: str, items: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
+def _automaton(name: str, items: list[tuple[tuple[str, ...], bytes]], window: int) -> SuffixAutomaton:
     """One automaton per worker process and block."""
     if name not in _BUILT:
         _BUILT.clear()
@@ -179,23 +183,30 @@ def _automaton(name: str, items: list[tuple[str, bytes]], window: int) -> Suffix
     return _BUILT[name]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about ``block_chars`` characters each, dealt by a hash of the text; one block at least."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+def benchmark_blocks(benchmark: DataFrame, block_chars: int, window: int) -> Iterator[list[tuple[tuple[str, ...], bytes]]]:
+    """(ids, text) in blocks of about ``block_chars`` characters each, dealt by a hash of the text; one block at least."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)), F.lit(PIECE_WORDS))
+    pieces = items.select("i", F.explode(F.transform(starts, lambda k: F.array_join(F.slice("w", k, PIECE_WORDS + window - 1), " "))).alias("t"))
+    entries = materialise(pieces.groupBy("t").agg(F.sort_array(F.collect_set("i")).alias("ids")), "benchmark")
+    chars = entries.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
     for k in range(n):
-        yield [(r.i, r.t.encode()) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").collect()]
+        yield [(tuple(r.ids), r.t.encode()) for r in entries.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("t").collect()]
 
 
-def mark_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_chars: int = 2_000_000) -> DataFrame:
-    """The documents with n_words, hits (word runs [start, end)), item_ids and longest_match."""
+def mark_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_chars: int = 2_000_000, names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """The documents with n_words, hits (word runs [start, end)), item_ids and longest_match, or as ``names`` calls them."""
     spark = documents.sparkSession
-    out = documents.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<struct<start:long,end:long>>"), "item_ids": F.array().cast("array<string>"), "longest_match": F.lit(0).cast("long")})
-    names = out.columns
-    text_at, base = names.index(text_col), len(names) - 4
+    out = documents.select(*(c for c in documents.columns if c.lower() not in names))
+    base, text_at = len(out.columns), out.columns.index(text_col)
+    kinds = ("long", "array<struct<start:long,end:long>>", "array<string>", "long")
+    out = out.select("*", *((F.array() if "array" in kind else F.lit(0)).cast(kind).alias(name) for name, kind in zip(names, kinds, strict=True)))
+    columns_out = out.columns
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for k, block in enumerate(benchmark_blocks(benchmark, block_chars)):
+    for k, block in enumerate(benchmark_blocks(benchmark, block_chars, window)):
         if k:
             out = materialise(out, "marked")
         sent = spark.sparkContext.broadcast(block)  # at most about block_chars
@@ -217,7 +228,7 @@ def mark_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, text
                     items.append(sorted(found | set(old_items)))
                     longest.append(max(best, old_longest))
                 columns = [*(batch.column(k) for k in range(base)), pa.array(n_words, pa.int64()), pa.array(hits, run_type), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=columns_out)
 
         out = out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema]))
     return out
@@ -246,10 +257,11 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """Remove hit spans; drop documents of which more than ``max_coverage`` of the words is hit. Columns stay as they were."""
-    marked = mark_hits(documents, benchmark, window)
-    covered = F.aggregate("hits", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
-    kept = marked.where(covered <= F.col("n_words") * max_coverage)
     columns = documents.columns
+    names = tuple(fresh(c, columns) for c in RESULTS)
+    marked = mark_hits(documents, benchmark, window, names=names)
+    covered = F.aggregate(names[1], F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
+    kept = marked.where(covered <= F.col(names[0]) * max_coverage)
     at, hits = columns.index("text"), len(columns) + 1
 
     def run(batches):

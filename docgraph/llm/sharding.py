@@ -1,18 +1,20 @@
 """Sharding by a k-d tree over document metadata.
 
-Points are groups of equal texts (a group heavier than a small share of a shard is
-first split by a hash of its ids, so no point is heavy). A node is split along its
-widest dimension (log size, language, source; hashed names for the latter two) at the
-weighted quantile that gives each side its share of the leaves. The quantile is found
-by distributed histograms: one aggregation per pass, a few rows per node to the driver,
-each pass zooming into the bucket that holds the cut. Leaves are the shards; slots are
-numbered from counts per (shard, hash bucket), so no task ever holds a whole shard.
+Points are groups of equal texts. A node is split along its widest dimension (log size,
+language, source; hashed names for the latter two) at the weighted quantile that gives
+each side the bytes its leaves have room for. The quantile is found by distributed
+histograms: one aggregation per pass, a few rows per node to the driver, each pass zooming
+into the bucket that holds the cut. Splitting ends when each leaf holds the target bytes;
+leaves are the shards. Groups heavier than ``tolerance`` of a shard would tip a split, so
+they are placed first, the heaviest into the emptiest shard, and the leaves' room shrinks by
+them; only a group that no shard has room for is dealt to several, by a hash of the ids.
+Slots are numbered from counts per (shard, hash bucket), so no task ever holds a whole shard.
 
 Only DataFrame functions are used. What the driver sees is bounded by the shard count.
 
 Edge cases: null text has size 8 and the crc32 of nothing, 0; null metadata is a value of its own;
-equal texts stay in one shard unless their group weighs more than ``tolerance`` of a
-shard; an empty table gives an empty result; fewer rows than shards leave shards empty.
+equal texts stay in one shard unless no shard has room for their group; an empty table gives
+an empty result; fewer rows than shards leave shards empty.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialise
+from docgraph.llm.common import materialise, offsets_of
 
 DIMS = ("x_size", "x_lang", "x_source")
 KEY_BITS = 60  # 30 bits of coordinate, 30 bits of group hash that order equal coordinates
@@ -49,11 +51,12 @@ def _key(dim: str, low: float, high: float) -> Column:
     return F.shiftleft((place * (2**30 - 1)).cast("long"), 30) + F.shiftrightunsigned(F.col("tie"), 34)
 
 
-def grow_tree(points: DataFrame, n_shards: int, tolerance: float = 0.001) -> DataFrame:
-    """The points with their leaf, 0 .. n_shards - 1 in tree order, as ``node``.
+def grow_tree(points: DataFrame, room: list[float], tolerance: float = 0.001) -> DataFrame:
+    """The points with their leaf as ``node``: leaves are numbered in tree order, leaf i gets the share ``room[i]`` of the weight.
 
-    The driver holds a few numbers per node, at most ``n_shards`` nodes at a time.
+    The driver holds a few numbers per node, at most as many nodes as leaves at a time.
     """
+    n_shards = len(room)
     points = points.withColumn("node", F.lit(0))
     spans = {0: (0, n_shards)}  # node: first leaf, number of leaves
     spread: dict[str, float] | None = None
@@ -70,7 +73,9 @@ def grow_tree(points: DataFrame, n_shards: int, tolerance: float = 0.001) -> Dat
                 dim = max(DIMS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / spread[d])
                 keys[n] = _key(dim, r[f"lo_{dim}"], r[f"hi_{dim}"])
                 total[n] = int(r["w"])
-                want[n] = total[n] * (leaves // 2) / leaves
+                first = spans[n][0]
+                own = sum(room[first : first + leaves])
+                want[n] = total[n] * (sum(room[first : first + leaves // 2]) / own if own > 0 else 0.5)
         # Written once a level: the next level's expressions then start from plain columns.
         keyed = materialise(points.withColumn("k", _by_node(keys, F.lit(None).cast("long"))), "shard-level")
         prefix, before, width = dict.fromkeys(keys, 0), dict.fromkeys(keys, 0), KEY_BITS
@@ -106,8 +111,30 @@ def grow_tree(points: DataFrame, n_shards: int, tolerance: float = 0.001) -> Dat
     return points.withColumn("node", _by_node({n: F.lit(first) for n, (first, _) in spans.items()}, F.lit(0)))
 
 
-def kd_shards(documents: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.02) -> DataFrame:
-    """Shard and slot of each row: (id, size, text_crc32, shard, slot). Law: near-equal bytes per shard."""
+def place_heavy(groups: list[tuple], n_shards: int, target: float) -> tuple[list[tuple], list[float]]:
+    """(group, size, from, to, shard) of heavy groups, each whole where a shard has room for it, and the room that is left.
+
+    ``groups``: (group, size, rows). The heaviest goes first, into the shard with most room; a group
+    that exceeds all room is dealt to several shards, from and to being shares of its rows.
+    """
+    room, out = [target] * n_shards, []
+    for group, size, rows in sorted(groups, key=lambda g: (-g[1] * g[2], g[0], g[1])):
+        weight, at = size * rows, 0.0
+        while at < 1:
+            shard = max(range(n_shards), key=room.__getitem__)
+            # a rounding error of a shard's room is no reason to split
+            share = 1 - at if weight * (1 - at) <= room[shard] + 0.001 * target or room[shard] <= 0 else room[shard] / weight
+            out.append((group, size, at, at + share, shard))
+            room[shard] -= weight * share
+            at = 1.0 if at + share > 1 - 1e-9 else at + share
+    return out, [max(r, 0.0) for r in room]
+
+
+def kd_shards(documents: DataFrame, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", target_bytes: int | None = None, tolerance: float = 0.02) -> DataFrame:
+    """Shard and slot of each row: (id, size, text_crc32, shard, slot). Law: near-equal bytes per shard.
+
+    Leaves hold ``target_bytes`` each; ``n_shards`` sets the target to a share of the whole instead.
+    """
     spark = documents.sparkSession
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     meta = [F.col(c) if c in documents.columns else F.lit(None).cast("string") for c in ("lang", "source")]
@@ -123,29 +150,24 @@ def kd_shards(documents: DataFrame, n_shards: int, id_col: str = "doc_id", text_
         "shard-rows",
     )
     total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
-    limit = max(1.0, (total["b"] or 0) / n_shards * tolerance)
-    # A heavy group of equal texts is cut into pieces by id; counts decide the number of pieces.
-    heavy = rows.groupBy("group", "size").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") * F.col("size") > limit)).select("group", "size", F.ceil(F.col("n") * F.col("size") / limit).alias("pieces"))
-    # At most n_shards / tolerance groups can be heavy, so this side is bounded.
-    tagged = rows.join(F.broadcast(heavy), ["group", "size"], "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id"), F.col("pieces"))).otherwise(F.lit(0)))
-    tie = F.shiftrightunsigned("group", 12)
-    points = materialise(
-        tagged.groupBy("group", "size", "piece")
-        .agg(F.sum("size").alias("w"), F.min("x_lang").alias("x_lang"), F.min("x_source").alias("x_source"))
-        .withColumn("x_size", F.log2(F.col("size").cast("double")))
-        .withColumn("tie", F.shiftleft(tie, 12) + F.pmod(F.col("piece"), F.lit(4096))),
-        "shard-points",
-    )
-    # pieces of a hot group differ in the bits that order equal coordinates
-    points = points.withColumn("tie", F.when(F.col("piece") > 0, F.xxhash64("group", "piece")).otherwise(F.col("tie")))
-    placed = grow_tree(points, n_shards).select("group", "size", "piece", F.col("node").alias("shard"))
-    # One row per point on this side: a hot group has many points, so no join key is hot.
-    sharded = tagged.select("id", "size", "crc", "group", "piece").join(placed, ["group", "size", "piece"])
+    n_shards = n_shards or max(1, math.ceil((total["b"] or 0) / target_bytes))
+    target = max(1.0, (total["b"] or 0) / n_shards)
+    # at most n_shards / tolerance groups are heavy
+    heavy = rows.groupBy("group", "size").agg(F.count("*").alias("n")).where(F.col("n") * F.col("size") > target * tolerance).collect()
+    dealt, room = place_heavy([tuple(r) for r in heavy], n_shards, target)
+    placed = spark.createDataFrame(dealt, "group long, size long, low double, high double, shard int")
+    own = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    light = rows.join(F.broadcast(placed.select("group", "size").distinct()), ["group", "size"], "left_anti")
+    points = light.groupBy("group", "size").agg(F.sum("size").alias("w"), F.min("x_lang").alias("x_lang"), F.min("x_source").alias("x_source"))
+    points = materialise(points.withColumn("x_size", F.log2(F.col("size").cast("double"))).withColumn("tie", F.col("group")), "shard-points")
+    leaves = grow_tree(points, room).select("group", "size", F.col("node").alias("shard"))
+    # no key of this join is hot: hot groups are heavy
+    sharded = light.select("id", "size", "crc", "group").join(leaves, ["group", "size"]).select("id", "size", "crc", "shard")
+    pinned = rows.join(F.broadcast(placed), ["group", "size"]).where((own >= F.col("low")) & (own < F.col("high")))
+    sharded = sharded.unionByName(pinned.select("id", "size", "crc", "shard"))
     buckets = max(1, math.ceil((total["n"] or 0) / n_shards / 2000))
     sharded = sharded.withColumn("bucket", F.pmod(F.xxhash64("id", "crc"), F.lit(buckets)))
-    counts = sharded.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("offset"))
+    offsets = offsets_of(sharded.groupBy("shard", "bucket").agg(F.count("*").alias("n")), "shard", "bucket", "n", "offset")
     inside = Window.partitionBy("shard", "bucket").orderBy("id", "crc", "size")
     return (
         sharded.withColumn("rn", F.row_number().over(inside))

@@ -13,7 +13,8 @@ a hot host is spread.
 
 Edge cases: a null or malformed url has an empty host, and a null fetch time meets no
 interval: both give "none"; additions and removals at one instant count as a removal;
-repeated rows and extra columns are kept; an empty list or capture table works.
+repeated rows and extra columns are kept, but a column called like a new one is replaced;
+an empty list or capture table works.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
     return (
         keyed.join(verdicts, ["__host", "__seg", "__at"], "left")
         .select(
-            *(captures[c] for c in captures.columns),
+            *(keyed[c] for c in captures.columns if c.lower() not in ("host", "n_active", "pattern", "since_us", "verdict")),
             F.col("__host").alias("host"),
             F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
             F.col("__best.pattern").alias("pattern"),
@@ -98,12 +99,13 @@ def _digit(pattern: Column, at: int) -> Column:
     return F.conv(F.substring(F.md5(pattern), at, 2), 16, 10).cast("long")
 
 
-def derived_entries(hosts: DataFrame) -> DataFrame:
-    """A dated list over the hosts of a crawl: which patterns, on which list and when follows from their md5."""
+def derived_entries(places: DataFrame) -> DataFrame:
+    """A dated list over the hosts and first path segments of a crawl: which patterns, on which list and when follows from their md5."""
     p = F.col("pattern")
     day, hour = F.lit(86_400_000_000), F.lit(3_600_000_000)
     start = micros(F.lit("2024-01-01 00:00:00")) + (_digit(p, 1) % 20) * day + (_digit(p, 11) % 24) * hour
-    listed = hosts.select(F.explode(suffixes(F.col("host"))).alias("pattern")).distinct().where(_digit(p, 9) % 3 == 0)
+    patterns = F.concat(suffixes(F.col("host")), F.when(F.col("seg") != "", F.array(F.concat_ws("/", "host", "seg"))).otherwise(F.array().cast("array<string>")))
+    listed = places.select(F.explode(patterns).alias("pattern")).distinct().where(_digit(p, 9) % F.when(p.contains("/"), 24).otherwise(3) == 0)
     stop = start + (1 + _digit(p, 3) % 6) * day
     again = stop + (1 + _digit(p, 5) % 6) * day
     rows = [F.struct(F.lit("add").alias("action"), start.alias("at")), F.struct(F.lit("remove").alias("action"), stop.alias("at"))]
@@ -116,8 +118,8 @@ def op5_urlfilter(spark, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("page_id"), micros("ts").alias("ts_us"))
     fallback = micros(F.lit("2024-01-01 00:00:00")) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(30)) * F.lit(86_400_000_000)
     captures = pages.join(events, "page_id", "left").select("page_id", "url", F.coalesce("ts_us", fallback).alias("fetched_us"))
-    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
-    return filter_captures(captures, derived_entries(hosts)).drop("url")
+    places = pages.select(host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("seg")).where("host <> ''").distinct()
+    return filter_captures(captures, derived_entries(places)).drop("url")
 
 
 OP5_SQL = r"""
@@ -126,8 +128,10 @@ with captures as (
          regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) as seg,
          coalesce(epoch_us(ts), epoch_us(timestamp '2024-01-01') + (page_id % 30) * 86400000000) as fetched_us
   from pages left join events on event_id = page_id),
-hosts as (select distinct host, string_split(host, '.') as parts from captures),
-patterns as (select distinct unnest([array_to_string(parts[i:], '.') for i in range(1, len(parts))]) as pattern from hosts),
+wanted as (
+  select page_id, host, fetched_us, unnest([array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')))]
+         || case when host <> '' and seg <> '' then [host || '/' || seg] else [] end) as pattern from captures),
+patterns as (select distinct pattern from wanted),
 h as (
   select pattern, md5(pattern) as m from patterns),
 d as (
@@ -136,13 +140,10 @@ d as (
 s as (
   select pattern, case when d13 % 4 = 0 then 'allow' else 'block' end as list,
          epoch_us(timestamp '2024-01-01') + (d1 % 20)::bigint * 86400000000 + (d11 % 24)::bigint * 3600000000 as start,
-         (1 + d3 % 6)::bigint * 86400000000 as len, (1 + d5 % 6)::bigint * 86400000000 as gap, d7 from d where d9 % 3 = 0),
+         (1 + d3 % 6)::bigint * 86400000000 as len, (1 + d5 % 6)::bigint * 86400000000 as gap, d7 from d where d9 % (case when contains(pattern, '/') then 24 else 3 end) = 0),
 intervals as (
   select list, pattern, start as since, start + len as until from s
   union all select list, pattern, start + len + gap, null from s where d7 % 2 = 0),
-wanted as (
-  select page_id, host, fetched_us, unnest([array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')))]
-         || case when seg <> '' then [host || '/' || seg] else [] end) as pattern from captures),
 hits as (
   select w.page_id, i.*, row_number() over (partition by w.page_id order by length(i.pattern) desc, i.list, i.since desc) as rn,
          count(*) over (partition by w.page_id) as n
