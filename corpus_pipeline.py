@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialise
+from docgraph.llm.common import fresh, materialise, release, written
 from docgraph.llm.decontaminate import decontaminate
 from docgraph.llm.jaccard_join import keep_one
 from docgraph.llm.mixing import mix
@@ -23,8 +23,9 @@ LEAST_QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.3) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_quality(docs, fit_quality(docs, labels), keep=docs.columns)
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    score = fresh("score", docs.columns)
+    scored = score_quality(docs, fit_quality(docs, labels), keep=docs.columns, score_col=score)
+    return scored.where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +41,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document appears as often as the mix takes its words, to the nearest whole number, three times at most.
 
-    Documents with null id appear once; documents without words add nothing to a mix and appear once too.
+    Documents without words add nothing to a mix and appear once. Rows of one id, source and text share
+    what the mix takes of them evenly.
     """
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = mix(docs.where(F.col("doc_id").isNotNull())).where("size > 0").select("doc_id", copies.alias("__copies"))
-    repeats = F.coalesce("__copies", F.lit(1))
-    joined = docs.join(taken, "doc_id", "left").where(repeats > 0)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), repeats))).select(*docs.columns)
+    names = [fresh(c, docs.columns) for c in ("id", "origin", "hash", "copies", "copy")]
+    id_, origin, hash_, copies, copy = names
+    alike = mix(docs).where("size > 0").groupBy(F.col("doc_id").alias(id_), F.col("source").alias(origin), F.col("text_hash").alias(hash_))
+    taken = alike.agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(copies))
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & docs["source"].eqNullSafe(F.col(origin)) & (F.xxhash64(docs["text"]) == F.col(hash_))
+    repeats = F.coalesce(copies, F.lit(1))
+    joined = docs.join(taken, same, "left").where(repeats > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), repeats))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +67,18 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: SQL can't express the learned classifier of the first stage; tests hold each stage against brute force.
+#: SQL can't express the learned classifier of the first stage; a test holds the rows of each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept: list[str] = []
     for name, stage in STAGES[:-1]:
+        before = set(written())
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what the stage wrote on its way, and the stage before it, is read no more
+        mine = [p for p in written() if p not in before]
+        release(spark, [*mine[:-1], *kept])
+        kept = mine[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
