@@ -44,13 +44,17 @@ class ConvNet:
 
 
 def pad_blocks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with each document zero-padded to whole blocks (``width - 1`` zeros at least), and blocks per document."""
+    """Bytes with each document zero-padded to whole blocks (``width - 1`` zeros at least), and blocks per document.
+
+    Everything is moved by ``width - 1`` places: a filter at place i covers the bytes up to i, and the
+    zeros that end a document stand before the next one.
+    """
     sizes = np.diff(offsets)
     blocks = (sizes + width - 1 + BLOCK - 1) // BLOCK
     starts = np.concatenate([[0], np.cumsum(blocks)]) * BLOCK
     out = np.zeros(int(starts[-1]) + width, np.uint8)
     shift = np.repeat(starts[:-1] - offsets[:-1], sizes)
-    out[np.arange(len(data)) + shift] = data
+    out[np.arange(len(data)) + shift + width - 1] = data
     return out, blocks
 
 
