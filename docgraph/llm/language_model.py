@@ -13,8 +13,9 @@ it has at most ``table_rows`` rows; beyond that the strings of the texts, counte
 of texts, are joined with it. Both give the same sums.
 
 The baseline of each text is an add-0.1 unigram model over all training words, counted
-exactly. The most frequent words (a bounded number) are looked up in a table that is sent to
-the workers; all others are joined, and none of them is frequent enough to be a hot key.
+exactly. Words of at least one in ``WORD_SHARE`` occurrences (so many words at most) are
+looked up in a table that is sent to the workers; all others are joined, and none of them is
+frequent enough to be a hot key.
 Words are known by a 64-bit hash.
 
 Edge cases: null text reads as empty and has the end mark alone; with no training rows
@@ -34,7 +35,8 @@ from docgraph.llm.common import crc_mod, fresh, materialise, ranges, shuffle_par
 from docgraph.llm.substring_dedup import RollingHash
 
 ORDER = 5
-FREQUENT_WORDS = 150_000
+WORD_SHARE = 1_000_000  # a word of at least one in so many occurrences is looked up, not joined
+COLLECT_ROWS = 400_000  # rows that reach the driver at a time
 TABLE_ROWS = 8_000_000
 SCORE_BYTES = 4 << 20  # of text whose strings are looked up at once
 
@@ -219,7 +221,7 @@ def cost_table(counts: DataFrame) -> DataFrame:
             code, n = table.column("code").to_numpy(), table.column("n").to_numpy()
             new = np.append(np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), len(pair))
             for a, b in zip(new[:-1], new[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(code[a:b]), pa.array(string_costs(code[a:b], n[a:b], sent.value))], names=["code", "cost"])
+                yield pa.RecordBatch.from_arrays([pa.array(code[a:b]), pa.array(string_costs(code[a:b], n[a:b], sent.value).astype(np.float32))], names=["code", "cost"])
 
         last = None
         for batch in batches:  # sorted by pair: whole pairs are solved as soon as the next one begins
@@ -239,7 +241,20 @@ def cost_table(counts: DataFrame) -> DataFrame:
         if held:
             yield from solve()
 
-    return strings.repartition(2 * shuffle_partitions(spark), "pair").sortWithinPartitions("pair").mapInArrow(run, "code long, cost double")
+    return strings.repartition(2 * shuffle_partitions(spark), "pair").sortWithinPartitions("pair").mapInArrow(run, "code long, cost float")
+
+
+def sorted_table(frame: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded table as arrays sorted by key, fetched in parts so that the driver never holds it twice."""
+    parts = 1 + frame.count() // COLLECT_ROWS
+    keys, values = [], []
+    for i in range(parts):
+        part = frame.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i).select(key, value).toArrow()
+        keys.append(part.column(0).to_numpy())
+        values.append(part.column(1).to_numpy())
+    key_all, value_all = np.concatenate(keys).astype(np.int64), np.concatenate(values)
+    order = np.argsort(key_all)
+    return key_all[order], value_all[order]
 
 
 def score_texts(documents: DataFrame, text_col: str = "text", train: str = "__train", table_rows: int = TABLE_ROWS) -> DataFrame:
@@ -251,12 +266,11 @@ def score_texts(documents: DataFrame, text_col: str = "text", train: str = "__tr
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     counts = materialise(corpus_counts(documents, text_col, train), "corpus-counts")
     words = materialise(counts.where("kind > 0").groupBy(F.col("key").alias("h")).agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("all")), "words")
-    top = words.orderBy(F.desc("all"), "h").limit(FREQUENT_WORDS).toPandas().sort_values("h")  # FREQUENT_WORDS rows at most
-    frequent, frequent_n = top.h.to_numpy(dtype=np.int64), top.c.to_numpy(dtype=np.int64)
+    occurrences = words.agg(F.sum("all")).first()[0] or 0
+    frequent, frequent_n = sorted_table(words.where(F.col("all") * WORD_SHARE >= occurrences), "h", "c")  # WORD_SHARE rows at most
     costs = materialise(cost_table(counts), "string-costs")
     small = costs.count() <= table_rows
-    table = costs.orderBy("code").toPandas() if small else None  # table_rows rows at most
-    sent = spark.sparkContext.broadcast((frequent, frequent_n, (table.code.to_numpy(dtype=np.int64), table.cost.to_numpy(dtype=np.float32)) if small else None))
+    sent = spark.sparkContext.broadcast((frequent, frequent_n, sorted_table(costs, "code", "cost") if small else None))  # table_rows rows at most
     columns = [c for c in documents.columns if c != text_col and c not in results]
     unique = columns + list(results)
     known, base, rare, strings, row_id = (fresh(c, unique) for c in ("known", "base", "rare", "strings", "row"))
@@ -297,7 +311,7 @@ def score_texts(documents: DataFrame, text_col: str = "text", train: str = "__tr
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, n) for k in range(len(columns))), pa.array(np.bincount(row, minlength=n) + 1), pa.array(have), pa.array(sums), pa.array(score), lists(np.bincount(row[~hit], minlength=n), pa.array(h[~hit])), spelled], names=[f.name for f in schema.fields])
 
     rows = materialise(documents.select(*columns, text_col).mapInArrow(run, schema).withColumn(row_id, F.monotonically_increasing_id()), "scored")
-    # all other words are rare: none makes up more than one in FREQUENT_WORDS of all words
+    # all other words are rare: none makes up one in WORD_SHARE of all words
     loose = rows.select(row_id, F.explode(rare).alias("h")).join(words, "h")
     sums = loose.groupBy(row_id).agg(F.sum(F.log10(F.col("c") + 0.1)).alias("b"), F.sum((F.col("c") > 0).cast("long")).alias("k"))
     totals = rows.agg(F.sum(F.when(F.col(train), F.col("n_tokens"))).alias("n"), F.sum(F.col(train).cast("long")).alias("docs")).first()

@@ -316,7 +316,8 @@ def plain_ppm(texts):
 
 @pytest.mark.parametrize("rows_sent", [lm.TABLE_ROWS, 0])
 def test_language_model(docs, empty, rows, rows_sent, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT_WORDS", 20)
+    monkeypatch.setattr(lm, "WORD_SHARE", 100)
+    monkeypatch.setattr(lm, "COLLECT_ROWS", 1000)
     table = docs.select("doc_id", "text", "size", "score", F.lit(1).alias("known"), (F.col("doc_id") % 4 != 0).alias("__train"))
     out = lm.score_texts(table, table_rows=rows_sent)
     assert out.columns == ["doc_id", "size", "known", "__train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
