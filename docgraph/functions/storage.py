@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder (one of our own where it is unset) and read it back: short lineage, one evaluation."""
+    """Write ``df`` to the session's checkpoint folder and read it back: short lineage, one evaluation.
+
+    Where the folder is unset, a local session gets one of its own; on a cluster that is an error.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="docgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

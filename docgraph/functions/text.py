@@ -63,7 +63,7 @@ def format_uid(uid: Column) -> Column:
     pairs = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.floor((F.size(parts) - 1) / 2), F.lit(1)).cast("int")), lambda i: F.struct(F.element_at(parts, 2 * i).alias("k"), F.element_at(parts, 2 * i + 1).alias("v"))))
     name = lambda k: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SEGMENT_NAMES.items() for x in kv)), k), F.initcap(k))
     shown = F.reverse(F.transform(pairs, lambda p: F.concat_ws(" ", name(p["k"]), p["v"])))
-    return F.when(F.size(parts) > 1, F.concat_ws(", ", shown, F.element_at(parts, 1))).otherwise(uid)
+    return F.when(F.size(parts) > 1, F.concat_ws(" ", shown, F.element_at(parts, 1))).otherwise(uid)
 
 
 def label_from_uid(uid: Column) -> Column:
@@ -75,6 +75,27 @@ def short_name(doc_name: Column, identity: Column) -> Column:
     return F.when(word != "", F.concat_ws(" ", word, identity)).otherwise(identity)
 
 
+def ancestor_uids(uid: Column) -> Column:
+    """The uid and the clause and article above it, deepest first."""
+    article, clause = F.substring_index(uid, "::", 3), F.substring_index(uid, "::", 5)
+    return F.when(uid.contains("::point::"), F.array(uid, clause, article)).when(uid.contains("::clause::"), F.array(uid, article)).otherwise(F.array(uid))
+
+
+# Turn tokens of model families, in order of replacement.
+TURN_TOKENS = {"gemma": (("<|im_start|>user", "<|turn>user"), ("<|im_start|>assistant", "<|turn>model"), ("<|im_start|>", "<|turn>"), ("<|im_end|>", "<turn|>"), ("<think>", "<|channel>thought"), ("</think>", "<channel|>"))}
+
+
+def turn_tokens(prompt: Column, model: Column) -> Column:
+    """The prompt with the turn tokens of the model's family."""
+    out = prompt
+    for family, pairs in TURN_TOKENS.items():
+        changed = prompt
+        for old, new in pairs:
+            changed = F.replace(changed, F.lit(old), F.lit(new))
+        out = F.when(F.lower(model).contains(family), changed).otherwise(out)
+    return out
+
+
 def fill_template(template: str, columns: list[str]) -> Column:
     """A prompt with each ``{name}`` replaced by the column of that name."""
     out = F.lit(template)

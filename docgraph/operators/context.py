@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.functions.text import ancestor_uids, format_uid, short_name
+from docgraph.operators.graph import closure
+
 # The layout of context text.
 ABOLISHED_TAG = "[ĐÃ BỊ BÃI BỎ bởi văn bản mới hơn]"
 REPLACED_TAG = "[ĐÃ BỊ THAY THẾ bởi văn bản mới hơn]"
 SIBLINGS_HEAD = "[Các điểm khác cùng khoản]:"
 CHILDREN_HEAD = "[Nội dung chi tiết]:"
 AMENDED_HEAD = "[LƯU Ý - NỘI DUNG SỬA ĐỔI]:"
+AMENDED_LINE = "Đã được sửa đổi/bổ sung bởi "
+DATES_HEAD = "Danh sách văn bản hiệu lực:"
+DATE_LINE = "Ngày hiệu lực"
 SEPARATOR = "\n\n---\n\n"
 
 
@@ -20,11 +26,21 @@ def ordered_text(key: Column, text: Column, separator: str = "\n") -> Column:
     return F.array_join(F.transform(pairs, lambda p: p["t"]), separator)
 
 
-def hierarchy_text(targets: DataFrame, nodes: DataFrame, close: DataFrame, documents: DataFrame) -> DataFrame:
+def ancestors(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid, anc, depth) with the target itself at depth 0.
+
+    Clause and article follow from the uid; only what stands above an article is looked up along edges.
+    """
+    own = targets.select("uid").distinct().select("uid", F.posexplode(ancestor_uids(F.col("uid"))).alias("depth", "anc"))
+    upper = closure(edges.where(~F.col("type").isin("HAS_CLAUSE", "HAS_POINT")), 4).withColumnRenamed("depth", "more")
+    top = own.where(~F.col("anc").contains("::clause::")).select("uid", F.col("anc").alias("dst"), "depth")
+    return own.select("uid", "anc", "depth").unionByName(top.join(upper, "dst").select("uid", "anc", (F.col("depth") + F.col("more")).alias("depth")))
+
+
+def hierarchy_text(targets: DataFrame, nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
     """(uid, context): document header, a line per ancestor, the target and its content."""
-    want = targets.select("uid").distinct()
     n = nodes.where("label <> 'Document'").select(F.col("uid").alias("anc"), "label", "number", "title", "content", "doc_identity")
-    chain = close.join(want.withColumnRenamed("uid", "dst"), "dst", "left_semi").select(F.col("dst").alias("uid"), "anc", "depth").unionByName(want.select("uid", F.col("uid").alias("anc"), F.lit(0).alias("depth")))
+    chain = ancestors(targets, edges)
     titled = lambda word: F.concat(F.lit(f"{word} "), "number", F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(": "), "title")).otherwise(""))
     clause = F.concat(F.lit("Khoản "), "number", F.lit("."), F.when((F.col("depth") > 0) & (F.coalesce("content", F.lit("")) != ""), F.concat(F.lit("\n"), "content")).otherwise(""))
     line = F.when(F.col("label") == "Part", titled("Phần")).when(F.col("label") == "Chapter", titled("Chương")).when(F.col("label") == "Section", titled("Mục")).when(F.col("label") == "Article", titled("Điều")).when(F.col("label") == "Clause", clause).when(F.col("label") == "Point", F.concat(F.lit("Điểm "), "number", F.lit(".")))
@@ -40,21 +56,38 @@ def flat_text(nodes: DataFrame) -> Column:
     return F.trim(F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("content", F.lit(""))))
 
 
-def amendments_of(targets: DataFrame, amends: DataFrame, close: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+def amendments_of(targets: DataFrame, amends: DataFrame, edges: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Amendments that touch a target, its ancestors or its descendants, with the amending text and its document's date."""
-    want = targets.select("uid").distinct()
-    up = close.join(want.select(F.col("uid").alias("dst")), "dst").select(F.col("dst").alias("uid"), F.col("anc").alias("dst_uid"))
-    down = close.join(want.select(F.col("uid").alias("anc")), "anc").select(F.col("anc").alias("uid"), F.col("dst").alias("dst_uid"))
-    related = up.unionByName(down).unionByName(want.select("uid", F.col("uid").alias("dst_uid")))
+    above = ancestors(targets, edges).select("uid", F.col("anc").alias("dst_uid")).join(amends, "dst_uid")
+    # what lies below a target names it in the front of its uid
+    below = amends.withColumn("uid", F.explode(F.slice(ancestor_uids(F.col("dst_uid")), 2, 2))).join(targets.select("uid").distinct(), "uid")
+    touched = above.select("uid", "src_uid", "dst_uid", "amend_type").unionByName(below.select("uid", "src_uid", "dst_uid", "amend_type"))
     src = nodes.select(F.col("uid").alias("src_uid"), F.col("content").alias("amend_text"), "doc_identity").join(documents.select("doc_identity", "effect_date"), "doc_identity", "left")
-    return related.join(amends, "dst_uid").join(src, "src_uid").select("uid", "src_uid", "dst_uid", "amend_type", "amend_text", "effect_date").distinct()
+    return touched.join(src, "src_uid").select("uid", "src_uid", "dst_uid", "amend_type", "amend_text", "effect_date").distinct()
 
 
 def amendment_lines(found: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("      - Amended by: "), "src_uid", F.when(F.col("effect_date").isNotNull(), F.concat(F.lit(" (Effective: "), "effect_date", F.lit(")"))).otherwise(""), F.lit(" (applied to "), "dst_uid", F.lit(")\n        Content: "), F.coalesce("amend_text", F.lit("")))
+    """(uid, amendments): two lines per amendment, uids spelled out, the date if it is whole."""
+    when = F.when(F.length("effect_date") >= 10, F.concat(F.lit(" (Effective: "), F.substring("effect_date", 1, 10), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("      - Amended by: "), format_uid(F.col("src_uid")), when, F.lit(" (applied to "), format_uid(F.col("dst_uid")), F.lit(")\n        Content: "), F.coalesce("amend_text", F.lit("")))
+    return found.groupBy("uid").agg(ordered_text(F.struct("src_uid", "dst_uid"), line).alias("amendments"))
+
+
+def amendment_notes(found: DataFrame) -> DataFrame:
+    """(uid, amendments): the amendment lines of a context block."""
+    line = F.concat(F.lit(AMENDED_LINE), format_uid(F.col("src_uid")), F.lit(": "), F.coalesce("amend_text", F.lit("")))
     return found.groupBy("uid").agg(ordered_text(F.struct("src_uid", "dst_uid"), line).alias("amendments"))
 
 
+def effect_date_list(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, dates): the documents of each query's uids by identity, with their dates of effect."""
+    pairs = wanted.select("query_id", F.substring_index("uid", "::", 1).alias("doc_identity")).distinct()
+    when = F.when(F.coalesce("effect_date", F.lit("")) != "", F.concat(F.lit(f" ({DATE_LINE}: "), F.substring("effect_date", 1, 10), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("- "), short_name(F.col("doc_name"), F.col("doc_identity")), when)
+    rows = pairs.join(documents.select("doc_identity", "doc_name", "effect_date"), "doc_identity")
+    return rows.groupBy("query_id").agg(F.concat(F.lit(DATES_HEAD + "\n"), ordered_text(F.col("doc_identity"), line)).alias("dates"))
+
+
 def status_flags(targets: DataFrame, amends: DataFrame) -> DataFrame:
     """Distinct types among abolished and replaced on the exact target; an empty list otherwise."""
     kinds = amends.where(F.col("amend_type").isin("bãi bỏ", "thay thế")).groupBy(F.col("dst_uid").alias("uid")).agg(F.array_sort(F.collect_set("amend_type")).alias("flags"))
@@ -76,12 +109,12 @@ def sibling_points(targets: DataFrame, points: DataFrame) -> DataFrame:
     return rows.groupBy("uid").agg(ordered_text(F.col("letter"), F.concat(F.lit("  Điểm "), "letter", F.lit(". "), "content")).alias("siblings"))
 
 
-def children_text(targets: DataFrame, close: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Content of clauses and points one or two levels down, by uid text."""
-    kids = close.where("depth <= 2").join(targets.select(F.col("uid").alias("anc")).distinct(), "anc").select(F.col("anc").alias("uid"), "dst")
-    n = nodes.where(F.col("label").isin("Clause", "Point")).select(F.col("uid").alias("dst"), "label", "number", "content")
-    line = F.when(F.col("label") == "Clause", F.concat(F.lit("Khoản "), "number", F.lit(". "), F.coalesce("content", F.lit("")))).otherwise(F.concat(F.lit("  Điểm "), "number", F.lit(". "), F.coalesce("content", F.lit(""))))
-    return kids.join(n, "dst").groupBy("uid").agg(ordered_text(F.col("dst"), line).alias("children"))
+def children_text(targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Content of the clauses and points under an article or clause, by uid text; blank ones are left out."""
+    n = nodes.where(F.col("label").isin("Clause", "Point") & (F.trim(F.coalesce("content", F.lit(""))) != "")).select(F.col("uid").alias("dst"), "label", "number", F.trim("content").alias("content"))
+    kids = n.withColumn("uid", F.explode(F.slice(ancestor_uids(F.col("dst")), 2, 2))).join(targets.select("uid").distinct(), "uid")
+    line = F.when(F.col("label") == "Clause", F.concat(F.lit("Khoản "), "number", F.lit(". "), "content")).otherwise(F.concat(F.lit("  Điểm "), "number", F.lit(". "), "content"))
+    return kids.groupBy("uid").agg(ordered_text(F.col("dst"), line).alias("children"))
 
 
 def assemble_context(ranked: DataFrame) -> DataFrame:
@@ -93,30 +126,85 @@ def assemble_context(ranked: DataFrame) -> DataFrame:
 
 
 def source_items(ranked: DataFrame) -> DataFrame:
-    from docgraph.functions.text import format_uid
-
     return ranked.select("query_id", "uid", F.round("score", 4).alias("score"), format_uid(F.col("uid")).alias("display"), F.substring("context", 1, 300).alias("snippet"))
 
 
-def law_text(targets: DataFrame, nodes: DataFrame, close: DataFrame) -> DataFrame:
-    """(uid, law_text): the article line, then clauses and points in numeric order; a clause or point shows its own branch alone."""
-    n = nodes.where(F.col("label").isin("Article", "Clause", "Point")).select(F.col("uid").alias("node"), "label", "number", "title", "content")
-    want = targets.select("uid").distinct()
-    up = close.join(want.select(F.col("uid").alias("dst")), "dst").select(F.col("dst").alias("uid"), F.col("anc").alias("node"))
-    down = close.join(want.select(F.col("uid").alias("anc")), "anc").select(F.col("anc").alias("uid"), F.col("dst").alias("node"))
-    rows = up.unionByName(down).unionByName(want.select("uid", F.col("uid").alias("node"))).join(n, "node")
-    line = F.when(F.col("label") == "Article", F.concat(F.lit("Điều "), "number", F.lit(". "), F.coalesce("title", F.lit("")))).when(F.col("label") == "Clause", F.concat("number", F.lit(". "), F.coalesce("content", F.lit("")))).otherwise(F.concat("number", F.lit(") "), F.coalesce("content", F.lit(""))))
-    clause = F.regexp_extract("node", "::clause::([^:]+)", 1)
-    key = F.struct(F.coalesce(F.expr("try_cast(regexp_extract(node, '::clause::([^:]+)', 1) as int)"), F.lit(-1)).alias("c"), clause.alias("ct"), F.regexp_extract("node", "::point::([^:]+)", 1).alias("p"))
-    return rows.groupBy("uid").agg(ordered_text(key, line).alias("law_text"))
-
-
-def merged_law_text(targets: DataFrame, nodes: DataFrame, close: DataFrame) -> DataFrame:
-    """(doc_identity, law_text): the branches of many uids of a document with shared lines once."""
-    n = nodes.where(F.col("label").isin("Article", "Clause", "Point")).select(F.col("uid").alias("node"), "label", "number", "title", "content", "doc_identity")
-    want = targets.select("uid").distinct()
-    every = close.join(want.select(F.col("uid").alias("dst")), "dst").select(F.col("anc").alias("node")).unionByName(close.join(want.select(F.col("uid").alias("anc")), "anc").select(F.col("dst").alias("node"))).unionByName(want.select(F.col("uid").alias("node"))).distinct()
-    line = F.when(F.col("label") == "Article", F.concat(F.lit("Điều "), "number", F.lit(". "), F.coalesce("title", F.lit("")))).when(F.col("label") == "Clause", F.concat("number", F.lit(". "), F.coalesce("content", F.lit("")))).otherwise(F.concat("number", F.lit(") "), F.coalesce("content", F.lit(""))))
-    number = lambda level: F.regexp_extract("node", f"::{level}::([^:]+)", 1)
-    key = F.struct(*(x for level in ("article", "clause", "point") for x in (F.coalesce(number(level).try_cast("int"), F.lit(-1)), number(level))))
-    return every.join(n, "node").groupBy("doc_identity").agg(ordered_text(key, line).alias("law_text"))
+def _segment(uid: Column, level: int) -> Column:
+    """Number of the article (1), clause (2) or point (3) in a uid."""
+    return F.try_element_at(F.split(uid, "::"), F.lit(2 * level + 1))
+
+
+def _given(text: Column) -> Column:
+    """Trimmed text; null where blank."""
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def _title_line(uid: Column, title: Column) -> Column:
+    return F.concat(F.lit("Điều "), _segment(uid, 1), F.lit(". "), F.coalesce(title, F.lit("")))
+
+
+def _provision_line(uid: Column, content: Column) -> Column:
+    """A clause as ``1. text``, a point as ``a) text``; null without text."""
+    return F.when(uid.contains("::point::"), F.concat(_segment(uid, 3), F.lit(") "), content)).otherwise(F.concat(_segment(uid, 2), F.lit(". "), content))
+
+
+def _numeric(text: Column) -> Column:
+    """Sort key of a number that may be text."""
+    return F.struct(F.coalesce(text.try_cast("int"), F.lit(-1)).alias("n"), F.coalesce(text, F.lit("")).alias("t"))
+
+
+def _reading_order(uid: Column) -> Column:
+    return F.struct(_numeric(_segment(uid, 2)).alias("c"), F.coalesce(_segment(uid, 3), F.lit("")).alias("p"))
+
+
+def law_text(targets: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(uid, law_text) under the document's name and the article's title.
+
+    An article shows its content and all clauses and points below it, numbers in numeric order; a clause
+    shows its own text, or the article's content if it has none; a point shows the clause it belongs to,
+    unless that repeats the article's content, and its own text.
+    """
+    n = nodes.where(F.col("label").isin("Article", "Clause", "Point")).select("uid", "title", "content")
+    want = targets.select("uid").distinct().withColumn("a", F.substring_index("uid", "::", 3)).withColumn("doc_identity", F.substring_index("uid", "::", 1))
+    named = want.join(documents.select("doc_identity", _given(F.col("doc_name")).alias("name")), "doc_identity", "left")
+    articles = n.where(~F.col("uid").contains("::clause::")).select(F.col("uid").alias("a"), F.col("title").alias("a_title"), F.col("content").alias("a_content"))
+    headed = named.join(articles, "a", "left").withColumn("head", F.when(F.col("a_title").isNotNull(), _title_line(F.col("a"), F.trim("a_title"))))
+    below = headed.where(F.col("uid").contains("::clause::")).withColumn("c", F.substring_index("uid", "::", 5))
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    below = below.join(n.select(F.col("uid").alias("c"), F.col("content").alias("c_content")), "c", "left").join(n.select("uid", "content"), "uid", "left")
+    clause_line = F.concat(_segment(F.col("uid"), 2), F.lit(". "), filled("c_content"))
+    own = _provision_line(F.col("uid"), filled("content"))
+    clause_text = F.when(own.isNotNull(), F.concat_ws("\n", "name", "head", own)).otherwise(F.when(F.col("head").isNotNull(), F.concat_ws("\n", "name", "head", filled("a_content"))).otherwise(F.col("content")))
+    repeated = F.coalesce("c_content", F.lit("")) == F.coalesce("a_content", F.lit(""))
+    point_text = F.concat_ws("\n", "name", "head", F.when(~repeated, clause_line), own)
+    single = below.select("uid", F.when(F.col("uid").contains("::point::"), point_text).otherwise(clause_text).alias("law_text"))
+    # all that lies below an article names it in the front of its uid
+    parts = n.where(F.col("uid").contains("::clause::")).select(F.substring_index("uid", "::", 3).alias("uid"), F.col("uid").alias("node"), _given(F.col("content")).alias("content"))
+    whole = headed.where(~F.col("uid").contains("::clause::"))
+    lines = parts.join(whole.select("uid"), "uid").groupBy("uid").agg(ordered_text(_reading_order(F.col("node")), _provision_line(F.col("node"), F.col("content"))).alias("body"))
+    return single.unionByName(whole.join(lines, "uid", "left").select("uid", F.concat_ws("\n", "name", "head", _given(F.col("a_content")), F.nullif("body", F.lit(""))).alias("law_text")))
+
+
+def merged_law_text(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, law_text): the uids of a query as one text, shared titles once.
+
+    An article that is asked for comes whole, a clause with all its points, a point with its clause. Documents
+    come by identity under their names, articles and clauses in numeric order; a blank line parts articles and documents.
+    """
+    n = nodes.where(F.col("label").isin("Article", "Clause", "Point")).select("uid", "title", "content")
+    want = wanted.select("query_id", "uid").distinct()
+    keys = n.select(F.col("uid").alias("node")).withColumn("up", F.explode(ancestor_uids(F.col("node"))))
+    # a node is shown if it or something above it is asked for, or if it is above a point or clause that is
+    down = want.join(keys.withColumnRenamed("up", "uid"), "uid").select("query_id", "node")
+    up = want.select("query_id", F.explode(ancestor_uids(F.col("uid"))).alias("node"))
+    asked = want.where(~F.col("uid").contains("::clause::")).select("query_id", F.col("uid").alias("a"), F.lit(True).alias("whole"))
+    rows = down.unionByName(up).distinct().join(n.withColumnRenamed("uid", "node"), "node").withColumn("a", F.substring_index("node", "::", 3))
+    rows = rows.join(asked, ["query_id", "a"], "left")
+    is_article = ~F.col("node").contains("::clause::")
+    article = F.concat_ws("\n", _title_line(F.col("a"), F.trim("title")), F.when(F.col("whole"), _given(F.col("content"))))
+    line = F.when(is_article, article).otherwise(_provision_line(F.col("node"), _given(F.col("content"))))
+    texts = rows.groupBy("query_id", "a").agg(ordered_text(_reading_order(F.col("node")), line).alias("t"), F.max(is_article).alias("known")).where("known")
+    texts = texts.withColumn("doc_identity", F.substring_index("a", "::", 1))
+    bodies = texts.groupBy("query_id", "doc_identity").agg(ordered_text(_numeric(_segment(F.col("a"), 1)), F.col("t"), "\n\n").alias("body"))
+    named = bodies.join(documents.select("doc_identity", _given(F.col("doc_name")).alias("name")), "doc_identity", "left")
+    return named.groupBy("query_id").agg(ordered_text(F.col("doc_identity"), F.concat_ws("\n", "name", "body"), "\n\n").alias("law_text"))

@@ -24,6 +24,15 @@ def children_per_parent(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type", "src").agg(F.count("*").alias("children")).groupBy("type", "children").agg(F.count("*").alias("parents"))
 
 
+def children_histogram(edges: DataFrame, bins: int = 50) -> DataFrame:
+    """(type, bin, parents): number of children per parent in equal bins between each type's least and most; the middle one where these agree."""
+    counts = edges.groupBy("type", "src").agg(F.count("*").alias("children"))
+    span = counts.groupBy("type").agg(F.min("children").alias("lo"), F.max("children").alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    b = F.when(width == 0, F.lit(bins // 2)).otherwise(F.least(F.floor((F.col("children") - F.col("lo")) * bins / F.when(width > 0, width)), F.lit(bins - 1))).cast("long")
+    return counts.join(F.broadcast(span), "type").groupBy("type", b.alias("bin")).agg(F.count("*").alias("parents"))  # span: a row per edge type
+
+
 def histogram(df: DataFrame, column: str, bins: int = 50, keys: list[str] | None = None) -> DataFrame:
     """Equal-width bins between the minimum and the maximum; the maximum falls into the last bin."""
     span = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
@@ -78,15 +87,7 @@ def top_words_per_tag(tagged: DataFrame, k: int = 10) -> DataFrame:
 
 
 def detect_task(sample: DataFrame) -> DataFrame:
-    return sample.withColumn("task", F.when(F.col("legal_document").isNotNull(), "task1").when(F.col("choices").isNotNull(), "task2").otherwise("task3"))
-
-
-def numbered(choices: Column) -> Column:
-    return F.array_join(F.transform(choices, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n")
-
-
-def lettered(choices: Column) -> Column:
-    return F.array_join(F.transform(choices, lambda c, i: F.concat(F.chr(F.lit(65) + i), F.lit(". "), c)), "\n")
+    return sample.withColumn("task", F.when(F.col("legal_document").isNotNull(), "task1").when(F.col("choices").isNotNull() & F.col("answer").isNotNull(), "task2").otherwise("task3"))
 
 
 def final_answer(text: Column) -> Column:
@@ -117,8 +118,9 @@ def conversations_opening_with(turns: DataFrame, key: str, phrase: str) -> DataF
 
 
 def split_by_hash(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """8:1:1 by a hash of the id: the same rows fall to the same split in every run."""
-    b = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(10))
+    """8:1:1 by the md5 of seed and id: the same rows fall to the same split in every run."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    b = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10
     return df.withColumn("split", F.when(b < 8, "train").when(b == 8, "valid").otherwise("test"))
 
 
@@ -156,10 +158,62 @@ def parse_generated(raw: Column, schema: str) -> Column:
     return F.coalesce(*map(filled, tries))
 
 
-def format_choice_task(question: Column, choices: Column, answer: Column) -> Column:
-    """User and assistant text of a multiple-choice sample, the chosen answer between answer tags."""
-    chosen = F.element_at(choices, answer + 1)
-    return F.concat(question, F.lit("\n"), numbered(choices), F.lit("\n<answer>"), chosen, F.lit("</answer>"))
+# The wording of samples.
+NO_CHOICE = ("Không", "Không xác định")
+ASK = ("Hãy phân tích và đưa ra câu trả lời.", "Hãy phân tích từng lựa chọn và đưa ra câu trả lời đúng.", "Hãy phân tích và đưa ra câu trả lời dựa trên các quy định pháp luật.")
+PROMPT_WORDS = {"document": "Tài liệu pháp lý:", "part": "Câu hỏi cụ thể:", "question": "Câu hỏi:", "choices": "Các lựa chọn:"}
+
+
+def _joined(*lines: Column | str) -> Column:
+    return F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
+
+
+def _labelled(word: str, text: Column, gap: str = " ") -> Column:
+    return F.concat(F.lit(PROMPT_WORDS[word] + gap), F.coalesce(text, F.lit("")))
+
+
+def _answered(reasoning: Column, answer: Column) -> Column:
+    return F.concat(strip_think(F.coalesce(reasoning, F.lit(""))), F.lit("\n\n<answer>"), answer, F.lit("</answer>"))
+
+
+def _choice_lines(choices: Column, mark: str) -> Column:
+    label = (lambda i: F.chr(F.lit(65) + i)) if mark == "letter" else (lambda i: (i + 1).cast("string"))
+    return F.array_join(F.transform(choices, lambda c, i: F.concat(F.lit("  "), label(i), F.lit(". "), c)), "\n")
+
+
+def format_samples(samples: DataFrame) -> DataFrame:
+    """The samples with ``user`` and ``assistant`` text by their ``task``.
+
+    task1: does a document answer a question (numbered choices); task2: multiple choice (lettered);
+    task3: open question. An answer beyond the choices takes the fixed words for none.
+    """
+    question, choices, answer = F.col("question"), F.coalesce("choices", F.array().cast("array<string>")), F.coalesce(F.col("answer").try_cast("int"), F.lit(0))
+    chosen = F.try_element_at(choices, answer + 1)
+    open_answer = strip(F.regexp_replace(strip_think(F.coalesce("answer", F.lit(""))), r"</?answer[^>]*>", ""))
+    first = _joined(_labelled("document", F.col("legal_document"), "\n"), "", _labelled("part", F.col("specific_question")), "", _labelled("question", question), PROMPT_WORDS["choices"], _choice_lines(choices, "number"), "", ASK[0])
+    second = _joined(_labelled("question", question), "", PROMPT_WORDS["choices"], _choice_lines(choices, "letter"), "", ASK[1])
+    third = _joined(_labelled("question", question), "", ASK[2])
+    by_task = lambda a, b, c: F.when(F.col("task") == "task1", a).when(F.col("task") == "task2", b).otherwise(c)
+    lettered_answer = F.coalesce(F.concat(F.chr(F.lit(65) + answer), F.lit(". "), chosen), F.lit(NO_CHOICE[1]))
+    replies = by_task(_answered(F.col("reasoning"), F.coalesce(chosen, F.lit(NO_CHOICE[0]))), _answered(F.col("reasoning"), lettered_answer), F.concat(open_answer, F.lit("\n\n<answer>"), final_answer(open_answer), F.lit("</answer>")))
+    return samples.withColumns({"user": by_task(first, second, third), "assistant": replies})
+
+
+def without_context(rows: DataFrame) -> DataFrame:
+    """(law_text, question, answer) of samples that bring no context of their own."""
+    return rows.select(F.lit("").alias("law_text"), "question", "answer")
+
+
+def only_named(rows: DataFrame, names: DataFrame, column: str = "doc_name") -> DataFrame:
+    """Rows whose ``column`` is in the one-column table ``names``; all rows where there is no such column."""
+    if column not in rows.columns:
+        return rows
+    return rows.join(names.select(F.col(names.columns[0]).alias(column)).distinct(), column, "left_semi").select(*rows.columns)
+
+
+def tag_document(replies: DataFrame, name: Column) -> DataFrame:
+    """Generated samples with the name of the document they were made from."""
+    return replies.withColumn("document_name", name)
 
 
 def strip_answer_tags(text: Column) -> Column:

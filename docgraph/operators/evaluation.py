@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import strip_fences, tokens
+from docgraph.functions.text import strip, strip_fences, tokens
 
 RECALL_AT, PRECISION_AT = (1, 3, 5, 7, 10), (1, 3)
 METRICS = [*(f"recall_{k}" for k in RECALL_AT), *(f"precision_{k}" for k in PRECISION_AT), "mrr"]
+# Sub-scores of a judge.
 JUDGE_KEYS = ("legal_accuracy", "correct_citation", "completeness", "hallucination_citation", "structure")
 
 
@@ -73,11 +74,26 @@ def mean_of_numeric(df: DataFrame, config: str) -> DataFrame:
     return df.agg(*(F.avg(c).alias(c) for c in numeric)).withColumn("config", F.lit(config))
 
 
-def renumber(parts: DataFrame) -> DataFrame:
-    """Ids 1 .. n in the order of (part, pos), from counts per part so that no task holds more than a part."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return parts.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("pos"))).join(F.broadcast(offsets), "part").withColumn("id", F.col("offset") + F.col("rn")).drop("rn", "offset")
+def renumber(parts: DataFrame, width: int = 10_000) -> DataFrame:
+    """Ids 1 .. n in the order of (part, pos); ``pos`` is a whole number.
+
+    Rows are numbered inside stretches of ``width`` positions; the stretches' counts give where each begins.
+    """
+    cut = parts.withColumn("stretch", F.floor(F.col("pos") / width))
+    before = Window.orderBy("part", "stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row per stretch
+    starts = cut.groupBy("part", "stretch").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = cut.withColumn("rn", F.row_number().over(Window.partitionBy("part", "stretch").orderBy("pos")))
+    return numbered.join(starts, ["part", "stretch"]).withColumn("id", F.col("start") + F.col("rn")).drop("rn", "start", "stretch")
+
+
+def in_every_part(files: DataFrame, n_parts: int) -> DataFrame:
+    """Names of the files (part, name) that each of the parts has; only those are merged."""
+    return files.groupBy("name").agg(F.count_distinct("part").alias("n")).where(F.col("n") == n_parts).select("name")
+
+
+def comparison_table(summaries: DataFrame) -> DataFrame:
+    """Summaries of runs side by side: config, number of questions, then the metrics in their order."""
+    return summaries.select("config", "num_evaluated", *METRICS)
 
 
 def offset_ids(parts: DataFrame, offsets: dict[int, int]) -> DataFrame:
@@ -191,13 +207,21 @@ def guard(answer: Column, score: Column) -> Column:
 
 
 def parse_judge(rows: DataFrame) -> DataFrame:
-    """Sub-scores from JSON, the overall score as their sum or from ``Score: [n]`` text."""
+    """Sub-scores, reasoning, comparison and overall score of a judge's reply.
+
+    JSON: the score is the sum of ``scores`` or, without them, the plain ``score``. Text: sections that
+    start with their name, and a number of one or two digits after the word score.
+    """
     body = strip_fences(F.col("raw_eval"))
-    parsed = F.from_json(body, "scores struct<" + ", ".join(f"{k}:double" for k in JUDGE_KEYS) + ">")
-    text_score = F.nullif(F.regexp_extract("raw_eval", r"(?i)Score[:\s*]*\**\s*\[?(\d{1,2})\]?", 1), F.lit("")).cast("double")
-    out = rows.withColumn("p", parsed["scores"])
-    total = sum((F.coalesce(F.col(f"p.{k}"), F.lit(0.0)) for k in JUDGE_KEYS), F.lit(0.0))
-    return out.select(*rows.columns, *(F.col(f"p.{k}").alias(k) for k in JUDGE_KEYS), F.when(F.col("p").isNotNull(), total).otherwise(text_score).alias("score"))
+    fields = "scores struct<" + ", ".join(f"{k}:double" for k in JUDGE_KEYS) + ">, score double, reasoning string, comparison string"
+    out = rows.withColumn("p", F.when(body.startswith("{") & body.endswith("}"), F.from_json(body, fields)))
+    given = F.coalesce(*(F.col(f"p.{c}").cast("string") for c in ("scores", "score", "reasoning", "comparison"))).isNotNull()
+    section = lambda name: F.regexp_replace(strip(F.regexp_extract("raw_eval", rf"(?is){name}[:*\s]*(.*?)(?:- \*\*|- score:|$)", 1)), "^:+|:+$", "")
+    mark = F.regexp_extract(F.regexp_extract("raw_eval", r"(?is)score[\s:*]*(\[?\d{1,2})", 1), r"\d+", 0)
+    total = sum((F.coalesce(F.col(f"p.scores.{k}"), F.lit(0.0)) for k in JUDGE_KEYS), F.lit(0.0))
+    score = F.when(F.col("p.scores").isNotNull(), total).when(given, F.col("p.score")).otherwise(F.nullif(mark, F.lit("")).cast("double"))
+    text = lambda c, name: F.when(given, F.coalesce(f"p.{c}", F.lit(""))).otherwise(section(name)).alias(c)
+    return out.select(*rows.columns, *(F.col(f"p.scores.{k}").alias(k) for k in JUDGE_KEYS), score.alias("score"), text("reasoning", "reasoning"), text("comparison", "comparison"))
 
 
 def judge_summary(rows: DataFrame, keys: list[str], passing: float = 7.0) -> DataFrame:
@@ -224,9 +248,10 @@ def merge_ground_truth(rows: DataFrame, truth: DataFrame, key: str, column: str)
 
 
 def parse_vote(raw: Column) -> Column:
-    """True for yes, false for no, null when unclear: JSON ``answer`` first, then keywords, yes before no."""
-    body = F.lower(F.coalesce(F.get_json_object(strip_fences(raw), "$.answer"), raw))
-    return F.when(body.rlike(r"(?iuU)\b(có|yes|co)\b"), True).when(body.rlike(r"(?iuU)\b(không|khong|no)\b"), False)
+    """True for yes, false for no, null when unclear: JSON ``answer`` first, then keywords of the whole reply, yes before no."""
+    answer = F.lower(strip(F.get_json_object(strip_fences(raw), "$.answer")))
+    body = F.lower(raw)
+    return F.when(answer.isin("có", "yes", "co"), True).when(answer.isin("không", "no", "khong"), False).when(body.rlike(r"(?iuU)\b(có|yes|co)\b"), True).when(body.rlike(r"(?iuU)\b(không|khong|no)\b"), False)
 
 
 def majority(votes: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
@@ -246,8 +271,10 @@ def outcome(vote: Column, truth: Column) -> Column:
     return F.when(vote & truth, "TP").when(vote & ~truth, "FP").when(~vote & truth, "FN").otherwise("TN")
 
 
-def confusion(votes: DataFrame, keys: list[str]) -> DataFrame:
+def confusion(votes: DataFrame, keys: list[str], latency: str | None = None) -> DataFrame:
+    """Counts, accuracy, precision and recall; ``latency`` names a column whose mean (nulls left out, 0 without any) is given too."""
     tagged = votes.withColumn("o", outcome(F.col("vote"), F.col("is_correct")))
-    rows = tagged.groupBy(*keys).agg(*(F.count_if(F.col("o") == t).alias(t.lower()) for t in ("TP", "FP", "FN", "TN")), F.count_distinct("id").alias("n_questions"))
+    timed = [F.round(F.coalesce(F.avg(latency), F.lit(0.0)), 1).alias("avg_latency_ms")] if latency else []
+    rows = tagged.groupBy(*keys).agg(*(F.count_if(F.col("o") == t).alias(t.lower()) for t in ("TP", "FP", "FN", "TN")), F.count_distinct("id").alias("n_questions"), F.count("*").alias("total_uids"), *timed)
     safe = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
-    return rows.select(*keys, "tp", "fp", "fn", "tn", "n_questions", safe(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("accuracy"), safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), safe(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+    return rows.select(*keys, "tp", "fp", "fn", "tn", "n_questions", "total_uids", *(["avg_latency_ms"] if latency else []), safe(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("accuracy"), safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), safe(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))

@@ -137,5 +137,34 @@ def documents_with_phrase(close: DataFrame, nodes: DataFrame, documents: DataFra
     return close.join(d, "anc", "left_semi").join(hit, "dst").groupBy(F.col("anc").alias("doc_identity")).agg(F.count("*").alias("n_hits"))
 
 
-def rank_window(*keys: str, by: list[Column]) -> Window:
-    return Window.partitionBy(*keys).orderBy(*by)
+def edge_properties(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """(type, properties): the properties that edges of each type have, in order of name; none is an empty list."""
+    present = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns)), lambda x: x.isNotNull())
+    return edges.groupBy("type").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(present)))).alias("properties"))
+
+
+def count_by_dimension(dimensions: DataFrame, label: str) -> DataFrame:
+    """(name, n): documents per value of a dimension, such as field, issuer or signer. dimensions: (doc_identity, label, name)."""
+    return dimensions.where(F.col("label") == label).groupBy("name").agg(F.count_distinct("doc_identity").alias("n"))
+
+
+def dimension_of_documents(documents: DataFrame, dimensions: DataFrame, label: str, phrase: str) -> DataFrame:
+    """(doc_identity, name): a dimension's values for the documents whose name holds the phrase, such as who signed them."""
+    named = documents.where(F.lower("doc_name").contains(phrase.lower())).select("doc_identity")
+    return dimensions.where(F.col("label") == label).join(named, "doc_identity").select("doc_identity", "name").distinct()
+
+
+def titles_in_chapters(articles: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(doc_identity, chapter, number, title): the articles of the wanted (doc_identity, number) chapters."""
+    wanted = chapters.select("doc_identity", F.col("number").alias("parent_chapter")).distinct()
+    return articles.join(wanted, ["doc_identity", "parent_chapter"]).select("doc_identity", F.col("parent_chapter").alias("chapter"), "number", "title")
+
+
+def largest_documents(articles: DataFrame, k: int = 1) -> DataFrame:
+    """The ``k`` documents with most articles."""
+    return articles.groupBy("doc_identity").agg(F.count("*").alias("n_articles")).orderBy(F.desc("n_articles"), "doc_identity").limit(k)
+
+
+def issued_per_year(documents: DataFrame, date: str) -> DataFrame:
+    """(year, n); dates that are none count under a null year."""
+    return documents.groupBy(F.try_to_date(F.substring(date, 1, 10), "yyyy-MM-dd").alias("d")).agg(F.count("*").alias("n")).groupBy(F.year("d").alias("year")).agg(F.sum("n").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgraph.functions.storage import stored
 from docgraph.functions.text import tokens
 
 K1, B = 1.2, 0.75
@@ -61,15 +62,27 @@ def term_statistics(post: DataFrame) -> DataFrame:
     return post.groupBy("label", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens, without cutting them out."""
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
+
+
 def label_statistics(texts: DataFrame, text_col: str, label_col: str | None = None) -> DataFrame:
     label = F.col(label_col) if label_col else F.lit("all")
-    return texts.select(label.alias("label"), F.size(tokens(F.col(text_col))).alias("dl")).groupBy("label").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return texts.select(label.alias("label"), token_count(F.col(text_col)).alias("dl")).groupBy("label").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
 def bm25_scores(queries: DataFrame, texts: DataFrame, id_col: str, text_col: str, query_text: str, label_col: str | None = None) -> DataFrame:
-    """(query_id, id, label, score). The postings are pruned to the queries' terms before anything else."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    post = postings(texts, id_col, text_col, label_col).join(q.select("term").distinct(), "term", "left_semi")
+    """(query_id, id, label, score).
+
+    Tokens that no query asks for go before they are counted, so only the queries' terms are shuffled;
+    their postings are stored, as document frequencies and scores both read them.
+    """
+    q = stored(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")), "query-terms")
+    label = F.col(label_col) if label_col else F.lit("all")
+    rows = texts.select(F.col(id_col).alias("id"), label.alias("label"), tokens(F.col(text_col)).alias("t")).select("id", "label", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    asked = rows.join(q.select("term").distinct(), "term", "left_semi")
+    post = stored(asked.groupBy("id", "label", "dl", "term").agg(F.count("*").alias("tf")), "postings")
     stats = label_statistics(texts, text_col, label_col)
     df = post.groupBy("label", "term").agg(F.count("*").alias("df")).join(stats, "label").withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     w = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
@@ -101,16 +114,73 @@ def fuse(results: DataFrame, strategy: str = "rrf", k: int | None = None) -> Dat
     return fused.where(F.col("rank") <= k) if k else fused
 
 
-def catalogue_search(queries: DataFrame, entries: DataFrame, k: int = 20) -> DataFrame:
-    """Entries (uid, kind, number, name, doc_identity) whose name holds the needle or whose number is the needle, best first."""
-    small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    q = queries.select("query_id", F.lower(F.trim("needle")).alias("needle"))
-    by_number = F.col("number") == F.col("needle")
-    by_name = F.lower(F.coalesce("name", F.lit(""))).contains(F.col("needle"))
-    by_doc = F.lower("doc_identity").contains(F.col("needle"))
-    hits = entries.join(F.broadcast(q) if small else q, by_number | by_name | by_doc)
-    flags = [F.when(c, 0).otherwise(1) for c in (F.coalesce(by_number, F.lit(False)), by_name, by_doc)]
-    return top_k(hits.select("query_id", "kind", "uid", "doc_identity", *(f.alias(n) for f, n in zip(flags, ("f1", "f2", "f3"), strict=True))), ["query_id", "kind"], k, [F.col("f1"), F.col("f2"), F.col("f3"), F.col("doc_identity"), F.col("uid")]).select("query_id", "kind", "uid", "rank")
+def grams(text: Column) -> Column:
+    """Distinct substrings of one to three characters."""
+    n = F.length(text)
+    at = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(at(1), at(2), at(3)))
+
+
+def substring_join(needles: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """(query_id, uid) where the row's text holds the needle; both are lower-cased before.
+
+    Rows and needles meet on the needle's rarest substring of three characters (all of it if shorter), then the whole is compared.
+    """
+    wide = F.transform(F.sequence(F.lit(1), F.greatest(F.length("needle") - 2, F.lit(1))), lambda i: F.substring("needle", i, F.lit(3)))
+    asked = needles.select("query_id", "needle", F.explode(F.array_distinct(wide)).alias("gram"))
+    have = rows.select("uid", F.explode(grams(F.lower(F.coalesce(text, F.lit(""))))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    df = have.groupBy("gram").agg(F.count("*").alias("df"))
+    # a gram that no row has leaves its needle without a hit
+    rarest = asked.join(df, "gram", "left").groupBy("query_id", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).where("g.df > 0")
+    found = have.join(rarest.select("query_id", "needle", F.col("g.gram").alias("gram")), "gram").select("query_id", "needle", "uid")
+    texts = rows.select("uid", F.lower(F.coalesce(text, F.lit(""))).alias("t"))
+    return found.join(texts, "uid").where(F.col("t").contains(F.col("needle"))).select("query_id", "uid")
+
+
+def catalogue_search(queries: DataFrame, articles: DataFrame, clauses: DataFrame, points: DataFrame, documents: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, kind, uid, rank): the first ``k`` articles, clauses and points of each needle.
+
+    Articles hit by number (``điều N`` or ``N``), title, document name or identity; clauses and points by
+    content. Clauses and points of a document that hits, or one of whose titles does, come first.
+    articles: (uid, number, title, doc_identity); clauses and points: (uid, number, content, doc_identity),
+    points with ``clause_num`` too; documents: (doc_identity, doc_name).
+    """
+    q = queries.select("query_id", F.lower(F.trim("needle")).alias("needle")).where("needle <> ''")
+    q = stored(q.withColumn("number", F.when(F.col("needle").startswith("điều "), F.substring("needle", 6, 1 << 20)).otherwise(F.col("needle"))), "needles")
+    a = articles.select("uid", F.coalesce(F.col("number").try_cast("int"), F.lit(0)).cast("string").alias("number"), "title", "doc_identity")
+    by_title = stored(substring_join(q, a, "title"), "title-hits")
+    doc_hits = lambda c: substring_join(q, documents.select(F.col("doc_identity").alias("uid"), F.col(c).alias("x")), "x").withColumnRenamed("uid", "doc_identity").withColumn(f"by_{c}", F.lit(True))
+    docs = stored(doc_hits("doc_name").join(doc_hits("doc_identity"), ["query_id", "doc_identity"], "full"), "document-hits")
+    hits = q.select("query_id", "number").join(a, "number").select("query_id", "uid").unionByName(by_title).unionByName(docs.select("query_id", "doc_identity").join(a, "doc_identity").select("query_id", "uid")).distinct()
+    found = hits.join(a, "uid").join(q.select("query_id", F.col("number").alias("asked")), "query_id").join(docs, ["query_id", "doc_identity"], "left")
+    first = lambda c: F.when(F.coalesce(c, F.lit(False)), 0).otherwise(1)
+    ranked = top_k(found, ["query_id"], k, [first(F.col("number") == F.col("asked")), first(F.col("by_doc_name")), first(F.col("by_doc_identity")), F.col("doc_identity"), F.col("uid")])
+    out = ranked.select("query_id", F.lit("article").alias("kind"), "uid", "rank")
+    near = docs.select("query_id", "doc_identity").unionByName(by_title.join(a, "uid").select("query_id", "doc_identity")).distinct().withColumn("near", F.lit(True))
+    for kind, rows in (("clause", clauses), ("point", points)):
+        number = F.coalesce(F.col("number").try_cast("int"), F.lit(0))
+        found = substring_join(q, rows, "content").join(rows, "uid").join(q.select("query_id", F.col("number").alias("asked")), "query_id").join(near, ["query_id", "doc_identity"], "left")
+        order = [first(number.cast("string") == F.col("asked")), F.col("doc_identity"), number] if kind == "clause" else [F.col("doc_identity"), F.col("clause_num"), F.col("number")]
+        out = out.unionByName(top_k(found, ["query_id"], k, [first(F.col("near")), *order, F.col("uid")]).select("query_id", F.lit(kind).alias("kind"), "uid", "rank"))
+    return out
+
+
+def article_children(wanted: DataFrame, clauses: DataFrame, points: DataFrame) -> DataFrame:
+    """(doc_identity, parent_article, kind, uid, pos): clauses of each wanted article by number, points by clause and letter."""
+    w = wanted.select("doc_identity", "parent_article").distinct()
+    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0))
+    keys = Window.partitionBy("doc_identity", "parent_article")
+    c = clauses.join(w, ["doc_identity", "parent_article"]).withColumn("pos", F.row_number().over(keys.orderBy(number("number"), "uid")))
+    p = points.join(w, ["doc_identity", "parent_article"]).withColumn("pos", F.row_number().over(keys.orderBy(number("parent_clause"), "letter", "uid")))
+    cols = lambda df, kind: df.select("doc_identity", "parent_article", F.lit(kind).alias("kind"), "uid", "pos")
+    return cols(c, "clause").unionByName(cols(p, "point"))
+
+
+def index_entries(articles: DataFrame, clauses: DataFrame, points: DataFrame) -> DataFrame:
+    """(uid, kind, number, name) of everything a catalogue lists; a number that is text counts as 0."""
+    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)).alias("number")
+    rows = lambda df, kind, n, name: df.select("uid", F.lit(kind).alias("kind"), number(n), F.col(name).alias("name"))
+    return rows(articles, "article", "number", "title").unionByName(rows(clauses, "clause", "number", "content")).unionByName(rows(points, "point", "letter", "content"))
 
 
 def rerank(candidates: DataFrame, k: int, scorer: Column | None = None) -> DataFrame:

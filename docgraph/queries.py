@@ -129,26 +129,49 @@ def d9_multi_search(t):
     return _sub_results(t)
 
 
-_ENTRY = "entries as (select uid, 'article' as kind, number, title as name, doc_identity from t_article union all select uid, 'clause', number, content, doc_identity from t_clause)"
+_NEEDLES = "needles as (select *, case when starts_with(needle, 'điều ') then substr(needle, 6) else needle end as asked from (select number::int as query_id, lower(case when number::int % 100 = 0 then 'Điều ' || number when number::int % 150 = 0 then split_part(uid, '::', 1) else title end) as needle from t_article where number::int % 50 = 0))"
+_HITS = """dh as (select query_id, doc_identity, contains(lower(doc_name), needle) as by_name, contains(lower(doc_identity), needle) as by_id from needles join t_document on contains(lower(doc_name), needle) or contains(lower(doc_identity), needle)),
+near as (select query_id, doc_identity from dh union select query_id, doc_identity from needles join t_article on contains(lower(title), needle)),
+ah as (select query_id, 'article' as kind, a.uid, row_number() over (partition by query_id order by a.number = asked desc, coalesce(by_name, false) desc, coalesce(by_id, false) desc, a.doc_identity, a.uid) as rank
+  from needles join t_article a on a.number = asked or contains(lower(a.title), needle) or contains(lower('Document ' || a.doc_identity), needle) left join dh using (query_id, doc_identity)),
+ch as (select query_id, 'clause' as kind, c.uid, row_number() over (partition by query_id order by n.query_id is not null desc, c.number = asked desc, c.doc_identity, c.number::int, c.uid) as rank
+  from needles join t_clause c on contains(lower(c.content), needle) left join near n using (query_id, doc_identity)),
+ph as (select query_id, 'point' as kind, p.uid, row_number() over (partition by query_id order by n.query_id is not null desc, p.doc_identity, p.parent_clause::int, p.letter, p.uid) as rank
+  from needles join t_point p on contains(lower(p.content), needle) left join near n using (query_id, doc_identity))"""
 
 
-@query(
-    with_tables(
-        """select query_id, kind, uid, rank from (select query_id, kind, uid, row_number() over (partition by query_id, kind order by (number = needle) desc, contains(lower(coalesce(name, '')), needle) desc, contains(lower(doc_identity), needle) desc, doc_identity, uid) as rank
-  from entries join (select query_id, lower(needle) as needle from (values (1, '12'), (2, 'urgent'), (3, 'china')) v(query_id, needle)) on number = needle or contains(lower(coalesce(name, '')), needle) or contains(lower(doc_identity), needle)) where rank <= 20""",
-        _ENTRY,
-    )
-)
+def _needles(t):
+    number = F.col("number").cast("int")
+    needle = F.when(number % 100 == 0, F.concat(F.lit("Điều "), "number")).when(number % 150 == 0, F.col("doc_identity")).otherwise(F.col("title"))
+    return t.article.where(number % 50 == 0).select(number.alias("query_id"), needle.alias("needle"))
+
+
+def _catalogue(t):
+    points = t.point.select("uid", F.col("letter").alias("number"), "content", "doc_identity", F.col("parent_clause").cast("int").alias("clause_num"))
+    return t.article, t.clause, points, t.document
+
+
+@query(with_tables("select * from ah where rank <= 20 union all select * from ch where rank <= 20 union all select * from ph where rank <= 20", f"{_NEEDLES}, {_HITS}"))
 def d11_catalogue_search(t):
-    q = t.spark.createDataFrame([(1, "12"), (2, "urgent"), (3, "china")], "query_id int, needle string")
-    a = t.article.select("uid", F.lit("article").alias("kind"), "number", F.col("title").alias("name"), "doc_identity")
-    c = t.clause.select("uid", F.lit("clause").alias("kind"), "number", F.col("content").alias("name"), "doc_identity")
-    return srch.catalogue_search(q, a.unionByName(c))
+    """Every fiftieth article's number, title or document as a needle."""
+    return srch.catalogue_search(_needles(t), *_catalogue(t))
+
 
+_CONTENT = "needles as (select o_orderkey::int as query_id, lower(o_orderpriority || ' ' || o_orderstatus) as needle, '' as asked from orders where o_orderkey % 5000 = 0 union all select l_orderkey::int + 100000000, min(strftime(l_shipdate, '%Y-%m-%d')), '' from lineitem where l_orderkey % 500 = 0 group by 1)"
 
-@query(with_tables("select doc_identity, parent_article, coalesce(try_cast(number as int), 0) as clause_num, content from t_clause"))
+
+@query(with_tables("select * from ch where rank <= 20 union all select * from ph where rank <= 20", f"{_CONTENT}, {_HITS.replace('c.number = asked desc', '1').replace('a.number = asked', 'false')}"))
+def d11_content_search(t):
+    """Contents of some clauses and points as needles."""
+    o = t.read("orders").where("o_orderkey % 5000 = 0").select(F.col("o_orderkey").cast("int").alias("query_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("needle"))
+    li = t.read("lineitem").where("l_orderkey % 500 = 0").groupBy((F.col("l_orderkey").cast("int") + 100_000_000).alias("query_id")).agg(F.min(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("needle"))
+    return srch.catalogue_search(o.unionByName(li), *_catalogue(t)).where("kind <> 'article'")
+
+
+@query(with_tables("select doc_identity, parent_article, 'clause' as kind, uid, row_number() over (partition by doc_identity, parent_article order by number::int, uid) as pos from t_clause where parent_article::int % 50 = 0 union all select doc_identity, parent_article, 'point', uid, row_number() over (partition by doc_identity, parent_article order by parent_clause::int, letter, uid) from t_point where parent_article::int % 50 = 0"))
 def d13_article_children(t):
-    return t.clause.select("doc_identity", "parent_article", F.coalesce(F.col("number").try_cast("int"), F.lit(0)).alias("clause_num"), "content")
+    wanted = t.article.where(F.col("number").cast("int") % 50 == 0).select("doc_identity", F.col("number").alias("parent_article"))
+    return srch.article_children(wanted, t.clause, t.point)
 
 
 @query(with_tables("select label, case when label = 'Article' then trim(concat_ws(' ', nullif(title, ''), nullif(content, ''))) else content end as text, uid from t_node where label <> 'Document'"))
@@ -235,17 +258,17 @@ _CLOSE = "close as (select src as anc, dst, 1 as depth from t_edge union all sel
 
 @query(with_tables("select anc, dst, depth from close", _CLOSE))
 def c11_closure(t):
-    return g.closure(t.edge, 4)
+    return g.closure(stored(t.edge, "edge"), 4)
 
 
 @query(with_tables("select anc as doc_identity, " + ", ".join(f"count(*) filter (label = '{x}') as n_{x.lower()}s" for x in ("Chapter", "Article", "Clause", "Point")) + " from close join t_document on doc_identity = anc join t_node n on n.uid = dst group by 1", _CLOSE))
 def c12_descendant_counts(t):
-    return g.descendant_counts(g.closure(t.edge, 4), t.node, t.document)
+    return g.descendant_counts(g.closure(stored(t.edge, "edge"), 4), t.node, t.document)
 
 
 @query(with_tables("select anc as doc_identity, count(*) as n_hits from close join t_document on doc_identity = anc join t_node n on n.uid = dst where lower(n.content) like '%urgent%' group by 1", _CLOSE))
 def c12_documents_with_phrase(t):
-    return g.documents_with_phrase(g.closure(t.edge, 4), t.node, t.document, "urgent")
+    return g.documents_with_phrase(g.closure(stored(t.edge, "edge"), 4), t.node, t.document, "urgent")
 
 
 @query(with_tables("select uid, label, title, content from t_node where label = 'Article'"))
@@ -255,7 +278,7 @@ def c13_node_lookup(t):
 
 @query(with_tables("select anc as uid, dst as descendant, depth from close where anc in (select uid from t_article)", _CLOSE))
 def c14_descendants(t):
-    return g.descendants(g.closure(t.edge, 4), t.article)
+    return g.descendants(g.closure(stored(t.edge, "edge"), 4), t.article)
 
 
 # -- context -------------------------------------------------------------------
@@ -272,10 +295,10 @@ def _targets(t):
     )
 )
 def e1_hierarchy_text(t):
-    return ctx.hierarchy_text(_targets(t), t.node, g.closure(t.edge, 4), t.document)
+    return ctx.hierarchy_text(_targets(t), t.node, t.edge, t.document)
 
 
-@query(with_tables("select uid, 'Điểm ' || letter || ', Khoản ' || parent_clause || ', Điều ' || parent_article || ', ' || doc_identity as display from t_point"))
+@query(with_tables("select uid, 'Điểm ' || letter || ' Khoản ' || parent_clause || ' Điều ' || parent_article || ' ' || doc_identity as display from t_point"))
 def e3_format_uid(t):
     return t.point.select("uid", tx.format_uid(F.col("uid")).alias("display"))
 
@@ -289,7 +312,7 @@ def e3_format_uid(t):
     )
 )
 def e4_amendments(t):
-    return ctx.amendments_of(t.clause, t.amends, g.closure(t.edge, 4), t.node, t.document)
+    return ctx.amendments_of(t.clause, t.amends, t.edge, t.node, t.document)
 
 
 @query(with_tables("select uid, coalesce(array_to_string(list_sort(f), ','), '') as flags from t_clause left join (select dst_uid, list(distinct amend_type) as f from t_amends where amend_type in ('bãi bỏ', 'thay thế') group by 1) on dst_uid = uid"))
@@ -309,7 +332,7 @@ def e8_sibling_points(t):
 
 @query(with_tables("select c.uid, string_agg('  Điểm ' || p.letter || '. ' || p.content, chr(10) order by p.uid) as children from t_clause c join t_point p on p.parent_clause = c.number group by 1"))
 def e9_children(t):
-    return ctx.children_text(t.clause, g.closure(t.edge, 2), t.node)
+    return ctx.children_text(t.clause, t.node)
 
 
 @query(with_tables("select uid, case when uid like '%::point::%' then 'Point' when uid like '%::clause::%' then 'Clause' else 'Article' end as label from t_node where label in ('Point', 'Clause', 'Article')"))
@@ -317,9 +340,21 @@ def e11_label_from_uid(t):
     return t.node.where(F.col("label").isin("Point", "Clause", "Article")).select("uid", tx.label_from_uid(F.col("uid")).alias("label"))
 
 
-@query(with_tables("select c.uid, 'Điều ' || a.number || '. ' || a.title || chr(10) || c.number || '. ' || c.content || coalesce(chr(10) || string_agg(p.letter || ') ' || p.content, chr(10) order by p.letter), '') as law_text from t_clause c join t_article a on a.number = c.parent_article left join t_point p on p.parent_clause = c.number group by c.uid, a.number, a.title, c.number, c.content"))
+_TITLE = "'Document ' || a.doc_identity || chr(10) || 'Điều ' || a.number || '. ' || a.title"
+
+
+@query(
+    with_tables(
+        f"""select c.uid, {_TITLE} || chr(10) || c.number || '. ' || c.content as law_text from t_clause c join t_article a on a.number = c.parent_article
+  union all select p.uid, {_TITLE} || chr(10) || c.number || '. ' || c.content || chr(10) || p.letter || ') ' || p.content from t_point p join t_clause c on c.number = p.parent_clause join t_article a on a.number = p.parent_article
+  union all select a.uid, {_TITLE} || coalesce(chr(10) || string_agg(x.line, chr(10) order by x.c, x.p), '') from t_article a left join (
+    select parent_article, number::int as c, '' as p, number || '. ' || content as line from t_clause
+    union all select parent_article, parent_clause::int, letter, letter || ') ' || content from t_point) x on x.parent_article = a.number group by a.uid, a.doc_identity, a.number, a.title"""
+    )
+)
 def e13_law_text(t):
-    return ctx.law_text(t.clause, t.node, g.closure(t.edge, 4))
+    """Law text of every article, clause and point."""
+    return ctx.law_text(t.node.where(F.col("label").isin("Article", "Clause", "Point")), t.node, t.document)
 
 
 @query(
@@ -335,13 +370,15 @@ def f3_adjust_by_status(t):
 
 @query()
 def f4_retrieval_pipeline(t):
+    """Every fiftieth article asks two sub-queries, its title and its chapter."""
     post = t.node.where(F.col("label").isin("Article", "Clause", "Point"))
-    q = t.spark.createDataFrame([(1, 0, "urgent f"), (1, 1, "high o"), (2, 0, "customer#000000012"), (3, 0, "not specified p")], "query_id int, sub_query_idx int, query_text string")
+    asked = t.article.where("cast(number as int) % 50 = 0").select(F.col("number").cast("int").alias("query_id"), F.array("title", F.concat_ws(" ", F.lit("urgent"), "parent_chapter")).alias("texts"))
+    q = stored(asked.select("query_id", F.posexplode("texts").alias("sub_query_idx", "query_text")), "questions")
     flat = q.select((F.col("query_id") * 10 + F.col("sub_query_idx")).alias("query_id"), "query_text")
     found = srch.keyword_search(flat, srch.searchable_text(post), "uid", "text", "query_text", 30, "label")
     results = found.select(F.expr("query_id div 10").alias("query_id"), F.expr("query_id % 10").alias("sub_query_idx"), F.col("id").alias("uid"), "label", "score")
     node, edge, amends = stored(t.node, "node"), stored(t.edge, "edge"), stored(t.amends, "amends")  # graph tables, as a load would leave them
-    graph = {"node": node, "closure": stored(g.closure(edge, 4), "closure"), "document": stored(t.document, "document"), "amends": amends, "point": stored(t.point, "point")}
+    graph = {"node": node, "edge": edge, "document": stored(t.document, "document"), "amends": amends, "point": stored(t.point, "point")}
     return retrieval.rank_and_render(results, q.where("sub_query_idx = 0"), graph, retrieval.Settings(expand=True))
 
 
@@ -426,9 +463,13 @@ def i4_vote_table(t):
     return ev.vote_table(t.votes)
 
 
-@query(with_tables("select model, tp, fp, fn, tn, n_questions, round((tp + tn) / (tp + fp + fn + tn), 4) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) as recall from (select model, count(*) filter (vote and is_correct) as tp, count(*) filter (vote and not is_correct) as fp, count(*) filter (not vote and is_correct) as fn, count(*) filter (not vote and not is_correct) as tn, count(distinct id) as n_questions from every group by 1)", _ALL))
+def _timed(votes):
+    return votes.withColumn("latency_ms", F.col("id") % 1000 + F.length("model"))
+
+
+@query(with_tables("select model, tp, fp, fn, tn, n_questions, total_uids, avg_latency_ms, round((tp + tn) / (tp + fp + fn + tn), 4) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) as recall from (select model, count(*) filter (vote and is_correct) as tp, count(*) filter (vote and not is_correct) as fp, count(*) filter (not vote and is_correct) as fn, count(*) filter (not vote and not is_correct) as tn, count(distinct id) as n_questions, count(*) as total_uids, round(avg(id % 1000 + length(model)), 1) as avg_latency_ms from every group by 1)", _ALL))
 def i6_confusion_by_model(t):
-    return ev.confusion(ev.vote_table(t.votes), ["model"])
+    return ev.confusion(_timed(ev.vote_table(t.votes)), ["model"], "latency_ms")
 
 
 @query(with_tables("select id, model, case when vote and is_correct then 'TP' when vote then 'FP' when is_correct then 'FN' else 'TN' end as outcome from t_votes"))
@@ -455,7 +496,7 @@ def j15_trailing_load(t):
     return cp.trailing_load(rows, "user_id", "ts", "tok", 2, 1_000_000).select("event_id", "n_requests", "over_limit")
 
 
-@query()
+@query("select case when b < 8 then 'train' when b = 8 then 'valid' else 'test' end as split, count(*) as n from (select ('0x' || md5('42:' || doc_id)[1:8])::bigint % 10 as b from documents) group by 1")
 def j10_split(t):
     return cp.split_by_hash(t.read("documents").select("doc_id"), "doc_id").groupBy("split").agg(F.count("*").alias("n"))
 
@@ -518,19 +559,18 @@ def b1_html_to_text(t):
 
 
 def rendered_documents(t) -> DataFrame:
-    """The document tree as text with headings, for parsing back; letter f is no point letter and is left out."""
-    c = t.clause.select(F.col("uid").alias("c"), "parent_article", F.col("number").alias("cn"), F.concat("number", F.lit(". "), "content").alias("line"), "doc_identity")
-    a = t.article.select(F.col("number").alias("parent_article"), F.concat(F.lit("Điều "), "number", F.lit(". "), "title").alias("line"), "doc_identity")
-    p = t.point.where("letter <> 'f'").select("parent_article", F.col("parent_clause").alias("cn"), "letter", F.concat("letter", F.lit(") "), "content").alias("line"), "doc_identity")
+    """Each article with its clauses and points as a document of its own, for parsing back; letter f is no point letter and is left out."""
+    name = F.concat_ws("/", "doc_identity", "parent_article").alias("doc")
     none = F.lit("")
-    rows = a.select("doc_identity", "parent_article", none.alias("cn"), none.alias("letter"), "line").unionByName(c.select("doc_identity", "parent_article", "cn", none.alias("letter"), "line")).unionByName(p.select("doc_identity", "parent_article", "cn", "letter", "line"))
-    text = rows.groupBy("doc_identity").agg(ctx.ordered_text(F.struct("parent_article", "cn", "letter"), F.col("line")).alias("text"))
-    return text
+    a = t.article.withColumn("parent_article", F.col("number")).select(name, none.alias("cn"), none.alias("letter"), F.concat(F.lit("Điều "), "number", F.lit(". "), "title").alias("line"))
+    c = t.clause.select(name, F.col("number").alias("cn"), none.alias("letter"), F.concat("number", F.lit(". "), "content").alias("line"))
+    p = t.point.where("letter <> 'f'").select(name, F.col("parent_clause").alias("cn"), "letter", F.concat("letter", F.lit(") "), "content").alias("line"))
+    return a.unionByName(c).unionByName(p).groupBy("doc").agg(ctx.ordered_text(F.struct("cn", "letter"), F.col("line")).alias("text"))
 
 
-@query(with_tables("select doc_identity as doc, 'Article' as kind, number, null as content, null as in_article, null as in_clause from t_article union all select doc_identity, 'Clause', number, content, parent_article, null from t_clause union all select doc_identity, 'Point', letter, content, parent_article, parent_clause from t_point where letter <> 'f'"))
+@query(with_tables("select doc_identity || '/' || number as doc, 'Article' as kind, number, null as content, null as in_article, null as in_clause from t_article union all select doc_identity || '/' || parent_article, 'Clause', number, content, parent_article, null from t_clause union all select doc_identity || '/' || parent_article, 'Point', letter, content, parent_article, parent_clause from t_point where letter <> 'f'"))
 def b6_parse_back(t):
-    nodes = ps.parsed_nodes(ps.lines(rendered_documents(t), "doc_identity", "text"))
+    nodes = ps.parsed_nodes(ps.lines(rendered_documents(t), "doc", "text"))
     up = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c))
     return nodes.select("doc", "kind", "number", up("content", "Clause", "Point").alias("content"), up("in_article", "Clause", "Point").alias("in_article"), up("in_clause", "Point").alias("in_clause"))
 
@@ -540,9 +580,7 @@ def b6_parse_back(t):
 
 @query(with_tables("select uid, 'article' as kind, coalesce(try_cast(number as int), 0) as number, title as name from t_article union all select uid, 'clause', coalesce(try_cast(number as int), 0), content from t_clause union all select uid, 'point', coalesce(try_cast(letter as int), 0), content from t_point"))
 def d12_index_entries(t):
-    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)).alias("number")
-    rows = lambda df, kind, n, name: df.select("uid", F.lit(kind).alias("kind"), number(n), F.col(name).alias("name"))
-    return rows(t.article, "article", "number", "title").unionByName(rows(t.clause, "clause", "number", "content")).unionByName(rows(t.point, "point", "letter", "content"))
+    return srch.index_entries(t.article, t.clause, t.point)
 
 
 @query("select user_id, arg_max(event_type, event_id) filter (event_type is not null) as event_type, arg_max(value, event_id) filter (value is not null and value >= 1) as value from (select * from events) group by 1")
@@ -587,7 +625,7 @@ def e2_flat_text(t):
 
 @query(
     with_tables(
-        """select uid, string_agg('      - Amended by: ' || src_uid || coalesce(' (Effective: ' || effect_date || ')', '') || ' (applied to ' || dst_uid || ')' || chr(10) || '        Content: ' || coalesce(content, ''), chr(10) order by src_uid, dst_uid) as amendments
+        """select uid, string_agg('      - Amended by: ' || 'Khoản ' || split_part(src_uid, '::', 5) || ' Điều ' || split_part(src_uid, '::', 3) || ' ' || split_part(src_uid, '::', 1) || case when length(effect_date) >= 10 then ' (Effective: ' || substr(effect_date, 1, 10) || ')' else '' end || ' (applied to ' || 'Khoản ' || split_part(dst_uid, '::', 5) || ' Điều ' || split_part(dst_uid, '::', 3) || ' ' || split_part(dst_uid, '::', 1) || ')' || chr(10) || '        Content: ' || coalesce(content, ''), chr(10) order by src_uid, dst_uid) as amendments
   from (select distinct r.uid, a.src_uid, a.dst_uid, n.content, d.effect_date
     from (select dst as uid, anc as dst_uid from close union all select anc, dst from close union all select uid, uid from t_node) r
     join t_clause w on w.uid = r.uid join (select distinct src_uid, dst_uid, amend_type from t_amends) a on a.dst_uid = r.dst_uid join t_node n on n.uid = a.src_uid join t_document d on d.doc_identity = n.doc_identity) group by 1""",
@@ -595,23 +633,64 @@ def e2_flat_text(t):
     )
 )
 def e5_amendment_lines(t):
-    found = ctx.amendments_of(t.clause, t.amends, g.closure(t.edge, 4), t.node, t.document)
+    found = ctx.amendments_of(t.clause, t.amends, t.edge, t.node, t.document)
     return ctx.amendment_lines(found.drop("amend_type").distinct())
 
 
+_WANTED = """wa as (select number::int // 10 as q, number as an from t_article where number::int % 10 = 0),
+wc as (select parent_article::int // 10 as q, parent_article as an, number as cn from t_clause where number::int % 3 = 0),
+wp as (select parent_article::int // 10 as q, uid, parent_article as an, parent_clause as cn from t_point where letter = 'b' and parent_clause::int % 3 = 1),
+shown as (
+  select q, c.parent_article as an, c.number::int as c, '' as p, c.number || '. ' || c.content as line from t_clause c join wa on an = parent_article
+  union select q, parent_article, parent_clause::int, letter, letter || ') ' || content from t_point join wa on an = parent_article
+  union select q, an, number::int, '', number || '. ' || content from t_clause join wc on cn = number
+  union select q, an, parent_clause::int, letter, letter || ') ' || content from t_point join wc on cn = parent_clause
+  union select q, an, number::int, '', number || '. ' || content from t_clause join wp on cn = number
+  union select q, an, parent_clause::int, letter, letter || ') ' || content from t_point join wp using (uid)),
+bodies as (select q, an, string_agg(line, chr(10) order by c, p) as body from shown group by 1, 2),
+arts as (select q, a.doc_identity, a.number::int as n, 'Điều ' || a.number || '. ' || a.title || coalesce(chr(10) || body, '') as t from (select q, an from bodies union select q, an from wa) x join t_article a on a.number = an left join bodies using (q, an)),
+docs as (select q, doc_identity, 'Document ' || doc_identity || chr(10) || string_agg(t, chr(10) || chr(10) order by n) as t from arts group by 1, 2)"""
+
+
+@query(with_tables("select q as query_id, string_agg(t, chr(10) || chr(10) order by doc_identity) as law_text from docs group by 1", _WANTED))
+def e14_merged_law_text(t):
+    """Ten customers make a query: every tenth article whole, every third clause, some single points."""
+    ask = lambda df, number: df.select(F.expr(f"cast({number} as int) div 10").alias("query_id"), "uid")
+    wanted = ask(t.article.where("cast(number as int) % 10 = 0"), "number").unionByName(ask(t.clause.where("cast(number as int) % 3 = 0"), "parent_article")).unionByName(ask(t.point.where("letter = 'b' and cast(parent_clause as int) % 3 = 1"), "parent_article"))
+    return ctx.merged_law_text(wanted, t.node, t.document)
+
+
 @query(
     with_tables(
-        """select doc_identity, string_agg(line, chr(10) order by an, a, cn, c, p) as law_text from (
-  select doc_identity, number::int as an, number as a, -1 as cn, '' as c, '' as p, 'Điều ' || number || '. ' || title as line from t_article where number in (select parent_article from t_clause)
-  union all select doc_identity, parent_article::int, parent_article, number::int, number, '', number || '. ' || content from t_clause
-  union all select doc_identity, parent_article::int, parent_article, parent_clause::int, parent_clause, letter, letter || ') ' || content from t_point) group by 1"""
+        """select number::int // 10 as query_id, 'Danh sách văn bản hiệu lực:' || chr(10) || string_agg(distinct '- ' || doc_identity || ' (Ngày hiệu lực: ' || effect_date || ')', chr(10) order by '- ' || doc_identity || ' (Ngày hiệu lực: ' || effect_date || ')') as dates from t_article join t_document using (doc_identity) group by 1"""
     )
 )
-def e14_merged_law_text(t):
-    return ctx.merged_law_text(t.clause, t.node, g.closure(t.edge, 4))
+def e15_date_list(t):
+    return ctx.effect_date_list(t.article.select(F.expr("cast(number as int) div 10").alias("query_id"), "uid"), t.document)
 
 
-@query(with_tables("select query_id, uid, round(score::decimal(18, 6), 4)::double as score, 'Điều ' || split_part(uid, '::', 3) || ', ' || split_part(uid, '::', 1) as display, substr(d.text, 1, 300) as snippet from merged m join documents d on d.doc_id = split_part(uid, '::', 3)::bigint", f"{_RANKED}, {_MERGED}"))
+@query(
+    with_tables(
+        f"""select parent_article as query_id, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by number::int) as text from (
+  select c.parent_article, c.number, case when list_contains(f, 'bãi bỏ') then '[ĐÃ BỊ BÃI BỎ bởi văn bản mới hơn]' || chr(10) when list_contains(f, 'thay thế') then '[ĐÃ BỊ THAY THẾ bởi văn bản mới hơn]' || chr(10) else '' end
+    || '[Văn bản: ' || c.doc_identity || ' — Hiệu lực: ' || coalesce(d.effect_date, 'N/A') || ']' || chr(10) || 'Chương ' || ch.number || ': ' || ch.title || chr(10) || 'Điều ' || a.number || ': ' || a.title || chr(10) || 'Khoản ' || c.number || '.' || chr(10) || 'Nội dung: ' || c.content
+    || coalesce(chr(10) || chr(10) || '[Nội dung chi tiết]:' || chr(10) || kids, '') || coalesce(chr(10) || chr(10) || '[LƯU Ý - NỘI DUNG SỬA ĐỔI]:' || chr(10) || notes, '') as block
+  from t_clause c join t_document d using (doc_identity) join t_article a on a.number = c.parent_article join t_chapter ch on ch.doc_identity = a.doc_identity and ch.number = a.parent_chapter
+  left join (select dst_uid as uid, list(distinct amend_type) as f from t_amends where amend_type in ('bãi bỏ', 'thay thế') group by 1) fl on fl.uid = c.uid
+  left join (select parent_clause as number, string_agg('  Điểm ' || letter || '. ' || content, chr(10) order by uid) as kids from t_point group by 1) k on k.number = c.number
+  left join (select dst_uid as uid, string_agg('Đã được sửa đổi/bổ sung bởi ' || 'Khoản ' || split_part(src_uid, '::', 5) || ' Điều ' || split_part(src_uid, '::', 3) || ' ' || split_part(src_uid, '::', 1) || ': ' || coalesce(n.content, ''), chr(10) order by src_uid) as notes from (select distinct src_uid, dst_uid from t_amends) join t_node n on n.uid = src_uid group by 1) nt on nt.uid = c.uid) group by 1"""
+    )
+)
+def e10_final_context(t):
+    """The clauses of each article as ranked results, with flags, children and amendment notes."""
+    rows = t.clause.select("uid", F.col("parent_article").alias("query_id"), F.col("number").cast("int").alias("rank"), F.lit(None).cast("string").alias("siblings"))
+    notes = ctx.amendment_notes(ctx.amendments_of(rows, t.amends, t.edge, t.node, t.document).drop("amend_type").distinct())
+    for part in (ctx.hierarchy_text(rows, t.node, t.edge, t.document), ctx.status_flags(rows, t.amends), ctx.children_text(rows, t.node), notes):
+        rows = rows.join(part, "uid", "left")
+    return ctx.assemble_context(rows)
+
+
+@query(with_tables("select query_id, uid, round(score::decimal(18, 6), 4)::double as score, 'Điều ' || split_part(uid, '::', 3) || ' ' || split_part(uid, '::', 1) as display, substr(d.text, 1, 300) as snippet from merged m join documents d on d.doc_id = split_part(uid, '::', 3)::bigint", f"{_RANKED}, {_MERGED}"))
 def e16_source_items(t):
     texts = t.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
     return ctx.source_items(_merged(t).withColumn("id", F.split("uid", "::")[2].cast("long")).join(texts, "id"))
@@ -767,9 +846,9 @@ def i3_truth_labels(t):
     return _merged(t).join(refs, "query_id").select("query_id", "uid", F.exists("references", lambda r: F.col("uid").startswith(r)).alias("is_correct"))
 
 
-@query(with_tables("select tp, fp, fn, tn, n_questions, round((tp + tn) / (tp + fp + fn + tn), 4) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) as recall from (select count(*) filter (vote and is_correct) as tp, count(*) filter (vote and not is_correct) as fp, count(*) filter (not vote and is_correct) as fn, count(*) filter (not vote and not is_correct) as tn, count(distinct id) as n_questions from t_votes)"))
+@query(with_tables("select tp, fp, fn, tn, n_questions, total_uids, avg_latency_ms, round((tp + tn) / (tp + fp + fn + tn), 4) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) as recall from (select count(*) filter (vote and is_correct) as tp, count(*) filter (vote and not is_correct) as fp, count(*) filter (not vote and is_correct) as fn, count(*) filter (not vote and not is_correct) as tn, count(distinct id) as n_questions, count(*) as total_uids, round(avg(id % 1000 + length(model)), 1) as avg_latency_ms from t_votes)"))
 def i5_confusion(t):
-    return ev.confusion(t.votes, [])
+    return ev.confusion(_timed(t.votes), [], "latency_ms")
 
 
 # -- more datasets and corpus statistics -----------------------------------------------
@@ -828,6 +907,118 @@ def k12_plain_words(t):
     return t.read("documents").select("doc_id", F.size(cp.plain_words(F.col("text"))).alias("n_plain"))
 
 
+# -- analytics, comparison and samples ---------------------------------------------
+
+
+@query(with_tables("select doc_identity, parent_chapter as chapter, number, title from t_article where parent_chapter = 'BUILDING'"))
+def c12_titles_in_chapters(t):
+    return g.titles_in_chapters(t.article, t.chapter.where("number = 'BUILDING'"))
+
+
+@query(with_tables("select doc_identity, count(*) as n_articles from t_article group by 1 order by n_articles desc, doc_identity limit 5"))
+def c12_largest_documents(t):
+    return g.largest_documents(t.article, 5)
+
+
+@query("select year(o_orderdate) as year, count(*) as n from orders group by 1")
+def c12_issued_per_year(t):
+    return g.issued_per_year(t.read("orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("issue_date")), "issue_date")
+
+
+def _dimensions(t):
+    o = t.read("orders")
+    part = lambda label, c: o.select(F.col("o_custkey").alias("doc_identity"), F.lit(label).alias("label"), F.col(c).alias("name"))
+    return part("Signer", "o_orderstatus").unionByName(part("Field", "o_orderpriority"))
+
+
+@query("select o_orderpriority as name, count(distinct o_custkey) as n from orders group by 1")
+def c12_documents_by_field(t):
+    return g.count_by_dimension(_dimensions(t), "Field")
+
+
+@query("select distinct o_custkey as doc_identity, o_orderstatus as name from orders join customer on c_custkey = o_custkey where lower(c_name) like '%00%'")
+def c12_signers_of_documents(t):
+    documents = t.read("customer").select(F.col("c_custkey").alias("doc_identity"), F.col("c_name").alias("doc_name"))
+    return g.dimension_of_documents(documents, _dimensions(t), "Signer", "00")
+
+
+@query(with_tables("select distinct type, '' as properties from t_edge union all select distinct 'AMENDS', 'amend_type' from t_amends"))
+def c10_edge_properties(t):
+    edges = t.edge.withColumn("amend_type", F.lit(None).cast("string")).unionByName(t.amends.select(F.col("src_uid").alias("src"), F.col("dst_uid").alias("dst"), F.lit("AMENDS").alias("type"), "amend_type"))
+    return g.edge_properties(edges, ["amend_type"]).select("type", F.array_join("properties", ",").alias("properties"))
+
+
+@query(with_tables("select config, num_evaluated, " + ", ".join(ev.METRICS) + " from gsum", f"{_RANKED}, {_MERGED}, {_GRID}"))
+def g8_comparison_table(t):
+    return ev.comparison_table(_grid_summary(t))
+
+
+@query("select source as name from documents where source is not null and lang is not null group by 1 having count(distinct lang) = 4")
+def g11_files_in_every_part(t):
+    return ev.in_every_part(t.read("documents").where("source is not null and lang is not null").select(F.col("lang").alias("part"), F.col("source").alias("name")), 4)
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then '<|turn>user' || chr(10) || coalesce(text, '') || '<turn|><|turn>model' || chr(10) else '<|im_start|>user' || chr(10) || coalesce(text, '') || '<|im_end|><|im_start|>assistant' || chr(10) end as prompt from documents")
+def h16_turn_tokens(t):
+    prompt = tx.fill_template("<|im_start|>user\n{text}<|im_end|><|im_start|>assistant\n", ["text"])
+    model = F.when(F.col("doc_id") % 2 == 0, "Gemma-3").otherwise("other")
+    return t.read("documents").select("doc_id", tx.turn_tokens(prompt, model).alias("prompt"))
+
+
+def _samples(t):
+    d = t.read("documents")
+    task = F.col("doc_id") % 3
+    return d.select(
+        "doc_id",
+        F.when(task == 0, F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("legal_document"),
+        F.col("source").alias("specific_question"),
+        F.col("lang").alias("question"),
+        F.when(task < 2, F.array(F.lit("một"), F.lit("hai"))).alias("choices"),
+        F.when(task < 2, (F.expr("doc_id div 3") % 3).cast("string")).otherwise(F.concat(F.lit("<think>"), F.coalesce("text", F.lit("")), F.lit("</think><answer>x</answer>"))).alias("answer"),
+        F.lit("<think>vì</think>").alias("reasoning"),
+    )
+
+
+@query("select doc_id, 'task' || (doc_id % 3 + 1) as task from documents")
+def j1_detect_task(t):
+    return cp.detect_task(_samples(t)).select("doc_id", "task")
+
+
+@query(
+    r"""with s as (select doc_id, doc_id % 3 as k, doc_id // 3 % 3 as a, coalesce(lang, '') as q, coalesce(source, '') as sq, substr(coalesce(text, ''), 1, 80) as d, regexp_replace(regexp_replace(coalesce(text, '') || 'x', '</?(think|answer)[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g') as o from documents)
+select doc_id, case k when 0 then 'Tài liệu pháp lý:' || chr(10) || d || chr(10) || chr(10) || 'Câu hỏi cụ thể: ' || sq || chr(10) || chr(10) || 'Câu hỏi: ' || q || chr(10) || 'Các lựa chọn:' || chr(10) || '  1. một' || chr(10) || '  2. hai' || chr(10) || chr(10) || 'Hãy phân tích và đưa ra câu trả lời.'
+  when 1 then 'Câu hỏi: ' || q || chr(10) || chr(10) || 'Các lựa chọn:' || chr(10) || '  A. một' || chr(10) || '  B. hai' || chr(10) || chr(10) || 'Hãy phân tích từng lựa chọn và đưa ra câu trả lời đúng.'
+  else 'Câu hỏi: ' || q || chr(10) || chr(10) || 'Hãy phân tích và đưa ra câu trả lời dựa trên các quy định pháp luật.' end as user,
+  case k when 0 then 'vì' || chr(10) || chr(10) || '<answer>' || case a when 0 then 'một' when 1 then 'hai' else 'Không' end || '</answer>'
+  when 1 then 'vì' || chr(10) || chr(10) || '<answer>' || case a when 0 then 'A. một' when 1 then 'B. hai' else 'Không xác định' end || '</answer>'
+  else o || chr(10) || chr(10) || '<answer>' || coalesce(list_filter(list_transform(string_split(o, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, '*') and not contains(lower(x), 'tiền đề'))[-1], substr(o, 1, 300)) || '</answer>' end as assistant from s"""
+)
+def j2_format_samples(t):
+    return cp.format_samples(cp.detect_task(_samples(t))).select("doc_id", "user", "assistant")
+
+
+@query(with_tables("select '' as law_text, reference_text as question, candidate_text as answer from t_pair"))
+def j7_without_context(t):
+    return cp.without_context(t.pair.select(F.col("reference_text").alias("question"), F.col("candidate_text").alias("answer")))
+
+
+@query("select doc_id from documents where source in (select lower(source) from documents where doc_id % 50 = 0)")
+def j8_only_named(t):
+    names = t.read("documents").where("doc_id % 50 = 0").select(F.lower("source").alias("name"))
+    return cp.only_named(t.read("documents").select("doc_id", F.col("source").alias("doc_name")), names).select("doc_id")
+
+
+@query("select doc_id, 'task' || (doc_id % 3 + 1) as task, source as document_name from documents where doc_id % 3 < 2")
+def j11_tagged_tasks(t):
+    d = cp.tag_document(t.read("documents").select("doc_id", "source"), F.col("source")).drop("source")
+    return cp.concat_tasks({f"task{k + 1}": d.where(F.col("doc_id") % 3 == k) for k in (0, 1)}).select("doc_id", "task", "document_name")
+
+
+@query(with_tables("select type, case when hi = lo then 25 else least(floor((children - lo) * 50 / (hi - lo)), 49) end::bigint as bin, count(*) as parents from (select *, min(children) over (partition by type) as lo, max(children) over (partition by type) as hi from (select type, src, count(*) as children from t_edge group by 1, 2)) group by 1, 2"))
+def k3_children_histogram(t):
+    return cp.children_histogram(t.edge)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector search, per-query metrics and the ablation summary."""
     return QUERIES["g6_ablation_grid"](spark, sf_dir)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docgraph.functions.text import strip
 from docgraph.operators.parsing import html_to_text
 
 _NAMED = "array<struct<{0}Id:int,{0}Name:string>>"
@@ -100,16 +100,44 @@ def split_details(details: DataFrame, html_col: str = "docContent") -> tuple[Dat
     return details.select("docGUId", html_to_text(F.col(html_col)).alias("text")), details.drop(html_col)
 
 
-def numbered_output(samples: DataFrame, order: str) -> DataFrame:
-    """A key like ``0001_task1`` per sample."""
-    from pyspark.sql import Window
+def numbered_output(samples: DataFrame, order: str, width: int = 10_000) -> DataFrame:
+    """A key like ``0001_task1`` per sample, counted per task in the order of a whole number.
 
-    return samples.withColumn("key", F.concat_ws("_", F.lpad(F.row_number().over(Window.partitionBy("task").orderBy(order)).cast("string"), 4, "0"), "task"))
+    Numbers run inside stretches of ``width`` positions; counts tell where each stretch begins.
+    """
+    cut = samples.withColumn("stretch", F.floor(F.col(order) / width))
+    before = Window.partitionBy("task").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row per stretch
+    starts = cut.groupBy("task", "stretch").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = cut.withColumn("rn", F.row_number().over(Window.partitionBy("task", "stretch").orderBy(order))).join(starts, ["task", "stretch"])
+    return numbered.withColumn("key", F.concat_ws("_", F.format_string("%04d", F.col("start") + F.col("rn")), "task")).drop("stretch", "start", "rn")
 
 
-def flatten_header(df: DataFrame) -> DataFrame:
-    return df.toDF(*(c.strip().lower() for c in df.columns))
+def write_parsed(bundles: DataFrame, path: str) -> None:
+    """Parsed documents as JSON, one object each with nulls written out."""
+    bundles.write.option("ignoreNullFields", False).json(path)
 
 
-def clean_text(c: str) -> Column:
-    return strip(F.col(c))
+def read_parsed(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Parsed documents as ``write_parsed`` leaves them, or as one JSON file each."""
+    return spark.read.schema(schema).option("multiLine", False).json(path)
+
+
+PAYLOAD = "id string, question string, expert_answer string, uids array<string>, law_text string, extra_info string, top_k int, llm_answer string"
+
+
+def append_payloads(rows: DataFrame, path: str) -> None:
+    """Adds payload rows as JSON lines; with ``unprocessed`` a run goes on where the last one ended."""
+    rows.write.mode("append").json(path)
+
+
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PAYLOAD).json(path)
+
+
+def write_chatml(samples: DataFrame, path: str) -> None:
+    """JSON lines with the rendered ``text`` alone."""
+    samples.select("text").write.json(path)
+
+
+def read_chatml(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("text string").json(path)
