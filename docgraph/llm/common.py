@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,6 +71,13 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table, by a literal and SQL functions alone."""
+    names = [c.split()[0] for c in schema.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows], default=str)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{','.join(':'.join(c.split(None, 1)) for c in schema.split(','))}>>")))
+
+
 def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``counted``, which has one row per key and says in ``n`` how many rows the key has.
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import shuffle_partitions
+from docgraph.llm.common import shuffle_partitions, small_table
 
 SECTION_LINES = 8
 LEAF_CHARS = 24
@@ -173,9 +173,8 @@ def with_successor(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     place, _ = _place(borders, hot)
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("place", place)
     firsts = rows.groupBy("place").agg(F.min(F.struct(F.col("id").isNotNull().alias("filled"), "id", "tie")).alias("f"))
-    heads = sorted((r["place"], r["f"]["id"], r["f"]["tie"]) for r in firsts.collect()) if n_rows else []
-    schema = rows.select("place", F.col("id").alias("first_id"), F.col("tie").alias("first_tie"), F.col("place").alias("before")).schema
-    known = spark.createDataFrame([(*h, heads[i - 1][0]) for i, h in enumerate(heads)], schema)
+    heads = sorted(((r["place"], r["f"]["id"], r["f"]["tie"]) for r in firsts.collect()), key=lambda h: h[0]) if n_rows else []
+    known = small_table(spark, [(*h, heads[i - 1][0]) for i, h in enumerate(heads)], f"place int, first_id {rows.schema['id'].dataType.simpleString()}, first_tie long, before int")
     placed = rows.join(F.broadcast(known), "place")  # one row per bucket
     own, ghost = (F.struct(F.col(c).alias("place"), F.lit(g).alias("ghost")) for c, g in (("place", False), ("before", True)))
     first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))

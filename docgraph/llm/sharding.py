@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialise, offsets_of
+from docgraph.llm.common import materialise, offsets_of, small_table
 
 DIMS = ("x_size", "x_lang", "x_source")
 KEY_BITS = 60  # 30 bits of coordinate, 30 bits of group hash that order equal coordinates
@@ -155,7 +155,7 @@ def kd_shards(documents: DataFrame, n_shards: int | None = None, id_col: str = "
     # at most n_shards / tolerance groups are heavy
     heavy = rows.groupBy("group", "size").agg(F.count("*").alias("n")).where(F.col("n") * F.col("size") > target * tolerance).collect()
     dealt, room = place_heavy([tuple(r) for r in heavy], n_shards, target)
-    placed = spark.createDataFrame(dealt, "group long, size long, low double, high double, shard int")
+    placed = small_table(spark, dealt, "group long, size long, low double, high double, shard int")
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     light = rows.join(F.broadcast(placed.select("group", "size").distinct()), ["group", "size"], "left_anti")
     points = light.groupBy("group", "size").agg(F.sum("size").alias("w"), F.min("x_lang").alias("x_lang"), F.min("x_source").alias("x_source"))
