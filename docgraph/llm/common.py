@@ -6,6 +6,8 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -83,15 +85,17 @@ def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, sprea
 
     A key of more than an eighth of a task's fair share of rows is dealt over salts, taken from a
     hash of ``spread``; there are at most eight times as many such keys as shuffle partitions,
-    so their list is broadcast. ``counted`` should be a stored table: it is read three times.
+    so their list is broadcast. The most frequent key is always listed, which keeps the plan the
+    same where no key is hot. ``counted`` should be a stored table: it is read three times.
     """
     parts = shuffle_partitions(rows.sparkSession)
-    total = counted.agg(F.sum(n)).first()[0] or 0
-    share = max(1000, total // (8 * parts))
+    total, top = counted.agg(F.sum(n), F.max_by(F.struct(*keys), n)).first()
+    share = max(1000, (total or 0) // (8 * parts))
     salt = fresh("salt", [*rows.columns, *counted.columns])
-    hot = counted.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("long").alias(salt + "s"))
-    # a row without key meets nothing and keeps the plan the same where no key is hot
-    hot = hot.unionByName(rows.sparkSession.range(1).select(*(F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys), F.lit(1).cast("long").alias(salt + "s")))
+    listed = F.col(n) > share
+    if top:
+        listed = listed | reduce(and_, (F.col(k) == F.lit(top[k]) for k in keys))
+    hot = counted.where(listed).select(*keys, F.ceil(F.col(n) / share).cast("long").alias(salt + "s"))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*spread), F.col(salt + "s")), F.lit(0).cast("long"))).drop(salt + "s")
     copies = counted.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col(n) / share).cast("long") - 1, F.lit(0).cast("long")))))
     return dealt.join(copies, [*keys, salt], how).drop(salt)

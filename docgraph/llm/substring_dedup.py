@@ -299,7 +299,7 @@ def repeated_spans(texts: DataFrame, length: int = MIN_BYTES) -> DataFrame:
         hashed = thin.withColumn("h", F.xxhash64("raw"))
         kinds = hashed.groupBy("grp", "h").agg(F.count("*").alias("same"))
         kinds = materialise(join_hot(materialise(kinds, "parts"), materialise(kinds.groupBy("grp").agg(F.count("*").alias("kinds")), "part-kinds"), ["grp"], "kinds", ["h"]), "sized-parts")
-        tagged = join_hot(hashed, kinds, ["grp", "h"], "same", ["fp", "seg", "base"])
+        tagged = materialise(join_hot(hashed, kinds, ["grp", "h"], "same", ["fp", "seg", "base"]), "tagged-parts")
         whole = tagged.where("same > 1").select("fp", "seg", F.col("base").alias("a"), (F.col("base") + F.length("raw") - length + 1).alias("b"))
         single = tagged.where("same = 1 and kinds > 1 and kinds <= %d" % GROUP_LIMIT)
         shared = tagged.where("same > 1 and kinds > 1 and kinds <= %d" % GROUP_LIMIT).dropDuplicates(["grp", "h"])
