@@ -8,8 +8,9 @@ a document, with a fixed penalty for switching, labels every word; runs of equal
 the spans. The document's language is the one with most letter bytes.
 
 Edge cases: null text, empty text and text without any letter give ``und`` with score 0;
-rows with null id or null language are predicted but never learned from; an empty
-training table gives ``und`` everywhere; more than ``max_languages`` languages are an
+rows with null id or null language are predicted but never learned from; a language whose
+training texts hold no letter is never predicted; columns other than id, text and language
+are not read; an empty training table gives ``und`` everywhere; more than ``max_languages`` languages are an
 error. Equal texts get equal results.
 """
 
@@ -218,10 +219,10 @@ def fit_language(documents: DataFrame, text_col: str = "text", lang_col: str = "
                         scripts[name, bit] = scripts.get((name, bit), 0) + seen
         for name, grams in total.items():
             at = np.flatnonzero(grams)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(grams[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(grams[at], pa.int64())], names=["lang", "bucket", "n"])
         if scripts:
             rows = sorted(scripts.items())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows]), pa.array([-1 - k[1] for k, _ in rows]), pa.array([v for _, v in rows])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([-1 - k[1] for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.int64())], names=["lang", "bucket", "n"])
 
     n_languages = documents.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(max_languages + 1).count()
     if n_languages > max_languages:
@@ -234,7 +235,7 @@ def fit_language(documents: DataFrame, text_col: str = "text", lang_col: str = "
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
-    languages = sorted(rows.lang.unique())
+    languages = sorted(rows.lang[rows.bucket >= 0].unique())
     score = np.zeros((BUCKETS, len(languages)), np.float32)
     scripts = np.zeros(len(languages), np.uint64)
     for k, name in enumerate(languages):

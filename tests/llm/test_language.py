@@ -72,3 +72,70 @@ def test_query(spark, tmp_path):
             assert r.lang_pred == lang if lang else r.lang_pred in "abc"
     with pytest.raises(ValueError):
         lg.fit_language(spark.read.parquet(str(tmp_path / "documents.parquet")), max_languages=2)
+
+
+def plain_model(rows):
+    """Log-likelihood tables and scripts from plain counts; ``rows`` are (text, lang)."""
+    grams, seen = {}, {}
+    for text, lang in rows:
+        if lang is None or text is None:
+            continue
+        for w in plain_words(text):
+            for b in plain_buckets(w):
+                grams.setdefault(lang, {}).setdefault(b, 0)
+                grams[lang][b] += 1
+            word = w.decode()
+            for script in {lg.SCRIPTS[lg._characters()[2][ord(c)]] for c in word}:
+                seen.setdefault(lang, {}).setdefault(script, 0)
+                seen[lang][script] += 1
+    total = {k: sum(g.values()) for k, g in grams.items()}
+    score = {k: lambda b, k=k: np.float32(np.log((grams[k].get(b, 0) + 0.5) / (total[k] + 0.5 * lg.BUCKETS))) for k in grams}
+    scripts = {k: {s for s, n in v.items() if n > 0.005 * max(1, max(v.values()))} for k, v in seen.items()}
+    return sorted(grams), score, scripts
+
+
+def plain_prediction(text, languages, score, scripts):
+    words = plain_words(text or "")
+    if not languages or not words or not any(regex.match(r"\p{L}", c) for c in text):
+        return "und"
+    cost = []
+    for w in words:
+        own = {lg.SCRIPTS[lg._characters()[2][ord(c)]] for c in w.decode()}
+        allowed = [bool(own & scripts[k]) for k in languages]
+        cost.append([sum(score[k](b) for b in plain_buckets(w)) - (0 if ok or not any(allowed) else 100) for k, ok in zip(languages, allowed, strict=True)])
+    best, back = list(cost[0]), []
+    for c in cost[1:]:
+        top = max(range(len(best)), key=lambda k: best[k])
+        back.append([top if best[top] - lg.SWITCH_PENALTY > best[k] else k for k in range(len(best))])
+        best = [max(best[k], best[top] - lg.SWITCH_PENALTY) + c[k] for k in range(len(best))]
+    at = max(range(len(best)), key=lambda k: best[k])
+    labels = [at]
+    for b in reversed(back):
+        at = b[at]
+        labels.append(at)
+    weight = {}
+    for k, w in zip(reversed(labels), words, strict=True):
+        weight[k] = weight.get(k, 0) + len(w)
+    return languages[max(sorted(weight), key=lambda k: weight[k])]
+
+
+def test_languages_without_letters_and_predictions_by_hand(spark, tmp_path):
+    rnd = random.Random(4)
+    vocabulary = {"en": "the river stone house walks seven over bridge".split(), "fr": "rivière maison été sous naïve pont leur chemin".split(), "ru": "река дом камень мост через ветер".split()}
+    rows = []
+    for i in range(120):
+        lang = ["en", "fr", "ru"][i % 3]
+        rows.append((i, " ".join(rnd.choice(vocabulary[lang]) for _ in range(rnd.randint(1, 30))), lang, 5))
+    rows += [(200 + i, "123 456", "zz", 1) for i in range(5)]  # a language without a letter, in a partition of its own below
+    rows += [(300 + i, "", "yy", 1) for i in range(5)] + [(310, None, "xx", 1), (None, "the house", "en", 1), (311, "the дом été 77", None, 1), (312, "漢字 かな", None, 1), (313, "9 - 9", "en", 1)]
+    schema = "doc_id long, text string, lang string, score int"
+    parts = [[r for r in rows if r[2] == k] for k in ("zz", "yy", "xx")] + [[r for r in rows if r[2] not in ("zz", "yy", "xx")]]
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+        assert part, n
+    got = lg.op2_language(spark, str(tmp_path)).collect()
+    learned = plain_model([(r[1], r[2]) for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2])
+    assert learned[0] == ["en", "fr", "ru"]
+    want = sorted((str(r[0]), plain_prediction(r[1], *learned)) for r in rows)
+    assert sorted((str(r.doc_id), r.lang_pred) for r in got) == want
+    assert all((r.score == 0) == (r.lang_pred == "und") for r in got)
