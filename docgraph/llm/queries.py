@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docgraph.llm.clustering import clustering_sql, op13_clustering
 from docgraph.llm.decontaminate import op4_decontaminate
 from docgraph.llm.fingerprint import op6_fingerprint
 from docgraph.llm.jaccard_join import op7_jaccard
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_dedup": op8_dedup,
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
+    "op13_clustering": op13_clustering,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_urlfilter": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_urlfilter": OP5_SQL, "op13_clustering": clustering_sql()}
