@@ -9,6 +9,7 @@ from docgraph.llm.jaccard_join import op7_jaccard
 from docgraph.llm.language import op2_language
 from docgraph.llm.language_model import op9_lm
 from docgraph.llm.mixing import op10_mixing
+from docgraph.llm.packing import op11_packing
 from docgraph.llm.quality import op1_quality
 from docgraph.llm.sharding import op3_sharding
 from docgraph.llm.substring_dedup import op8_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_dedup": op8_dedup,
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
+    "op11_packing": op11_packing,
     "op13_clustering": op13_clustering,
 }
 
