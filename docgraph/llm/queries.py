@@ -11,6 +11,7 @@ from docgraph.llm.language_model import op9_lm
 from docgraph.llm.mixing import op10_mixing
 from docgraph.llm.packing import op11_packing
 from docgraph.llm.quality import op1_quality
+from docgraph.llm.ranked_search import OP12_SQL, op12_search
 from docgraph.llm.sharding import op3_sharding
 from docgraph.llm.substring_dedup import op8_dedup
 from docgraph.llm.urlfilter import OP5_SQL, op5_urlfilter
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
     "op11_packing": op11_packing,
+    "op12_search": op12_search,
     "op13_clustering": op13_clustering,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_urlfilter": OP5_SQL, "op13_clustering": clustering_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_urlfilter": OP5_SQL, "op12_search": OP12_SQL, "op13_clustering": clustering_sql()}
