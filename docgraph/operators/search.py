@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.storage import stored
 from docgraph.functions.text import tokens
+from docgraph.operators.vectors import vector_search
 
 K1, B = 1.2, 0.75
 RRF = 60
-BROADCAST_QUERIES = 10_000
 
 
 def searchable_text(nodes: DataFrame) -> DataFrame:
@@ -38,19 +38,6 @@ def top_k(df: DataFrame, keys: list[str], k: int, order: list[Column]) -> DataFr
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, per_label: bool = True, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Cosine top-k of unit vectors per query (and label), ranked.
-
-    Every query meets every vector: that is the operator. The query side is broadcast while it is small;
-    a larger query table is dealt over the vectors' partitions block by block by the shuffled product.
-    """
-    small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    q = queries.select(*keys, F.col("embedding").alias("q"))
-    pairs = vectors.crossJoin(F.broadcast(q) if small else q)
-    scored = pairs.select(*keys, "uid", "label", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top_k(scored, [*keys, "label"] if per_label else list(keys), k, [F.desc("score"), F.col("uid")])
-
-
 def postings(texts: DataFrame, id_col: str, text_col: str, label_col: str | None = None) -> DataFrame:
     """(id, label, term, tf, dl): one row per text and term."""
     label = F.col(label_col) if label_col else F.lit("all")
