@@ -11,7 +11,7 @@ they are and are not shuffled.
 
 Tokens of a text are those of its stretches without ASCII white space, one after the other:
 the tokenizer's pattern never matches white space and its normaliser composes nothing across
-it. Each worker keeps the ids of the stretches it has met, within ``CACHE_BYTES``.
+it. Each worker keeps the ids of the stretches it has met, ``STRETCHES_HELD`` and as many of their words.
 
 Edge cases: null text reads as empty; an empty text is the end id alone; names of special
 tokens in a text are ordinary text; equal rows are packed one by one, whatever their ids; an
@@ -21,8 +21,11 @@ unique, not gapless.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,23 @@ CAPACITY = 2048
 END_ID = 0
 OPEN_BINS = 128
 PART_PIECES = 16_384
-CACHE_BYTES = 96 << 20
+#: What a worker remembers: entries of some 150 bytes for words of natural length.
+STRETCHES_HELD = 1 << 19
+PARTS_HELD = 1 << 20
+LONG = 100  # bytes; longer stretches are not remembered
 STRETCH_BYTES = 1 << 20  # text that is cut into stretches at once
 _SPACE = re.compile(rb"[ \t-\r]")
 #: The tokenizer's own pattern, for lower-cased ASCII.
 _ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
+def _packed(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class TokenIds:
     """Ids of texts as little-endian unsigned 32-bit numbers, stretch by stretch, remembered."""
 
@@ -55,7 +68,14 @@ class TokenIds:
         self.tokenizer.encode_special_tokens = True
         self.whole: dict[bytes, bytes] = {}  # of stretches
         self.parts: dict[bytes, bytes] = {}  # of words and marks in them
-        self.held = 0
+        # a tokenizer whose words depend on what stands around them reads whole texts
+        proof = "It's The cat,an\tx2 élan. (Ab)"
+        self.apart = self.of(proof.encode()) == _packed(self._whole(proof))
+
+    apart = True
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
     def cut(stretch: bytes) -> list[bytes]:
@@ -70,29 +90,46 @@ class TokenIds:
         return [stretch]
 
     def learn(self, stretches: set[bytes]) -> None:
-        new = [(s, self.cut(s)) for s in stretches if s not in self.whole]
-        parts = list({p for _, cut in new for p in cut if p not in self.parts})
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-            self.held += len(p) + len(self.parts[p]) + 150
+        if len(self.parts) > PARTS_HELD:
+            self.parts = {}
+        new = [(s, self.cut(s)) for s in stretches]
+        found = {p for _, cut in new for p in cut}
+        parts = [p for p in found if p not in self.parts]
+        # words of a-z pass the normaliser and the byte alphabet as they are
+        word = [p for p in parts if p.isalpha() and p.isascii() and p.islower()]
+        tokenize = self.tokenizer.model.tokenize
+        for p in word:
+            self.parts[p] = _packed([t.id for t in tokenize(p.decode())])
+        rest = [p for p in parts if p not in self.parts]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
+            self.parts[p] = _packed(e.ids)
         for s, cut in new:
             self.whole[s] = b"".join([self.parts[p] for p in cut])
-            self.held += len(s) + len(self.whole[s]) + 150
+        for p in parts:
+            if len(p) > LONG:
+                del self.parts[p]
 
     def of(self, raw: bytes) -> bytes:
+        if not self.apart:
+            return _packed(self._whole(raw.decode()))
         out, at = [], 0
         while at < len(raw):
             end = len(raw)
             if end - at > STRETCH_BYTES and (space := _SPACE.search(raw, at + STRETCH_BYTES)):
                 end = space.end()
             words = raw[at:end].split()
-            if self.held > CACHE_BYTES:
-                self.whole, self.parts, self.held = {}, {}, 0
-            missing = set(words).difference(self.whole)
+            found = list(map(self.whole.get, words))
+            missing = [i for i, x in enumerate(found) if x is None]
             if missing:
-                self.learn(missing)
-            whole = self.whole
-            out.append(b"".join([whole[w] for w in words]))
+                if len(self.whole) > STRETCHES_HELD:
+                    self.whole = {}
+                self.learn({words[i] for i in missing})
+                for i in missing:
+                    found[i] = self.whole[words[i]]
+                for i in missing:
+                    if len(words[i]) > LONG:
+                        self.whole.pop(words[i], None)
+            out += found
             at = end
         return b"".join(out)
 
@@ -102,6 +139,7 @@ _TOKENISERS: dict[str, TokenIds] = {}
 
 def _ids_of(path: str) -> TokenIds:
     """One per worker process, which serves many tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker a core
     if path not in _TOKENISERS:
         _TOKENISERS[path] = TokenIds(path)
     return _TOKENISERS[path]

@@ -42,12 +42,24 @@ def test_ids_of_any_text(text):
 
 def test_long_texts_and_a_full_memory(monkeypatch):
     monkeypatch.setattr(pk, "STRETCH_BYTES", 50)
-    monkeypatch.setattr(pk, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(pk, "STRETCHES_HELD", 20)
+    monkeypatch.setattr(pk, "PARTS_HELD", 10)
+    monkeypatch.setattr(pk, "LONG", 8)
     rnd = random.Random(5)
     text = " ".join("".join(rnd.choice("abcdéxyz.'") for _ in range(rnd.randint(1, 12))) for _ in range(800)) + "z" * 300
     assert np.frombuffer(pk.TokenIds(PATH).of(text.encode()), "<u4").tolist() == plain_ids(text)
 
 
+def test_a_tokenizer_with_leading_spaces_reads_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    ids = pk.TokenIds(path)
+    assert not ids.apart and pk.TokenIds(PATH).apart
+    for t in TEXTS:
+        assert np.frombuffer(ids.of((t or "").encode()), "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids
+
+
 def plain_best_fit(lengths, capacity, most):
     """(bin, offset) by looking at every open bin."""
     open_, made, out = [], 0, []  # (free, order opened or touched, bin)
