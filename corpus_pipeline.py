@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import fresh, materialise, release, written
+from docgraph.llm.common import fresh, materialise, release, scratch
 from docgraph.llm.decontaminate import decontaminate
 from docgraph.llm.jaccard_join import keep_one
 from docgraph.llm.mixing import mix
@@ -75,10 +75,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept: list[str] = []
     for name, stage in STAGES[:-1]:
-        before = set(written())
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as mine:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
         # what the stage wrote on its way, and the stage before it, is read no more
-        mine = [p for p in written() if p not in before]
         release(spark, [*mine[:-1], *kept])
         kept = mine[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
@@ -33,13 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths written inside the block, by this thread alone: what one run may release of its own."""
+    mine: list[str] = []
+    token = _SCOPE.set(mine)
+    try:
+        yield mine
+    finally:
+        _SCOPE.reset(token)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; ``release`` deletes it."""
+    """A fresh path in the shared folder, noted in the ``scratch`` block around it, if there is one."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if (mine := _SCOPE.get()) is not None:
+        mine.append(path)
     return path
 
 
@@ -51,18 +65,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> list[str]:
-    """Paths of the intermediate tables that are still kept."""
-    return list(_WRITTEN)
-
-
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete intermediate tables that no query reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     for path in paths:
         where = hadoop.Path(path)
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-        _WRITTEN.remove(path)
 
 
 def fresh(name: str, columns: list[str]) -> str:

@@ -249,3 +249,20 @@ def test_captures_with_clashing_columns(spark):
     table = spark.createDataFrame([(1, "http://a.com", 5, "x", "y", "z", 3)], "page_id int, url string, fetched_us long, host string, pattern string, verdict string, since long")
     got = uf.filter_captures(table, entries).collect()
     assert [(r.page_id, r.host, r.pattern, r.verdict, r.since) for r in got] == [(1, "a.com", "a.com", "block", 3)]
+
+
+def test_pipelines_side_by_side_release_their_own_tables(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from docgraph.llm.common import materialise, release, scratch
+
+    other = materialise(spark.range(3), "other")
+    with ThreadPoolExecutor(2) as pool:
+        runs = list(pool.map(lambda _: sorted(map(tuple, cp.run(spark, folder).collect()), key=repr), range(2)))
+    assert runs[0] == runs[1] and other.count() == 3
+    with scratch() as mine:
+        materialise(spark.range(2), "a")
+        with scratch() as inner:
+            materialise(spark.range(2), "b")
+    assert len(mine) == len(inner) == 1 and mine != inner
+    release(spark, mine + inner)
