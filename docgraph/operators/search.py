@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docgraph.functions.storage import stored
 from docgraph.functions.text import tokens
+from docgraph.operators.keyword import keyword_search
 from docgraph.operators.vectors import vector_search
 
-K1, B = 1.2, 0.75
 RRF = 60
 
 
@@ -49,37 +49,6 @@ def term_statistics(post: DataFrame) -> DataFrame:
     return post.groupBy("label", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def token_count(text: Column) -> Column:
-    """Number of tokens, without cutting them out."""
-    return F.coalesce(F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
-
-
-def label_statistics(texts: DataFrame, text_col: str, label_col: str | None = None) -> DataFrame:
-    label = F.col(label_col) if label_col else F.lit("all")
-    return texts.select(label.alias("label"), token_count(F.col(text_col)).alias("dl")).groupBy("label").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-
-
-def bm25_scores(queries: DataFrame, texts: DataFrame, id_col: str, text_col: str, query_text: str, label_col: str | None = None) -> DataFrame:
-    """(query_id, id, label, score).
-
-    Tokens that no query asks for go before they are counted, so only the queries' terms are shuffled;
-    their postings are stored, as document frequencies and scores both read them.
-    """
-    q = stored(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")), "query-terms")
-    label = F.col(label_col) if label_col else F.lit("all")
-    rows = texts.select(F.col(id_col).alias("id"), label.alias("label"), tokens(F.col(text_col)).alias("t")).select("id", "label", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    asked = rows.join(q.select("term").distinct(), "term", "left_semi")
-    post = stored(asked.groupBy("id", "label", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    stats = label_statistics(texts, text_col, label_col)
-    df = post.groupBy("label", "term").agg(F.count("*").alias("df")).join(stats, "label").withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    w = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return post.join(df, ["label", "term"]).withColumn("w", w).join(q, "term").groupBy("query_id", "id", "label").agg(F.round(F.sum("w"), 6).alias("score"))
-
-
-def keyword_search(queries: DataFrame, texts: DataFrame, id_col: str, text_col: str, query_text: str, k: int, label_col: str | None = None) -> DataFrame:
-    return top_k(bm25_scores(queries, texts, id_col, text_col, query_text, label_col), ["query_id", "label"], k, [F.desc("score"), F.col("id")])
-
-
 def reciprocal_rank_fusion(lists: list[DataFrame], keys: list[str], k: int) -> DataFrame:
     """Sum of 1 / (60 + rank) over ranked lists."""
     every = lists[0].select(*keys, "rank")
