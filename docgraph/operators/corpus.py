@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgraph.functions.storage import stored
 from docgraph.functions.text import has_punctuation, nfc, strip, strip_think, tokens
 
 
@@ -68,7 +71,61 @@ def plain_words(text: Column) -> Column:
 def top_ngrams(texts: DataFrame, text_col: str, n: int, k: int = 10) -> DataFrame:
     """Most frequent n-grams inside a text whose words all differ."""
     t = F.filter(tokens(F.col(text_col)), lambda x: F.length(x) > 1)
-    grams = texts.select(t.alias("t")).where(F.size("t") >= n).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.slice("t", i, n))).alias("g"))
+    # no filter on the size: Spark would push it below and cut the text into tokens twice
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: i <= F.size("t") - (n - 1))
+    grams = texts.select(t.alias("t")).select(F.explode(F.transform(starts, lambda i: F.slice("t", i, n))).alias("g"))
+    return grams.where(F.size(F.array_distinct("g")) == n).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(k)
+
+
+def followed_texts(texts: DataFrame, order: list[str], text_col: str, n: int) -> DataFrame:
+    """(part, t, tail): the tokens of each text and the ``n`` - 1 that follow in the texts after it, by ``order``.
+
+    Texts are range partitioned. A partition passes over its texts once and gives each the tokens that follow
+    in the same partition; what the last ones lack comes from the first ``n`` - 1 tokens of the partitions after
+    it, a table of one row a partition. Texts without tokens are passed over. Tokens have two characters at least.
+    """
+    spark = texts.sparkSession
+    words = F.array_join(F.filter(tokens(F.col(text_col)), lambda x: F.length(x) > 1), " ")
+    keyed = texts.select(F.struct(*order).alias("at"), F.xxhash64(text_col).alias("same"), words.alias("t")).where("t <> ''")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.repartitionByRange(parts, "at", "same").sortWithinPartitions("at", "same", "t").select("t")
+
+    def run(batches):
+        part, waiting, first = TaskContext.get().partitionId(), [], True
+
+        def rows(done):
+            nonlocal first
+            lead = [first and i == 0 for i in range(len(done))]
+            first = first and not done
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(done), pa.int32()), pa.array(lead, pa.bool_()), pa.array([t for t, _ in done], pa.string()), pa.array([tail for _, tail in done], pa.list_(pa.string()))], names=["part", "leads", "t", "tail"])
+
+        for batch in batches:
+            done = []
+            for t in batch.column(0).to_pylist():
+                ahead = t.split(" ", n - 1)[: n - 1]
+                for _, tail in waiting:
+                    tail += ahead[: n - 1 - len(tail)]
+                while waiting and len(waiting[0][1]) == n - 1:  # the first to wait is the first to be full
+                    done.append(waiting.pop(0))
+                waiting.append((t, []))
+            yield rows(done)
+        yield rows(waiting)
+
+    found = stored(ranged.mapInArrow(run, "part int, leads boolean, t string, tail array<string>"), "followed")
+    heads = found.where("leads").select("part", F.slice(F.concat(F.split("t", " ", n), "tail"), 1, n - 1).alias("head"))
+    by_part = Window.orderBy("part")  # one row a partition
+    halo = heads.select("part", F.slice(F.flatten(F.array_compact(F.array(*(F.lead("head", i).over(by_part) for i in range(1, n))))), 1, n - 1).alias("halo"))
+    full = found.where(F.size("tail") == n - 1).select("part", "t", "tail")
+    short = found.where(F.size("tail") < n - 1).join(halo, "part").select("part", "t", F.slice(F.concat("tail", "halo"), 1, n - 1).alias("tail"))
+    return full.unionByName(short)
+
+
+def top_ngrams_across(texts: DataFrame, order: list[str], text_col: str, n: int, k: int = 10) -> DataFrame:
+    """Most frequent n-grams whose words all differ, in the texts one after the other: grams run across their borders."""
+    rows = followed_texts(texts, order, text_col, n).select(F.split("t", " ").alias("own"), "tail")
+    rows = rows.select(F.size("own").alias("size"), F.concat("own", "tail").alias("t")).where(F.size("t") >= n)
+    starts = F.sequence(F.lit(1), F.least(F.col("size"), F.size("t") - (n - 1)))
+    grams = rows.select(F.explode(F.transform(starts, lambda i: F.slice("t", i, n))).alias("g"))
     return grams.where(F.size(F.array_distinct("g")) == n).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(k)
 
 

@@ -883,6 +883,22 @@ def _ngrams(name, n):
 _ngrams("k9_top_trigrams", 3)
 _ngrams("k9_top_fourgrams", 4)
 
+
+def _ngrams_across(name, n):
+    def run(t):
+        return cp.top_ngrams_across(t.read("documents"), ["doc_id"], "text", n)
+
+    run.__name__ = name
+    then = ", ".join(f"lead(w, {i}) over o as w{i}" for i in range(1, n))
+    gram = " || ' ' || ".join(["w", *(f"w{i}" for i in range(1, n))])
+    words = ", ".join(["w", *(f"w{i}" for i in range(1, n))])
+    query(f"with t as (select doc_id, {_LIST} as t from documents), s as (select doc_id, i, t[i] as w from (select doc_id, t, unnest(range(1, len(t) + 1)) as i from t)), b as (select w, {then} from s window o as (order by doc_id, i)) select {gram} as gram, count(*) as n from b where w{n - 1} is not null and len(list_distinct([{words}])) = {n} group by 1 order by n desc, gram limit 10")(run)
+
+
+_ngrams_across("k9_bigrams_across_texts", 2)
+_ngrams_across("k9_trigrams_across_texts", 3)
+_ngrams_across("k9_fourgrams_across_texts", 4)
+
 _TAGGED = f"tagged as (select term as word, case when regexp_matches(term, '^[0-9]+$') then 'M' when length(term) > 6 then 'N' else 'A' end as tag from (select unnest({_TOK.format('text')}) as term from documents)), dict as (select distinct lower(source) as word, 'Np' as tag from documents where source is not null)"
 
 
