@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -206,22 +208,36 @@ def guard(answer: Column, score: Column) -> Column:
     return F.when(F.trim(F.coalesce(answer, F.lit(""))).rlike("^$|^ERROR:"), F.lit(0.0)).otherwise(score)
 
 
+# How a judge's reply in plain text names its parts.
+SCORE_TEXT = r"Score[:\s*]*\**\s*\[?(\d{1,2})\]?"
+SECTION_TEXT = r"{name}[:\s*]*\**\s*(.*?)(?=- \*\*|- Score:|$)"
+
+
 def parse_judge(rows: DataFrame) -> DataFrame:
-    """Sub-scores, reasoning, comparison and overall score of a judge's reply.
+    """The five sub-scores, score, reasoning and comparison of a judge's reply, beside the rows' own columns.
 
-    JSON: the score is the sum of ``scores`` or, without them, the plain ``score``. Text: sections that
-    start with their name, and a number of one or two digits after the word score.
+    A JSON object: the score is the sum of the five in ``scores``, 0 for those it lacks and where there is no
+    ``scores``; where ``scores`` is no object, it is the plain ``score``. Other text: sections that start with
+    their name and a number after the word score; sub-scores are 0. A null reply has no score and empty sections.
     """
     body = strip_fences(F.col("raw_eval"))
-    fields = "scores struct<" + ", ".join(f"{k}:double" for k in JUDGE_KEYS) + ">, score double, reasoning string, comparison string"
-    out = rows.withColumn("p", F.when(body.startswith("{") & body.endswith("}"), F.from_json(body, fields)))
-    given = F.coalesce(*(F.col(f"p.{c}").cast("string") for c in ("scores", "score", "reasoning", "comparison"))).isNotNull()
-    section = lambda name: F.regexp_replace(strip(F.regexp_extract("raw_eval", rf"(?is){name}[:*\s]*(.*?)(?:- \*\*|- score:|$)", 1)), "^:+|:+$", "")
-    mark = F.regexp_extract(F.regexp_extract("raw_eval", r"(?is)score[\s:*]*(\[?\d{1,2})", 1), r"\d+", 0)
-    total = sum((F.coalesce(F.col(f"p.scores.{k}"), F.lit(0.0)) for k in JUDGE_KEYS), F.lit(0.0))
-    score = F.when(F.col("p.scores").isNotNull(), total).when(given, F.col("p.score")).otherwise(F.nullif(mark, F.lit("")).cast("double"))
-    text = lambda c, name: F.when(given, F.coalesce(f"p.{c}", F.lit(""))).otherwise(section(name)).alias(c)
-    return out.select(*rows.columns, *(F.col(f"p.scores.{k}").alias(k) for k in JUDGE_KEYS), score.alias("score"), text("reasoning", "reasoning"), text("comparison", "comparison"))
+    outer = F.from_json(F.when(body.startswith("{") & body.endswith("}"), body), "scores string, score string, reasoning string, comparison string, broken string", {"columnNameOfCorruptRecord": "broken"})
+    inner = "struct<" + ", ".join(f"{k}:double" for k in JUDGE_KEYS) + ">"
+    raw = F.coalesce("raw_eval", F.lit(""))
+    section = lambda name: F.regexp_replace(strip(F.regexp_extract(raw, "(?is)" + SECTION_TEXT.format(name=name), 1)), "^:+|:+$", "")
+    mark = F.nullif(F.regexp_extract(raw, "(?i)" + SCORE_TEXT, 1), F.lit("")).cast("double")
+
+    def fields(p: Column, scores: Column) -> Column:
+        is_json = p.isNotNull() & p["broken"].isNull()
+        parts = [F.coalesce(F.when(is_json, scores[k]), F.lit(0.0)) for k in JUDGE_KEYS]
+        summed = p["scores"].startswith("{") | (p["scores"].isNull() & ~F.array_contains(F.json_object_keys(body), "scores"))
+        score = F.when(~is_json, mark).when(summed, reduce(lambda a, b: a + b, parts)).otherwise(p["score"].try_cast("double"))
+        text = lambda name: F.when(is_json, F.coalesce(p[name], F.lit(""))).otherwise(section(name.title())).alias(name)
+        return F.struct(*(x.alias(k) for x, k in zip(parts, JUDGE_KEYS, strict=True)), score.alias("score"), text("reasoning"), text("comparison"))
+
+    # each reply is parsed once: lambdas name what is parsed, and a generator keeps the projects above from repeating it
+    parsed = F.transform(F.array(outer), lambda p: F.element_at(F.transform(F.array(F.from_json(p["scores"], inner)), lambda s: fields(p, s)), 1))
+    return rows.select(*rows.columns, F.inline(parsed))
 
 
 def judge_summary(rows: DataFrame, keys: list[str], passing: float = 7.0) -> DataFrame:

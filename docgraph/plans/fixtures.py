@@ -101,6 +101,16 @@ class Tables:
         text = F.concat(F.lit('```json\n{"scores": {"legal_accuracy": '), ((F.col("event_id") % 5) / 2.0).cast("string"), F.lit(', "correct_citation": 1, "completeness": 2, "hallucination_citation": 0.5, "structure": 1}}\n```'))
         return self.read("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("model"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("Score: ["), F.floor(F.least("value", F.lit(10.0))).cast("string"), F.lit("]"))).otherwise(text).alias("raw_eval"))
 
+    @cached_property
+    def judge_reply(self) -> DataFrame:
+        """Replies in each form a judge uses: scores, plain text, scores that are no object, none at all."""
+        n, kind = F.col("event_id"), F.col("event_id") % 4
+        scores = F.format_string('```json\n{"reasoning": "vì %s", "comparison": "so %d", "scores": {"legal_accuracy": %d, "completeness": %d.5, "structure": %d}}\n```', "event_type", n, n % 3, n % 2, n % 5)
+        plain = F.format_string("- **Reasoning:** lý do %s\n- **Comparison:** so với %d\n- **Score:** [%d]", "event_type", n, n % 11)
+        other = F.format_string('{"scores": [%d], "score": %d, "reasoning": "%s"}', n % 3, n % 7, "event_type")
+        none = F.format_string('{"score": %d, "comparison": "%s"}', n % 7, "event_type")
+        return self.read("events").select(n.alias("id"), F.col("event_type").alias("model"), F.when(kind == 0, scores).when(kind == 1, plain).when(kind == 2, other).otherwise(none).alias("raw_eval"))
+
     @cached_property
     def pair(self) -> DataFrame:
         c = self.read("conversations")

@@ -437,6 +437,16 @@ def h7_parse_judge(t):
     return ev.parse_judge(t.judge).select("id", "model", "score")
 
 
+@query(
+    """select event_id as id, event_type as model, case k when 0 then a + c + s when 1 then n % 11 when 2 then n % 7 else 0 end::double as score, a as legal_accuracy, 0::double as correct_citation, c as completeness, 0::double as hallucination_citation, s as structure,
+  case k when 0 then 'vì ' || event_type when 1 then 'lý do ' || event_type when 2 then event_type else '' end as reasoning, case k when 0 then 'so ' || n when 1 then 'so với ' || n when 2 then '' else event_type end as comparison
+from (select *, event_id as n, event_id % 4 as k, case when event_id % 4 = 0 then event_id % 3 else 0 end::double as a, case when event_id % 4 = 0 then event_id % 2 + 0.5 else 0 end::double as c, case when event_id % 4 = 0 then event_id % 5 else 0 end::double as s from events)"""
+)
+def h7_judge_fields(t):
+    """Every field of a reply, in all its forms."""
+    return ev.parse_judge(t.judge_reply).drop("raw_eval")
+
+
 @query(with_tables("select model, round(avg(score), 4) as avg_score, round(avg((score >= 7)::int), 4) as pass_rate, count(*) as n from judged group by 1", _JUDGE))
 def h11_judge_by_model(t):
     return ev.judge_summary(ev.parse_judge(t.judge), ["model"])

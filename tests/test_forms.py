@@ -112,10 +112,13 @@ def test_pipeline_equals_plain_ranking(spark, tree):
 
 
 def test_replies(spark):
-    raw = ['{"scores": {"legal_accuracy": 1.5, "structure": 2}, "reasoning": "r", "comparison": "c"}', '{"score": 7}', "- **Reasoning:** vì vậy\n- **Comparison:** so\n- Score: [8]", "```json\n{\"score\": 3, \"reasoning\": \"x\"}\n```", None, "{broken"]
+    raw = ['{"scores": {"legal_accuracy": 1.5, "structure": 2}, "reasoning": "r", "comparison": "c"}', '{"score": 7}', "- **Reasoning:** vì vậy\n- **Comparison:** so\n- Score: [8]", "```json\n{\"scores\": [1], \"score\": 3, \"reasoning\": \"x\"}\n```", None, "{broken", '{"scores": null, "score": "5"}', "{'no': json}", "**REASONING**: :a:\nb**score** ** 12/20", '{"scores": {"structure": null}}']
     rows = ev.parse_judge(spark.createDataFrame(list(enumerate(raw)), "id int, raw_eval string")).orderBy("id").collect()
-    assert [r.score for r in rows] == [3.5, 7.0, 8.0, 3.0, None, None]
-    assert [(r.reasoning, r.comparison) for r in rows[:4]] == [("r", "c"), ("", ""), ("vì vậy", "so"), ("x", "")]
+    assert [r.score for r in rows] == [3.5, 0.0, 8.0, 3.0, None, None, 5.0, None, 12.0, 0.0]
+    assert [(r.reasoning, r.comparison) for r in rows] == [("r", "c"), ("", ""), ("vì vậy", "so"), ("x", ""), ("", ""), ("", ""), ("", ""), ("", ""), ("a:\nb**score** ** 12/20", ""), ("", "")]
+    assert [r.legal_accuracy for r in rows] == [1.5, *[0.0] * 9] and [r.structure for r in rows] == [2.0, *[0.0] * 9]
+    plan = ev.judge_summary(ev.parse_judge(spark.createDataFrame(list(enumerate(raw)), "id int, raw_eval string")), [])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2  # the reply, and its scores
     votes = ['{"answer": "Có"}', '{"answer": "không rõ"}', '{"answer": "?"} yes', "No.", "maybe", None]
     got = spark.createDataFrame(list(enumerate(votes)), "id int, raw string").orderBy("id").select(ev.parse_vote(F.col("raw")).alias("v")).collect()
     assert [r.v for r in got] == [True, False, True, False, None, None]
