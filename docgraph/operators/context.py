@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.functions.text import ancestor_uids, format_uid, short_name
-from docgraph.operators.graph import closure
 
 # The layout of context text.
 ABOLISHED_TAG = "[ĐÃ BỊ BÃI BỎ bởi văn bản mới hơn]"
@@ -32,9 +31,13 @@ def ancestors(targets: DataFrame, edges: DataFrame) -> DataFrame:
     Clause and article follow from the uid; only what stands above an article is looked up along edges.
     """
     own = targets.select("uid").distinct().select("uid", F.posexplode(ancestor_uids(F.col("uid"))).alias("depth", "anc"))
-    upper = closure(edges.where(~F.col("type").isin("HAS_CLAUSE", "HAS_POINT")), 4).withColumnRenamed("depth", "more")
-    top = own.where(~F.col("anc").contains("::clause::")).select("uid", F.col("anc").alias("dst"), "depth")
-    return own.select("uid", "anc", "depth").unionByName(top.join(upper, "dst").select("uid", "anc", (F.col("depth") + F.col("more")).alias("depth")))
+    e = edges.where(~F.col("type").isin("HAS_CLAUSE", "HAS_POINT")).select(F.col("dst").alias("anc"), F.col("src").alias("up"))
+    step = own.where(~F.col("anc").contains("::clause::")).select("uid", "anc", "depth")
+    found = own.select("uid", "anc", "depth")
+    for _ in range(4):  # section, chapter, part and document, from the targets' articles alone
+        step = step.join(e, "anc").select("uid", F.col("up").alias("anc"), (F.col("depth") + 1).alias("depth"))
+        found = found.unionByName(step)
+    return found
 
 
 def hierarchy_text(targets: DataFrame, nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:

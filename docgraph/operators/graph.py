@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgraph.operators.tree import levels_of
+
 LEVELS = ("part", "chapter", "section", "article", "clause", "point")
 DEFAULT_AMEND_TYPE = "sửa đổi"
 
@@ -103,14 +105,12 @@ def label_properties(nodes: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def closure(edges: DataFrame, depth: int = 6) -> DataFrame:
-    """(anc, dst, depth) for 1 .. depth steps along the edges: the hierarchy is six levels deep, so a fixed chain of joins."""
-    e = edges.select("src", "dst")
-    step = e.select(F.col("src").alias("anc"), "dst", F.lit(1).alias("depth"))
-    found = [step]
-    for d in range(2, depth + 1):
-        step = step.select("anc", F.col("dst").alias("src")).join(e, "src").select("anc", "dst", F.lit(d).alias("depth"))
-        found.append(step)
-    return reduce(DataFrame.unionByName, found)
+    """(anc, dst, depth) for 1 .. depth steps along the edges of a tree of any depth; what is no tree is an error.
+
+    Nodes carry their nearest ancestors from level to level, so each edge is joined once.
+    """
+    rows = reduce(DataFrame.unionByName, levels_of(edges, depth))
+    return rows.select("uid", F.posexplode("above").alias("at", "anc")).select("anc", F.col("uid").alias("dst"), (F.col("at") + 1).alias("depth"))
 
 
 def descendant_counts(close: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:

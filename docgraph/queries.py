@@ -15,6 +15,7 @@ from docgraph.operators import evaluation as ev
 from docgraph.operators import graph as g
 from docgraph.operators import parsing as ps
 from docgraph.operators import search as srch
+from docgraph.operators.tree import ancestors, interval_labels
 from docgraph.plans import retrieval
 from docgraph.plans.fixtures import Tables, with_tables
 
@@ -256,6 +257,18 @@ def c10_schema_triples(t):
 _CLOSE = "close as (select src as anc, dst, 1 as depth from t_edge union all select c.anc, e.dst, c.depth + 1 from close c join t_edge e on e.src = c.dst where c.depth < 6)"
 
 
+@query(with_tables("select uid, level, coalesce(n, 0) as n_below from (select dst as uid, max(depth)::int as level from close group by 1 union all select distinct src, 0 from t_edge where src not in (select dst from t_edge)) left join (select anc as uid, count(*) as n from close group by 1) using (uid)", _CLOSE))
+def c11_tree_intervals(t):
+    """Level of each node and how many nodes its interval holds."""
+    return interval_labels(t.edge).select("uid", "level", (F.col("last") - F.col("pre")).alias("n_below"))
+
+
+@query(with_tables("select anc, dst, depth from close join t_article on anc = t_article.uid", _CLOSE))
+def c14_descendants_by_sweep(t):
+    """Clauses and points of each article, from intervals."""
+    return ancestors(interval_labels(t.edge), 2).join(t.article.select(F.col("uid").alias("anc")), "anc")
+
+
 @query(with_tables("select anc, dst, depth from close", _CLOSE))
 def c11_closure(t):
     return g.closure(stored(t.edge, "edge"), 4)
