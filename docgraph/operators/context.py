@@ -106,7 +106,7 @@ def effect_dates(targets: DataFrame, documents: DataFrame) -> DataFrame:
 def sibling_points(targets: DataFrame, points: DataFrame) -> DataFrame:
     """Other points of a point's clause, by letter, blank ones left out."""
     parent = lambda c: F.substring_index(c, "::point::", 1)
-    want = targets.select("uid").distinct().withColumn("parent", parent(F.col("uid")))
+    want = targets.where(F.col("uid").contains("::point::")).select("uid").distinct().withColumn("parent", parent(F.col("uid")))
     others = points.select(F.col("uid").alias("other"), "letter", "content", parent(F.col("uid")).alias("parent"))
     rows = want.join(others, "parent").where((F.col("other") != F.col("uid")) & (F.trim(F.coalesce("content", F.lit(""))) != ""))
     return rows.groupBy("uid").agg(ordered_text(F.col("letter"), F.concat(F.lit("  Điểm "), "letter", F.lit(". "), "content")).alias("siblings"))

@@ -18,11 +18,15 @@ def searchable_text(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("text", F.when(F.col("label") == "Article", F.trim(F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("content", F.lit(""))))).otherwise(F.col("content")))
 
 
-def embed_text(df: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
-    """(id, embedding): hashed term weights tf * idf, unit length. A model of one's own goes in as a pandas_udf instead."""
-    terms = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    n = df.select(F.count("*").alias("n"))
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(n).select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))  # n is one row
+def embed_text(df: DataFrame, id_col: str, text_col: str, dims: int = 256, corpus: DataFrame | None = None) -> DataFrame:
+    """(id, embedding): hashed term weights tf * idf, unit length; null for a text without known terms.
+
+    idf comes from ``corpus`` (the same columns) where queries are to meet its vectors. A model of one's own goes in as a pandas_udf instead.
+    """
+    cut = lambda d: d.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    terms, known = cut(df), cut(df if corpus is None else corpus)
+    n = (df if corpus is None else corpus).select(F.count("*").alias("n"))
+    idf = known.groupBy("term").agg(F.count("*").alias("df")).join(n).select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))  # n is one row
     cell = terms.join(idf, "term").groupBy(id_col, F.pmod(F.xxhash64("term"), F.lit(dims)).alias("dim")).agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
     rows = cell.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("dim", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).cast("float"))

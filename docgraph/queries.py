@@ -387,12 +387,23 @@ def f4_retrieval_pipeline(t):
     post = t.node.where(F.col("label").isin("Article", "Clause", "Point"))
     asked = t.article.where("cast(number as int) % 50 = 0").select(F.col("number").cast("int").alias("query_id"), F.array("title", F.concat_ws(" ", F.lit("urgent"), "parent_chapter")).alias("texts"))
     q = stored(asked.select("query_id", F.posexplode("texts").alias("sub_query_idx", "query_text")), "questions")
-    flat = q.select((F.col("query_id") * 10 + F.col("sub_query_idx")).alias("query_id"), "query_text")
-    found = srch.keyword_search(flat, srch.searchable_text(post), "uid", "text", "query_text", 30, "label")
-    results = found.select(F.expr("query_id div 10").alias("query_id"), F.expr("query_id % 10").alias("sub_query_idx"), F.col("id").alias("uid"), "label", "score")
-    node, edge, amends = stored(t.node, "node"), stored(t.edge, "edge"), stored(t.amends, "amends")  # graph tables, as a load would leave them
-    graph = {"node": node, "edge": edge, "document": stored(t.document, "document"), "amends": amends, "point": stored(t.point, "point")}
-    return retrieval.rank_and_render(results, q.where("sub_query_idx = 0"), graph, retrieval.Settings(expand=True))
+    return retrieval.retrieve(q, srch.searchable_text(post), _graph(t), retrieval.Settings(expand=True))
+
+
+def _graph(t):
+    """The graph tables as a load would leave them."""
+    return {name: stored(getattr(t, name), name) for name in ("node", "edge", "document", "amends", "point")}
+
+
+@query()
+def f4_hybrid_pipeline(t):
+    """Every fiftieth article asks for its title and chapter, over the articles' text and hashed term vectors."""
+    articles = stored(srch.searchable_text(t.node.where("label = 'Article'")).select("uid", "label", "text"), "articles")
+    asked = t.article.where("cast(number as int) % 50 = 0").select(F.col("number").cast("int").alias("query_id"), F.array("title", "parent_chapter", F.concat_ws(" ", "title", "parent_chapter")).alias("texts"))
+    q = stored(asked.select("query_id", F.posexplode("texts").alias("sub_query_idx", "query_text")).withColumn("uid", F.concat_ws("/", "query_id", "sub_query_idx")), "questions")
+    embedded = q.join(srch.embed_text(q.select("uid", F.col("query_text").alias("text")), "uid", "text", 64, articles), "uid").drop("uid")
+    vectors = articles.select("uid", "label").join(srch.embed_text(articles, "uid", "text", 64), "uid")
+    return retrieval.retrieve(embedded, articles, _graph(t), retrieval.Settings(mode="hybrid"), vectors)
 
 
 # -- conversations -------------------------------------------------------------
@@ -713,6 +724,13 @@ def e10_final_context(t):
     return ctx.assemble_context(rows)
 
 
+@query(ORACLE_SQL["e10_final_context"])
+def e12_context_for_uids(t):
+    """The same context, for uids that are given."""
+    wanted = t.clause.select("uid", F.col("parent_article").alias("query_id"), F.col("number").cast("int").alias("rank"))
+    return retrieval.context_for_uids(wanted, _graph(t), True)
+
+
 @query(with_tables("select query_id, uid, round(score::decimal(18, 6), 4)::double as score, 'Điều ' || split_part(uid, '::', 3) || ' ' || split_part(uid, '::', 1) as display, substr(d.text, 1, 300) as snippet from merged m join documents d on d.doc_id = split_part(uid, '::', 3)::bigint", f"{_RANKED}, {_MERGED}"))
 def e16_source_items(t):
     texts = t.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))

@@ -111,6 +111,36 @@ def test_pipeline_equals_plain_ranking(spark, tree):
     assert blocks[1].endswith("[Nội dung chi tiết]:\n  Điểm a. điểm a\n\n[LƯU Ý - NỘI DUNG SỬA ĐỔI]:\nĐã được sửa đổi/bổ sung bởi Khoản 1 Điều 1 E: khoản\nĐã được sửa đổi/bổ sung bởi Khoản 1 Điều 1 E: khoản")
 
 
+def test_context_for_given_uids(spark, tree):
+    graph = {**tree, "point": tree["node"].where("label = 'Point'").select("uid", F.col("number").alias("letter"), "content")}
+    wanted = spark.createDataFrame([(1, 0, "D::article::2::clause::1"), (1, 1, "D::article::2::clause::1::point::a"), (2, 0, "nowhere")], "query_id int, rank int, uid string")
+    got = {r.query_id: r.text for r in retrieval.context_for_uids(wanted, graph, True).collect()}
+    clause, point = got[1].split("\n\n---\n\n")
+    assert clause.startswith("[ĐÃ BỊ BÃI BỎ bởi văn bản mới hơn]\n[Văn bản: D") and clause.count("Điểm a. điểm a") == 1 and "[Các điểm khác" not in clause
+    assert point.startswith("[Văn bản: D") and "Điểm a." in point and got[2] == ""
+
+
+@pytest.mark.parametrize("mode", ["keyword", "vector", "hybrid"])
+def test_retrieval_in_each_mode(spark, tree, mode):
+    graph = {**tree, "point": tree["node"].where("label = 'Point'").select("uid", F.col("number").alias("letter"), "content")}
+    nodes = srch.searchable_text(tree["node"].where("label in ('Article', 'Clause')")).select("uid", "label", "text")
+    asked = [(1, 0, "mười"), (1, 1, "không có gì"), (2, 0, "khác"), (2, 1, "khoản")]
+    q = spark.createDataFrame([(*r, f"{r[0]}/{r[1]}") for r in asked], "query_id int, sub_query_idx int, query_text string, uid string")
+    q = q.join(srch.embed_text(q.select("uid", F.col("query_text").alias("text")), "uid", "text", 32, nodes), "uid").drop("uid")
+    vectors = nodes.select("uid", "label").join(srch.embed_text(nodes, "uid", "text", 32), "uid")
+    got = {r.query_id: r.text for r in retrieval.retrieve(q, nodes, graph, retrieval.Settings(mode=mode, top_k=1, heuristic=False), vectors).collect()}
+    assert "Khoản 10." in got[1] and "Nội dung: mười" in got[1] and "Điều 1: Khác" in got[2]
+
+
+def test_embedded_texts(spark):
+    rows = [(1, "a b b"), (2, "a c"), (3, ""), (4, None)]
+    got = {r.id: r.embedding for r in srch.embed_text(spark.createDataFrame(rows, "id int, text string"), "id", "text", 16).collect()}
+    assert got[3] is None and got[4] is None and all(abs(sum(x * x for x in got[i]) - 1) < 1e-6 for i in (1, 2))
+    asked = spark.createDataFrame([(9, "c zz")], "id int, text string")
+    alone = srch.embed_text(asked, "id", "text", 16, spark.createDataFrame(rows, "id int, text string")).first().embedding
+    assert sum(1 for x in alone if x) == 1  # a term the corpus lacks has no weight
+
+
 def test_replies(spark):
     raw = ['{"scores": {"legal_accuracy": 1.5, "structure": 2}, "reasoning": "r", "comparison": "c"}', '{"score": 7}', "- **Reasoning:** vì vậy\n- **Comparison:** so\n- Score: [8]", "```json\n{\"scores\": [1], \"score\": 3, \"reasoning\": \"x\"}\n```", None, "{broken", '{"scores": null, "score": "5"}', "{'no': json}", "**REASONING**: :a:\nb**score** ** 12/20", '{"scores": {"structure": null}}']
     rows = ev.parse_judge(spark.createDataFrame(list(enumerate(raw)), "id int, raw_eval string")).orderBy("id").collect()
