@@ -28,3 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    hits = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(where)
+    return sorted(h.getPath().toString() for h in hits or ())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docgraph.functions.storage import found
 from docgraph.operators.parsing import html_to_text
 
 _NAMED = "array<struct<{0}Id:int,{0}Name:string>>"
@@ -125,13 +126,18 @@ def read_parsed(spark: SparkSession, path: str, schema: str | StructType) -> Dat
 PAYLOAD = "id string, question string, expert_answer string, uids array<string>, law_text string, extra_info string, top_k int, llm_answer string"
 
 
-def append_payloads(rows: DataFrame, path: str) -> None:
-    """Adds payload rows as JSON lines; with ``unprocessed`` a run goes on where the last one ended."""
-    rows.write.mode("append").json(path)
+def append_payloads(rows: DataFrame, path: str, batch: str) -> None:
+    """Adds payload rows as JSON lines under the batch's name; with ``unprocessed`` a run goes on where the last one ended.
+
+    Spark's marker commits a batch: one that died before it is not read, and its retry takes its place.
+    """
+    rows.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAYLOAD).json(path)
+    """Payloads of all batches that were written whole."""
+    done = [p.rsplit("/", 1)[0] for p in found(spark, f"{path}/batch=*/_SUCCESS")]
+    return spark.read.schema(PAYLOAD).json(done) if done else spark.createDataFrame([], PAYLOAD)
 
 
 def write_chatml(samples: DataFrame, path: str) -> None:

@@ -192,8 +192,13 @@ def test_readers_and_writers(spark, tmp_path):
     keys = {r.id: r.key for r in rd.numbered_output(samples, "id").collect()}
     assert (keys[0], keys[24_995], keys[1], keys[24_999]) == ("0001_task1", "5000_task1", "0001_task2", "20000_task2") and len(set(keys.values())) == 25_000
     payload = spark.createDataFrame([("1", "q", ["u"])], "id string, question string, uids array<string>")
-    rd.append_payloads(payload, str(tmp_path / "payload"))
-    rd.append_payloads(payload.withColumn("id", F.lit("2")), str(tmp_path / "payload"))
+    rd.append_payloads(payload, str(tmp_path / "payload"), "a")
+    assert rd.read_payloads(spark, str(tmp_path / "none")).collect() == []
+    for run in range(2):  # the first run dies after its files and before its marker
+        rd.append_payloads(payload.withColumn("id", F.lit("2")), str(tmp_path / "payload"), "b")
+        if not run:
+            (tmp_path / "payload" / "batch=b" / "_SUCCESS").unlink()
+            assert [r.id for r in rd.read_payloads(spark, str(tmp_path / "payload")).collect()] == ["1"]
     done = rd.read_payloads(spark, str(tmp_path / "payload"))
     assert {(r.id, r.question, tuple(r.uids), r.top_k) for r in done.collect()} == {("1", "q", ("u",), None), ("2", "q", ("u",), None)}
     todo = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
@@ -216,3 +221,13 @@ def test_streams(spark, tmp_path):
     q = jobs.skip_seen(stream(), "event_id").writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.event_id for r in spark.table("seen").collect()) == [1, 2, 3]
+
+
+def test_an_id_is_skipped_long_after_the_watermark(spark, tmp_path):
+    schema = "event_id long, ts timestamp"
+    for i, day in enumerate(("2024-01-01", "2024-01-05", "2024-02-01")):
+        spark.createDataFrame([(1, f"{day} 00:00:00"), (10 + i, f"{day} 00:00:01")], "event_id long, t string").selectExpr("event_id", "cast(t as timestamp) as ts").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.skip_seen(stream, "event_id").writeStream.format("memory").queryName("ever").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.event_id for r in spark.table("ever").collect()) == [1, 10, 11, 12]

@@ -1,6 +1,7 @@
 """Hand-computed cases of the operators that SQL does not check."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,12 +194,33 @@ def test_sources(spark, tmp_path):
 
 def test_streaming_upsert_and_totals(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
-    for i, rows in enumerate(([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")])):
-        spark.createDataFrame(rows, "uid int, seq int, v string").coalesce(1).write.parquet(str(src / f"f{i}"))
-    stream = spark.readStream.schema("uid int, seq int, v string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(src))
-    jobs.upsert_stream(stream, str(out), str(tmp_path / "cp"), "uid", "seq").awaitTermination(60)
-    last = sorted(out.iterdir())[-1]
-    assert {r.uid: r.v for r in spark.read.parquet(str(last)).collect()} == {1: "c", 2: "b"}
+    schema = "uid int, seq int, v string"
+    add = lambda i, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"f{i}"))
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(src))
+    run = lambda: jobs.upsert_stream(stream(), str(out), str(tmp_path / "cp"), "uid", "seq", parts=8).awaitTermination(120)
+    now = lambda: {r.uid: r.v for r in jobs.read_upserted(spark, str(out), schema).collect()}
+    files = lambda: {str(p.relative_to(out)) for p in out.glob("data/*/*/*.parquet")}
+    assert now() == {}
+    add(0, [(i, 1, f"v{i}") for i in range(40)])
+    run()
+    assert now() == {i: f"v{i}" for i in range(40)}
+    first = files()
+    add(1, [(1, 2, "c"), (1, 0, "late")])
+    run()
+    want = {i: f"v{i}" for i in range(40)} | {1: "c"}
+    assert now() == want and first <= files() and len(files()) == len(first) + 1  # one part is written anew
+    shutil.rmtree(out / "manifest" / "version=1")  # the batch died before it was committed
+    assert now() == want | {1: "v1"}
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert now() == want and len(files()) == len(first) + 1
+    add(2, [(1, 3, "d")])
+    run()
+    assert now() == want | {1: "d"}
+    add(3, [(1, 4, "e")])
+    run()
+    assert now() == want | {1: "e"} and len(files()) == len(first) + 1  # what no kept manifest names is gone
 
 
 def test_context_layout(spark):
