@@ -202,17 +202,17 @@ def explode_qa(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("article_content").alias("context"), F.explode(pairs).alias("p")).select("context", "p.question", "p.answer")
 
 
-def parse_generated(raw: Column, schema: str) -> Column:
-    """Direct JSON, fences off, citation marks off, then the widest braces."""
+def parse_generated(raw: Column, schema: str, need: tuple[str, ...] = ()) -> Column:
+    """Direct JSON, fences off, citation marks off, then the widest braces: the first that fills a field, and all of ``need``."""
     from docgraph.functions.text import strip_fences
 
     fenced = strip_fences(raw)
     uncited = F.regexp_replace(fenced, r"\s*\[\d+(?:\s*,\s*\d+)*\]\.", ".")
     widest = F.regexp_extract(uncited, r"(?s)\{.*\}", 0)
-    options = {"mode": "PERMISSIVE"}
-    tries = [F.from_json(x, schema, options) for x in (raw, fenced, uncited, widest)]
-    filled = lambda s: F.when(F.size(F.map_filter(F.from_json(F.to_json(s), "map<string,string>"), lambda k, v: v.isNotNull())) > 0, s)
-    return F.coalesce(*map(filled, tries))
+    tries = F.array(*(F.from_json(x, schema, {"mode": "PERMISSIVE"}) for x in (raw, fenced, uncited, widest)))
+    filled = lambda s: F.size(F.map_filter(F.from_json(F.to_json(s), "map<string,string>"), lambda k, v: v.isNotNull())) > 0
+    whole = lambda s: reduce(lambda a, b: a & b, (s[c].isNotNull() for c in need), F.coalesce(filled(s), F.lit(False)))
+    return F.try_element_at(F.filter(tries, whole), F.lit(1))
 
 
 # The wording of samples.

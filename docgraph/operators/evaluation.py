@@ -103,10 +103,23 @@ def offset_ids(parts: DataFrame, offsets: dict[int, int]) -> DataFrame:
     return parts.withColumn("id", F.col("id").try_cast("int") + shift)
 
 
-def recall_gate(rows: DataFrame, top_k: int) -> DataFrame:
-    """Rows whose recall at the largest N <= top_k is 1."""
-    known = sorted(k for k in RECALL_AT if f"recall_{k}" in rows.columns and k <= top_k)
-    return rows.where(F.col(f"recall_{known[-1]}") == 1.0) if known else rows
+def recall_gate(rows: DataFrame, top_k: int, ranked: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """Rows whose recall at the largest N <= top_k (any N if top_k is below 0) is 1.
+
+    Without such a column, rows all of whose ``references`` (query_id, reference) are among the first top_k
+    ``ranked`` (query_id, uid, rank). Rows without references stay in either case, where references are given.
+    """
+    known = sorted(int(c[7:]) for c in rows.columns if c.startswith("recall_") and c[7:].isdigit() and (top_k < 0 or int(c[7:]) <= top_k))
+    whole = F.coalesce(F.col(f"recall_{known[-1]}") == 1.0, F.lit(False)) if known else F.lit(True)
+    if references is None:
+        return rows.where(whole)
+    refs = references.select("query_id", "reference").distinct()
+    asked = refs.groupBy("query_id").agg(F.count("*").alias("n_asked"))
+    if not known and ranked is not None:
+        near = ranked if top_k < 0 else ranked.where(F.col("rank") <= top_k)
+        met = first_hits(near.select("query_id", "uid", "rank"), refs).groupBy("query_id").agg(F.count("*").alias("n_met"))
+        asked, whole = asked.join(met, "query_id", "left"), F.coalesce(F.col("n_met") == F.col("n_asked"), F.lit(False))
+    return rows.join(asked, "query_id", "left").where(F.col("n_asked").isNull() | whole).select(*rows.columns)
 
 
 def row_window(df: DataFrame, order: list[str], start: int, limit: int | None = None) -> DataFrame:

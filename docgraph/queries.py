@@ -804,6 +804,12 @@ def g13_recall_gate(t):
     return ev.recall_gate(ev.retrieval_metrics(_merged(t), _references(t)), 6).select("query_id", "recall_5")
 
 
+@query(with_tables("select query_id from hits where best <= 3", f"{_RANKED}, {_MERGED}, {_METRIC}"))
+def g13_reference_gate(t):
+    """Without recall columns: questions all of whose references are among the first three."""
+    return ev.recall_gate(_references(t).select("query_id"), 3, _merged(t), _references(t))
+
+
 @query("select doc_id, text as question, len(string_split(source, ',')) as n_references from documents where trim(coalesce(text, '')) <> '' and source <> ''")
 def g4_usable_questions(t):
     rows = t.read("documents").select("doc_id", F.col("text").alias("question"), tx.parse_list(F.col("source")).alias("references"))

@@ -231,3 +231,21 @@ def test_an_id_is_skipped_long_after_the_watermark(spark, tmp_path):
     q = jobs.skip_seen(stream, "event_id").writeStream.format("memory").queryName("ever").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.event_id for r in spark.table("ever").collect()) == [1, 10, 11, 12]
+
+
+def test_gate_by_recall_or_by_references(spark):
+    rows = spark.createDataFrame([(1, 1.0, 0.0), (2, 0.5, 1.0), (3, None, None)], "query_id int, recall_3 double, recall_12 double")
+    refs = spark.createDataFrame([(1, "D::article::1"), (1, "E"), (2, "D")], "query_id int, reference string")
+    ranked = spark.createDataFrame([(1, "D::article::1::clause::2", 1), (1, "E::article::9", 2), (2, "F", 1), (2, "D::article::3", 3)], "query_id int, uid string, rank int")
+    ids = lambda df: sorted(r.query_id for r in df.collect())
+    assert ids(ev.recall_gate(rows, 5)) == [1] and ids(ev.recall_gate(rows, -1)) == [2]
+    assert ids(ev.recall_gate(rows, 5, ranked, refs)) == [1, 3]  # the third has no reference
+    bare = rows.select("query_id")
+    assert ids(ev.recall_gate(bare, 2, ranked, refs)) == [1, 3] and ids(ev.recall_gate(bare, 3, ranked, refs)) == [1, 2, 3] and ids(ev.recall_gate(bare, 1, ranked, refs)) == [3]
+
+
+def test_generated_replies(spark):
+    schema = "task1 string, task2 string"
+    raw = ['{"task1": "a", "task2": "b"}', '```json\n{"task1": "a", "task2": "b"}\n```', 'Here: {"task1": "x [1, 2].", "task2": "y"} done', '{"task1": "only"}', "nothing", None]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(raw)), "id int, raw string").orderBy("id").select(cp.parse_generated(F.col("raw"), schema, ("task1", "task2")).alias("x")).collect()]
+    assert [x and (x.task1, x.task2) for x in got] == [("a", "b"), ("a", "b"), ("x.", "y"), None, None, None]
