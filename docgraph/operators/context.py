@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.text import ancestor_uids, format_uid, short_name
@@ -193,6 +193,7 @@ def merged_law_text(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -
 
     An article that is asked for comes whole, a clause with all its points, a point with its clause. Documents
     come by identity under their names, articles and clauses in numeric order; a blank line parts articles and documents.
+    Points whose clause is no node are left out, as is all of an article that is none.
     """
     n = nodes.where(F.col("label").isin("Article", "Clause", "Point")).select("uid", "title", "content")
     want = wanted.select("query_id", "uid").distinct()
@@ -202,7 +203,9 @@ def merged_law_text(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -
     up = want.select("query_id", F.explode(ancestor_uids(F.col("uid"))).alias("node"))
     asked = want.where(~F.col("uid").contains("::clause::")).select("query_id", F.col("uid").alias("a"), F.lit(True).alias("whole"))
     rows = down.unionByName(up).distinct().join(n.withColumnRenamed("uid", "node"), "node").withColumn("a", F.substring_index("node", "::", 3))
-    rows = rows.join(asked, ["query_id", "a"], "left")
+    clause = F.substring_index("node", "::", 5)
+    with_clause = F.max(F.col("node") == clause).over(Window.partitionBy("query_id", clause))
+    rows = rows.withColumn("has", with_clause).where("has").drop("has").join(asked, ["query_id", "a"], "left")
     is_article = ~F.col("node").contains("::clause::")
     article = F.concat_ws("\n", _title_line(F.col("a"), F.trim("title")), F.when(F.col("whole"), _given(F.col("content"))))
     line = F.when(is_article, article).otherwise(_provision_line(F.col("node"), _given(F.col("content"))))

@@ -111,6 +111,13 @@ def test_pipeline_equals_plain_ranking(spark, tree):
     assert blocks[1].endswith("[Nội dung chi tiết]:\n  Điểm a. điểm a\n\n[LƯU Ý - NỘI DUNG SỬA ĐỔI]:\nĐã được sửa đổi/bổ sung bởi Khoản 1 Điều 1 E: khoản\nĐã được sửa đổi/bổ sung bởi Khoản 1 Điều 1 E: khoản")
 
 
+def test_points_without_their_clause_are_left_out(spark, tree):
+    nodes = tree["node"].unionByName(spark.createDataFrame([("D::article::2::clause::7::point::c", "Point", "c", None, "điểm c", "D")], tree["node"].schema))
+    wanted = spark.createDataFrame([(1, "D::article::2"), (2, "D::article::2::clause::7::point::c"), (3, "D::article::2::clause::1::point::a")], "query_id int, uid string")
+    got = {r.query_id: r.law_text for r in ctx.merged_law_text(wanted, nodes, tree["document"]).collect()}
+    assert all("điểm c" not in t for t in got.values()) and "điểm a" in got[1] and "điểm a" in got[3]
+
+
 def test_context_for_given_uids(spark, tree):
     graph = {**tree, "point": tree["node"].where("label = 'Point'").select("uid", F.col("number").alias("letter"), "content")}
     wanted = spark.createDataFrame([(1, 0, "D::article::2::clause::1"), (1, 1, "D::article::2::clause::1::point::a"), (2, 0, "nowhere")], "query_id int, rank int, uid string")
