@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import materialise, small_table
+from docgraph.llm.common import materialise, release, scratch, small_table
 
 K = 40
 ROUNDS = 5
@@ -121,18 +121,26 @@ def cluster_sums(rows: DataFrame, k: int, dims: int) -> tuple[np.ndarray, np.nda
     return sums, count
 
 
+def _replaced(df: DataFrame, name: str, before: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` written to the shared folder, and its path; the tables it came from go, as nothing reads them any more."""
+    with scratch() as mine:
+        out = materialise(df, name)
+    release(df.sparkSession, before)
+    return out, mine
+
+
 def centroid_clusters(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int = DIMS, scale: int = SCALE, seed: str = "2", id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, np.ndarray]:
     """(id, cluster, distance) of every whole vector after ``rounds`` moves of the centroids, and the final centroids."""
-    rows = materialise(whole_vectors(vectors, dims, scale, id_col, vector_col), "vectors")
+    rows, held = _replaced(whole_vectors(vectors, dims, scale, id_col, vector_col), "vectors", [])
     centroids = first_centroids(rows, k, dims, seed)
     k = len(centroids)
     if not k:
         return rows.select(F.col("id").alias(id_col), F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")), centroids
-    state = materialise(reassign(rows, np.zeros_like(centroids), centroids), "assigned")
+    state, held = _replaced(reassign(rows, np.zeros_like(centroids), centroids), "assigned", held)
     for _ in range(rounds):
         sums, count = cluster_sums(state, k, dims)
         moved = np.where(count[:, None] > 0, sums // np.maximum(count, 1)[:, None], centroids)  # floors, for negative sums too
-        state = materialise(reassign(state, centroids, moved), "assigned")
+        state, held = _replaced(reassign(state, centroids, moved), "assigned", held)
         centroids = moved
     return state.select(F.col("id").alias(id_col), "cluster", "distance"), centroids
 
