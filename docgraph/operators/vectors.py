@@ -4,8 +4,12 @@ Vectors are assigned to the nearest of a set of pivots and stored in blocks of o
 pivot, with their distances r to the pivot. The score of a query q and a vector v with pivot c
 is q.v = q.c + q.(v - c), at most q.c + |q| r. A first pass scores the cells of the best pivots
 that hold k vectors together; the k-th score found bounds what may be left out. A second pass
-visits the cells and blocks whose bound reaches it. Queries meet blocks by an equi-join on
-(label, pivot), in blocks of their own, and are compared by matrix products.
+visits the cells and blocks whose bound reaches it.
+
+Cells of a label form parts. Queries travel in blocks, a block once to each part in which one of
+its queries visits a cell, with a bit a query and cell; a task holds one part and compares the
+blocks that come to it by matrix products. So what is sent grows with queries times parts, whose
+number is bounded while ``PART`` is not reached, and never with queries times cells.
 
 The driver holds the pivots and one row per cell (label, pivot): ``MAX_CELLS`` at most while
 labels, kinds of nodes, are fewer.
@@ -30,7 +34,10 @@ from docgraph.functions.storage import new_path, stored
 MAX_PIVOTS = 1024
 MAX_CELLS = 65_536
 BLOCK = 1024  # vectors
-QUERY_BLOCK = 256
+PART = 16_384  # vectors that a task holds, about
+PARTS = 64  # parts of a smaller index
+QUERY_BLOCK = 1024
+AT_ONCE = 1 << 20  # scores of queries and cells
 SLACK = 1e-6  # scores are compared after rounding to six places
 
 
@@ -44,99 +51,157 @@ def _usable(df: DataFrame, dims: int) -> DataFrame:
 
 @dataclass
 class PivotIndex:
-    """blocks: (label, pivot, n, r, uids, matrix), r the largest distance of a block; cells: (label, pivot, n, r)."""
+    """blocks: (label, chunk, salt, pivot, n, r, uids, matrix), r the largest distance of a block; cells: (label, pivot, n, r, chunk, salts).
+
+    A part is what has the same label, chunk and salt; a cell of more vectors than a part is dealt over several salts.
+    """
 
     blocks: DataFrame
     pivots: np.ndarray
     cells: list[tuple] = field(repr=False)
 
     def visits(self, queries: DataFrame, k: int, per_label: bool) -> DataFrame:
-        """(key, embedding, label, pivot, at, norm, least) of the cells that each query must see.
+        """(key, label, pivot) of the cells that each query (key, embedding) is compared with; ``least`` as in ``asked``."""
+        asked = self.asked(queries, k, per_label).where("salt = 0")
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    label, keys = batch.column(0)[i].as_py(), batch.column(1)[i].values
+                    for pivot, bits in zip(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), strict=True):
+                        use = np.flatnonzero(_unpacked(bits, len(keys)))
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(use)), pa.array([label] * len(use), pa.string()), pa.array(np.full(len(use), pivot, np.int32))], names=["key", "label", "pivot"])
+
+        key = queries.schema["key"].dataType.simpleString()
+        return asked.select("label", "keys", "visited", "who").mapInArrow(run, f"key {key}, label string, pivot int")
+
+    def asked(self, queries: DataFrame, k: int, per_label: bool) -> DataFrame:
+        """(label, chunk, salt, keys, queries, least, visited, who): blocks of queries, once for each part they visit.
 
         queries: (key, embedding), and ``least``: (label, least score) pairs found so far. Without
         them, cells of the best pivots up to k vectors; with them, the others that may reach the least score.
+        ``visited`` has the pivots of the part's visited cells, ``who`` a bit for each query of the block.
         """
         labels = sorted({c[0] for c in self.cells}, key=lambda x: (x is None, x))
         groups = [[c for c in self.cells if c[0] == x] for x in labels] if per_label else [self.cells]
-        tables = [(labels[g] if per_label else None, [c[0] for c in cells], np.array([c[1] for c in cells]), np.array([c[2] for c in cells]), np.array([c[3] for c in cells])) for g, cells in enumerate(groups)]
+        tables = [(labels[g] if per_label else None, np.array([c[1] for c in cells]), np.array([c[2] for c in cells]), np.array([c[3] for c in cells]), _parts(cells)) for g, cells in enumerate(groups)]
         again = "least" in queries.columns
         sent = queries.sparkSession.sparkContext.broadcast((self.pivots, tables))  # MAX_PIVOTS vectors and MAX_CELLS cells
 
         def run(batches):
             pivots, tables = sent.value
-            for batch in batches:
-                q = _matrix(batch.column(1), pivots.shape[1])
-                dots, norms = q @ pivots.T, np.sqrt((q * q).sum(axis=1))
-                least = [{x["label"]: x["score"] for x in row or ()} for row in batch.column(2).to_pylist()] if again else None
-                row, label, pivot, at, floor = [], [], [], [], []
-                for name, names, number, n, r in tables:
-                    for i in range(len(q)):
-                        dot = dots[i, number]
-                        order = np.argsort(-dot, kind="stable")
-                        seeds = int(np.searchsorted(np.cumsum(n[order]), k)) + 1
-                        low = -np.inf
-                        if again:
-                            low = least[i].get(name, -np.inf)
-                            rest = order[seeds:]
-                            order = rest[dot[rest] + norms[i] * r[rest] * (1 + 1e-9) >= low - SLACK]
-                        else:
-                            order = order[:seeds]
-                        row += [i] * len(order)
-                        label += [names[c] for c in order]
-                        pivot += number[order].tolist()
-                        at += dot[order].tolist()
-                        floor += [low] * len(order)
-                taken = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(label, pa.string()), pa.array(pivot, pa.int32()), pa.array(at, pa.float64()), pa.array(norms[row] if row else [], pa.float64()), pa.array(floor, pa.float64())], names=["key", "embedding", "label", "pivot", "at", "norm", "least"])
-
-        kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-        return queries.mapInArrow(run, f"key {kinds['key']}, embedding {kinds['embedding']}, label string, pivot int, at double, norm double, least double")
-
-    def compare(self, visits: DataFrame, k: int) -> DataFrame:
+            for whole in batches:
+                for start in range(0, whole.num_rows, QUERY_BLOCK):
+                    batch = whole.slice(start, QUERY_BLOCK)
+                    q = _matrix(batch.column(1), pivots.shape[1])
+                    dots, norms = q @ pivots.T, np.sqrt((q * q).sum(axis=1))
+                    least = [{x["label"]: x["score"] for x in row or ()} for row in batch.column(2).to_pylist()] if again else [{}] * len(q)
+                    for name, number, n, r, parts in tables:
+                        low = np.array([x.get(name, -np.inf) for x in least])
+                        visit = _visited(dots[:, number], norms, n, r, low, k, again)
+                        for label, chunk, salts, cells in parts:
+                            seen = cells[visit[:, cells].any(axis=0)]
+                            if len(seen):
+                                who = [np.packbits(visit[:, c]).tobytes() for c in seen]
+                                for salt in range(salts):
+                                    columns = [[label], [chunk], [salt], None, [q.tobytes()], [low.tobytes()], [number[seen]], [who]]
+                                    arrays = [pa.ListArray.from_arrays(pa.array([0, len(q)], pa.int32()), batch.column(0)) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+        kinds = [pa.string(), pa.int64(), pa.int64(), None, pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
+        names = ["label", "chunk", "salt", "keys", "queries", "least", "visited", "who"]
+        key = queries.schema["key"].dataType.simpleString()
+        return queries.mapInArrow(run, f"label string, chunk long, salt long, keys array<{key}>, queries binary, least binary, visited array<int>, who array<binary>")
+
+    def compare(self, asked: DataFrame, k: int) -> DataFrame:
         """(key, uid, label, score): of each query and block it visits, the k best that reach the least score."""
-        dims, kinds = self.pivots.shape[1], {f.name: f.dataType.simpleString() for f in visits.schema}
-
-        def gather(batches):
-            for cell, rows in _runs(batches, QUERY_BLOCK):
-                m = np.array([r[1] for r in rows], np.float64)
-                yield _rows([cell[0]], [cell[1]], [[r[0] for r in rows]], [m.tobytes()], [[r[4] for r in rows]], [[r[5] for r in rows]], [[r[6] for r in rows]], key_type=key_type)
-
-        key_type = _arrow_type(visits, "key")
-        queries = visits.repartition("label", "pivot").sortWithinPartitions("label", "pivot").mapInArrow(gather, f"label string, pivot int, keys array<{kinds['key']}>, queries binary, at array<double>, norm array<double>, least array<double>")
-        queries = queries.withColumnRenamed("label", "asked_label").withColumnRenamed("pivot", "asked_pivot")
-        pairs = queries.join(self.blocks, F.col("asked_label").eqNullSafe(F.col("label")) & (F.col("asked_pivot") == F.col("pivot")))
+        dims, key = self.pivots.shape[1], asked.schema["keys"].dataType.elementType.simpleString()
+        # a part's blocks come before the queries that visit it
+        rows = self.blocks.select("label", "chunk", "salt", "pivot", "r", "uids", "matrix").unionByName(asked, allowMissingColumns=True)
+        dealt = rows.repartition("label", "chunk", "salt").sortWithinPartitions("label", "chunk", "salt", F.col("pivot").asc_nulls_last())
+        sent = asked.sparkSession.sparkContext.broadcast(self.pivots)
 
         def run(batches):
+            part, held = None, []
             for batch in batches:
-                for i in range(batch.num_rows):
-                    keys, uids = batch.column(0)[i].values, batch.column(6)[i].values
-                    q = np.frombuffer(batch.column(1)[i].as_buffer(), np.float64).reshape(-1, dims)
-                    v = np.frombuffer(batch.column(7)[i].as_buffer(), np.float64).reshape(-1, dims)
-                    at, norm, least = (batch.column(c)[i].values.to_numpy() for c in (2, 3, 4))
-                    use = np.flatnonzero(at + norm * batch.column(5)[i].as_py() * (1 + 1e-9) >= least - SLACK)
-                    score = np.round(q[use] @ v.T, 6)
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # blocks are in order of uid
-                    found = np.take_along_axis(score, best, axis=1)
-                    row, place = np.nonzero(found >= least[use][:, None])
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(use[row])), uids.take(pa.array(best[row, place])), pa.array([batch.column(8)[i].as_py()] * len(row), pa.string()), pa.array(found[row, place])], names=["key", "uid", "label", "score"])
+                col = {name: batch.column(c) for c, name in enumerate(batch.schema.names)}
+                labels, chunks, salts, numbers, radii = (col[x].to_pylist() for x in ("label", "chunk", "salt", "pivot", "r"))
+                for i, now in enumerate(zip(labels, chunks, salts, strict=True)):
+                    if now != part:
+                        part, held = now, []
+                    if numbers[i] is not None:
+                        held.append((numbers[i], radii[i], col["uids"][i].values, np.frombuffer(col["matrix"][i].as_buffer(), np.float64).reshape(-1, dims)))
+                        continue
+                    keys = col["keys"][i].values
+                    q, least = np.frombuffer(col["queries"][i].as_buffer(), np.float64).reshape(-1, dims), np.frombuffer(col["least"][i].as_buffer(), np.float64)
+                    norms, who = np.sqrt((q * q).sum(axis=1)), dict(zip(col["visited"][i].as_py(), col["who"][i].as_py(), strict=True))
+                    for pivot, r, uids, v in held:
+                        if pivot not in who:
+                            continue
+                        use = np.flatnonzero(_unpacked(who[pivot], len(q)))
+                        use = use[q[use] @ sent.value[pivot] + norms[use] * r * (1 + 1e-9) >= least[use] - SLACK]
+                        row, place, score = _best(q[use] @ v.T, least[use], k)
+                        if len(row):
+                            yield pa.RecordBatch.from_arrays([keys.take(pa.array(use[row])), uids.take(pa.array(place)), pa.array([now[0]] * len(row), pa.string()), pa.array(score)], names=["key", "uid", "label", "score"])
 
         uid = self.blocks.schema["uids"].dataType.elementType.simpleString()
-        return pairs.select("keys", "queries", "at", "norm", "least", "r", "uids", "matrix", "label").mapInArrow(run, f"key {kinds['key']}, uid {uid}, label string, score double")
+        return dealt.mapInArrow(run, f"key {key}, uid {uid}, label string, score double")
 
     def search(self, queries: DataFrame, k: int, per_label: bool = True, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
         """(*keys, uid, label, score, rank): the k best vectors of each query, or of each query and label."""
         q = stored(_usable(queries, self.pivots.shape[1]).select(F.struct(*keys).alias("key"), F.col("embedding").cast("array<double>").alias("embedding")), "queries")
+        blocks = max(1, -(-q.count() // QUERY_BLOCK))
         of = ["key", "label"] if per_label else ["key"]
         order = Window.partitionBy(*of).orderBy(F.desc("score"), "uid")
-        first = stored(self.compare(self.visits(q, k, per_label), k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "first-found")
+        first = stored(self.compare(self.asked(q.repartition(blocks), k, per_label), k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "first-found")
         label = F.col("label") if per_label else F.lit(None).cast("string")
         least = first.where(F.col("rank") == k).groupBy("key").agg(F.collect_list(F.struct(label.alias("label"), "score")).alias("least"))  # one pair a label
-        later = self.compare(self.visits(q.join(least, "key", "left").select("key", "embedding", "least"), k, per_label), k)
+        later = self.compare(self.asked(q.join(least, "key", "left").select("key", "embedding", "least").repartition(blocks), k, per_label), k)
         every = first.drop("rank").unionByName(later)
         ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select("key.*", "uid", "label", "score", "rank")
 
 
+def _parts(cells: list[tuple]) -> list[tuple]:
+    """(label, chunk, salts, places of its cells in the list) of each part; its cells have as many salts as the largest."""
+    found: dict = {}
+    for place, c in enumerate(cells):
+        found.setdefault((c[0], c[4]), []).append(place)
+    return [(label, chunk, max(cells[x][5] for x in places), np.array(places)) for (label, chunk), places in found.items()]
+
+
+def _visited(dots: np.ndarray, norms: np.ndarray, n: np.ndarray, r: np.ndarray, low: np.ndarray, k: int, again: bool) -> np.ndarray:
+    """Which cells each query visits: those of the best pivots up to k vectors or, again, the others that may reach ``low``."""
+    visit = np.zeros(dots.shape, bool)
+    step = max(1, AT_ONCE // dots.shape[1])
+    for a in range(0, len(dots), step):
+        dot = dots[a : a + step]
+        order = np.argsort(-dot, axis=1, kind="stable")
+        size = n[order]
+        np.put_along_axis(visit[a : a + step], order, np.cumsum(size, axis=1) - size < k, axis=1)
+        if again:
+            visit[a : a + step] = ~visit[a : a + step] & (dot + norms[a : a + step, None] * r * (1 + 1e-9) >= low[a : a + step, None] - SLACK)
+    return visit
+
+
+def _unpacked(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+
+
+def _best(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, rounded score) of each row's k best that reach its least score; equal ones by place, as blocks are in order of uid."""
+    near = scores >= least[:, None] - SLACK
+    many = np.flatnonzero(near.sum(axis=1) > k)
+    if len(many):
+        first = np.argsort(-np.round(scores[many], 6), axis=1, kind="stable")[:, :k]
+        near[many] = False
+        near[many[:, None], first] = True
+    row, place = np.nonzero(near)
+    score = np.round(scores[row, place], 6)
+    keep = score >= least[row]
+    return row[keep], place[keep], score[keep]
+
+
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -144,31 +209,25 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[tuple, list[list]]]:
-    """Rows of one cell, taken from the columns ``label`` and ``pivot``, ``most`` at a time."""
+    """Rows of one cell and salt, the first four columns, ``most`` at a time."""
     cell, rows = None, []
     for batch in batches:
-        label, pivot = batch.schema.get_field_index("label"), batch.schema.get_field_index("pivot")
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            now = (row[label], row[pivot])
+            now = row[:4]
             if rows and (now != cell or len(rows) == most):
                 yield cell, rows
                 rows = []
             cell = now
-            rows.append(row)
+            rows.append(row[4:])
     if rows:
         yield cell, rows
 
 
-def _rows(label, pivot, keys, queries, at, norm, least, key_type) -> pa.RecordBatch:
-    numbers = pa.list_(pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(pivot, pa.int32()), pa.array(keys, pa.list_(key_type)), pa.array(queries, pa.binary()), pa.array(at, numbers), pa.array(norm, numbers), pa.array(least, numbers)], names=["label", "pivot", "keys", "queries", "at", "norm", "least"])
-
-
 def build_index(vectors: DataFrame, path: str | None = None, n_pivots: int | None = None) -> PivotIndex | None:
     """Index of vectors (uid, label, embedding), written to ``path`` (by default in the checkpoint folder); None if there is none.
 
-    Pivots are the vectors of the smallest uid hashes, about the square root of their number. A cell of
-    more than an eighth of a task's fair share is dealt over several tasks.
+    Pivots are the vectors of the smallest uid hashes, about the square root of their number. Parts hold
+    ``PART`` vectors or, in a small index, a ``PARTS``-th of all; twice that at most.
     """
     spark = vectors.sparkSession
     path = path or new_path(spark, "pivot-index")
@@ -195,23 +254,23 @@ def build_index(vectors: DataFrame, path: str | None = None, n_pivots: int | Non
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(r), pa.array([v.tobytes() for v in x], pa.binary())], names=["uid", "label", "pivot", "r", "vector"])
 
     assigned = stored(whole.mapInArrow(assign, f"uid {uid}, label string, pivot int, r double, vector binary"), "assigned")
+    share = max(BLOCK, min(PART, n // PARTS))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a cell
     cells = assigned.groupBy("label", "pivot").agg(F.count("*").alias("n"), F.max("r").alias("r"))
-    share = max(BLOCK, n // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = cells.where(F.col("n") > share).select(F.col("label").alias("l"), F.col("pivot").alias("p"), F.ceil(F.col("n") / share).alias("salts"))
-    dealt = assigned.join(F.broadcast(hot), F.col("label").eqNullSafe(F.col("l")) & (F.col("pivot") == F.col("p")), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("uid", "vector"), F.col("salts")), F.lit(0)))  # eight cells a shuffle partition at most
+    cells.withColumn("chunk", F.floor(start / share).cast("long")).withColumn("salts", F.ceil(F.col("n") / share).cast("long")).write.parquet(f"{path}/cells")
+    place = spark.read.parquet(f"{path}/cells").select(F.col("label").alias("l"), F.col("pivot").alias("p"), "chunk", "salts")
+    dealt = assigned.join(F.broadcast(place), F.col("label").eqNullSafe(F.col("l")) & (F.col("pivot") == F.col("p"))).withColumn("salt", F.pmod(F.xxhash64("uid", "vector"), F.col("salts")))  # MAX_CELLS rows at most
 
     def chop(batches):
         for cell, rows in _runs(batches, BLOCK):
-            rows.sort(key=lambda x: (x[0] is None, x[0]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([cell[0]], pa.string()), pa.array([cell[1]], pa.int32()), pa.array([len(rows)], pa.int32()), pa.array([max(x[3] for x in rows)]), pa.array([[x[0] for x in rows]], pa.list_(uid_type)), pa.array([b"".join(x[4] for x in rows)], pa.binary())], names=["label", "pivot", "n", "r", "uids", "matrix"]
-            )
+            rows.sort(key=lambda x: (x[0] is not None, x[0]))
+            own = [pa.array([x], t) for x, t in zip(cell, (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(rows)], pa.int32()), pa.array([max(x[1] for x in rows)]), pa.array([[x[0] for x in rows]], pa.list_(uid_type)), pa.array([b"".join(x[2] for x in rows)], pa.binary())], names=["label", "chunk", "salt", "pivot", "n", "r", "uids", "matrix"])
 
     uid_type = _arrow_type(whole, "uid")
     # inside a cell, blocks run from near vectors to far ones
-    ordered = dealt.repartition("label", "pivot", "salt").sortWithinPartitions("label", "pivot", "salt", "r", "uid").select("uid", "label", "pivot", "r", "vector")
-    ordered.mapInArrow(chop, f"label string, pivot int, n int, r double, uids array<{uid}>, matrix binary").write.parquet(f"{path}/blocks")
-    cells.write.parquet(f"{path}/cells")
+    ordered = dealt.repartition("label", "chunk", "salt").sortWithinPartitions("label", "chunk", "salt", "pivot", "r", "uid").select("label", "chunk", "salt", "pivot", "uid", "r", "vector")
+    ordered.mapInArrow(chop, f"label string, chunk long, salt long, pivot int, n int, r double, uids array<{uid}>, matrix binary").write.parquet(f"{path}/blocks")
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pivots)], "pivot int, embedding array<double>").coalesce(1).write.parquet(f"{path}/pivots")
     return load_index(spark, path)
 
@@ -219,7 +278,7 @@ def build_index(vectors: DataFrame, path: str | None = None, n_pivots: int | Non
 def load_index(spark: SparkSession, path: str) -> PivotIndex:
     """An index that ``build_index`` wrote."""
     pivots = spark.read.parquet(f"{path}/pivots").orderBy("pivot").collect()
-    cells = spark.read.parquet(f"{path}/cells").select("label", "pivot", "n", "r").collect()
+    cells = spark.read.parquet(f"{path}/cells").select("label", "pivot", "n", "r", "chunk", "salts").collect()
     return PivotIndex(spark.read.parquet(f"{path}/blocks"), np.array([r["embedding"] for r in pivots], np.float64), [tuple(c) for c in cells])
 
 

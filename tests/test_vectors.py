@@ -80,3 +80,23 @@ def test_twenty_thousand_queries_meet_cells_by_keys(spark):
     plan = plan_of(found)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert found.where("rank = 1 and score > 0.999").count() == 20_000
+
+
+def test_queries_are_sent_in_blocks_and_nothing_is_broadcast(spark):
+    """Visits of single queries, or a join that broadcasts them, grow with queries times cells."""
+    x = clustered(3000, 8, 300, 4)
+    x = x[np.random.default_rng(5).permutation(len(x))] * np.random.default_rng(6).uniform(0.2, 3, (len(x), 1))
+    index = vec.build_index(table(spark, x))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "query_id long, embedding array<double>").select(F.struct("query_id").alias("key"), "embedding").coalesce(1)
+    sent = index.asked(q, 5, True)
+    assert sent.count() <= 3 * len({(c[0], c[4]) for c in index.cells}) < index.visits(q, 5, True).count() / 100
+    assert "Broadcast" not in plan_of(index.compare(sent, 5))
+
+
+def test_equal_vectors_over_several_parts(spark):
+    """One cell of more vectors than a part: every salt is visited, ties go by uid."""
+    df = spark.range(5000).select(F.format_string("u%05d", F.col("id")).alias("uid"), F.lit("a").alias("label"), F.array(F.lit(0.6), F.lit(0.8)).alias("embedding"))
+    index = vec.build_index(df, n_pivots=3)
+    assert max(c[5] for c in index.cells) > 1
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [(r.uid, r.score) for r in index.search(q, 1200).orderBy("rank").collect()] == [(f"u{i:05d}", 0.6) for i in range(1200)]
