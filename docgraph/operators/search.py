@@ -74,27 +74,37 @@ def fuse(results: DataFrame, strategy: str = "rrf", k: int | None = None) -> Dat
     return fused.where(F.col("rank") <= k) if k else fused
 
 
-def grams(text: Column) -> Column:
-    """Distinct substrings of one to three characters."""
+GRAMS = (1, 2, 3, 4, 8, 16, 32)  # characters
+
+
+def windows(text: Column, size: int) -> Column:
+    """All substrings of ``size`` characters."""
     n = F.length(text)
-    at = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(at(1), at(2), at(3)))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def substring_join(needles: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """(query_id, uid) where the row's text holds the needle; both are lower-cased before.
+def substring_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, t) where the text holds the needle; needles: (needle), texts: (t), each value once.
 
-    Rows and needles meet on the needle's rarest substring of three characters (all of it if shorter), then the whole is compared.
+    They meet on the needle's rarest substring of the largest of the ``GRAMS`` sizes that fits into it, then the whole is compared.
     """
-    wide = F.transform(F.sequence(F.lit(1), F.greatest(F.length("needle") - 2, F.lit(1))), lambda i: F.substring("needle", i, F.lit(3)))
-    asked = needles.select("query_id", "needle", F.explode(F.array_distinct(wide)).alias("gram"))
-    have = rows.select("uid", F.explode(grams(F.lower(F.coalesce(text, F.lit(""))))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    n, widest = F.length("needle"), F.lit(None).cast("array<string>")
+    for size in GRAMS:
+        widest = F.when(n >= size, windows(F.col("needle"), size)).otherwise(widest)
+    asked = stored(needles.select("needle", F.explode(F.array_distinct(widest)).alias("gram")), "needle-grams")
+    every = F.array_distinct(F.concat(*(windows(F.col("t"), size) for size in GRAMS)))
+    have = stored(texts.select("t", F.explode(every).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"), "text-grams")
     df = have.groupBy("gram").agg(F.count("*").alias("df"))
     # a gram that no row has leaves its needle without a hit
-    rarest = asked.join(df, "gram", "left").groupBy("query_id", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).where("g.df > 0")
-    found = have.join(rarest.select("query_id", "needle", F.col("g.gram").alias("gram")), "gram").select("query_id", "needle", "uid")
-    texts = rows.select("uid", F.lower(F.coalesce(text, F.lit(""))).alias("t"))
-    return found.join(texts, "uid").where(F.col("t").contains(F.col("needle"))).select("query_id", "uid")
+    rarest = asked.join(df, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).where("g.df > 0")
+    return have.join(rarest.select("needle", F.col("g.gram").alias("gram")), "gram").where(F.col("t").contains(F.col("needle"))).select("needle", "t")
+
+
+def substring_join(needles: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """Needles (needle, ...) beside the rows whose lower-cased text holds them. Equal needles and equal texts are compared once."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    pairs = stored(substring_pairs(needles.select("needle").distinct(), rows.select(t.alias("t")).distinct()), "pairs")
+    return rows.withColumn("t", t).join(pairs, "t").join(needles, "needle").drop("t")
 
 
 def catalogue_search(queries: DataFrame, articles: DataFrame, clauses: DataFrame, points: DataFrame, documents: DataFrame, k: int = 20) -> DataFrame:
@@ -105,24 +115,27 @@ def catalogue_search(queries: DataFrame, articles: DataFrame, clauses: DataFrame
     articles: (uid, number, title, doc_identity); clauses and points: (uid, number, content, doc_identity),
     points with ``clause_num`` too; documents: (doc_identity, doc_name).
     """
-    q = queries.select("query_id", F.lower(F.trim("needle")).alias("needle")).where("needle <> ''")
-    q = stored(q.withColumn("number", F.when(F.col("needle").startswith("điều "), F.substring("needle", 6, 1 << 20)).otherwise(F.col("needle"))), "needles")
+    given = queries.select("query_id", F.lower(F.trim("needle")).alias("needle")).where("needle <> ''")
+    # what is found hangs on the needle alone: equal ones are searched once
+    number = F.when(F.col("needle").startswith("điều "), F.substring("needle", 6, 1 << 20)).otherwise(F.col("needle"))
+    q = stored(given.select("needle").distinct().withColumn("asked", number), "needles")
+    n = q.select("needle")
     a = articles.select("uid", F.coalesce(F.col("number").try_cast("int"), F.lit(0)).cast("string").alias("number"), "title", "doc_identity")
-    by_title = stored(substring_join(q, a, "title"), "title-hits")
-    doc_hits = lambda c: substring_join(q, documents.select(F.col("doc_identity").alias("uid"), F.col(c).alias("x")), "x").withColumnRenamed("uid", "doc_identity").withColumn(f"by_{c}", F.lit(True))
-    docs = stored(doc_hits("doc_name").join(doc_hits("doc_identity"), ["query_id", "doc_identity"], "full"), "document-hits")
-    hits = q.select("query_id", "number").join(a, "number").select("query_id", "uid").unionByName(by_title).unionByName(docs.select("query_id", "doc_identity").join(a, "doc_identity").select("query_id", "uid")).distinct()
-    found = hits.join(a, "uid").join(q.select("query_id", F.col("number").alias("asked")), "query_id").join(docs, ["query_id", "doc_identity"], "left")
+    by_title = stored(substring_join(n, a.select("uid", "title", "doc_identity"), "title").select("needle", "uid", "doc_identity"), "title-hits")
+    doc_hits = lambda c: substring_join(n, documents.select("doc_identity", F.col(c).alias("x")), "x").select("needle", "doc_identity", F.lit(True).alias(f"by_{c}"))
+    docs = stored(doc_hits("doc_name").join(doc_hits("doc_identity"), ["needle", "doc_identity"], "full"), "document-hits")
+    hits = q.join(a, F.col("asked") == F.col("number")).select("needle", "uid").unionByName(by_title.select("needle", "uid")).unionByName(docs.select("needle", "doc_identity").join(a, "doc_identity").select("needle", "uid")).distinct()
+    found = hits.join(a, "uid").join(q, "needle").join(docs, ["needle", "doc_identity"], "left")
     first = lambda c: F.when(F.coalesce(c, F.lit(False)), 0).otherwise(1)
-    ranked = top_k(found, ["query_id"], k, [first(F.col("number") == F.col("asked")), first(F.col("by_doc_name")), first(F.col("by_doc_identity")), F.col("doc_identity"), F.col("uid")])
-    out = ranked.select("query_id", F.lit("article").alias("kind"), "uid", "rank")
-    near = docs.select("query_id", "doc_identity").unionByName(by_title.join(a, "uid").select("query_id", "doc_identity")).distinct().withColumn("near", F.lit(True))
+    ranked = top_k(found, ["needle"], k, [first(F.col("number") == F.col("asked")), first(F.col("by_doc_name")), first(F.col("by_doc_identity")), F.col("doc_identity"), F.col("uid")])
+    out = ranked.select("needle", F.lit("article").alias("kind"), "uid", "rank")
+    near = docs.select("needle", "doc_identity").unionByName(by_title.select("needle", "doc_identity")).distinct().withColumn("near", F.lit(True))
     for kind, rows in (("clause", clauses), ("point", points)):
         number = F.coalesce(F.col("number").try_cast("int"), F.lit(0))
-        found = substring_join(q, rows, "content").join(rows, "uid").join(q.select("query_id", F.col("number").alias("asked")), "query_id").join(near, ["query_id", "doc_identity"], "left")
+        found = substring_join(q, stored(rows, f"{kind}-rows"), "content").join(near, ["needle", "doc_identity"], "left")
         order = [first(number.cast("string") == F.col("asked")), F.col("doc_identity"), number] if kind == "clause" else [F.col("doc_identity"), F.col("clause_num"), F.col("number")]
-        out = out.unionByName(top_k(found, ["query_id"], k, [first(F.col("near")), *order, F.col("uid")]).select("query_id", F.lit(kind).alias("kind"), "uid", "rank"))
-    return out
+        out = out.unionByName(top_k(found, ["needle"], k, [first(F.col("near")), *order, F.col("uid")]).select("needle", F.lit(kind).alias("kind"), "uid", "rank"))
+    return given.join(out, "needle").select("query_id", "kind", "uid", "rank")
 
 
 def article_children(wanted: DataFrame, clauses: DataFrame, points: DataFrame) -> DataFrame:

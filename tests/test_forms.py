@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docgraph.functions import storage
 from docgraph.functions import text as tx
 from docgraph.operators import context as ctx
 from docgraph.operators import corpus as cp
@@ -256,3 +257,20 @@ def test_generated_replies(spark):
     raw = ['{"task1": "a", "task2": "b"}', '```json\n{"task1": "a", "task2": "b"}\n```', 'Here: {"task1": "x [1, 2].", "task2": "y"} done', '{"task1": "only"}', "nothing", None]
     got = [r.x for r in spark.createDataFrame(list(enumerate(raw)), "id int, raw string").orderBy("id").select(cp.parse_generated(F.col("raw"), schema, ("task1", "task2")).alias("x")).collect()]
     assert [x and (x.task1, x.task2) for x in got] == [("a", "b"), ("a", "b"), ("x.", "y"), None, None, None]
+
+
+def test_substrings_compare_equal_needles_and_texts_once(spark):
+    """Six hundred queries for three needles over 6,000 rows of ten texts; each size of gram."""
+    texts = [f"Ngày 1996-03-{i:02d} thuộc chương {i} của văn bản số {i % 3}" for i in range(10)]
+    rows = spark.range(6000).select("id", F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 10 + 1).cast("int")).alias("x"))
+    needles = ["1996-03-07", "n", "03", "ày ", "1996", "thuộc chương 4 của", texts[5].lower(), "", "không có"]
+    pairs = srch.substring_pairs(spark.createDataFrame([(n,) for n in needles[:-2] + needles[-1:]], "needle string"), spark.createDataFrame([(t.lower(),) for t in texts], "t string"))
+    assert sorted((r.needle, r.t) for r in pairs.collect()) == sorted((n, t.lower()) for n in needles if n for t in texts if n in t.lower())
+    q = spark.range(600).select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.lit, needles[:3])), (F.col("id") % 3 + 1).cast("int")).alias("needle"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    clauses = rows.select(F.col("id").cast("string").alias("uid"), F.lit("1").alias("number"), F.col("x").alias("content"), F.lit("D").alias("doc_identity"))
+    written = lambda: set(storage.found(spark, f"{spark.conf.get('spark.checkpoint.dir')}/pairs-*"))
+    before = written()
+    found = srch.catalogue_search(q, empty("uid string, number string, title string, doc_identity string"), clauses, empty("uid string, number string, content string, doc_identity string, clause_num int"), empty("doc_identity string, doc_name string"))
+    assert found.count() == 600 * 20
+    assert sum(spark.read.parquet(p).count() for p in written() - before) <= 30  # of different needles and texts
