@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.functions.storage import stored
+from docgraph.functions.storage import dealt, stored
 
 SLICE = 1_000_000  # siblings a hash slice holds, where there are more than SLICES
 SLICES = 64
@@ -31,15 +31,19 @@ def levels_of(edges: DataFrame, depth: int = 0) -> list[DataFrame]:
     """Tables (uid, parent, above) of the nodes of a tree, level by level from the roots down.
 
     ``above`` holds the last ``depth`` ancestors, the nearest first. Every node is joined once, with its
-    parent, whatever the depth of the tree.
+    parent, whatever the depth of the tree; nodes lie dealt by their parents, so that a level moves its own rows alone.
     """
-    e = stored(edges.select(F.col("src").alias("parent"), F.col("dst").alias("uid")).where("parent is not null and uid is not null").distinct(), "tree-edges")
-    twice = e.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    spark = edges.sparkSession
+    kept = edges.select(F.col("src").alias("parent"), F.col("dst").alias("uid")).where("parent is not null and uid is not null")
+    kind = kept.schema["parent"].dataType.simpleString()
+    # every node with its parents by one shuffle: a root has none
+    ends = kept.unionByName(kept.select(F.col("parent").alias("uid"), F.lit(None).cast(kind).alias("parent")))
+    nodes = dealt(ends.groupBy("uid").agg(F.min("parent").alias("parent"), F.max("parent").alias("other")), "parent", "tree-nodes")
+    twice = nodes.where("parent <> other").select("uid").limit(1).collect()
     if twice:
-        raise ValueError(f"not a tree: {twice[0]['uid']!r} has {twice[0]['n']} parents")
-    kind = e.schema["parent"].dataType.simpleString()
-    roots = e.select(F.col("parent").alias("uid")).distinct().join(e.select("uid"), "uid", "left_anti")
-    levels = [stored(roots.select("uid", F.lit(None).cast(kind).alias("parent"), F.array().cast(f"array<{kind}>").alias("above")), "level")]
+        raise ValueError(f"not a tree: {twice[0]['uid']!r} has {kept.where(F.col('uid') == twice[0]['uid']).distinct().count()} parents")
+    e = nodes.where("parent is not null").select("uid", "parent")
+    levels = [stored(nodes.where("parent is null").select("uid", "parent", F.array().cast(f"array<{kind}>").alias("above")), "level")]
     below, n = 0, 1
     while n:
         last = levels[-1].select(F.col("uid").alias("parent"), F.slice(F.concat(F.array("uid"), "above"), 1, depth).alias("above"))
@@ -88,7 +92,7 @@ def ancestors(labels: DataFrame, depth: int | None = None) -> DataFrame:
     width = max(1, -(-n // parts))
     own = F.floor(F.col("pre") / width).cast("int")
     # an interval also comes to the later ranges it reaches into
-    dealt = labels.select("uid", "pre", "last", F.explode(F.sequence(own, F.floor(F.col("last") / width).cast("int"))).alias("part"))
+    reaching = labels.select("uid", "pre", "last", F.explode(F.sequence(own, F.floor(F.col("last") / width).cast("int"))).alias("part"))
     uid_type = labels.schema["uid"].dataType.simpleString()
 
     def run(batches):
@@ -110,4 +114,4 @@ def ancestors(labels: DataFrame, depth: int | None = None) -> DataFrame:
             kind = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([pa.array(above, kind), pa.array(below, kind), pa.array(steps, pa.int32())], names=["anc", "dst", "depth"])
 
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "pre").mapInArrow(run, f"anc {uid_type}, dst {uid_type}, depth int")
+    return reaching.repartition(parts, "part").sortWithinPartitions("part", "pre").mapInArrow(run, f"anc {uid_type}, dst {uid_type}, depth int")

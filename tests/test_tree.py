@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from docgraph.functions.storage import dealt
 from docgraph.operators import tree
 from docgraph.operators.graph import closure
 
@@ -59,3 +61,16 @@ def test_closure_of_any_depth_without_a_chain_of_joins(spark, depth):
     found = closure(spark.createDataFrame(forest(2), "src string, dst string"), depth)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == plain(forest(2), depth)
+
+
+def test_levels_leave_the_nodes_where_they_are(spark):
+    """Nodes are dealt by parent once; a level's join shuffles the level above alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = dealt(spark.range(100).select(F.col("id").cast("string").alias("uid"), F.col("id").cast("string").alias("parent")), "parent", "nodes")
+        plan = nodes.where("parent is not null").join(nodes.select(F.col("uid").alias("parent")).distinct(), "parent")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    closed = closure(spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), (None, "x"), ("y", None)], "src string, dst string"))
+    assert sorted(map(tuple, closed.collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
