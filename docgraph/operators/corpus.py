@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from docgraph.functions.storage import stored
 from docgraph.functions.text import has_punctuation, nfc, strip, strip_think, tokens
 
 
+TEXTS = 2048  # texts whose n-grams are counted at once
+
+
 def level_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("label").agg(F.count("*").alias("n"))
 
@@ -68,13 +73,45 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: (w != "") & ~has_punctuation(w))
 
 
+def _count_ngrams(rows: DataFrame, n: int) -> DataFrame:
+    """(gram, n) of the n-grams whose words all differ; rows: (t, own), words between blanks and how many of them may begin a gram.
+
+    Grams are counted as numbers of their words in blocks of texts; Spark adds up the blocks' counts.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                words = pa.compute.split_pattern(batch.column(0), " ")
+                size, flat = np.array(words.value_lengths()), words.flatten()
+                coded = flat.dictionary_encode()
+                code, many = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+                begin = np.repeat(np.cumsum(size) - size, size)
+                place = np.arange(len(code))
+                at = place[(place - begin < np.repeat(np.array(batch.column(1)), size)) & (place + n <= begin + np.repeat(size, size))]
+                parts = [code[at + i] for i in range(n)]
+                differ = np.ones(len(at), bool)
+                for i in range(n):
+                    for j in range(i):
+                        differ &= parts[i] != parts[j]
+                at, key, bound = at[differ], np.zeros(int(differ.sum()), np.int64), 1
+                for part in parts:
+                    if bound * many >= 1 << 62:
+                        known, key = np.unique(key, return_inverse=True)
+                        bound = len(known)
+                    key, bound = key * many + part[differ], bound * many
+                _, first, count = np.unique(key, return_index=True, return_counts=True)
+                grams = pa.compute.binary_join_element_wise(*(flat.take(pa.array(at[first] + i)) for i in range(n)), " ")
+                yield pa.RecordBatch.from_arrays([grams, pa.array(count.astype(np.int64))], names=["gram", "n"])
+
+    return rows.select("t", "own").mapInArrow(run, "gram string, n long").where("gram <> ''").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def top_ngrams(texts: DataFrame, text_col: str, n: int, k: int = 10) -> DataFrame:
     """Most frequent n-grams inside a text whose words all differ."""
-    t = F.filter(tokens(F.col(text_col)), lambda x: F.length(x) > 1)
-    # no filter on the size: Spark would push it below and cut the text into tokens twice
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: i <= F.size("t") - (n - 1))
-    grams = texts.select(t.alias("t")).select(F.explode(F.transform(starts, lambda i: F.slice("t", i, n))).alias("g"))
-    return grams.where(F.size(F.array_distinct("g")) == n).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(k)
+    words = F.array_join(F.filter(tokens(F.col(text_col)), lambda x: F.length(x) > 1), " ")
+    return _count_ngrams(texts.select(words.alias("t"), F.lit((1 << 31) - 1).alias("own")), n).orderBy(F.desc("n"), "gram").limit(k)
 
 
 def followed_texts(texts: DataFrame, order: list[str], text_col: str, n: int) -> DataFrame:
@@ -122,11 +159,8 @@ def followed_texts(texts: DataFrame, order: list[str], text_col: str, n: int) ->
 
 def top_ngrams_across(texts: DataFrame, order: list[str], text_col: str, n: int, k: int = 10) -> DataFrame:
     """Most frequent n-grams whose words all differ, in the texts one after the other: grams run across their borders."""
-    rows = followed_texts(texts, order, text_col, n).select(F.split("t", " ").alias("own"), "tail")
-    rows = rows.select(F.size("own").alias("size"), F.concat("own", "tail").alias("t")).where(F.size("t") >= n)
-    starts = F.sequence(F.lit(1), F.least(F.col("size"), F.size("t") - (n - 1)))
-    grams = rows.select(F.explode(F.transform(starts, lambda i: F.slice("t", i, n))).alias("g"))
-    return grams.where(F.size(F.array_distinct("g")) == n).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(k)
+    rows = followed_texts(texts, order, text_col, n)
+    return _count_ngrams(rows.select(F.concat_ws(" ", "t", "tail").alias("t"), F.size(F.split("t", " ")).alias("own")), n).orderBy(F.desc("n"), "gram").limit(k)
 
 
 def tag_counts(tagged: DataFrame, override: DataFrame) -> DataFrame:
