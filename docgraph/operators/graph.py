@@ -61,9 +61,11 @@ def fill_stubs(full: DataFrame, stubs: DataFrame, key: str, columns: list[str])
 
 def upsert_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends exist, each (src, dst, type) once; RELATED_TO is left to the stubs."""
-    ids = nodes.select("uid")
-    kept = edges.where(F.col("type") != "RELATED_TO").dropDuplicates(["src", "dst", "type"])
-    return kept.join(ids.withColumnRenamed("uid", "src"), "src", "left_semi").join(ids.withColumnRenamed("uid", "dst"), "dst", "left_semi").select("src", "dst", "type")
+    ids = nodes.select("uid").distinct()  # inner joins: semi-joins would be made apart for each part of a union
+    kept = edges.where(F.col("type") != "RELATED_TO").select("src", "dst", "type")
+    # repeated edges meet where the join by dst has brought them
+    ended = kept.join(ids.withColumnRenamed("uid", "dst"), "dst").select("src", "dst", "type").distinct()
+    return ended.join(ids.withColumnRenamed("uid", "src"), "src").select("src", "dst", "type")
 
 
 def amendment_edges(amends: DataFrame, nodes: DataFrame) -> DataFrame:
