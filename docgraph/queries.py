@@ -354,6 +354,11 @@ def e11_label_from_uid(t):
     return t.node.where(F.col("label").isin("Point", "Clause", "Article")).select("uid", tx.label_from_uid(F.col("uid")).alias("label"))
 
 
+def _law_nodes(t):
+    """Articles, clauses and points, derived once."""
+    return stored(t.node.where(F.col("label").isin("Article", "Clause", "Point")).select("uid", "label", "title", "content"), "law-nodes")
+
+
 _TITLE = "'Document ' || a.doc_identity || chr(10) || 'Điều ' || a.number || '. ' || a.title"
 
 
@@ -368,7 +373,8 @@ _TITLE = "'Document ' || a.doc_identity || chr(10) || 'Điều ' || a.number ||
 )
 def e13_law_text(t):
     """Law text of every article, clause and point."""
-    return ctx.law_text(t.node.where(F.col("label").isin("Article", "Clause", "Point")), t.node, t.document)
+    nodes = _law_nodes(t)
+    return ctx.law_text(nodes, nodes, stored(t.document, "documents"))
 
 
 @query(
@@ -692,9 +698,10 @@ docs as (select q, doc_identity, 'Document ' || doc_identity || chr(10) || strin
 @query(with_tables("select q as query_id, string_agg(t, chr(10) || chr(10) order by doc_identity) as law_text from docs group by 1", _WANTED))
 def e14_merged_law_text(t):
     """Ten customers make a query: every tenth article whole, every third clause, some single points."""
-    ask = lambda df, number: df.select(F.expr(f"cast({number} as int) div 10").alias("query_id"), "uid")
-    wanted = ask(t.article.where("cast(number as int) % 10 = 0"), "number").unionByName(ask(t.clause.where("cast(number as int) % 3 = 0"), "parent_article")).unionByName(ask(t.point.where("letter = 'b' and cast(parent_clause as int) % 3 = 1"), "parent_article"))
-    return ctx.merged_law_text(wanted, t.node, t.document)
+    nodes = _law_nodes(t)
+    n = nodes.select("uid", "label", F.split("uid", "::").alias("s")).select("uid", "label", F.expr("cast(s[2] as int)").alias("article"), F.expr("cast(get(s, 4) as int)").alias("clause"), F.expr("get(s, 6)").alias("letter"))
+    wanted = n.where("(label = 'Article' and article % 10 = 0) or (label = 'Clause' and clause % 3 = 0) or (label = 'Point' and letter = 'b' and clause % 3 = 1)").select(F.expr("article div 10").alias("query_id"), "uid")
+    return ctx.merged_law_text(wanted, nodes, stored(t.document, "documents"))
 
 
 @query(

@@ -8,6 +8,7 @@ import pytest
 from docgraph.operators import context as ctx
 from docgraph.operators import graph as g
 from docgraph.plans.fixtures import Tables
+from docgraph.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,6 +96,25 @@ def test_law_text_reads_nodes_once_a_form(spark, no_broadcast):
     assert count(out, "ExistingRDD")[0] <= 6  # nodes below for both forms, articles for both, documents for both
 
 
+@pytest.mark.parametrize("name", ["e13_law_text", "e14_merged_law_text"])
+def test_law_texts_derive_their_nodes_once(spark, no_broadcast, name):
+    out = QUERIES[name](spark, SF)
+    assert not out.isEmpty() and count(out, "l_linenumber") == [0]  # points come from the stored nodes
+
+
+def test_merged_law_text_moves_nodes_once(spark, no_broadcast):
+    nodes, _, documents = tables(spark)
+    uids = [(1, "D::article::1::clause::5"), (1, "D::article::1::clause::5::point::a"), (2, "D::article::1"), (2, "D::article::1::clause::50"), (3, "D::article::2::clause::7::point::a"), (4, "D::article::1::clause::50::point::b")]
+    out = ctx.merged_law_text(spark.createDataFrame(uids, "query_id int, uid string"), nodes, documents)
+    head = "Law\nĐiều 1. First"
+    assert dict(map(tuple, out.collect())) == {
+        1: f"{head}\n5. clause 5\na) point 5a\nb) point 5b",
+        2: f"{head}\nbody\n5. clause 5\na) point 5a\nb) point 5b\n50. clause 50\na) point 50a\nb) point 50b",
+        4: f"{head}\n50. clause 50\nb) point 50b",
+    }
+    assert count(out, "ExistingRDD", "Generate") == [2, 1]  # nodes and documents; no row for each node and what stands above it
+
+
 def test_children_meet_their_targets_once(spark, no_broadcast):
     nodes, _, _ = tables(spark)
     out = ctx.children_text(wanted(spark, "D::article::1::clause::5", "D::article::1", "D::article::1::clause::5::point::a", "D::chapter::I"), nodes)
