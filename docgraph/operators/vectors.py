@@ -115,7 +115,7 @@ class PivotIndex:
         return queries.mapInArrow(run, f"label string, chunk long, salt long, keys array<{key}>, queries binary, least binary, visited array<int>, who array<binary>")
 
     def compare(self, asked: DataFrame, k: int) -> DataFrame:
-        """(key, uid, label, score): of each query and block it visits, the k best that reach the least score."""
+        """(key, uid, label, score): of each query and part it visits, the k best that reach the least score; more where scores are equal."""
         dims, key = self.pivots.shape[1], asked.schema["keys"].dataType.elementType.simpleString()
         # a part's blocks come before the queries that visit it
         rows = self.blocks.select("label", "chunk", "salt", "pivot", "r", "uids", "matrix").unionByName(asked, allowMissingColumns=True)
@@ -135,15 +135,9 @@ class PivotIndex:
                         continue
                     keys = col["keys"][i].values
                     q, least = np.frombuffer(col["queries"][i].as_buffer(), np.float64).reshape(-1, dims), np.frombuffer(col["least"][i].as_buffer(), np.float64)
-                    norms, who = np.sqrt((q * q).sum(axis=1)), dict(zip(col["visited"][i].as_py(), col["who"][i].as_py(), strict=True))
-                    for pivot, r, uids, v in held:
-                        if pivot not in who:
-                            continue
-                        use = np.flatnonzero(_unpacked(who[pivot], len(q)))
-                        use = use[q[use] @ sent.value[pivot] + norms[use] * r * (1 + 1e-9) >= least[use] - SLACK]
-                        row, place, score = _best(q[use] @ v.T, least[use], k)
-                        if len(row):
-                            yield pa.RecordBatch.from_arrays([keys.take(pa.array(use[row])), uids.take(pa.array(place)), pa.array([now[0]] * len(row), pa.string()), pa.array(score)], names=["key", "uid", "label", "score"])
+                    who = dict(zip(col["visited"][i].as_py(), col["who"][i].as_py(), strict=True))
+                    for rows, uids, score in _part_best(q, least, [h for h in held if h[0] in who], who, sent.value, k):
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), uids, pa.array([now[0]] * len(rows), pa.string()), pa.array(score)], names=["key", "uid", "label", "score"])
 
         uid = self.blocks.schema["uids"].dataType.elementType.simpleString()
         return dealt.mapInArrow(run, f"key {key}, uid {uid}, label string, score double")
@@ -192,17 +186,55 @@ def _unpacked(bits: bytes, n: int) -> np.ndarray:
 def _best(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, rounded score) of each row's k best that reach its least score; equal ones by place, as blocks are in order of uid."""
     near = scores >= least[:, None] - SLACK
-    many = np.flatnonzero(near.sum(axis=1) > k)
+    row, place = np.nonzero(near)
+    many = np.flatnonzero(np.bincount(row, minlength=len(near)) > k)
     if len(many):
         first = np.argsort(-np.round(scores[many], 6), axis=1, kind="stable")[:, :k]
         near[many] = False
         near[many[:, None], first] = True
-    row, place = np.nonzero(near)
+        row, place = np.nonzero(near)
     score = np.round(scores[row, place], 6)
     keep = score >= least[row]
     return row[keep], place[keep], score[keep]
 
 
+def _part_best(q: np.ndarray, least: np.ndarray, held: list[tuple], who: dict[int, bytes], pivots: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(rows, uids, scores) of the vectors of a part's blocks (pivot, r, uids, matrix) that may be among the k best of a query.
+
+    The k-th score found in a part raises what the next block must reach. Rows wait until the part is
+    done, or ``AT_ONCE`` of them have come, and those that it has left behind are dropped.
+    """
+    least, norms = least.copy(), np.sqrt((q * q).sum(axis=1))
+    visits = {pivot: _unpacked(bits, len(q)).astype(bool) for pivot, bits in who.items()}
+    dots = dict(zip(visits, pivots[list(visits)] @ q.T, strict=True))
+    top = np.full((len(q), k), -np.inf) if k <= AT_ONCE // QUERY_BLOCK else None
+    found: list[tuple] = []
+
+    def kept():
+        rows, uids, score = np.concatenate([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), np.concatenate([f[2] for f in found])
+        use = np.flatnonzero(score >= least[rows])
+        return rows[use], uids.take(pa.array(use)), score[use]
+
+    for pivot, r, uids, v in held:
+        use = np.flatnonzero(visits[pivot] & (dots[pivot] + norms * r * (1 + 1e-9) >= least - SLACK))
+        row, place, score = _best(q[use] @ v.T, least[use], k)
+        if not len(row):
+            continue
+        found.append((use[row], uids.take(pa.array(place)), score))
+        if top is not None:
+            hit, start, n = np.unique(row, return_index=True, return_counts=True)  # rows are in order, k of each at most
+            more = np.full((len(hit), k), -np.inf)
+            more[np.repeat(np.arange(len(hit)), n), np.arange(len(row)) - np.repeat(start, n)] = score
+            hit = use[hit]
+            top[hit] = np.partition(np.concatenate([top[hit], more], axis=1), k - 1, axis=1)[:, k:]
+            least[hit] = np.maximum(least[hit], top[hit].min(axis=1))
+        if sum(len(f[0]) for f in found) > AT_ONCE:
+            yield kept()
+            found = []
+    if found:
+        yield kept()
+
+
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

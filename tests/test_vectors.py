@@ -100,3 +100,12 @@ def test_equal_vectors_over_several_parts(spark):
     assert max(c[5] for c in index.cells) > 1
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     assert [(r.uid, r.score) for r in index.search(q, 1200).orderBy("rank").collect()] == [(f"u{i:05d}", 0.6) for i in range(1200)]
+
+
+def test_rows_of_a_part_do_not_grow_with_its_cells(spark):
+    """A part gives the k best of a query, not those of each of its cells."""
+    x = np.random.default_rng(7).normal(size=(2000, 8))
+    index = vec.build_index(table(spark, x, 1), n_pivots=200)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:40] + 0.1)], "query_id long, embedding array<double>").select(F.struct("query_id").alias("key"), "embedding")
+    everywhere = index.asked(q, 10_000, False)  # fewer vectors than that: each query visits all
+    assert index.compare(everywhere, 5).count() <= 40 * 5 * len({(c[0], c[4]) for c in index.cells}) < 40 * 5 * len(index.cells) / 10
