@@ -208,6 +208,7 @@ def _grid_summary(t):
     grid = m.withColumn("config", configs).where((F.col("config") != "one_label") | (F.col("label") == "L1"))
     order = F.when(F.col("config") == "reversed", -F.col("score")).otherwise(F.col("score"))
     ranked = srch.top_k(grid.withColumn("s", order).drop("rank"), ["config", "query_id"], 1 << 30, [F.desc("s"), F.col("uid")])
+    ranked = stored(ranked.select("config", "query_id", "uid", "rank"), "grid")  # the metrics read it twice, each time with its search
     return ev.run_summary(ev.retrieval_metrics(ranked, _references(t)))
 
 

@@ -123,3 +123,9 @@ def test_children_meet_their_targets_once(spark, no_broadcast):
         "D::article::1": "Khoản 5. clause 5\nKhoản 50. clause 50\n  Điểm a. point 50a\n  Điểm b. point 50b\n  Điểm a. point 5a\n  Điểm b. point 5b",
     }
     assert count(out, "Generate") == [0]
+
+
+@pytest.mark.parametrize("name", ["g6_ablation_grid", "g8_comparison_table"])
+def test_a_grid_searches_once(spark, name):
+    """Metrics read the grid's rows twice, which may not repeat the search."""
+    assert count(QUERIES[name](spark, SF), "MapInArrow") == [0]
