@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgraph.functions.storage import stored
 from docgraph.functions.text import strip, strip_fences, tokens
 
 RECALL_AT, PRECISION_AT = (1, 3, 5, 7, 10), (1, 3)
@@ -57,6 +58,7 @@ def run_summary(metrics: DataFrame) -> DataFrame:
 
 def delta_to_baseline(summary: DataFrame, baseline: str) -> DataFrame:
     """Each config's metrics minus those of the baseline config."""
+    summary = stored(summary, "summary")
     base = summary.where(F.col("config") == baseline).select(*(F.col(m).alias(f"b_{m}") for m in METRICS))
     return summary.join(F.broadcast(base)).select("config", *(F.round(F.col(m) - F.col(f"b_{m}"), 6).alias(m) for m in METRICS))  # base is one row
 
