@@ -745,7 +745,7 @@ def e12_context_for_uids(t):
 
 @query(with_tables("select query_id, uid, round(score::decimal(18, 6), 4)::double as score, 'Điều ' || split_part(uid, '::', 3) || ' ' || split_part(uid, '::', 1) as display, substr(d.text, 1, 300) as snippet from merged m join documents d on d.doc_id = split_part(uid, '::', 3)::bigint", f"{_RANKED}, {_MERGED}"))
 def e16_source_items(t):
-    texts = t.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
+    texts = t.read("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, ctx.SNIPPET).alias("context"))  # whole texts would be moved for their beginnings
     return ctx.source_items(_merged(t).withColumn("id", F.split("uid", "::")[2].cast("long")).join(texts, "id"))
 
 

@@ -129,3 +129,12 @@ def test_children_meet_their_targets_once(spark, no_broadcast):
 def test_a_grid_searches_once(spark, name):
     """Metrics read the grid's rows twice, a delta reads the metrics twice: neither may repeat the search."""
     assert count(QUERIES[name](spark, SF), "MapInArrow") == [0]
+
+
+def test_source_items_move_beginnings_of_texts(spark, no_broadcast):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        QUERIES["e16_source_items"](spark, SF).explain()
+    lines = out.getvalue().splitlines()
+    join = min(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("substring(text" in line for line in lines[join:])
