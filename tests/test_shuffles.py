@@ -6,6 +6,7 @@ import io
 import pytest
 
 from docgraph.operators import context as ctx
+from docgraph.operators import evaluation as ev
 from docgraph.operators import graph as g
 from docgraph.plans.fixtures import Tables
 from docgraph.queries import QUERIES
@@ -138,3 +139,10 @@ def test_source_items_move_beginnings_of_texts(spark, no_broadcast):
     lines = out.getvalue().splitlines()
     join = min(i for i, line in enumerate(lines) if "Join" in line)
     assert any("substring(text" in line for line in lines[join:])
+
+
+def test_a_delta_computes_its_summaries_once(spark):
+    rows = spark.createDataFrame([("full", *([0.5] * len(ev.METRICS))), ("other", *([0.75] * len(ev.METRICS)))], ["config", *ev.METRICS])
+    out = ev.delta_to_baseline(ev.run_summary(rows), "full")
+    assert count(out, "Aggregate") == [0]
+    assert sorted((r.config, r.mrr) for r in out.collect()) == [("full", 0.0), ("other", 0.25)]
