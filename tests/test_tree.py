@@ -1,11 +1,13 @@
 """Interval labels and ancestors against walking up the parents."""
 
 import random
+from pathlib import Path
 
+import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph.functions.storage import dealt
+from docgraph.functions.storage import FREE, dealt, drop, new_path, stored
 from docgraph.operators import tree
 from docgraph.operators.graph import closure
 
@@ -74,3 +76,32 @@ def test_levels_leave_the_nodes_where_they_are(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     closed = closure(spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), (None, "x"), ("y", None)], "src string, dst string"))
     assert sorted(map(tuple, closed.collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+
+
+@pytest.fixture
+def written(spark):
+    """The tables that a test has left in the checkpoint folder."""
+    folder = Path(new_path(spark, "any").removeprefix("file:")).parent
+    before = set(folder.iterdir())
+    return lambda: [p for p in folder.iterdir() if p not in before]
+
+
+def test_labels_leave_a_leaf_written_once(spark, written):
+    """Tables that nothing reads any more are deleted, and leaves are not written level by level."""
+    labels = tree.interval_labels(spark.createDataFrame(forest(3), "src string, dst string"))
+    found = [ds.dataset(str(p), format="parquet").to_table(columns=["uid"])["uid"].to_pylist() for p in written() if any(p.rglob("*.parquet"))]
+    assert sum(uids.count("leaf7") for uids in found) == 1
+    assert labels.where("uid = 'leaf7'").count() == 1
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, written):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in dirs for p in Path(d).rglob("shuffle_*")}
+    rows = spark.range(1000).groupBy((F.col("id") % 70).alias("k")).count()
+    before = files()
+    table, other = stored(rows, "counted"), dealt(rows, "k", "dealt")
+    assert files() <= before and spark.conf.get(FREE, "false") == "false"
+    assert table.count() == other.count() == 70
+    nation = "/root/testdata/sf0.001/nation.parquet"
+    drop(table, spark.read.parquet(nation))
+    assert [p.name.split("-")[0] for p in written()] == ["dealt"] and Path(nation).exists()
