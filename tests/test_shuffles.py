@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from docgraph.operators import context as ctx
 from docgraph.operators import evaluation as ev
@@ -23,12 +24,16 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-def count(df, *words):
+def lines(df):
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         df.explain()
-    lines = out.getvalue().splitlines()
-    return [sum(word in line for line in lines) for word in words]
+    return out.getvalue().splitlines()
+
+
+def count(df, *words):
+    plan = lines(df)
+    return [sum(word in line for line in plan) for word in words]
 
 
 def test_points_stay_where_the_join_by_clause_left_them(spark, no_broadcast):
@@ -89,6 +94,48 @@ def test_context_comes_from_families_in_order(spark, no_broadcast):
     assert count(out, "Generate") == [0]  # no row for each target and ancestor
 
 
+AMENDS = [
+    ("D::article::1::clause::50", "D::article::1::clause::5", "bãi bỏ"),
+    ("D::article::1::clause::50", "D::article::1::clause::5", "thay thế"),
+    ("D::article::1::clause::50::point::a", "D::article::1::clause::5::point::b", "sửa đổi"),
+    ("D::article::1::clause::5::point::a", "D::chapter::I", "sửa đổi"),
+]
+
+
+def final(spark, ranked):
+    nodes, edges, documents = tables(spark)
+    amends = spark.createDataFrame(AMENDS, "src_uid string, dst_uid string, amend_type string")
+    points = nodes.where("label = 'Point'").select("uid", F.col("number").alias("letter"), "content")
+    return ctx.final_context(spark.createDataFrame(ranked, "query_id int, rank int, uid string"), nodes, edges, documents, amends, True, points)
+
+
+def test_final_context_of_every_kind(spark):
+    point, clause = "D::article::1::clause::5::point::b", "D::article::1::clause::5"
+    out = dict(map(tuple, final(spark, [(1, 2, point), (1, 1, clause), (2, 1, clause), (2, 1, clause), (3, 1, "D::article::9"), (4, 1, None), (5, 1, "D::article::1")]).collect()))
+    law = "[Văn bản: D — Hiệu lực: 2001-02-03]\nChương I: One\nĐiều 1: First"
+    by_clause = "Đã được sửa đổi/bổ sung bởi Khoản 50 Điều 1 D: clause 50"
+    by_points = ["Đã được sửa đổi/bổ sung bởi Điểm a Khoản 50 Điều 1 D: point 50a", "Đã được sửa đổi/bổ sung bởi Điểm a Khoản 5 Điều 1 D: point 5a"]
+    amended = "\n\n[LƯU Ý - NỘI DUNG SỬA ĐỔI]:\n" + "\n".join([by_clause, *by_points])
+    whole = f"[ĐÃ BỊ BÃI BỎ bởi văn bản mới hơn]\n{law}\nKhoản 5.\nNội dung: clause 5\n\n[Nội dung chi tiết]:\n  Điểm a. point 5a\n  Điểm b. point 5b{amended}"
+    assert out[1] == f"{whole}\n\n---\n\n{law}\nKhoản 5.\nclause 5\nĐiểm b.\nNội dung: point 5b\n\n[Các điểm khác cùng khoản]:\n  Điểm a. point 5a{amended}"
+    assert out[2] == f"{whole}\n\n---\n\n{whole}" and out[3] == "" and 4 not in out
+    assert out[5].startswith(f"{law}\nNội dung: body\n\n[Nội dung chi tiết]:\nKhoản 5. clause 5\n") and out[5].endswith(amended)
+
+
+def test_final_context_meets_by_family(spark, no_broadcast):
+    """Texts are moved once, when they are whole, and points only as children where no point is asked for."""
+    plan = lines(final(spark, [(1, 1, "D::article::1::clause::5")]))
+    assert not any("hashpartitioning(top" in x and "uid" in x.split("hashpartitioning")[1] for x in plan)
+    grouped = next(i for i, x in enumerate(plan) if "Union" in x)
+    assert sum("Exchange hashpartitioning" in x for x in plan[:grouped]) == 1
+
+
+@pytest.mark.parametrize("name", ["e10_final_context", "e12_context_for_uids"])
+def test_contexts_derive_their_nodes_once(spark, no_broadcast, name):
+    out = QUERIES[name](spark, SF)
+    assert not out.isEmpty() and count(out, "l_linenumber") == [0]
+
+
 def test_law_text_reads_nodes_once_a_form(spark, no_broadcast):
     nodes, _, documents = tables(spark)
     out = ctx.law_text(wanted(spark, "D::article::1", "D::article::1::clause::5::point::a", "D::article::1::clause::50"), nodes, documents)
