@@ -728,12 +728,9 @@ def e15_date_list(t):
 )
 def e10_final_context(t):
     """The clauses of each article as ranked results, with flags, children and amendment notes."""
-    rows = t.clause.select("uid", F.col("parent_article").alias("query_id"), F.col("number").cast("int").alias("rank"), F.lit(None).cast("string").alias("siblings"))
-    amends = stored(t.amends, "amends")
-    notes = ctx.amendment_notes(ctx.amendments_of(rows, amends, t.edge, t.node, t.document).drop("amend_type").distinct())
-    for part in (ctx.hierarchy_text(rows, t.node, t.edge, t.document), ctx.status_flags(rows, amends), ctx.children_text(rows, t.node), notes):
-        rows = rows.join(part, "uid", "left")
-    return ctx.assemble_context(rows)
+    rows = t.clause.select("uid", F.col("parent_article").alias("query_id"), F.col("number").cast("int").alias("rank"))
+    graph = _graph(t)
+    return ctx.final_context(rows, graph["node"], graph["edge"], graph["document"], graph["amends"])
 
 
 @query(ORACLE_SQL["e10_final_context"])
